@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mpeg_audio, quality_mcd, source_mix, url_rules
+from tidemark.llm import bm25_packing, dart_minhash, mpeg_audio, quality_mcd, source_mix, url_rules, window_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +28,23 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "duration_s", "frames")
 
 
+def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op7_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_index.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_url_rules, op3_mpeg_audio, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_url_rules, op3_mpeg_audio, op5_bm25_packing, op6_dart_minhash, op7_window_index, op9_source_mix)}
 
 
 def _op2_sql() -> str:
