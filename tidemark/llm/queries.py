@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bm25_packing, dart_minhash, mpeg_audio, quality_mcd, source_mix, url_rules, window_index
+from tidemark.llm import bm25_packing, crf_pii, dart_minhash, lsa_knn, mpeg_audio, quality_mcd, source_mix, toxicity_fst, url_rules, window_index
+from tidemark.llm.labelled import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "duration_s", "frames")
 
 
+def op4_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity_fst.score(docs, toxicity_fst.learned(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -40,11 +47,25 @@ def op7_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_index.remove_repeated(table(spark, sf_dir, "documents"))
 
 
+def op8_lsa_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lsa_knn.score(docs, lsa_knn.learned(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_url_rules, op3_mpeg_audio, op5_bm25_packing, op6_dart_minhash, op7_window_index, op9_source_mix)}
+def op10_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crf_pii.find(table(spark, sf_dir, "documents"))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in crf_pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_url_rules, op3_mpeg_audio, op4_toxicity_fst, op5_bm25_packing, op6_dart_minhash, op7_window_index, op8_lsa_knn, op9_source_mix, op10_crf_pii)}
 
 
 def _op2_sql() -> str:

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import stored
+
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,8 +56,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     """doc_id, source, size, source_size, target and taken (words the mix takes of the row, repeats counted)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
     same = rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies"))
-    from tidemark.llm.scratch import stored
-
     same = stored(same)
     sizes = same.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("source_rows"))
     plan = source_targets(sizes.select("source", "source_size"), weights, share, most)
@@ -78,3 +78,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - place))
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def taken_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """docs as the mix takes them: each row once for every whole epoch, and once more cut to the words of the last.
+
+    A row that is cut keeps its text up to the last word taken, and n_chars, if docs has it, follows. Rows of size 0
+    appear once if an epoch of their source is whole, as they cost nothing. Columns are those of docs.
+    """
+    named = [F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text").cast("string"))]
+    rows = docs.withColumns({"mix_id": named[0], "mix_source": named[1], "mix_size": named[2]})
+    # Rows that agree in id, source and size may differ in what the mix takes of them: each takes one of its places.
+    plan = mix(docs, weights, share, most).groupBy("source", "doc_id", "size").agg(F.sum("taken").alias("all_taken"), F.count("*").alias("copies"))
+    plan = plan.select(F.col("source").alias("p_source"), F.col("doc_id").alias("p_id"), F.col("size").alias("p_size"), "all_taken", "copies")
+    joined = rows.join(plan, F.col("mix_id").eqNullSafe(F.col("p_id")) & F.col("mix_source").eqNullSafe(F.col("p_source")) & (F.col("mix_size") == F.col("p_size")))
+    # Copies of one row share what is taken of them evenly, to a word.
+    taken = F.floor(F.col("all_taken") / F.col("copies"))
+    size = F.col("mix_size")
+    whole = F.when(size > 0, F.floor(taken / size)).otherwise(F.lit(1))
+    rest = F.when(size > 0, taken % size).otherwise(F.lit(0))
+    pieces = F.concat(F.array_repeat(size, whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    out = joined.withColumn("mix_words", F.explode(pieces))
+    # The words of a cut text as one match: so many words with what stands between them.
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("mix_words").cast("int")), "")
+    cut = F.col("mix_words") < size
+    text = F.when(cut, head).otherwise(F.col("text"))
+    columns = [text.alias(c) if c == "text" else F.when(cut, F.length(head).cast("long")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return out.select(*columns)

@@ -97,6 +97,12 @@ class Words:
         total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
         return total[self.first[1:]] - total[self.first[:-1]]
 
+    def strings(self) -> pa.Array:
+        """The words as a string column."""
+        size = self.end - self.start
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.data[~SPACE[self.data]])))
+
     def hashes(self) -> np.ndarray:
         """64 bits of each word's bytes."""
         if not len(self.start):
