@@ -110,9 +110,9 @@ def attach_shares(prices: DataFrame, shares: DataFrame, securities: DataFrame, d
 def split_factor(bars: DataFrame) -> DataFrame:
     """bars with cumulative: the product of all split ratios strictly after each row; 0, null and NaN count as 1."""
     after = Window.partitionBy("ticker").orderBy("trade_date").rowsBetween(1, Window.unboundedFollowing)
-    ratio: Column = F.when((F.col("split_ratio") == 0) | F.col("split_ratio").isNull() | F.isnan("split_ratio"), 1.0).otherwise(F.col("split_ratio"))
-    logs = F.collect_list(ratio).over(after)
-    return bars.withColumn("cumulative", F.aggregate(logs, F.lit(1.0), lambda a, b: a * b))
+    ratio: Column = F.when((F.col("split_ratio") != 0) & (F.col("split_ratio") != 1) & ~F.isnan("split_ratio"), F.col("split_ratio"))
+    splits = F.collect_list(ratio).over(after)  # the few true splits; other rows are null and are left out
+    return bars.withColumn("cumulative", F.aggregate(splits, F.lit(1.0), lambda a, b: a * b))
 
 
 def unadjusted(bars: DataFrame) -> DataFrame:
