@@ -252,15 +252,31 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-READ_SCHEMA = (
-    "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload binary, frames long, frame_offsets array<long>, samples long, sample_rate int, "
-    "duration_s double, kbps map<int, long>, checked long, failed long, skipped_bytes long, tags map<string, string>, table_frames long, table_bytes long"
-)
+_LONG, _TEXT = ("long", pa.int64()), ("string", pa.string())
+#: Columns of what is read: name, type in Spark, type in Arrow. The payload or its digests come between these two lists.
+_BEFORE = [("doc_id", *_LONG), ("n_bytes", *_LONG), ("media_bytes", *_LONG), ("media_sha256", *_TEXT)]
+_AFTER = [
+    ("frames", *_LONG),
+    ("frame_offsets", "array<long>", pa.list_(pa.int64())),
+    ("samples", *_LONG),
+    ("sample_rate", "int", pa.int32()),
+    ("duration_s", "double", pa.float64()),
+    ("kbps", "map<int, long>", pa.map_(pa.int32(), pa.int64())),
+    ("checked", *_LONG),
+    ("failed", *_LONG),
+    ("skipped_bytes", *_LONG),
+    ("tags", "map<string, string>", pa.map_(pa.string(), pa.string())),
+    ("table_frames", *_LONG),
+    ("table_bytes", *_LONG),
+]
+_PAYLOAD = [("payload", "binary", pa.binary())]
+_DIGESTS = [("payload_bytes", *_LONG), ("payload_sha256", *_TEXT), ("tail_crc32", *_LONG)]
 
 
 def read_media(stored: DataFrame, keep_payload: bool = True) -> DataFrame:
     """What each stream holds; stored has doc_id, n_bytes and media. duration_s is samples over sample_rate, by frame."""
-    schema = READ_SCHEMA if keep_payload else READ_SCHEMA.replace("payload binary", "payload_bytes long, payload_sha256 string, tail_crc32 long")
+    columns = [*_BEFORE, *(_PAYLOAD if keep_payload else _DIGESTS), *_AFTER]
+    schema = pa.schema([(name, kind) for name, _, kind in columns])
 
     def digests(x: bytes) -> list:
         return [len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-64:])]
@@ -273,11 +289,9 @@ def read_media(stored: DataFrame, keep_payload: bool = True) -> DataFrame:
         return [doc_id, n, len(media), hashlib.sha256(media).hexdigest(), *own, f.frames, f.offsets, f.samples, f.rate, float(f.duration), list(f.kbps.items()), f.checked, f.failed, f.skipped, list(f.tags.items()), *table]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "map<int, long>": pa.map_(pa.int32(), pa.int64()), "map<string, string>": pa.map_(pa.string(), pa.string())}
-        fields = [pa.field(name, kinds[kind]) for name, kind in (x.split(" ", 1) for x in schema.replace("map<int, ", "map<int,").replace("map<string, ", "map<string,").split(", ")) if kinds.setdefault(kind, kinds.get(kind.replace(",", ", "))) is not None]
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 rows = [one(*x) for x in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for f, v in zip(fields, zip(*rows, strict=True), strict=True)], schema=pa.schema(fields))
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for f, v in zip(schema, zip(*rows, strict=True), strict=True)], schema=schema)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind, _ in columns))
