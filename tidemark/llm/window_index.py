@@ -106,7 +106,8 @@ class WindowIndex:
 
     def _write(self, entries: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        entries.write.bucketBy(self.buckets, "gram").sortBy("gram").option("compression", "zstd").saveAsTable(name)
+        # As many tasks as buckets, by the same key: each writes one file. Groups are by gram and whole, so without this each task would write to every bucket.
+        entries.repartition(self.buckets, "gram").write.bucketBy(self.buckets, "gram").sortBy("gram").option("compression", "zstd").saveAsTable(name)
         return name
 
     def add(self, scan: DataFrame) -> None:
