@@ -129,7 +129,7 @@ def test_viterbi_equals_all_paths():
     for a, b in zip(first, [*first[1:], 12]):
         if b > a:
             def value(path):
-                return sum(e[a + i, y] for i, y in enumerate(path)) + sum(model.pair[x, y] for x, y in zip(path, path[1:]))
+                return sum(e[a + i, y] for i, y in enumerate(path)) + sum(model.pair[x, y] for x, y in zip((0, *path), (*path, 0)))
 
             assert tuple(got[a:b]) == max(itertools.product(range(5), repeat=b - a), key=value)
 

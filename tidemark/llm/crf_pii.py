@@ -4,8 +4,9 @@ Base patterns find emails, IP addresses, card numbers and phone numbers; those t
 dropped. A conditional random field over the shapes of words and their neighbours, trained on the small
 labelled table below, finds more, such as addresses that are spelled out or numbers in other notations; what it
 adds is checked for its kind and never touches a base span. Emissions are looked up by shape for all words of a
-slice at once. Where a word's margin for "outside" exceeds anything that transitions could make up, every best
-path is outside there, so Viterbi runs, in padded numpy batches, on the pieces between such words; this is exact.
+slice at once. A word that lies in no run of words whose evidence could pay for entering and leaving a span is
+outside on every best path, so Viterbi runs, in padded numpy batches, on the pieces between such words; this is
+exact. Texts begin and end outside.
 
 Defined cases: a null text is empty; spans count code points, ends excluded; repeated rows all stay; an empty
 table gives an empty result; other columns are not read by the search and stay in redaction.
@@ -187,17 +188,20 @@ class Model:
                 e = self.emissions(p, before, after)
                 t = len(y)
                 alpha, beta = np.zeros((t, N)), np.zeros((t, N))
-                alpha[0] = e[0]
+                alpha[0] = e[0] + self.pair[0]
                 for i in range(1, t):
                     alpha[i] = e[i] + np.logaddexp.reduce(alpha[i - 1][:, None] + self.pair, axis=0)
+                beta[-1] = self.pair[:, 0]
                 for i in range(t - 2, -1, -1):
                     beta[i] = np.logaddexp.reduce(self.pair + e[i + 1] + beta[i + 1], axis=1)
-                z = np.logaddexp.reduce(alpha[-1])
+                z = np.logaddexp.reduce(alpha[-1] + beta[-1])
                 d = -np.exp(alpha + beta - z)
                 d[np.arange(t), y] += 1
                 for g, at in zip(grads[:3], (p, before, after), strict=True):
                     np.add.at(g, at, d)
                 grads[4] += d.sum(0)
+                grads[3][0] += d[0]
+                grads[3][:, 0] += d[-1]
                 for i in range(1, t):
                     grads[3] -= np.exp(alpha[i - 1][:, None] + self.pair + e[i] + beta[i] - z)
                     grads[3][y[i - 1], y[i]] += 1
@@ -212,8 +216,15 @@ class Model:
         out = np.zeros(len(e), np.int8)
         if not len(e):
             return out
-        most = 2 * (self.pair.max() - self.pair.min())
-        loose = e[:, 0] - e[:, 1:].max(1) <= most
+        pair, out_ = self.pair, self.pair[0, 0]
+        stay = pair[1:, 1:].max() - out_
+        edges = pair[0, 1:].max() + pair[1:, 0].max() - 2 * out_ - stay
+        # Running sums of the evidence against outside; texts are set apart, so that no run spans two.
+        apart = 1e6 * (np.searchsorted(first, np.arange(len(e)), "right"))
+        total = np.concatenate([[0.0], np.cumsum(e[:, 1:].max(1) - e[:, 0] + stay)])
+        low = np.minimum.accumulate(total[:-1] - apart)
+        high = np.maximum.accumulate((total[1:] - apart)[::-1])[::-1]
+        loose = high - low + edges >= -1e-6
         at = np.flatnonzero(loose)
         if not len(at):
             return out
@@ -222,20 +233,18 @@ class Model:
         new = np.append(True, (np.diff(at) > 1) | starts[at[1:]])
         begin = at[new]
         size = np.diff(np.append(np.flatnonzero(new), len(at)))
-        texts_begin = starts[begin]
-        texts_end = starts[begin + size]
         order = np.argsort(size, kind="stable")
         for a in range(0, len(order), 2048):
             part = order[a : a + 2048]
-            self._viterbi(e, begin[part], size[part], texts_begin[part], texts_end[part], out)
+            self._viterbi(e, begin[part], size[part], out)
         return out
 
-    def _viterbi(self, e: np.ndarray, begin: np.ndarray, size: np.ndarray, opens: np.ndarray, closes: np.ndarray, out: np.ndarray) -> None:
-        """Pieces padded to one length; beyond each end stands an outside word, or nothing at a text's edge."""
+    def _viterbi(self, e: np.ndarray, begin: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+        """Pieces padded to one length; beyond each end it is outside."""
         t = int(size.max())
         at = begin[:, None] + np.minimum(np.arange(t), size[:, None] - 1)
         back = np.zeros((t, len(begin), N), np.int8)
-        score = e[at[:, 0]] + np.where(opens[:, None], 0.0, self.pair[0])
+        score = e[at[:, 0]] + self.pair[0]
         finals = score.copy()
         for i in range(1, t):
             steps = score[:, :, None] + self.pair
@@ -243,7 +252,7 @@ class Model:
             score = steps.max(1) + e[at[:, i]]
             live = size > i
             finals[live] = score[live]
-        finals = finals + np.where(closes[:, None], 0.0, self.pair[:, 0])
+        finals = finals + self.pair[:, 0]
         label = finals.argmax(1)
         rows = np.arange(len(begin))
         for i in range(t - 1, -1, -1):
