@@ -153,3 +153,23 @@ def test_compaction_keeps_counts(spark):
         many.add(scan.filter(f"doc_id % 5 = {b}"))
     assert len(many.runs) <= 2
     assert Counter(map(tuple, once.entries().collect())) == Counter(map(tuple, many.entries().collect()))
+
+
+def copies_rows(copies, edited, length=200):
+    """A base text and copies of it with other words at random places: each near the base, most not near each other."""
+    rng = random.Random(17)
+    base = [f"b{i}" for i in range(length)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, copies + 1):
+        w = base.copy()
+        for k in rng.sample(range(length // 10), edited):
+            w[k * 10 + rng.randrange(5)] = f"e{n}x{k}"
+        rows.append((n, " ".join(w)))
+    return rows
+
+
+def test_copies_of_one_text_are_one_class(spark):
+    rows = copies_rows(600, 4)
+    assert dart_minhash.similarity(*[r["elements"] for r in dart_minhash.elements(spark.createDataFrame(rows[1:3], "doc_id long, text string")).collect()]) < 0.8
+    found = Counter(map(tuple, dart_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert found == brute_classes(rows) == Counter((i, 0, len(rows)) for i, _ in rows)

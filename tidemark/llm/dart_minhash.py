@@ -6,10 +6,10 @@ process that depends on the element alone; those below the element's weight and
 text's total weight count, and the earliest in each coordinate is the signature: two texts agree in a
 coordinate with their weighted Jaccard similarity as probability. A text that leaves a coordinate empty
 throws to twice the rank. Bands of coordinates are joined, never paired: in each band bucket every text is
-linked to the bucket's least key, and links are verified on the whole shingle sets. Classes are connected
-components of verified links. Texts that fail are regrouped among themselves where a bucket still holds several
-components: in a small one, those of different components whose signatures are alike are verified with each other;
-a large one is split by further bands and linked again, until no such bucket is left.
+linked to the bucket's center, the text that meets most others, and links are verified on the whole shingle sets.
+Classes are connected components of verified links. Where a bucket still holds several components, all its texts
+are compared with each other on the whole sets, block by block, but for those of one component: every two texts
+that share a band are compared or in one class by then.
 
 Defined cases: equal texts are one class whatever they hold and are never compared; a null text is a class
 of its own; a text without words has no shingle and equals only equal texts; a class is named by its least
@@ -192,77 +192,116 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def starred(rows: DataFrame) -> DataFrame:
-    """Band rows (band, key) with the least key of their bucket as center, where that is another one."""
-    least = rows.groupBy("band").agg(F.min("key").alias("center"), F.max("key").alias("last")).filter("center <> last").drop("last")
-    return rows.join(least, "band").filter("key <> center")
+    """Band rows (band, key) of buckets of several texts, with center: the bucket's text that meets most others over all its bands.
 
+    Of an original and its copies that is the original, even where the copies are not near each other.
+    """
+    size = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    open_ = stored(rows.join(size, "band"))
+    met = open_.groupBy("key").agg(F.sum("n").alias("met"))
+    center = open_.join(met, "key").groupBy("band").agg(F.max_by("key", F.struct("met", "key")).alias("center"))
+    return open_.select("band", "key").join(center, "band")
 
-def sharing(groups: DataFrame) -> DataFrame:
-    """Pairs (key, center) of different labels that agree in a share of `LIKELY` of the sketch, of rows with a bounded list of (key, label, sketch)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0)
-            at = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
-            at, flat = at - at[0], lists.flatten()
-            keys, table = flat.field(0).to_pylist(), np.frombuffer(b"".join(flat.field(2).to_pylist()), np.uint8).reshape(-1, K)
-            label = flat.field(1).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            left, right = [], []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                x, y = table[a:b], label[a:b]
-                same = np.stack([(x == row).sum(1) for row in x]) >= LIKELY * K
-                i, j = np.nonzero(np.triu(same & (y[:, None] != y[None, :]), 1))
-                left += [keys[k] for k in a + i]
-                right += [keys[k] for k in a + j]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["key", "center"])
-
-    return groups.mapInArrow(run, "key binary, center binary").distinct()
-
-
-#: Texts of a bucket whose sketches are compared with each other once they have failed with a center, and the share of a
-#: sketch that two of them agree in to be verified: at similarity 0.8, 1 in 500 agrees in less.
-SMALL, LIKELY = 256, 0.72
 #: Steps of components where labels only tell what need not be verified.
 FEW = 2
+#: Texts and bytes of a block, about: the blocks of a bucket are compared two by two.
+BLOCK, BYTES = 512, 2 << 20
+
+
+def blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (band, key, label, bands) of buckets, once for each other block of the bucket, with i and j, the two blocks, and side, the row's own."""
+    both = stored(rows.join(sets, "key"))
+    size = both.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("elements")) / BYTES)).cast("int").alias("n"))
+    side = F.pmod(F.xxhash64("key"), F.greatest("n", F.lit(1))).cast("int")
+    dealt = both.join(size, "band").withColumn("side", side).withColumn("other", F.explode(F.expr("sequence(0, greatest(n, 1) - 1)")))
+    return dealt.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "key", "label", "bands", "elements")
+
+
+def linking(band: int, rows: list[dict], apart: bool, least: float) -> Iterator[tuple[bytes, bytes]]:
+    """Links of two blocks (of one, unless they are apart) that join labels: every pair of different labels is compared but for those that earlier links join.
+
+    A pair that shares an earlier band is compared there.
+    """
+    rows = sorted(rows, key=lambda r: r["side"])
+    own = [np.frombuffer(r["elements"], np.uint64) for r in rows]
+    size = np.array([len(x) for x in own])
+    names: dict[bytes, int] = {}
+    label = np.array([names.setdefault(r["label"], len(names)) for r in rows])
+    found = np.array([r["bands"] for r in rows], np.int64)
+    earlier = found[:, : int(np.flatnonzero(found[0] == band)[0])]
+    side = np.array([r["side"] for r in rows])
+    first = int((side == side[0]).sum()) if apart else len(rows)
+    if apart and first == len(rows):
+        return
+    value = np.concatenate(own)
+    order = np.argsort(value, kind="stable")
+    holder = np.repeat(np.arange(len(rows)), size)[order]
+    value = value[order]
+    at = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    value, at = value[at], np.append(at, len(holder))
+    for x in range(first):
+        a = first if apart else x + 1
+        open_ = np.flatnonzero((label[a:] != label[x]) & (np.minimum(size[a:], size[x]) >= least * np.maximum(size[a:], size[x]))) + a
+        open_ = open_[~(earlier[open_] == earlier[x]).any(axis=1)]
+        if not len(open_):
+            continue
+        where = np.searchsorted(value, own[x])
+        times = at[where + 1] - at[where]
+        ends = np.cumsum(times)
+        common = np.bincount(holder[np.arange(ends[-1]) + np.repeat(at[where] - (ends - times), times)], minlength=len(rows))[open_]
+        for y in open_[common / np.maximum(1, size[open_] + size[x] - common) >= least]:
+            if label[y] != label[x]:
+                yield rows[x]["key"], rows[y]["key"]
+                label[label == label[y]] = label[x]
+
+
+def compared(rows: DataFrame, least: float) -> DataFrame:
+    """Links (key, center) of rows of `blocks`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            links = list(linking(name[0], held, name[1] != name[2], least))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["key", "center"])
+
+        name, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["band"], row["i"], row["j"]) != name:
+                    if held:
+                        yield done()
+                    name, held = (row["band"], row["i"], row["j"]), []
+                held.append(row)
+        if held:
+            yield done()
+
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "key binary, center binary").distinct()
 
 
 def linked(docs: DataFrame, sig: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """key and label of texts with verified links."""
-    reps = sig.filter(F.col("bands").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = sig.filter(F.col("bands").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     reps = stored(reps)
     open_ = stored(starred(reps.select("key", F.explode("bands").alias("band"))))
-    nodes = open_.select("key").union(open_.select("center")).distinct()
+    nodes = open_.select("key").distinct()
     ids = reps.join(nodes, "key", "left_semi").select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(ids, "doc_id", "left_semi")
     sets = stored(elements(texts).groupBy("key").agg(F.first("elements").alias("elements")))
     # First each text with the center that it shares most bands with; then with others, but for those of its component by then.
-    pairs = open_.groupBy("key", "center").agg(F.count("*").alias("n"))
+    pairs = open_.filter("key <> center").groupBy("key", "center").agg(F.count("*").alias("n"))
     best = stored(pairs.groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("center")))
-    judged = stored(verified(best, sets, least))
-    found = judged.filter("similar").select("key", "center")
+    found = stored(verified(best, sets, least)).filter("similar").select("key", "center")
     labels = components(found, FEW)
     rest = pairs.select("key", "center").join(best, ["key", "center"], "left_anti").join(labels, "key", "left").withColumnRenamed("label", "own")
     rest = rest.join(labels.withColumnRenamed("key", "center"), "center", "left").filter("coalesce(own, key) <> coalesce(label, center)")
-    others = stored(verified(rest.select("key", "center"), sets, least))
-    judged = judged.union(others)
-    found = found.union(others.filter("similar").select("key", "center"))
-    step, labels = 0, components(found, FEW)
-    while True:
-        failed = open_.join(judged.filter("NOT similar"), ["key", "center"], "left_semi").select("band", "key")
-        failed = failed.join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label"))
-        several = failed.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "n")
-        failed = stored(failed.join(several, "band").join(reps.select("key", "bands", "sketch"), "key"))
-        if failed.isEmpty():
-            return components(found)
-        groups = failed.filter(F.col("n") <= SMALL).groupBy("band").agg(F.collect_list(F.struct("key", "label", "sketch")).alias("members")).select("members")
-        more = [F.xxhash64("band", F.element_at("bands", 1 + (step + d) % BANDS)) for d in range(2)]
-        step += 2
-        open_ = stored(starred(failed.filter(F.col("n") > SMALL).select("key", F.explode(F.array(*more)).alias("band"))))
-        judged = stored(verified(stored(sharing(groups).union(open_.select("key", "center")).distinct()), sets, least))
-        new = judged.filter("similar").select("key", "center")
-        if not new.isEmpty():
-            found = found.union(new)
-            labels = components(found, FEW)
+    found = found.union(stored(verified(rest.select("key", "center"), sets, least)).filter("similar").select("key", "center"))
+    labels = components(found)
+    # Then all texts of a bucket that still holds several components, with each other.
+    rows = open_.join(labels, "key", "left").select("band", "key", "center", F.coalesce("label", "key").alias("label"))
+    several = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high AND n > 2").select("band")
+    rows = rows.join(several, "band").join(reps.select("key", "bands"), "key").select("band", "key", "label", "bands")
+    links = stored(compared(blocks(rows, sets), least))
+    return labels if links.isEmpty() else components(found.union(links))
 
 
 def components(pairs: DataFrame, most: int | None = None) -> DataFrame:
