@@ -173,3 +173,20 @@ def test_copies_of_one_text_are_one_class(spark):
     assert dart_minhash.similarity(*[r["elements"] for r in dart_minhash.elements(spark.createDataFrame(rows[1:3], "doc_id long, text string")).collect()]) < 0.8
     found = Counter(map(tuple, dart_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert found == brute_classes(rows) == Counter((i, 0, len(rows)) for i, _ in rows)
+
+
+def test_pairs_in_large_buckets_of_texts_apart(spark):
+    """No text is near most others, and every bucket of many holds pairs that are near."""
+    rng = random.Random(23)
+    rows = []
+    for n in range(600):
+        w = [f"b{i}" for i in range(200)]
+        at = rng.sample(range(20), 7)
+        for k in at[:3]:
+            w[k * 10 + rng.randrange(5)] = f"e{n}x{k}"
+        rows.append((len(rows), " ".join(w)))
+        for k in at[3:]:
+            w[k * 10 + rng.randrange(5)] = f"f{n}x{k}"
+        rows.append((len(rows), " ".join(w)))
+    found = Counter(map(tuple, dart_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert found == brute_classes(rows)

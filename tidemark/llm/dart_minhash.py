@@ -128,7 +128,7 @@ def text_key(text: str) -> bytes:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (128 bits of the text; null for null), bands of every whole text (null without words), and a byte of each coordinate."""
+    """doc_id, key (128 bits of the text; null for null) and bands of every whole text (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,15 +136,13 @@ def signed(docs: DataFrame) -> DataFrame:
             for a, b in slices(text):
                 part = text.slice(a, b - a)
                 value, doc, weight = weighted(*shingles(part))
-                signature = signatures(value, doc, weight, b - a)
-                found = bands(signature).view(np.int64)
-                sketch = pa.array([x.tobytes() for x in (signature & np.uint64(255)).astype(np.uint8)], pa.binary())
+                found = bands(signatures(value, doc, weight, b - a)).view(np.int64)
                 empty = np.bincount(doc, minlength=b - a) == 0
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(found.reshape(-1)), mask=pa.array(empty))
                 keys = pa.array([None if t is None else text_key(t) for t in part.to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, rows, sketch], names=["doc_id", "key", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, rows], names=["doc_id", "key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
 def elements(texts: DataFrame) -> DataFrame:
