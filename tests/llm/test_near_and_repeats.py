@@ -190,3 +190,10 @@ def test_pairs_in_large_buckets_of_texts_apart(spark):
         rows.append((len(rows), " ".join(w)))
     found = Counter(map(tuple, dart_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert found == brute_classes(rows)
+
+
+def test_copies_of_a_text_without_id(spark):
+    rows = [(i or None, t) for i, t in copies_rows(12, 4)]
+    found = Counter(map(tuple, dart_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert found == brute_classes(rows)
+    assert found[(12, 1, 13)] == 1

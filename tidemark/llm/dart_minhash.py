@@ -283,8 +283,9 @@ def linked(docs: DataFrame, sig: DataFrame, least: float = SIMILARITY) -> DataFr
     open_ = stored(starred(reps.select("key", F.explode("bands").alias("band"))))
     nodes = open_.select("key").distinct()
     ids = reps.join(nodes, "key", "left_semi").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(ids, "doc_id", "left_semi")
-    sets = stored(elements(texts).groupBy("key").agg(F.first("elements").alias("elements")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    texts = texts.join(ids, "doc_id", "left_semi").union(texts.filter("doc_id IS NULL"))  # a text can have no row with an id
+    sets = stored(elements(texts).join(nodes, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements")))
     # First each text with the center that it shares most bands with; then with others, but for those of its component by then.
     pairs = open_.filter("key <> center").groupBy("key", "center").agg(F.count("*").alias("n"))
     best = stored(pairs.groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("center")))
