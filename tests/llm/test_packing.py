@@ -68,3 +68,12 @@ def test_neighbours_share_words():
     shard = bm25_packing.Shard(tails, terms, [np.ones(len(t), np.uint16) for t in terms], np.ones(1 << 16, np.float32), 3.0)
     assert shard.scores(0)[2] > 0 and shard.scores(0)[1] == 0
     assert [(s, at) for s, _, at, _, _ in shard.pack(6)] == [(0, 0), (0, 2), (1, 1)]
+
+
+def test_whole_documents_find_neighbours(spark):
+    """Only the whole windows of the first document name what the third is about."""
+    rows = [(0, " ".join(["river"] * 64 + ["seven"] * 10)), (1, " ".join(["metal"] * 20)), (2, " ".join(["river"] * 20))]
+    assert [len(ids_of(t)) for _, t in rows] == [75, 21, 21]
+    found = bm25_packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), window=32).collect()
+    tail = next(p["sequence_id"] for p in found if p["doc_id"] == 0 and p["start"] == 64)
+    assert [(p["doc_id"], p["offset"]) for p in found if p["sequence_id"] == tail] == [(0, 0), (2, 11)]

@@ -2,8 +2,8 @@
 
 Documents become token ids with an end mark. Whole windows of a document are sequences of their own; its
 tail is packed with others. Tails lie in shards of a bounded number of documents, each with an inverted
-index that scores by BM25 over token ids; document frequencies and the mean length are counted over all
-tails of the corpus, in a table bounded by the vocabulary. A seed's most telling tokens fetch its unused
+index that scores by BM25 over the token ids of whole documents, not of tails alone; document frequencies and
+the mean length are counted over all documents, in a table bounded by the vocabulary. A seed's most telling tokens fetch its unused
 neighbours, and the best of them fill its window greedily; the last is cut where the window ends and its
 rest is the next seed. Only the last window of a shard can hold padding.
 
@@ -113,7 +113,7 @@ def crc(ids: np.ndarray) -> int:
 
 
 def encoded(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """doc_id, n (ids), checks (of its whole windows), tail (ids), terms and times (distinct ids of the tail and their counts); all packed as 16 bits."""
+    """doc_id, n (ids), checks (of its whole windows), tail (ids), terms and times (distinct ids of the whole document and their counts); all packed as 16 bits, times as 32."""
     schema = "doc_id long, n long, checks array<long>, tail binary, terms binary, times binary" + (", heads binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +124,10 @@ def encoded(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: boo
                 ids, at = own.texts(text.slice(a, b - a))
                 n = np.diff(at)
                 whole = n // window * window
-                in_tail = np.ones(len(ids), bool)
-                for d in np.flatnonzero(whole):
-                    in_tail[at[d] : at[d] + whole[d]] = False
-                doc = np.repeat(np.arange(b - a, dtype=np.int64), n - whole)
-                key, times = np.unique(doc << 16 | ids[in_tail], return_counts=True)
+                doc = np.repeat(np.arange(b - a, dtype=np.int64), n)
+                key, times = np.unique(doc << 16 | ids, return_counts=True)
                 cut = np.searchsorted(key >> 16, np.arange(b - a + 1))
-                term, times = (key & 0xFFFF).astype(np.uint16), np.minimum(times, 65535).astype(np.uint16)
+                term, times = (key & 0xFFFF).astype(np.uint16), times.astype(np.uint32)
                 columns: list = [[], [], [], [], []]
                 for d in range(b - a):
                     s, m, e = at[d], at[d] + whole[d], at[d + 1]
@@ -147,7 +144,7 @@ def encoded(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: boo
 
 
 def frequencies(tails: DataFrame) -> tuple[np.ndarray, int, float]:
-    """Documents that hold each id, the number of tails and their mean length. At most a number for each id leaves a task."""
+    """Documents that hold each id, the number of documents and their mean length. At most a number for each id leaves a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
@@ -160,19 +157,18 @@ def frequencies(tails: DataFrame) -> tuple[np.ndarray, int, float]:
     rows = tails.select("terms").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # no more rows than the vocabulary has ids
     df = np.zeros(1 << 16, np.int64)
     df[[r["id"] for r in rows]] = [r["n"] for r in rows]
-    size = F.length("tail") / 2
-    n, mean = tails.select(F.count(F.when(size > 0, 1)), F.avg(F.when(size > 0, size))).first()
+    n, mean = tails.select(F.count("*"), F.avg("n")).first()
     return df, n, mean or 1.0
 
 
 class Shard:
-    """Tails of a shard, and their inverted index."""
+    """Tails of a shard, and the inverted index of their documents (of the tails themselves without lengths)."""
 
-    def __init__(self, tails: list[np.ndarray], terms: list[np.ndarray], times: list[np.ndarray], weight: np.ndarray, mean: float) -> None:
+    def __init__(self, tails: list[np.ndarray], terms: list[np.ndarray], times: list[np.ndarray], weight: np.ndarray, mean: float, lengths: list[int] | None = None) -> None:
         self.tails = tails
         doc = np.repeat(np.arange(len(tails)), [len(t) for t in terms])
         term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(times).astype(np.float32)
-        size = np.array([len(t) for t in tails], np.float32)
+        size = np.array([len(t) for t in tails] if lengths is None else lengths, np.float32)
         score = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         self.begin = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
         self.term, self.told = term, score
@@ -181,7 +177,7 @@ class Shard:
         self.post_at = np.searchsorted(term[order], np.arange((1 << 16) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every tail of the shard for the most telling ids of the seed."""
+        """BM25 of every document of the shard for the most telling ids of the seed."""
         a, b = self.begin[seed], self.begin[seed + 1]
         told = self.told[a:b]
         best = np.argpartition(-told, TELLING)[:TELLING] if b - a > TELLING else np.arange(b - a)
@@ -237,9 +233,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
                 ids = np.frombuffer(r["heads"], np.uint16)[i * window : (i + 1) * window] if with_ids else None
                 out.append((r["doc_id"], i * window, window, c, r["n"], first, 0, ids))
                 first += 1
-        tails_, terms, times = ([np.frombuffer(r[k], np.uint16) for r in held] for k in ("tail", "terms", "times"))
+        tails_, terms, times = ([np.frombuffer(r[k], kind) for r in held] for k, kind in (("tail", np.uint16), ("terms", np.uint16), ("times", np.uint32)))
         last = first - 1
-        for sequence, offset, at, start, take in Shard(tails_, terms, times, weight, mean).pack(window):
+        for sequence, offset, at, start, take in Shard(tails_, terms, times, weight, mean, [r["n"] for r in held]).pack(window):
             r, ids = held[at], tails_[at][start : start + take]
             last = first + sequence
             out.append((r["doc_id"], len(r["checks"]) * window + start, take, crc(ids), r["n"], last, offset, ids if with_ids else None))
