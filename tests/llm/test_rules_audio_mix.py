@@ -1,6 +1,7 @@
 """Quality rules, URL rules, audio streams and mixing."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -184,3 +185,13 @@ def test_taken_rows_hold_the_words_taken(spark, odd):
         for r in out.collect():
             got[r["doc_id"]] += len(WORD.findall(r["text"] or ""))
         assert all(abs(got[i] - n) <= 3 for i, n in taken.items())
+
+
+def test_junk_that_passes_the_base_rule_is_rejected(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) + ("." if rng.random() < 0.1 else "")
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(80, 200))), "en", "a") for i in range(300)]
+    rows += [(i, " ".join("#%&=/@!" * 3 + str(rng.randrange(10**9)) for _ in range(100)), "en", "a") for i in range(300, 306)]
+    found = quality_mcd.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in found)
+    assert {r["doc_id"] for r in found if not r["kept"]} == set(range(300, 306))
