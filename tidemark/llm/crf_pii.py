@@ -1,33 +1,38 @@
 """Personal data by base patterns and a linear-chain conditional random field.
 
 Base patterns find emails, IP addresses, card numbers and phone numbers; those that fail their checks are
-dropped. A conditional random field over the shapes of words and their neighbours, trained on the small
-labelled table below, finds more, such as addresses that are spelled out or numbers in other notations; what it
-adds is checked for its kind and never touches a base span. Emissions are looked up by shape for all words of a
-slice at once. A word that lies in no run of words whose evidence could pay for entering and leaving a span is
-outside on every best path, so Viterbi runs, in padded numpy batches, on the pieces between such words; this is
-exact. Texts begin and end outside.
-
-Defined cases: a null text is empty; spans count code points, ends excluded; repeated rows all stay; an empty
-table gives an empty result; other columns are not read by the search and stay in redaction.
+dropped. A conditional random field over words finds more: addresses that are spelled out, numbers in other
+notations, and secrets such as keys and tokens. It sees of each word, and of two words on either side, the
+word itself where the labelled table knows it, its shape, and a coarse class of its characters. It is trained on
+a small labelled table, made from the lines below with other values in each row, so that it learns forms and
+neighbours and no values. What it marks must pass the arithmetic of its kind (four numbers up to 255, a Luhn
+sum, a count of digits) and never touches a base span.
+
+Emissions are looked up for all words of a slice at once. A word that lies in no run of words whose evidence could
+pay for entering and leaving a span is outside on every best path, so Viterbi runs, in padded numpy batches, on the
+pieces between such words; this is exact. Texts begin and end outside.
+
+Defined cases: a null text is empty; spans count code points, ends excluded; a secret is a span of the kind
+`secret`, listed last; repeated rows all stay; an empty table gives an empty result; other columns are not read by
+the search and stay in redaction.
 """
 
 from __future__ import annotations
 
-import hashlib
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import slices, words_of
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 # Fixed base patterns.
 _SOLID_AT = re.compile(r"[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -68,144 +73,331 @@ def base_spans(text: str) -> list[Span]:
 
 _HAS_DIGIT = re.compile("[0-9]")
 
-#: The labelled table: sentences with spans as [kind text]. Wild marks around some words are those of noisy pages.
-TRAINING = """
-write to [email anna.berg at example dot com] before noon
-contact me: [email joe(at)mail(dot)org] thanks
-my address is [email max [at] web [dot] de] as ever
-send it to [email info at shop dot net] or call
-schreib an [email lena at post dot de] bitte
-écrire à [email luc (at) site (dot) fr] merci
-escribe a [email ana at correo dot es] ya
-reach [email kim_lee(at)uni(dot)edu] for details
-mail [email bob77 at host dot com] today
-ask [email sales(at)firm(dot)com] now
-the server [ip 10[.]0[.]0[.]12] was down
-login from [ip 192[.]168[.]1[.]77] failed
-host [ip 172(.)16(.)4(.)9] replied
-ping [ip 8[.]8[.]4[.]4] works
-call [phone (212) 555-0147] after six
-phone: [phone 020 7946 0958] or mail
-tel. [phone 555-010-4477] ask for Jo
-ring [phone 030/1234567] in Berlin
-numéro [phone 01 42 68 53 00] à Paris
-teléfono [phone 912 345 678] en Madrid
-call [phone 00 49 30 1234567] from abroad
-fax [phone (030) 901820-11] office
-dial [phone 555.014.2298] for help
-card [card 4111.1111.1111.1111] expires soon
-pay with [card 5500_0000_0000_0004] please
-visa [card 4012/8888/8888/1881] ok
-number [card 4222 2222 2222 2] on file
+#: The lines of the labelled table. {kind ...} is a span; <name> is a value that each row draws anew; `|` parts choices.
+LINES = """
+write to {email <user> at <host> dot <tld>} before noon
+contact me: {email <user>(at)<host>(dot)<tld>} thanks
+my address is {email <user> [at] <host> [dot] <tld>} as ever
+mail {email <user> at <host> dot <tld>} now
+send it to {email <user> at <host> dot <tld>} or call
+schreib an {email <user> at <host> dot <tld>} bitte
+écrire à {email <user> (at) <host> (dot) <tld>} merci
+escribe a {email <user> at <host> punto <tld>} ya
+reach {email <user>[at]<host>[dot]<tld>} for details
+<noise> {email <user>(at)<host>(dot)<tld>} <noise>
+<noise> {email <user> at <host> dot <tld>} <noise>
+<noise> {email <user> [at] <host> [dot] <tld>} <noise>
+<noise> {email <user> AT <host> DOT <tld>} <noise>
+<noise> {email <user>(at)<host>.<tld>} <noise>
+<noise> {email <user> (at) <host>.<tld>} <noise>
+<noise> {email <user>[at]<host>.<tld>} <noise>
+the server {ip <byte>[.]<byte>[.]<byte>[.]<byte>} was down
+host {ip <byte>(.)<byte>(.)<byte>(.)<byte>} replied
+<noise> {ip <byte>[.]<byte>[.]<byte>[.]<byte>} <noise>
+<noise> {ip <byte>(.)<byte>(.)<byte>(.)<byte>} <noise>
+<noise> {ip <byte>[dot]<byte>[dot]<byte>[dot]<byte>} <noise>
+<noise> {ip <byte> dot <byte> dot <byte> dot <byte>} <noise>
+<noise> {ip <byte>.<byte>.<byte>[.]<byte>} <noise>
+call {phone (<d3>) <d3>-<d4>} after six
+phone: {phone (<d3>) <d3>-<d4>} or mail
+tel. {phone <d3>-<d3>-<d4>} ask for Jo
+ring {phone 030/<d7>} in Berlin
+numéro {phone 01 <d2> <d2> <d2> <d2>} à Paris
+teléfono {phone 9<d2> <d3> <d3>} en Madrid
+call {phone 00 49 30 <d7>} from abroad
+dial {phone <d3>.<d3>.<d4>} for help
+<noise> {phone (<d3>) <d3>-<d4>} <noise>
+<noise> {phone <d3>-<d3>-<d4>} <noise>
+<noise> {phone <d3>.<d3>.<d4>} <noise>
+<noise> tel. {phone 0<d3> <d3> <d4>} <noise>
+<noise> phone: {phone 0<d2>/<d7>} <noise>
+<noise> call {phone <d3> <d3> <d4>} <noise>
+card {card <card4.>} expires soon
+pay with {card <card4_>} please
+visa {card <card4/>} ok
+<noise> {card <card4.>} <noise>
+<noise> {card <card4_>} <noise>
+<noise> card {card <card15 >} <noise>
+<noise> card: {card <card15->} <noise>
+token = {secret "<hex40>"} was leaked
+<noise> token = {secret "<hex40>"} <noise>
+<noise> token = {secret "<hex32>"} <noise>
+<noise> token: {secret <hex40>} <noise>
+<noise> secret = {secret '<hex40>'} <noise>
+<noise> api_key = {secret "<mixed32>"} <noise>
+<noise> api_key: {secret <mixed32>} <noise>
+<noise> apikey = {secret "<mixed24>"} <noise>
+<noise> password = {secret "<mixed12>"} <noise>
+<noise> password: {secret <mixed12>} <noise>
+<noise> Authorization: Bearer {secret <mixed40>} <noise>
+<noise> {secret AKIA<upper16>} <noise>
+<noise> {secret ghp_<mixed36>} <noise>
+<noise> {secret sk_live_<mixed24>} <noise>
+<noise> {secret password=<mixed12>} <noise>
+<noise> {secret token=<hex40>} <noise>
+<noise>
+<noise>
+<noise>
+<noise>
+<noise>
+<noise> at the <plain> <noise>
+<noise> dot <noise>
+<noise> token <noise>
+<noise> password <noise>
+<noise> call <plain> <noise>
+<noise> call <d2> <noise>
+<noise> phone <noise>
+<noise> card <noise>
+<noise> card <d2> of <d2> <noise>
 the cat sat at the door of the house
 look at dot patterns and at the end of it
 he was at home dot and done
-we met at noon in 2019 and again in 2021
-version 2.4.1 came out in May 2020
-it cost 1,250.00 dollars or 1.100 euros
-chapter 12 page 345 line 6
-score 3-2 after 90 minutes
-token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" was leaked
-key a1b2c3d4e5f6 and hash 9f86d081884c
-on 2021-03-04 at 12:30 we left
-room 404 of building 7
-order 20394 has 3 items of 12 kg
-pi is 3.14159 and e is 2.71828
-the years 1990 1991 1992 1993 were good
-only 5%%% of 100*** words### are&&& here$$$
+we met at noon in <year> and again in <year>
+version <d1>.<d1>.<d1> came out in May <year>
+<noise> version <d1>.<d2>.<d1>.<d2>.<d1> <noise>
+it cost <d1>,<d3>.00 dollars or 1.<d3> euros
+chapter <d2> page <d3> line <d1>
+score 3-2 after <d2> minutes
+commit <hex40> by <plain>
+<noise> commit <hex40> <noise>
+<noise> sha256 <hex64> <noise>
+<noise> md5 <hex32> <noise>
+hash of the file is <hex40> as listed
+on <year>-<d2>-<d2> at <d2>:<d2> we left
+from <d2>.<d2>.<year> to <d2>.<d2>.<year>
+room <d3> of building <d1>
+order <d5> has <d1> items of <d2> kg
+order <d10> was sent
+pi is 3.<d5> and e is 2.<d5>
+the years <year> <year> <year> <year> were good
+the years <year>-<year> were good
+only <d1>%%% of <d3>*** words### are&&& here$$$
 numbers 1 2 3 4 5 6 7 8 9 10
-tables | 12 | 34 | 56 | 78
-ratio 16:9 or 4:3 at 1080p
-isbn 978-3-16-148410-0 was listed
+numbers <d3> <d3> <d4> <d2> <d3>
+tables | <d2> | <d2> | <d2> | <d2>
+| <plain> | <plain> | <d3> | <plain> |
+ratio <d2>:<d1> or <d1>:<d1> at 1080p
+isbn 978-<d1>-<d2>-<d6>-<d1> was listed
 call me at the office at nine
+<noise> name = "<plain>" <noise>
+<noise> count = <d2> <noise>
+<noise> id = <d5> <noise>
+<noise> <d16bad> <noise>
+<noise> <d10> <noise>
+<noise> <d3>-<d3> <noise>
+<noise> <d2>/<d2>/<year> <noise>
+<noise> <d1>.<d1> <noise>
+<noise> key <plain> <noise>
+<junk>
+<junk>
+<junk> <noise> <junk>
+<caps>
+<caps> AT <caps>
+<caps> DOT <caps> AT <caps>
+<noise> at <noise>
+<noise> at <noise>
+<noise> | <noise> | <plain> | <noise>
 """
+#: Rows that each line becomes, the seed of their values, and in how many rows a feature must be found.
+COPIES, SEED, KNOWN = 6, 11, 4
 
 LABELS = ("outside", *KINDS)
 N = len(LABELS)
-PLACES = 4096
+REACH, SEEN = 2, 5  # words that are seen on either side, and what is seen of each
+_SYLLABLES = "the and ing er on th re ha ti ou le en es que ment eur sch ung lich keit de la os ción ado que in st hat ern ver be".split()
+_HEX = re.compile("[0-9a-f]{16,}|[0-9A-F]{16,}")
 _RUNS = [(re.compile("[A-ZÀ-Þ]+"), "X"), (re.compile(r"[^\W\d_X]+"), "x"), (re.compile(r"\d{5,}"), "99999")]
-_NAMED = {"at", "dot", "(at)", "(dot)", "[at]", "[dot]", "tel", "tel.", "tel:", "phone", "phone:", "fax", "call", "dial", "ring", "card", "visa", "mail", "isbn", "version", "numéro", "teléfono"}
+_EDGE = "\"'`,;:.!?()[]{}<>|"
 
 
 def shape(word: str) -> str:
-    """Letters as runs of x or X, digits as 9, marks as they are; some words are their own shape."""
-    low = word.lower()
-    if low in _NAMED:
-        return low
-    for name, by in (("(at)", "<at>"), ("(dot)", "<dot>"), ("[at]", "<at>"), ("[dot]", "<dot>"), ("[.]", "<.>"), ("(.)", "<.>")):
-        low = low.replace(name, by)
-    kept = low if "<" in low else word
+    """Letters as runs of x or X, digits as 9 (five for any longer run), a long run of hexadecimal digits as h, marks as they are."""
+    kept = _HEX.sub(lambda m: "\0" if re.search("[0-9]", m.group()) and re.search("[a-fA-F]", m.group()) else m.group(), word)
     kept = re.sub("[0-9]", "9", kept)
-    marks = {"<at>": "", "<dot>": "", "<.>": ""}
-    for name, by in marks.items():
-        kept = kept.replace(name, by)
     for pattern, by in _RUNS:
         kept = pattern.sub(by, kept)
-    return kept[:40]
-
-
-def place(s: str) -> int:
-    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) % (PLACES - 1) + 1  # 0 is the edge of a text
-
-
-def labelled_table() -> list[tuple[list[str], list[int]]]:
-    """Words and labels of TRAINING."""
-    out = []
-    for line in TRAINING.strip().splitlines():
-        words, labels, at = [], [], 0
-        for m in re.finditer(r"\[(email|ip|card|phone) ((?:\[[^\]]*\]|[^\[\]])*)\]", line):
-            for part, label in ((line[at : m.start()], 0), (m.group(2), LABELS.index(m.group(1)))):
-                words += part.split()
-                labels += [label] * len(part.split())
-            at = m.end()
-        words += line[at:].split()
-        labels += [0] * len(line[at:].split())
+    return kept.replace("\0", "h")
+
+
+def outline(word: str) -> str:
+    """The shape with any run as one character, but for `at` and `dot` in brackets, and without marks at its edges."""
+    kept = re.sub(r"([\[(])(at|dot)([\])])", lambda m: m.group(1) + ("\0" if m.group(2) == "at" else "\1") + m.group(3), word.lower())
+    kept = re.sub(r"[^\W\d_]+", "x", re.sub("[0-9]+", "9", kept))
+    kept = re.sub("9*x[x9]*(?:[._+-][x9]+)*", "x", kept)
+    return re.sub(r"(\W)\1+", r"\1", kept).replace("\0", "at").replace("\1", "dot").strip("\"'`,;:!?|")
+
+
+def opening(word: str) -> str:
+    """What leads a name that is set off by a mark, or the capitals that a word begins with."""
+    m = re.match("[\"']*([a-z]+[_=:-]|[A-Z]{4})", word)
+    return m.group(1) if m else ""
+
+
+def sort_of(word: str) -> str:
+    """A coarse class: which characters the inside of a word holds, and how long it is."""
+    core = word.strip(_EDGE)
+    n = len(core)
+    if not n:
+        return "mark " + word[:1]
+    digits = sum("0" <= c <= "9" for c in core)
+    letters = sum(c.isalpha() for c in core)
+    size = next(str(k) for k in (2, 4, 8, 11, 15, 19, 31, 1 << 62) if n <= k)
+    if letters == n:
+        return "letters" + (" capital" if core[:1].isupper() else "") + (" long" if n > 24 else "")
+    if digits == n:
+        return "digits " + size
+    if digits and letters and digits + letters >= 0.8 * n and n >= 10:
+        return ("hex " if _HEX.fullmatch(core) else "mixed ") + size
+    if digits and not letters:
+        return f"numbers {size} " + "".join(sorted({c for c in core if not "0" <= c <= "9"}))[:4]
+    return "other " + ("9" if digits else "") + ("=" if "=" in core else "")
+
+
+def named(word: str) -> tuple[str, ...]:
+    """What is seen of a word: itself without case and edges, its shape, class, outline and opening."""
+    return "w " + word.lower().strip(_EDGE), "s " + shape(word), "c " + sort_of(word), "o " + outline(word), "p " + opening(word)
+
+
+def _value(name: str, rng: random.Random) -> str:
+    """A fresh value of a line's <name>."""
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    plain = lambda: "".join(rng.choice(_SYLLABLES) for _ in range(rng.randrange(1, 4)))
+    if name == "plain":
+        return plain()
+    if name == "noise":
+        marks = lambda w: w.capitalize() if rng.random() < 0.15 else w + rng.choice(",.;:!?") if rng.random() < 0.15 else w + some("#*$%&", 3) if rng.random() < 0.05 else w
+        return " ".join(marks(plain()) for _ in range(rng.randrange(1, 6)))
+    if name == "junk":
+        return " ".join(plain() + rng.choice("#*$%&|<>!") * 3 for _ in range(rng.randrange(2, 9)))
+    if name == "caps":
+        return " ".join(plain().upper() + rng.choice(["", "", "!!", ".", ",!!", ".!!"]) for _ in range(rng.randrange(1, 6)))
+    if name == "user":
+        return rng.choice("anna info sales kim max contact".split()) if rng.random() < 0.2 else plain() + rng.choice(["", "", some(dig, 2), "." + plain(), "_" + plain()])
+    if name == "host":
+        return rng.choice("host mail web site server office phone card".split()) if rng.random() < 0.3 else plain() + rng.choice(["", "", some(dig, 1), "-" + plain()])
+    if name == "tld":
+        return rng.choice("com org net de fr es edu io".split())
+    if name == "byte":
+        return str(rng.randrange(256))
+    if name == "year":
+        return str(rng.randrange(1900, 2030))
+    kind, n = re.fullmatch(r"([a-z]+?)(\d.*)", name).groups()
+    if kind == "d" and n == "16bad":
+        d = some(dig, 16)
+        return d if not luhn(d) else d[:-1] + str((int(d[-1]) + 1) % 10)
+    if kind == "d":
+        return some(dig, int(n))
+    if kind == "card":
+        d = some("3456", 1) + some(dig, 13 if n[:2] == "15" else 14)
+        d += next(c for c in dig if luhn(d + c))
+        parts = [d[:4], d[4:10], d[10:]] if n[:2] == "15" else [d[:4], d[4:8], d[8:12], d[12:]]
+        return n[2 if n[:2] == "15" else 1 :].join(parts)
+    letters = {"hex": dig + "abcdef", "mixed": low + up + dig + dig, "upper": up + dig}[kind]
+    while True:
+        found = some(letters, int(n))
+        if re.search("[0-9]", found) and re.search("[A-Za-z]", found):
+            return found
+
+
+def labelled_table(copies: int = COPIES, seed: int = SEED) -> list[tuple[list[str], list[int]]]:
+    """Words and labels: each of LINES so many times, with values of its own."""
+    rng, out = random.Random(seed), []
+    for line in LINES.strip().splitlines() * copies:
+        words, labels = [], []
+        for m in re.finditer(r"\{(\w+) ([^}]*)\}|[^{]+", line):
+            body = re.sub("<([a-z0-9._/ -]+)>", lambda v: _value(v.group(1), rng), m.group(2) or m.group()).split()
+            words += body
+            labels += [LABELS.index(m.group(1)) if m.group(1) else 0] * len(body)
         out.append((words, labels))
     return out
 
 
 class Model:
-    """Weights of a word's shape, those of its neighbours, and of label pairs."""
+    """Weights of what is seen of a word at each distance from -REACH to REACH, and of label pairs.
+
+    `names` has a number for each word, shape and class that the labelled table holds; what it doesn't hold has no weight.
+    """
 
     def __init__(self) -> None:
-        self.own, self.left, self.right = (np.zeros((PLACES, N)) for _ in range(3))
+        self.names: dict[str, int] = {"": 0, "edge": 1}
+        self.weight = np.zeros((2 * REACH + 1, 2, N))
         self.pair = np.zeros((N, N))
         self.bias = np.zeros(N)
 
-    def emissions(self, places: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        return self.own[places] + self.left[before] + self.right[after] + self.bias
+    def seen(self, word: str) -> tuple[int, ...]:
+        """Numbers of what `named` tells of a word; 0 for what is unknown."""
+        return tuple(self.names.get(name, 0) for name in named(word))
+
+    def emissions(self, words: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Evidence for each label at each position. words: what is seen of distinct words; code: the word at each position; first: where texts begin."""
+        seen = np.vstack([words.reshape(-1, SEEN), [[1] + [0] * (SEEN - 1)]])  # the last stands beyond the ends of a text
+        doc = np.searchsorted(first, np.arange(len(code)), "right")
+        out = np.tile(self.bias.astype(np.float32), (len(code), 1))
+        for k in range(2 * REACH + 1):
+            each = self.weight[k][seen].sum(1).astype(np.float32)
+            step = k - REACH
+            at = np.full(len(code), len(seen) - 1)
+            if step <= 0:
+                at[-step:] = np.where(doc[-step:] == doc[: len(doc) + step], code[: len(code) + step], len(seen) - 1)
+            else:
+                at[:-step] = np.where(doc[:-step] == doc[step:], code[step:], len(seen) - 1)
+            out += each[at]
+        return out
 
-    def train(self, table: list[tuple[list[str], list[int]]], rounds: int = 120, rate: float = 0.3, ridge: float = 0.02) -> Model:
-        """Gradient ascent (AdaGrad) on the conditional likelihood, by forward and backward sums."""
-        data = []
-        for words, labels in table:
-            p = np.array([place(shape(w)) for w in words])
-            data.append((p, np.append(0, p[:-1]), np.append(p[1:], 0), np.array(labels)))
-        squares = [np.full(w.shape, 1e-6) for w in (self.own, self.left, self.right, self.pair, self.bias)]
+    def train(self, table: list[tuple[list[str], list[int]]], rounds: int = 120, rate: float = 1.0, ridge: float = 0.3) -> Model:
+        """Gradient ascent (AdaGrad) on the conditional likelihood, by forward and backward sums over all rows at once.
+
+        What fewer than KNOWN rows hold is no feature: it would be learned by heart.
+        """
+        rows: dict[str, int] = {}
+        for words, _ in table:
+            for name in {name for w in words for name in named(w)}:
+                rows[name] = rows.get(name, 0) + 1
+        self.names = {"": 0, "edge": 1}
+        for name, n in rows.items():
+            if n >= KNOWN:
+                self.names[name] = len(self.names)
+        b, t = len(table), max(len(words) for words, _ in table)
+        size = np.array([len(words) for words, _ in table])
+        seen = np.zeros((b, t + 2 * REACH, SEEN), np.int64)
+        seen[:, :, 0] = 1
+        y = np.zeros((b, t), np.int64)
+        for i, (words, labels) in enumerate(table):
+            seen[i, REACH : REACH + len(words)] = [self.seen(w) for w in words]
+            y[i, : len(words)] = labels
+        live = np.arange(t) < size[:, None]
+        self.weight = np.zeros((2 * REACH + 1, len(self.names), N))
+        weights = [self.weight, self.pair, self.bias]
+        squares = [np.full(w.shape, 1e-6) for w in weights]
+        row = np.arange(b)
+        true_pairs = np.zeros((N, N))
+        np.add.at(true_pairs, (np.where(np.arange(t) > 0, np.roll(y, 1, 1), 0)[live], y[live]), 1)
+        np.add.at(true_pairs, (y[row, size - 1], 0), 1)
+        cells = [seen[:, k : k + t][live].reshape(-1) for k in range(2 * REACH + 1)]
         for _ in range(rounds):
-            grads = [np.zeros_like(s) for s in squares]
-            for p, before, after, y in data:
-                e = self.emissions(p, before, after)
-                t = len(y)
-                alpha, beta = np.zeros((t, N)), np.zeros((t, N))
-                alpha[0] = e[0] + self.pair[0]
-                for i in range(1, t):
-                    alpha[i] = e[i] + np.logaddexp.reduce(alpha[i - 1][:, None] + self.pair, axis=0)
-                beta[-1] = self.pair[:, 0]
-                for i in range(t - 2, -1, -1):
-                    beta[i] = np.logaddexp.reduce(self.pair + e[i + 1] + beta[i + 1], axis=1)
-                z = np.logaddexp.reduce(alpha[-1] + beta[-1])
-                d = -np.exp(alpha + beta - z)
-                d[np.arange(t), y] += 1
-                for g, at in zip(grads[:3], (p, before, after), strict=True):
-                    np.add.at(g, at, d)
-                grads[4] += d.sum(0)
-                grads[3][0] += d[0]
-                grads[3][:, 0] += d[-1]
-                for i in range(1, t):
-                    grads[3] -= np.exp(alpha[i - 1][:, None] + self.pair + e[i] + beta[i] - z)
-                    grads[3][y[i - 1], y[i]] += 1
-            for w, g, s in zip((self.own, self.left, self.right, self.pair, self.bias), grads, squares, strict=True):
+            e = self.bias + sum(self.weight[k][seen[:, k : k + t]].sum(2) for k in range(2 * REACH + 1))
+            alpha, beta = np.zeros((b, t, N)), np.zeros((b, t, N))
+            alpha[:, 0] = e[:, 0] + self.pair[0]
+            for i in range(1, t):
+                alpha[:, i] = e[:, i] + _sum(alpha[:, i - 1, :, None] + self.pair, 1)
+            beta[row, size - 1] = self.pair[:, 0]
+            for i in range(t - 2, -1, -1):
+                inside = live[:, i + 1]
+                beta[inside, i] = _sum(self.pair + (e[inside, i + 1] + beta[inside, i + 1])[:, None, :], 2)
+            z = _sum(alpha[row, size - 1] + beta[row, size - 1], 1)
+            d = -np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * live[:, :, None]
+            of_pairs = true_pairs.copy()
+            of_pairs[0] += d[:, 0].sum(0)
+            of_pairs[:, 0] += d[row, size - 1].sum(0)
+            for i in range(1, t):
+                inside = live[:, i]
+                of_pairs -= np.exp(alpha[inside, i - 1, :, None] + self.pair + (e[inside, i] + beta[inside, i] - z[inside, None])[:, None, :]).sum(0)
+            np.add.at(d, (row[:, None], np.arange(t), y), live)
+            flat = d[live]
+            of_words = np.stack([np.stack([np.bincount(at, np.repeat(flat[:, n], SEEN), len(self.names)) for n in range(N)], 1) for at in cells])
+            of_words[:, 0] = 0
+            for w, g, s in zip(weights, (of_words, of_pairs, d.sum((0, 1))), squares, strict=True):
                 g -= ridge * w
                 s += g * g
                 w += rate * g / np.sqrt(s)
@@ -221,7 +413,7 @@ class Model:
         edges = pair[0, 1:].max() + pair[1:, 0].max() - 2 * out_ - stay
         # Running sums of the evidence against outside; texts are set apart, so that no run spans two.
         apart = 1e6 * (np.searchsorted(first, np.arange(len(e)), "right"))
-        total = np.concatenate([[0.0], np.cumsum(e[:, 1:].max(1) - e[:, 0] + stay)])
+        total = np.concatenate([[0.0], np.cumsum(e[:, 1:].max(1) - e[:, 0] + stay, dtype=float)])
         low = np.minimum.accumulate(total[:-1] - apart)
         high = np.maximum.accumulate((total[1:] - apart)[::-1])[::-1]
         loose = high - low + edges >= -1e-6
@@ -234,16 +426,20 @@ class Model:
         begin = at[new]
         size = np.diff(np.append(np.flatnonzero(new), len(at)))
         order = np.argsort(size, kind="stable")
-        for a in range(0, len(order), 2048):
-            part = order[a : a + 2048]
+        # Batches of about as many cells, so that one long piece doesn't widen thousands of short ones.
+        a = 0
+        while a < len(order):
+            n = 1 + int(np.searchsorted(size[order[a:]] * np.arange(1, len(order) - a + 1), 1 << 18))
+            part = order[a : a + n]
             self._viterbi(e, begin[part], size[part], out)
+            a += n
         return out
 
     def _viterbi(self, e: np.ndarray, begin: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
         """Pieces padded to one length; beyond each end it is outside."""
         t = int(size.max())
         at = begin[:, None] + np.minimum(np.arange(t), size[:, None] - 1)
-        back = np.zeros((t, len(begin), N), np.int8)
+        back = np.zeros((t, len(begin), e.shape[1]), np.int8)
         score = e[at[:, 0]] + self.pair[0]
         finals = score.copy()
         for i in range(1, t):
@@ -261,55 +457,68 @@ class Model:
             label = np.where(live & (i > 0), back[i, rows, label], label)
 
 
+def _sum(x: np.ndarray, axis: int) -> np.ndarray:
+    """The logarithm of the sum of exponentials."""
+    top = x.max(axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+
+
 @lru_cache(1)
 def trained() -> Model:
     return Model().train(labelled_table())
 
 
-def plausible(kind: str, text: str) -> bool:
-    """Whether what the field marks can be of its kind."""
-    n = len(_digits(text))
-    low = text.lower()
+def sound(kind: str, text: str) -> bool:
+    """The arithmetic of a kind; which words are meant the field decides."""
+    digits = _digits(text)
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.+-]+\s*(\(at\)|\[at\]|\sat\s)\s*[\w-]+(\s*(\(dot\)|\[dot\]|\sdot\s)\s*[\w-]+)*\s*(\(dot\)|\[dot\]|\sdot\s)\s*[a-z]{2,}", low))
+        return len(text.split()) <= 8 and bool(re.fullmatch(r"\S.*?\Wat\W.*(\.|\W(dot|punto)\W)\s*\w+", text.lower()))
     if kind == "ip":
-        return bool(re.fullmatch(r"\d{1,3}(\s*(\[\.\]|\(\.\)|\[dot\]|\(dot\))\s*\d{1,3}){3}", low))
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(int(p[:9]) <= 255 for p in parts)
     if kind == "card":
-        return 13 <= n <= 19 and n >= 0.75 * len(re.sub(r"\s", "", text)) and luhn(_digits(text))
-    return 8 <= n <= 15 and n >= 0.55 * len(re.sub(r"\s", "", text)) and not re.search("[^0-9 ()+./-]", text) and bool(re.search(r"[ ()./-]", text.strip("+")))
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 7 <= len(digits) <= 15
+    return len(text) >= 8 and bool(digits) and any(c.isalpha() for c in text)
 
 
-def trim(text: str, a: int, b: int) -> tuple[int, int]:
-    """Without marks that open before or close after."""
-    while b > a and text[b - 1] in ".,;:!?#$%&*\"'|":
+def trim(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """Without marks that open before or close after, and of a secret without the name that it is given to."""
+    if kind == "secret":
+        a = max(a, text.rfind("=", a, b) + 1 if not text[a:b].rstrip("\"'.,;").endswith("=") else a)
+    while b > a and text[b - 1] in ".,;:!?#$%&*\"'|`":
         b -= 1
-    while a < b and text[a] in "#$%&*\"'|,;:":
+    while a < b and text[a] in "#$%&*\"'|,;:`":
         a += 1
     return a, b
 
 
+_KEEP = 100_000  # words that a worker remembers, a few dozen bytes each
+
+
 class Finder:
-    """Spans of texts; remembers the places of words."""
+    """Spans of texts; remembers what is seen of words."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
+        self.plain = model.seen("zyx"), model.seen("Zyx")  # words of letters that the table doesn't hold
 
     def labels(self, words) -> np.ndarray:
         coded = words.strings().dictionary_encode()
-        places = []
+        seen, known, names, (plain, capital) = [], self.known, self.model.names, self.plain
         for w in coded.dictionary.to_pylist():
-            p = self.known.get(w)
-            if p is None:
-                p = place("x" if w.isalpha() and w.islower() and w not in _NAMED else shape(w))
-                if len(self.known) < 400_000:
-                    self.known[w] = p
-            places.append(p)
-        own = np.array(places, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if places else np.zeros(0, np.int64)
-        before, after = np.zeros_like(own), np.zeros_like(own)
-        same = words.doc[1:] == words.doc[:-1]
-        before[1:] = np.where(same, own[:-1], 0)
-        after[:-1] = np.where(same, own[1:], 0)
-        return self.model.best(self.model.emissions(own, before, after), words.first)
+            s = known.get(w)
+            if s is None:
+                if w.isalpha() and len(w) <= 24 and w.isascii() and "w " + w.lower() not in names and (w.islower() or w[1:].islower()):
+                    s = plain if w.islower() else capital
+                else:
+                    s = self.model.seen(w)
+                    if len(known) < _KEEP:
+                        known[w] = s
+            seen.append(s)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        return self.model.best(self.model.emissions(np.array(seen, np.int64), code, words.first[:-1]), words.first)
 
     def spans(self, column: pa.Array) -> list[tuple[list[Span], list[Span]]]:
         """Base spans and all spans of each text."""
@@ -328,9 +537,9 @@ class Finder:
                 a = int(((head & 0xC0) != 0x80).sum())
                 body = words.data[words.start[k[0]] : words.end[k[-1]]]
                 b = a + int(((body & 0xC0) != 0x80).sum())
-                a, b = trim(texts[d], a, b)
                 kind = LABELS[label[k[0]]]
-                if b > a and plausible(kind, texts[d][a:b]) and not any(a < e and s < b for _, s, e in found[d]):
+                a, b = trim(kind, texts[d], a, b)
+                if b > a and sound(kind, texts[d][a:b]) and not any(a < e and s < b for _, s, e in found[d]):
                     more.setdefault(d, []).append((kind, a, b))
         order = lambda s: (KINDS.index(s[0]), s[1], s[2])
         return [(f, sorted(f + more.get(d, []), key=order)) for d, f in enumerate(found)]

@@ -61,8 +61,9 @@ def op10_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = crf_pii.find(table(spark, sf_dir, "documents"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    counts = [of_kind(k).alias(f"n_{k}") for k in crf_pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    counts = [of_kind(k).alias(f"n_{k}") for k in crf_pii.BASE_KINDS]
+    secrets = F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long")
+    return found.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"), secrets.alias("n_secret"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_url_rules, op3_mpeg_audio, op4_toxicity_fst, op5_bm25_packing, op6_dart_minhash, op7_window_index, op8_lsa_knn, op9_source_mix, op10_crf_pii)}
