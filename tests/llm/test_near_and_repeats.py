@@ -85,7 +85,17 @@ def test_classes_of_odd_rows(spark, odd, nothing):
     assert found == brute_classes([(r["doc_id"], r["text"]) for r in odd.collect()])
     assert dart_minhash.classes(nothing).count() == 0
     kept = dart_minhash.deduplicated(odd)
-    assert kept.columns == odd.columns and kept.filter("doc_id = 4").count() == 1 and kept.filter("doc_id IS NULL").count() == 1
+    assert kept.columns == odd.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter({(r["doc_id"], r["text"]) for r in odd.collect()} - {(9, "")})
+    assert dart_minhash.deduplicated(nothing).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    rows = [(3, "x y", "a"), (3, "totally different words that nobody else has", "b"), (3, "x y", "c"), (None, "x y", "d"), (None, None, "e"), (5, None, "f"), (5, None, "g"), (None, "only here", "h"), (None, "only here", "i"), (7, "only here", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = dart_minhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(3, "x y"), (3, "totally different words that nobody else has"), (None, None), (5, None), (5, None), (7, "only here")])
+    assert Counter(map(tuple, kept.collect())) == Counter(map(tuple, dart_minhash.deduplicated(docs.repartition(3, "key")).collect()))
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -170,7 +180,7 @@ def copies_rows(copies, edited, length=200):
 
 def test_copies_of_one_text_are_one_class(spark):
     rows = copies_rows(600, 4)
-    assert dart_minhash.similarity(*[r["elements"] for r in dart_minhash.elements(spark.createDataFrame(rows[1:3], "doc_id long, text string")).collect()]) < 0.8
+    assert dart_minhash.similarity(*[r["elements"] for r in dart_minhash.elements(dart_minhash.keyed(spark.createDataFrame(rows[1:3], "doc_id long, text string"))).collect()]) < 0.8
     found = Counter(map(tuple, dart_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert found == brute_classes(rows) == Counter((i, 0, len(rows)) for i, _ in rows)
 

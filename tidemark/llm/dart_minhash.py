@@ -11,9 +11,12 @@ Classes are connected components of verified links. Where a bucket still holds s
 are compared with each other on the whole sets, block by block, but for those of one component: every two texts
 that share a band are compared or in one class by then.
 
+A text is known by the MD5 of its bytes, 128 bits that Spark computes, never by its doc_id.
+
 Defined cases: equal texts are one class whatever they hold and are never compared; a null text is a class
-of its own; a text without words has no shingle and equals only equal texts; a class is named by its least
-doc_id; repeated rows all stay, in one class; an empty table gives an empty result; other columns are not read.
+of its own and meets no join; a text without words has no shingle and equals only equal texts; rows that share a
+doc_id and differ in text are judged each by its own text; a class is named by its least doc_id; repeated rows all
+stay, in one class; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import cut, stored
+from tidemark.llm.scratch import free, stored
 from tidemark.llm.words import Ranges, mix, slices, window_starts, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 6
 K = BANDS * ROWS
+SLICE = 2 << 20  # bytes of texts that a worker looks at together, or one text
+_NONE = np.zeros(0, np.uint64)
 _A, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7))
 
 
@@ -123,54 +127,56 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def text_key(text: str) -> bytes:
-    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+def text_key(text: Column) -> Column:
+    """128 bits of a text; null for null."""
+    return F.unhex(F.md5(text.cast("string").cast("binary")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (128 bits of the text; null for null) and bands of every whole text (null without words)."""
+    """doc_id, key (null for a null text) and bands of every whole text (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(1)
-            for a, b in slices(text):
-                part = text.slice(a, b - a)
-                value, doc, weight = weighted(*shingles(part))
+            text = batch.column(2)
+            for a, b in slices(text, SLICE):
+                value, doc, weight = weighted(*shingles(text.slice(a, b - a)))
                 found = bands(signatures(value, doc, weight, b - a)).view(np.int64)
                 empty = np.bincount(doc, minlength=b - a) == 0
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(found.reshape(-1)), mask=pa.array(empty))
-                keys = pa.array([None if t is None else text_key(t) for t in part.to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), keys, rows], names=["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), rows], names=["doc_id", "key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
 def elements(texts: DataFrame) -> DataFrame:
-    """key and the shingles of each text of a column text, a shingle's nth occurrence as an element of its own."""
+    """key and the shingles of each row (key, text), a shingle's nth occurrence as an element of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(0)
-            for a, b in slices(text):
-                part = text.slice(a, b - a)
-                value, doc = shingles(part)
+            text = batch.column(1)
+            for a, b in slices(text, SLICE):
+                value, doc = shingles(text.slice(a, b - a))
                 if len(value):
                     new = np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))
                     at = np.flatnonzero(new)
                     nth = np.arange(len(value)) - np.repeat(at, np.diff(np.append(at, len(value))))
                     value = mix(value + nth.astype(np.uint64) * _D)
-                    order = np.lexsort((value, doc))
-                    value = value[order]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))])
-                sets = [value[ends[i] : ends[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in part.to_pylist()], pa.binary()), pa.array(sets, pa.binary())], names=["key", "elements"])
+                    value = value[np.lexsort((value, doc))]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))]) * 8
+                sets = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(value)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], names=["key", "elements"])
 
-    return texts.select("text").mapInArrow(run, "key binary, elements binary")
+    return texts.select("key", "text").mapInArrow(run, "key binary, elements binary")
 
 
-def similarity(a: bytes, b: bytes) -> float:
+def similarity(a: bytes | pa.Buffer, b: bytes | pa.Buffer) -> float:
     """Weighted Jaccard similarity of two packed sets."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = np.frombuffer(a, np.uint64) if len(a) else _NONE, np.frombuffer(b, np.uint64) if len(b) else _NONE
     both = np.concatenate([x, y])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
@@ -182,7 +188,8 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits = [similarity(a, b) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            one, other = batch.column(2), batch.column(3)  # read where they lie: sets are never copied
+            fits = [similarity(one[i].as_buffer(), other[i].as_buffer()) >= least for i in range(len(one))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fits, pa.bool_())], names=["key", "center", "similar"])
 
     both = pairs.join(sets, "key").join(sets.select(F.col("key").alias("center"), F.col("elements").alias("other")), "center")
@@ -207,9 +214,8 @@ FEW = 2
 BLOCK, BYTES = 512, 2 << 20
 
 
-def blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (band, key, label, bands) of buckets, once for each other block of the bucket, with i and j, the two blocks, and side, the row's own."""
-    both = stored(rows.join(sets, "key"))
+def blocks(both: DataFrame) -> DataFrame:
+    """Rows (band, key, label, bands, elements) of buckets, once for each block of the bucket, with i and j, the two blocks, and side, the row's own."""
     size = both.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("elements")) / BYTES)).cast("int").alias("n"))
     side = F.pmod(F.xxhash64("key"), F.greatest("n", F.lit(1))).cast("int")
     dealt = both.join(size, "band").withColumn("side", side).withColumn("other", F.explode(F.expr("sequence(0, greatest(n, 1) - 1)")))
@@ -264,7 +270,7 @@ def compared(rows: DataFrame, least: float) -> DataFrame:
 
         name, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (row for a in range(0, len(batch), 128) for row in batch.slice(a, 128).to_pylist()):
                 if (row["band"], row["i"], row["j"]) != name:
                     if held:
                         yield done()
@@ -276,31 +282,45 @@ def compared(rows: DataFrame, least: float) -> DataFrame:
     return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "key binary, center binary").distinct()
 
 
-def linked(docs: DataFrame, sig: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """key and label of texts with verified links."""
-    reps = sig.filter(F.col("bands").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    reps = stored(reps)
+def only(rows: DataFrame, id_: Column, chosen: DataFrame) -> DataFrame:
+    """rows whose (key, id) is a row (key, least_id) of chosen. Copies of a text are dealt by their ids, so that they never meet in one task."""
+    named_ = lambda c: [c.isNull().alias("no_id_"), F.coalesce(c, F.lit(0)).alias("id_")]
+    of = named_(id_)
+    return rows.withColumns({"no_id_": of[0], "id_": of[1]}).join(chosen.select("key", *named_(F.col("least_id"))), ["key", "no_id_", "id_"], "left_semi").drop("no_id_", "id_")
+
+
+def linked(docs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """key and label of texts with verified links. texts: key, bands and least_id, a row for each text."""
+    reps = texts.filter(F.col("bands").isNotNull()).select("key", "bands")
     open_ = stored(starred(reps.select("key", F.explode("bands").alias("band"))))
-    nodes = open_.select("key").distinct()
-    ids = reps.join(nodes, "key", "left_semi").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    texts = texts.join(ids, "doc_id", "left_semi").union(texts.filter("doc_id IS NULL"))  # a text can have no row with an id
-    sets = stored(elements(texts).join(nodes, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements")))
+    nodes = texts.select("key", "least_id").join(open_.select("key").distinct(), "key", "left_semi")
+    # The shingle sets of texts that share a bucket with another, from one row of each text (rows can repeat).
+    one = only(keyed(docs).filter("key IS NOT NULL"), F.col("doc_id"), nodes)
+    sets = stored(elements(one).groupBy("key").agg(F.first("elements").alias("elements")))
     # First each text with the center that it shares most bands with; then with others, but for those of its component by then.
     pairs = open_.filter("key <> center").groupBy("key", "center").agg(F.count("*").alias("n"))
     best = stored(pairs.groupBy("key").agg(F.max_by("center", F.struct("n", "center")).alias("center")))
-    found = stored(verified(best, sets, least)).filter("similar").select("key", "center")
-    labels = components(found, FEW)
+    first = stored(verified(best, sets, least).filter("similar").select("key", "center"))
+    labels = components(first, FEW)
     rest = pairs.select("key", "center").join(best, ["key", "center"], "left_anti").join(labels, "key", "left").withColumnRenamed("label", "own")
     rest = rest.join(labels.withColumnRenamed("key", "center"), "center", "left").filter("coalesce(own, key) <> coalesce(label, center)")
-    found = found.union(stored(verified(rest.select("key", "center"), sets, least)).filter("similar").select("key", "center"))
+    found = stored(first.union(verified(rest.select("key", "center"), sets, least).filter("similar").select("key", "center")))
+    free(best, first, labels)
     labels = components(found)
     # Then all texts of a bucket that still holds several components, with each other.
     rows = open_.join(labels, "key", "left").select("band", "key", "center", F.coalesce("label", "key").alias("label"))
     several = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high AND n > 2").select("band")
-    rows = rows.join(several, "band").join(reps.select("key", "bands"), "key").select("band", "key", "label", "bands")
-    links = stored(compared(blocks(rows, sets), least))
-    return labels if links.isEmpty() else components(found.union(links))
+    rows = stored(rows.join(several, "band").join(reps, "key").select("band", "key", "label", "bands"))
+    free(open_)
+    dealt = stored(rows.join(sets, "key"))
+    free(sets, rows)
+    links = stored(compared(blocks(dealt), least))
+    free(dealt)
+    if links.isEmpty():
+        return labels
+    both = stored(found.union(links))
+    free(labels, found, links)
+    return components(both)
 
 
 def components(pairs: DataFrame, most: int | None = None) -> DataFrame:
@@ -316,24 +336,49 @@ def components(pairs: DataFrame, most: int | None = None) -> DataFrame:
         stepped = labels.join(near, "key").select("key", F.least("label", "near").alias("next"), F.col("label").alias("old"))
         jump = labels.select(F.col("key").alias("next"), F.col("label").alias("far"))
         after = stored(stepped.join(jump, "next", "left").select("key", F.least("next", F.coalesce("far", "next")).alias("label"), "old"))
-        labels = after.select("key", "label")
+        free(labels)
+        labels = after
         if step == most or after.filter("label <> old").isEmpty():
+            free(both)
+            labels = after.drop("old")
+            labels.stored_at = after.stored_at
             return labels
 
 
+def named(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """doc_id and key of every row; and of each text key, class_id and class_rows, with first_id and first_key of the row that stands for its class.
+
+    Both are stored. Copies are counted by text before anything else, so that a text of many rows is one row in all that follows.
+    """
+    sig = stored(signed(docs))
+    texts = stored(sig.filter("key IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+    labels = linked(docs, texts, least)
+    rows = texts.select("key", "least_id", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    # Of texts alone in their class nothing is looked up; a large class is one row on the other side of its join.
+    first = F.min(F.struct(F.col("least_id").isNull().alias("without"), F.col("least_id").alias("id"), F.col("key").alias("key")))
+    classes_ = rows.groupBy("label").agg(first.alias("first"), F.sum("n").alias("class_rows"))
+    out = rows.join(classes_, "label").select("key", F.col("first.id").alias("class_id"), "class_rows", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"))
+    out = stored(out)
+    free(labels, texts)
+    return sig.select("doc_id", "key"), out
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and class_rows of every row."""
-    sig = stored(signed(docs))
-    labels = linked(docs, sig, least)
-    rows = sig.select("doc_id", "key").join(labels, "key", "left").select("doc_id", F.coalesce("label", "key").alias("label"))
-    named = rows.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
-    out = rows.join(named, "label", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_rows", F.lit(1).cast("long")).alias("class_rows"))
+    rows, texts = named(docs, least)
+    out = rows.filter("key IS NOT NULL").join(texts, "key").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "class_rows")
+    return out.union(rows.filter("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long")))
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id, one of equal rows. Rows without an id stay."""
-    found = classes(docs.select("doc_id", "text"), least)
-    keep = found.filter((F.col("doc_id") == F.col("class_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(keep.filter("kept_id IS NOT NULL"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """docs with one row of each class: that of its least doc_id, of several such the least text key, of equal ones the least by a hash of its columns.
+
+    Every other row goes, with or without an id; a row without a text is a class of its own and stays.
+    """
+    _, texts = named(docs, least)
+    first = texts.filter(F.col("key") == F.col("first_key")).select("key", F.col("first_id").alias("least_id"))
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    rows = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*plain).alias("rank"), row.alias("row"))
+    kept = only(rows.filter("key IS NOT NULL"), F.col("doc_id"), first).groupBy("key", "doc_id").agg(F.min_by("row", "rank").alias("row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.filter(F.col("text").isNull()))
