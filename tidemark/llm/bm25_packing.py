@@ -30,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import stored
-from tidemark.llm.words import slices
+from tidemark.llm.words import REMEMBERED, slices
 
 WINDOW, END = 2048, 1
 #: Documents of a shard, telling tokens of a seed, and the two parameters of BM25.
 SHARD, TELLING, K1, B = 2048, 24, 1.2, 0.75
-_KEEP = 700_000  # units that a worker remembers
 
 
 def default_tokenizer() -> str:
@@ -67,7 +66,7 @@ class Encoder:
         if ids is None:
             s = u if u.isascii() else u.encode().decode("latin-1").translate(self.letters)
             ids = np.array([t.id for t in self.model.tokenize(s)], np.uint16).tobytes()
-            if len(self.units) < _KEEP:
+            if len(self.units) < 2 * REMEMBERED:
                 self.units[u] = ids
         return ids
 
@@ -120,7 +119,7 @@ def encoded(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: boo
         own = encoder(tokenizer)
         for batch in batches:
             text = batch.column(1)
-            for a, b in slices(text, 6 << 20):
+            for a, b in slices(text, 2 << 20):
                 ids, at = own.texts(text.slice(a, b - a))
                 n = np.diff(at)
                 whole = n // window * window

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import slices, words_of
+from tidemark.llm.words import REMEMBERED, slices, words_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -494,9 +494,6 @@ def trim(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-_KEEP = 100_000  # words that a worker remembers, a few dozen bytes each
-
-
 class Finder:
     """Spans of texts; remembers what is seen of words."""
 
@@ -514,7 +511,7 @@ class Finder:
                     s = plain if w.islower() else capital
                 else:
                     s = self.model.seen(w)
-                    if len(known) < _KEEP:
+                    if len(known) < REMEMBERED:
                         known[w] = s
             seen.append(s)
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)

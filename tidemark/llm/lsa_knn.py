@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import fold, sample
-from tidemark.llm.words import Words, slices, words_of
+from tidemark.llm.words import REMEMBERED, Words, slices, words_of
 
 PLACES, LATENT, MOST, NEAREST, SHARPNESS = 4096, 48, 5000, 15, 8.0
 _RUNS = [(re.compile("[^\\W\\d_a-zß-ÿ]"), "X"), (re.compile(r"[^\W\d_X]"), "x"), (re.compile(r"\d"), "9"), (re.compile(r"(.)\1+"), r"\1\1")]
@@ -64,7 +64,7 @@ class Bags:
             p = self.known.get(w)
             if p is None:
                 p = word_places(w)
-                if len(self.known) < 400_000:
+                if len(self.known) < REMEMBERED:
                     self.known[w] = p
             places.append(p)
         code = coded.indices.to_numpy(zero_copy_only=False)
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = Bags()
         for batch in batches:
-            for a, b in slices(batch.column(1), 2 << 20):
+            for a, b in slices(batch.column(1)):
                 for c in range(a, b, 1000):
                     d = min(b, c + 1000)
                     found = shared.value.scores(bags.count(words_of(batch.column(1).slice(c, d - c))))

@@ -22,13 +22,12 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import fold, sample
-from tidemark.llm.words import Words, slices, words_of
+from tidemark.llm.words import REMEMBERED, Words, slices, words_of
 
 PASS, INSULT, THREAT, TARGET, NEGATION, REPORT, GAP = range(7)
 #: Seeds of the lexicon by class, in four languages.
@@ -107,7 +106,7 @@ class Lexicon:
             found = self.known.get(w)
             if found is None:
                 found = self.look_up(w)
-                if len(self.known) < 400_000:
+                if len(self.known) < REMEMBERED:
                     self.known[w] = found
             kinds.append(found[0])
             weights.append(found[1])
@@ -220,7 +219,7 @@ def fit(train: DataFrame) -> Model:
                 y = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(float)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), pa.array(y)], names=[*FEATURES, "y"])
 
-    rows: pd.DataFrame = train.mapInArrow(run, schema).toPandas()  # as many rows as the bounded sample has
+    rows = train.mapInArrow(run, schema).toPandas()  # as many rows as the bounded sample has
     rows = rows.sort_values([*FEATURES, "y"])
     if rows["y"].nunique() < 2:
         return Model(entries, FIXED_FIT)

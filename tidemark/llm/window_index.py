@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import stored
-from tidemark.llm.words import Ranges, Words, covered, mix, slices, window_starts, words_of
+from tidemark.llm.words import SLICE_BYTES, Ranges, Words, covered, mix, slices, window_starts, words_of
 
 WINDOW, GRAM = 35, 8
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -162,12 +162,12 @@ def packed(rows: DataFrame) -> DataFrame:
 
 
 def _unpacked(z: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
-    """Row ranges of a few megabytes and their texts."""
+    """Row ranges of about a megabyte and their texts."""
     unsqueeze, start, size, texts = zstandard.ZstdDecompressor(), 0, 0, []
     for i, x in enumerate(z.to_pylist()):
         texts.append(unsqueeze.decompress(x))
         size += len(texts[-1])
-        if size > 3 << 20 or i + 1 == len(z):
+        if size > SLICE_BYTES or i + 1 == len(z):
             yield start, i + 1, pa.array(texts, pa.binary()).cast(pa.string())
             start, size, texts = i + 1, 0, []
 

@@ -1,7 +1,7 @@
 """Words of whole texts as numpy arrays.
 
 A word is a maximal run without the characters x20 and x09 to x0D. All functions work on
-slices of Arrow batches of a few megabytes, so memory is bounded by the slice or the longest text.
+slices of Arrow batches of about a megabyte, so memory is bounded by the slice or the longest text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
+#: Distinct words that a worker remembers what it found of: some tens of megabytes, however many a table has.
+REMEMBERED = 60_000
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
