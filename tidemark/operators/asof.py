@@ -55,21 +55,33 @@ def strided(grid: DataFrame, most: int) -> DataFrame:
     return grid.withColumn("i_", F.row_number().over(Window.orderBy("signal_date")) - 1).filter(F.col("i_") % step == 0).drop("i_")
 
 
-def visible_on(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit") -> DataFrame:
+def visible_on(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit", until: str | None = None) -> DataFrame:
     """facts for every signal date on which they can be seen: filed and ended by then, `lag` days before.
 
-    The restated arm drops the condition on filing alone. dates is a grid of months, broadcast as one array.
+    The restated arm drops the condition on filing alone. `until` names a column with the day from which a fact is no
+    longer asked for, null for never. A fact goes only to the months of its own range, and meets the dates of each by
+    a hash join. dates is a grid of months, small enough to broadcast.
     """
-    asof = F.date_sub(F.col("signal_date"), lag)
-    seen = (F.col("period_end") <= asof) & ((F.col("filed") <= asof) if arm == "pit" else F.lit(True))
-    grid = [r[0] for r in dates.select("signal_date").distinct().orderBy("signal_date").collect()]  # one date a month
-    return facts.withColumn("signal_date", F.explode(F.array(*(F.lit(d) for d in grid)) if grid else F.array().cast("array<date>"))).filter(seen)
+    known_on = F.greatest("period_end", "filed") if arm == "pit" else F.col("period_end")
+    asof = dates.select("signal_date", F.date_sub("signal_date", lag).alias("asof_")).distinct().withColumn("month_", F.trunc("asof_", "month"))
+    last = asof.agg(F.max("asof_")).scalar()
+    ranged = facts.withColumns({"from_": known_on, "to_": F.least(F.date_sub(F.col(until), 1), last) if until else last}).filter("from_ <= to_")
+    months = F.sequence(F.trunc("from_", "month"), F.trunc("to_", "month"), F.expr("interval 1 month"))
+    each = ranged.withColumn("month_", F.explode(months)).join(F.broadcast(asof), "month_").filter("asof_ BETWEEN from_ AND to_")
+    return each.select(*facts.columns, "signal_date")
 
 
 def history(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit") -> DataFrame:
-    """For each signal date, the newest visible filing of every exact interval."""
-    rows = restated(facts) if arm == "restated" else facts
-    return latest(visible_on(rows, dates, lag, arm), ("signal_date", *INTERVAL), ("filed", *TIES[1:]))
+    """For each signal date, the newest visible filing of every exact interval.
+
+    Facts are shuffled once by interval: each filing counts from its day up to the next one of its interval, and is
+    handed out to the dates between only then. Of filings of one day the greatest by TIES counts.
+    """
+    order = Window.partitionBy(*INTERVAL).orderBy("filed", *TIES[1:])
+    rows = facts.filter("filed IS NOT NULL").withColumn("next_", F.lead("filed").over(order))
+    if arm == "restated":
+        return visible_on(rows.filter("next_ IS NULL").drop("next_"), dates, lag, arm)
+    return visible_on(rows, dates, lag, arm, until="next_").drop("next_")
 
 
 def latest_known(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit") -> DataFrame:
@@ -108,11 +120,15 @@ def attach_shares(prices: DataFrame, shares: DataFrame, securities: DataFrame, d
 
 
 def split_factor(bars: DataFrame) -> DataFrame:
-    """bars with cumulative: the product of all split ratios strictly after each row; 0, null and NaN count as 1."""
-    after = Window.partitionBy("ticker").orderBy("trade_date").rowsBetween(1, Window.unboundedFollowing)
-    ratio: Column = F.when((F.col("split_ratio") != 0) & (F.col("split_ratio") != 1) & ~F.isnan("split_ratio"), F.col("split_ratio"))
-    splits = F.collect_list(ratio).over(after)  # the few true splits; other rows are null and are left out
-    return bars.withColumn("cumulative", F.aggregate(splits, F.lit(1.0), lambda a, b: a * b))
+    """bars with cumulative: the product of all split ratios strictly after each row; 0, null and NaN count as 1.
+
+    A ticker's true splits are few: their suffix products are made once, and a bar looks for the next split after it.
+    """
+    ratio: Column = F.col("split_ratio")
+    true = bars.filter((ratio != 0) & (ratio != 1) & ~F.isnan(ratio)).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("trade_date", "split_ratio"))).alias("splits_"))
+    after = F.filter("splits_", lambda s: s["trade_date"] > F.col("trade_date"))
+    product = F.aggregate(after, F.lit(1.0), lambda a, s: a * s["split_ratio"])
+    return bars.join(true, "ticker", "left").withColumn("cumulative", F.coalesce(product, F.lit(1.0))).drop("splits_")
 
 
 def unadjusted(bars: DataFrame) -> DataFrame:

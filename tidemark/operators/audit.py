@@ -124,10 +124,13 @@ def compare_vintages(pit: DataFrame, restated: DataFrame) -> DataFrame:
 
 
 def frame_hash(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: rows and a hash of keys that does not depend on their order; equal sets of rows have equal hashes."""
+    """One row: rows and a hash of keys that does not depend on their order; equal sets of rows have equal hashes.
+
+    The hash is the sums of both halves of each row's MD5, so 128 bits of every row count.
+    """
     text = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("<null>")) for k in keys))
-    part = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
-    return df.agg(F.count("*").alias("n_rows"), F.sum(part).alias("key_hash"))
+    half = lambda at: F.coalesce(F.sum(F.conv(F.substring(F.md5(text.cast("binary")), at, 16), 16, 10).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).cast("string")
+    return df.agg(F.count("*").alias("n_rows"), F.concat_ws(":", half(1), half(17)).alias("key_hash"))
 
 
 def share_groups(shares: DataFrame) -> DataFrame:
@@ -150,10 +153,22 @@ def verdict(exercised: bool, shared_dates: int, blocked: bool, gap: float | None
 
 
 def overlap_seconds(spans: DataFrame, windows: DataFrame) -> DataFrame:
-    """window_id and seconds of spans (begin, end) of the same key inside each window (key, window_id, begin, end)."""
-    w = windows.select("key", "window_id", F.col("begin").alias("wb"), F.col("end").alias("we"))
+    """window_id and seconds of spans (begin, end) of the same key inside each window (key, window_id, begin, end); 0 where none is inside.
+
+    Both sides are cut at midnight and meet by key and day, so that a key's spans meet only the windows of their days.
+    """
+    every = windows.groupBy("window_id").agg(F.lit(0).cast("long").alias("seconds")).filter("window_id IS NOT NULL")
+
+    def by_day(rows: DataFrame, *more: str) -> DataFrame:
+        last = F.greatest(F.to_date("begin"), F.to_date(F.col("end") - F.expr("interval 1 second")))
+        days = rows.filter("begin <= end").withColumn("day", F.explode(F.sequence(F.to_date("begin"), last)))
+        midnight = F.col("day").cast("timestamp")
+        return days.select("key", "day", *more, F.greatest("begin", midnight).alias("begin"), F.least("end", F.date_add("day", 1).cast("timestamp")).alias("end"))
+
+    w = by_day(windows, "window_id").withColumnsRenamed({"begin": "wb", "end": "we"})
     inside = F.greatest(F.lit(0), F.unix_timestamp(F.least("end", "we")) - F.unix_timestamp(F.greatest("begin", "wb")))
-    return w.join(spans, "key").groupBy("window_id").agg(F.sum(inside).alias("seconds"))
+    found = w.join(by_day(spans), ["key", "day"]).groupBy("window_id").agg(F.sum(inside).alias("seconds"))
+    return every.unionByName(found).groupBy("window_id").agg(F.sum("seconds").alias("seconds"))
 
 
 def stage_summary(events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import known, month_anchor, ratio
-from tidemark.operators.asof import history, latest_known, sampled
+from tidemark.operators.asof import INTERVAL, TIES, history, latest_known, sampled
 from tidemark.sources.tables import Tables
 
 VALUES = ("ticker", "signal_date", "value")
@@ -65,6 +65,29 @@ def rolling(values: DataFrame, aggregate: Callable[[Column], Column], width: int
     return values.withColumn("value", F.when(F.count("value").over(last) >= least, aggregate(F.col("value")).over(last)))
 
 
+def observed(prices: DataFrame, column: str, days: DataFrame) -> DataFrame:
+    """ticker, session_idx, trade_date, value of the rows there are, with their session; what is not finite is null."""
+    rows = prices.select("ticker", "trade_date", known(F.col(column)).alias("value"))
+    return rows.join(F.broadcast(days), "trade_date").select("ticker", "session_idx", "trade_date", "value")
+
+
+def rolled(rows: DataFrame, days: DataFrame, dates: DataFrame, aggregate: Callable[[Column], Column], width: int, least: int, fresh: int = 10) -> DataFrame:
+    """ticker, trade_date, value: the rolling aggregate on all sessions that a signal date can ask for, without a row for every session.
+
+    Between two rows that enter, a window only loses rows. So of the sessions up to a date, the last with enough
+    values is the date's own last session or the last session that some row is still inside. The windows run over the
+    rows and these probes alone; probes too old for every date are left out.
+    """
+    asked = days.join(F.broadcast(dates), (F.col("signal_date") >= F.col("trade_date")) & (F.datediff("signal_date", "trade_date") <= fresh), "left_semi")  # calendar days by months
+    own = dates.join(F.broadcast(days), F.col("trade_date") <= F.col("signal_date")).groupBy("signal_date").agg(F.max("session_idx").alias("session_idx")).select("session_idx").distinct()
+    leaving = rows.filter("value IS NOT NULL").select("ticker", (F.col("session_idx") + width - 1).alias("session_idx")).join(F.broadcast(asked.select("session_idx")), "session_idx", "left_semi")
+    at_dates = rows.select("ticker").distinct().crossJoin(F.broadcast(own)).join(F.broadcast(asked.select("session_idx")), "session_idx", "left_semi")
+    probes = leaving.select("ticker", "session_idx").unionByName(at_dates.select("ticker", "session_idx")).withColumns({"value": F.lit(None).cast("double"), "probe": F.lit(True)})
+    both = rows.select("ticker", "session_idx", "value", F.lit(False).alias("probe")).unionByName(probes)
+    found = rolling(both, aggregate, width, least).filter("probe AND value IS NOT NULL").select("ticker", "session_idx", "value")
+    return found.join(F.broadcast(days), "session_idx").select("ticker", "trade_date", "value")
+
+
 def derived(roll: DataFrame, raw: DataFrame, dates: DataFrame) -> DataFrame:
     """A rolling value at most ten days old, where the observation under it is at most ten days old, too."""
     seen = sampled(raw.select("ticker", "trade_date", "value"), dates).select("ticker", "signal_date")
@@ -73,17 +96,20 @@ def derived(roll: DataFrame, raw: DataFrame, dates: DataFrame) -> DataFrame:
 
 def total_vol_60d(t: Tables, dates: DataFrame) -> DataFrame:
     """Minus the sample deviation of 60 one-session returns, 30 at least."""
-    grid = on_sessions(t.prices, "close_adj")
-    before = F.lag("value").over(Window.partitionBy("ticker").orderBy("session_idx"))
-    returns = grid.withColumn("value", ratio(F.col("value"), before) - 1)
-    out = derived(rolling(returns, F.stddev_samp, 60, 30), grid, dates)
+    days = sessions(t.prices)
+    rows = observed(t.prices, "close_adj", days)
+    before = Window.partitionBy("ticker").orderBy("session_idx")
+    adjoins = F.col("session_idx") - F.lag("session_idx").over(before) == 1
+    returns = rows.withColumn("value", F.when(adjoins, known(ratio(F.col("value"), F.lag("value").over(before)) - 1)))
+    out = derived(rolled(returns, days, dates, F.stddev_samp, 60, 30), rows, dates)
     return finished(out.withColumn("value", -F.col("value")))
 
 
 def turnover(t: Tables, dates: DataFrame) -> DataFrame:
     """Minus the mean volume of 21 sessions, 10 at least, over shares at the date."""
-    grid = on_sessions(t.prices, "volume")
-    volume = derived(rolling(grid, F.avg, 21, 10), grid, dates)
+    days = sessions(t.prices)
+    rows = observed(t.prices, "volume", days)
+    volume = derived(rolled(rows, days, dates, F.avg, 21, 10), rows, dates)
     shares = sampled(t.prices.select("ticker", "trade_date", F.col("shares_out").alias("value")), dates).filter("value > 0").select("ticker", "signal_date", F.col("value").alias("shares"))
     return finished(volume.join(shares, ["ticker", "signal_date"]).withColumn("value", -ratio(F.col("value"), F.col("shares"))))
 
@@ -96,7 +122,8 @@ def ttm(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit") -> D
     else the newest report of about a year counts; else there is none.
     """
     by = ["cik", "tag", "signal_date"]
-    seen = history(facts, dates, lag, arm).filter("period_end >= period_start AND value IS NOT NULL AND NOT isnan(value)")
+    facts = facts.select(*INTERVAL, "filed", *TIES[1:])
+    seen = history(facts, dates, lag, arm).select(*by, "period_start", "period_end", "filed", "value").filter("period_end >= period_start AND value IS NOT NULL AND NOT isnan(value)")
     seen = seen.withColumn("days", F.datediff("period_end", "period_start"))
     chain = Window.partitionBy(*by, "period_start").orderBy("period_end")
     steps = seen.withColumns({"delta": F.col("value") - F.lag("value", 1, 0.0).over(chain), "span": F.datediff("period_end", F.coalesce(F.lag("period_end").over(chain), F.col("period_start")))})

@@ -59,6 +59,10 @@ def slopes(panel: DataFrame, least: int = 10) -> DataFrame:
     return per.filter((F.col("n") >= least) & (F.col("sd") > 0) & F.col("slope").isNotNull()).select("signal_date", "slope", "n")
 
 
+#: More lags than any series of fewer than 10**11 dates takes.
+MOST_LAGS = 512
+
+
 def newey_west(series: DataFrame, value: str, least: int = 5) -> DataFrame:
     """One row for a series by signal_date: n, mean, naive_t and nw_t of its mean (null with fewer than `least`).
 
@@ -68,11 +72,11 @@ def newey_west(series: DataFrame, value: str, least: int = 5) -> DataFrame:
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x = series.select("signal_date", F.col(value).alias("v")).withColumns({"i": F.row_number().over(order), "n": F.count("*").over(whole), "mu": F.avg("v").over(whole)})
     x = x.withColumns({"u": F.col("v") - F.col("mu"), "lags": F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("n") / 100, F.lit(2 / 9)))).cast("int")})
-    past = F.collect_list("u").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    past = F.collect_list("u").over(order.rowsBetween(-MOST_LAGS, 0))  # the row itself is the last
     lagged = F.aggregate(
         F.sequence(F.lit(1), F.col("lags")),
         F.lit(0.0),
-        lambda s, k: s + F.when(k < F.col("i"), 2 * (1 - k / (F.col("lags") + 1)) * F.col("u") * F.try_element_at(F.col("past"), (F.col("i") - k).cast("int"))).otherwise(0.0),
+        lambda s, k: s + F.when(k < F.col("i"), 2 * (1 - k / (F.col("lags") + 1)) * F.col("u") * F.try_element_at(F.col("past"), (-1 - k).cast("int"))).otherwise(0.0),
     )
     sums = x.withColumn("past", past).withColumn("term", F.col("u") * F.col("u") + lagged)
     out = sums.agg(F.max("n").alias("n"), F.max("mu").alias("mean"), F.sum("term").alias("s"), F.sum(F.col("u") * F.col("u")).alias("ss"))

@@ -171,7 +171,10 @@ def share_groups(spark, d):
     return rounded(audit.share_groups(m.facts(spark, d).filter("tag = 'N'")), "spread")
 
 
-@query(f"{with_sql('facts')} SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(cik || '|' || tag || '|' || CAST(filed AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS key_hash FROM facts")
+HALF = "CAST(coalesce(sum(CAST(('0x' || substr(h, {at}, 16)) AS UBIGINT)::HUGEINT), 0) AS VARCHAR)"
+
+
+@query(f"{with_sql('facts')}, k AS (SELECT md5(cik || '|' || tag || '|' || CAST(filed AS VARCHAR)) AS h FROM facts) SELECT count(*) AS n_rows, {HALF.format(at=1)} || ':' || {HALF.format(at=17)} AS key_hash FROM k")
 def frame_hash(spark, d):
     return audit.frame_hash(m.facts(spark, d), ["cik", "tag", "filed"])
 
@@ -185,7 +188,7 @@ def stage_summary(spark, d):
 @query(
     """WITH e AS (SELECT user_id AS key, date_trunc('second', ts) AS b, date_trunc('second', lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS e FROM events),
 w AS (SELECT DISTINCT user_id AS key, user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS window_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS wb, CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 12 HOUR AS we FROM events)
-SELECT window_id, CAST(sum(greatest(0, epoch(least(e, we))::BIGINT - epoch(greatest(b, wb))::BIGINT)) AS BIGINT) AS seconds FROM w JOIN e USING (key) WHERE e IS NOT NULL GROUP BY 1"""
+SELECT window_id, CAST(coalesce(sum(greatest(0, epoch(least(e.e, we))::BIGINT - epoch(greatest(b, wb))::BIGINT)), 0) AS BIGINT) AS seconds FROM w LEFT JOIN e ON w.key = e.key AND e.e IS NOT NULL GROUP BY 1"""
 )
 def interval_overlap(spark, d):
     e = m.table(spark, d, "events")
