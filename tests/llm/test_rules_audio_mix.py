@@ -88,8 +88,29 @@ def test_urls_equal_all_rules(spark):
 def test_rules_lie_under_their_rarest_token(spark):
     pages = spark.createDataFrame([(1, "http://a.example.net/en/"), (2, "http://b.net/en/"), (3, "http://c.net/x/")], "page_id long, url string")
     found = {r["rule"]: r["token"] for r in url_rules.index(url_rules.rules(spark), pages).collect()}
-    assert found["example.net/en/"] == "example" and found["net/"] == "net"
-    assert "" in found.values()
+    assert found["example.net/en/"] == "example" and found["net/"] == "net" and "" not in found.values()
+    more = url_rules.rules(spark, (), (("block", "x+", ()), ("block", "^//a[.]", ("a",))))
+    assert {r["rule"]: r["token"] for r in url_rules.index(more, pages).collect()} == {"x+": "", "^//a[.]": "a"}
+
+
+def test_only_rules_are_broadcast(spark):
+    """The pages meet the rules without a shuffle, and never are the broadcast side."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    plan = url_rules.judge(pages, url_rules.rules(spark))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert plan.count("Exchange hashpartitioning(page_id") == 1 and "SortMergeJoin" not in plan.split("== Initial Plan ==")[0].split("best#")[0]
+    for join in re.findall(r"BroadcastHashJoin [^\n]*", plan):
+        assert "BuildLeft" not in join
+
+
+def test_many_rules_join_by_token(spark):
+    """Beyond the bound of a broadcast the results are the same."""
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] + [(0, URLS[0])], "page_id long, url string")
+    extra = url_rules.PATTERN_RULES + (("block", "/x$", ()),)
+    rules = url_rules.rules(spark, url_rules.HOST_RULES, extra)
+    want = Counter(map(tuple, url_rules.judge(pages, rules).collect()))
+    assert Counter(map(tuple, url_rules.judge(pages, rules, most=3).collect())) == want
+    with pytest.raises(ValueError):
+        url_rules.judge(pages, url_rules.rules(spark, (), (("block", "a", ()), ("block", "b", ()))), most=1)
 
 
 @pytest.mark.parametrize("size", [64, 1408, 1409, 64 * 40, 64 * 2000])
