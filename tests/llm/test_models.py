@@ -80,15 +80,28 @@ def test_filter_keeps_columns(spark, odd):
 
 def test_votes_by_brute_force():
     rng = np.random.default_rng(1)
-    v = rng.standard_normal((40, 6)).astype(np.float32)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    model = lsa_knn.Model(np.ones(lsa_knn.PLACES, np.float32), rng.standard_normal((lsa_knn.PLACES, 6)).astype(np.float32), v, (np.arange(40) % 2).astype(float))
+    v = lsa_knn.whole(lsa_knn.unit(rng.standard_normal((40, 6))))
+    v[20:30] = v[:10]  # ties
+    model = lsa_knn.Model(np.ones(lsa_knn.PLACES, np.float32), lsa_knn.whole(lsa_knn.unit(rng.standard_normal((lsa_knn.PLACES, 6)))), v, (np.arange(40) % 3 == 0).astype(float))
     bags = lsa_knn.Bags().count(words_of(pa.array(["a b c", "", "Some words! here", None])))
     for got, z in zip(model.scores(bags, nearest=5, block=2), model.latent(bags)):
-        cosine = np.array([float(z @ x) for x in v])
-        best = np.argsort(-cosine)[:5]
-        w = np.maximum(cosine[best], 1e-3) ** lsa_knn.SHARPNESS
-        assert got == pytest.approx((w * model.labels[best]).sum() / w.sum(), rel=1e-4)
+        cosine = [sum(int(a) * int(b) for a, b in zip(z, x)) for x in v]
+        best = sorted(range(40), key=lambda i: (-cosine[i], i))[:5]
+        w = [max(cosine[i] / 2.0 ** (2 * lsa_knn.SCALE), 1e-3) ** lsa_knn.SHARPNESS for i in best]
+        assert got == pytest.approx(sum(a * model.labels[i] for a, i in zip(w, best)) / sum(w), rel=1e-12)
+
+
+def test_scores_do_not_depend_on_the_batch(spark):
+    """Each text alone, all together, and in any partitions: the same bits."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = lsa_knn.learned(docs, labels)
+    texts = [r["text"] for r in docs.select("text").limit(300).collect()]
+    together = model.scores(lsa_knn.Bags().count(words_of(pa.array(texts))))
+    alone = [model.scores(lsa_knn.Bags().count(words_of(pa.array([t]))))[0] for t in texts]
+    assert together.tolist() == alone
+    again = lsa_knn.learned(docs.repartition(7), labels)
+    one, two = ({r["doc_id"]: r["score"] for r in lsa_knn.score(d, m).collect()} for d, m in ((docs, model), (docs.repartition(5, "doc_id"), again)))
+    assert one == two
 
 
 def plain_base(text):

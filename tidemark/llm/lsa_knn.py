@@ -6,6 +6,9 @@ latent space (truncated singular vectors) are fitted on a bounded sample of labe
 are broadcast, at most `MOST` by `LATENT` numbers. Every document's cosine with each of them is computed exactly,
 in blocks, and the labels of the nearest vote with weights that grow with similarity.
 
+Coordinates are whole numbers of 2**-SCALE, small enough that every sum of products is exact in 64-bit floating point,
+in whatever order it is taken: a text's score depends on the text and the model alone, not on its block or batch.
+
 Defined cases: a null or empty text has its length term alone; equal texts have equal scores, repeated rows all
 stay; ties between neighbours are broken by their order in the sample, which is by vector and label; without
 labels every score is 0.5; an empty table gives an empty result; other columns are not read.
@@ -27,6 +30,9 @@ from tidemark.llm.labelled import fold, sample
 from tidemark.llm.words import REMEMBERED, Words, slices, words_of
 
 PLACES, LATENT, MOST, NEAREST, SHARPNESS = 4096, 48, 5000, 15, 8.0
+#: Bits of a coordinate. PLACES products of two are below 2**53.
+SCALE = 18
+assert PLACES <= 1 << (52 - 2 * SCALE) and MOST < 1 << 16
 _RUNS = [(re.compile("[^\\W\\d_a-zß-ÿ]"), "X"), (re.compile(r"[^\W\d_X]"), "x"), (re.compile(r"\d"), "9"), (re.compile(r"(.)\1+"), r"\1\1")]
 _END = re.compile(r"[\W_]*$")
 
@@ -46,7 +52,33 @@ def word_places(w: str) -> tuple[int, int, int]:
     shape = w
     for pattern, by in _RUNS:
         shape = pattern.sub(by, shape)
-    return _place("w" + core), _place("s" + shape[:24]), _place("e" + end[:4])
+    return _place("w" + core), _place("s" + shape), _place("e" + end)
+
+
+class _Logs:
+    """log(1 + n) of counts, as many as were asked for so far."""
+
+    def __init__(self) -> None:
+        self.values = np.log1p(np.arange(1024)).astype(np.float32)
+
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.values) < n:
+            self.values = np.log1p(np.arange(2 * n)).astype(np.float32)
+        return self.values
+
+
+_LOGS = _Logs()
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Coordinates of at most 1 as whole numbers of 2**-SCALE, in floating point."""
+    return np.rint(np.asarray(x, float) * (1 << SCALE))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; one of length 0 stays."""
+    x = np.asarray(x, float)
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
 
 
 class Bags:
@@ -64,7 +96,7 @@ class Bags:
             p = self.known.get(w)
             if p is None:
                 p = word_places(w)
-                if len(self.known) < REMEMBERED:
+                if len(self.known) < 3 * REMEMBERED:
                     self.known[w] = p
             places.append(p)
         code = coded.indices.to_numpy(zero_copy_only=False)
@@ -72,7 +104,7 @@ class Bags:
         base = words.doc * PLACES
         cells = [base + of[code, k] for k in range(3)]
         flat = np.bincount(np.concatenate(cells), minlength=n * PLACES)
-        out = np.log1p(flat.reshape(n, PLACES).astype(np.float32))
+        out = _LOGS.upto(int(flat.max(initial=0)) + 1)[flat.reshape(n, PLACES)]
         again = np.zeros(len(code), bool)
         again[1:] = (code[1:] == code[:-1]) & (words.doc[1:] == words.doc[:-1])
         capital, marks = (words.data >= 65) & (words.data <= 90), np.isin(words.data, _MARKS)
@@ -80,36 +112,41 @@ class Bags:
         rows = np.arange(n)
         for view, (part, whole) in zip("rcm", parts, strict=True):
             step = np.searchsorted(_SHARES, part / np.maximum(whole, 1), "right")
-            np.add.at(out, (rows, np.array([_place(f"{view}{k}") for k in step], np.int64)), _TEXT_VALUE)
-        np.add.at(out, (rows, np.array([_place(f"n{k}") for k in np.log2(words.counts + 1).astype(int)], np.int64)), 1.0)
+            out[rows, np.array([_place(f"{view}{k}") for k in step], np.int64)] += np.float32(_TEXT_VALUE)
+        out[rows, np.array([_place(f"n{int(k + 1).bit_length() - 1}") for k in words.counts], np.int64)] += np.float32(1.0)
         return out
 
 
 @dataclass
 class Model:
     weight: np.ndarray  # of places
-    space: np.ndarray  # places by latent dimensions
-    vectors: np.ndarray  # of the sample, of length 1
+    space: np.ndarray  # places by latent dimensions, in whole numbers of 2**-SCALE
+    vectors: np.ndarray  # of the sample, latent vectors of length 1, likewise
     labels: np.ndarray
 
     def latent(self, bags: np.ndarray) -> np.ndarray:
-        x = bags * self.weight
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        z = x @ self.space
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        """Latent vectors of length 1, in whole numbers of 2**-SCALE."""
+        return whole(unit(whole(unit(bags * self.weight)) @ self.space))
 
-    def scores(self, bags: np.ndarray, nearest: int = NEAREST, block: int = 512) -> np.ndarray:
-        if not len(self.labels):
+    def scores(self, bags: np.ndarray, nearest: int = NEAREST, block: int = 128) -> np.ndarray:
+        """Shares of label 1 among the nearest. Of equally near ones those first in the sample count, and votes are added from the nearest on."""
+        n = len(self.labels)
+        if not n:
             return np.full(len(bags), 0.5)
-        z = self.latent(bags)
-        out = []
-        k = min(nearest, len(self.labels))
-        for a in range(0, len(z), block):
-            cosine = z[a : a + block] @ self.vectors.T
-            best = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            near = np.maximum(np.take_along_axis(cosine, best, 1), 1e-3).astype(float) ** SHARPNESS
-            out.append((near * self.labels[best]).sum(1) / near.sum(1))
-        return np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)
+        k, out = min(nearest, n), np.zeros(len(bags))
+        order = np.arange(n)[::-1]
+        for a in range(0, len(bags), block):
+            cosine = (self.latent(bags[a : a + block]) @ self.vectors.T).astype(np.int64)
+            key = cosine * (1 << 16) + order  # one number for each neighbour, no two alike
+            top = np.sort(np.partition(key, n - k, axis=1)[:, n - k :], axis=1)[:, ::-1]
+            near = np.maximum((top >> 16) / float(1 << 2 * SCALE), 1e-3) ** SHARPNESS
+            label = self.labels[n - 1 - (top & 0xFFFF)]
+            total, ones = np.zeros(len(top)), np.zeros(len(top))
+            for j in range(k):
+                total += near[:, j]
+                ones += near[:, j] * label[:, j]
+            out[a : a + block] = ones / total
+        return np.clip(out, 0, 1)
 
 
 def latent_space(x: np.ndarray, size: int) -> np.ndarray:
@@ -127,10 +164,11 @@ def fit(train: DataFrame, latent: int = LATENT) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = Bags()
         for batch in batches:
-            for a, b in slices(batch.column(0)):
-                for x, y in zip(bags.count(words_of(batch.column(0).slice(a, b - a))), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
-                    at = np.flatnonzero(x)
-                    yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.uint16).tobytes()]), pa.array([x[at].tobytes()]), pa.array([y], pa.int32())], names=["place", "value", "y"])
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                found = bags.count(words_of(part.column(0)))
+                at = [np.flatnonzero(x).astype(np.uint16) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([i.tobytes() for i in at], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(found, at, strict=True)], pa.binary()), part.column(1)], names=["place", "value", "y"])
 
     rows = sorted((bytes(r["place"]), bytes(r["value"]), r["y"]) for r in train.select("text", "y").mapInArrow(run, "place binary, value binary, y int").collect())
     x = np.zeros((len(rows), PLACES), np.float32)
@@ -138,13 +176,12 @@ def fit(train: DataFrame, latent: int = LATENT) -> Model:
         x[i, np.frombuffer(place, np.uint16)] = np.frombuffer(value, np.float32)
     y = np.array([float(r[2] > 0) for r in rows])
     if not len(rows):
-        return Model(np.ones(PLACES, np.float32), np.zeros((PLACES, 1), np.float32), np.zeros((0, 1), np.float32), y)
+        return Model(np.ones(PLACES, np.float32), np.zeros((PLACES, 1)), np.zeros((0, 1)), y)
     weight = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
-    x *= weight
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    space = latent_space(x, min(latent, len(rows)))
-    z = x @ space
-    return Model(weight, space, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9), y)
+    space = whole(latent_space(unit(x * weight).astype(np.float32), min(latent, len(rows))))
+    model = Model(weight, space, np.zeros((0, 1)), y)
+    model.vectors = np.concatenate([model.latent(x[a : a + 512]) for a in range(0, len(x), 512)])
+    return model
 
 
 def learned(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
@@ -160,8 +197,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         bags = Bags()
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                for c in range(a, b, 1000):
-                    d = min(b, c + 1000)
+                for c in range(a, b, 256):
+                    d = min(b, c + 256)
                     found = shared.value.scores(bags.count(words_of(batch.column(1).slice(c, d - c))))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(c, d - c), pa.array(found)], names=["doc_id", "score"])
 
