@@ -207,7 +207,8 @@ def estimates(rows: DataFrame, support: float = 0.75, least: int = 60, steps: in
     for _ in range(steps):
         near = rows.join(state, "cell").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(16 * F.log2(1 + distance()))).cast("int"))
         sums = near.groupBy("cell", "bin").agg(F.count("*").alias("c"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS))
-        state = cut(sums.groupBy("cell").applyInPandas(next_state(support), STATE))
+        # Sums of all tasks meet by cell and bin first; then a cell has no more rows than there are bins.
+        state = cut(cut(sums).groupBy("cell").applyInPandas(next_state(support), STATE))
         total = state.agg(F.sum("logdet")).first()[0]
         if before is not None and total is not None and abs(total - before) < 1e-3:
             break
