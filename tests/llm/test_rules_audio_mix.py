@@ -205,7 +205,62 @@ def test_taken_rows_hold_the_words_taken(spark, odd):
         got = Counter()
         for r in out.collect():
             got[r["doc_id"]] += len(WORD.findall(r["text"] or ""))
-        assert all(abs(got[i] - n) <= 3 for i, n in taken.items())
+        assert all(got[i] == n for i, n in taken.items())
+
+
+def test_copies_take_places_of_their_own(spark):
+    """Three equal rows of 35 words each, and rows of one id and size with other texts: no word is lost, none is cut twice."""
+    rows = [(1, " ".join(f"a{i}" for i in range(35)), "s", n) for n in range(3)]
+    rows += [(2, " ".join(f"{c}{i}" for i in range(20)), "s", n) for n, c in enumerate("xyz")] + [(3, "", "s", 9), (4, None, "s", 9), (None, "only one", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    mixed = source_mix.mix(docs, share=0.7).collect()
+    out = source_mix.taken_rows(docs, share=0.7)
+    assert out.columns == docs.columns
+    got = Counter()
+    for r in out.collect():
+        got[r["doc_id"]] += len(WORD.findall(r["text"] or ""))
+    want = Counter()
+    for r in mixed:
+        want[r["doc_id"]] += r["taken"]
+    assert +got == +want and sum(got.values()) == sum(int(t) for t in {r["source"]: r["target"] for r in mixed}.values())
+    cuts = [r for r in out.collect() if r["source"] == "s" and len(WORD.findall(r["text"] or "")) not in (35, 20)]
+    assert len(cuts) <= 1 and all(r["text"] for r in out.collect())  # no whole epoch: rows without words go
+    whole = source_mix.taken_rows(docs, share=1.5).collect()
+    assert Counter(r["doc_id"] for r in whole)[3] == Counter(r["doc_id"] for r in whole)[4] == 1
+
+
+def plain_mcd(x, support=0.75):
+    """Concentration steps on whole rows, from the same start, to the end."""
+    p = quality_mcd.P
+    floor = np.array(quality_mcd.FLOOR)
+    mean = np.median(x, 0)
+    spread = np.maximum(np.median(np.abs(x - mean), 0) * 1.4826, floor)
+    d = (((x - mean) / spread) ** 2).sum(1)
+    factor = support / quality_mcd.chi2_cdf(quality_mcd.chi2_quantile(support, p), p + 2)
+    for _ in range(40):
+        near = x[np.argsort(d, kind="stable")[: int(np.ceil(support * len(x)))]]
+        mean, cov = near.mean(0), np.cov(near.T, bias=True) * factor + np.diag(floor**2) * 0.25
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    return d
+
+
+def test_verdicts_agree_with_a_plain_estimate(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality_mcd.statistics(docs)
+    at = {(r["cell_lang"], r["cell_source"]): r["cell"] for r in quality_mcd.cells(rows, 60).collect()}
+    table = rows.toPandas()
+    table["cell"] = [at[k] for k in zip(table["lang"], table["source"])]
+    limit = 2.0 * quality_mcd.chi2_quantile(1 - 1e-7, quality_mcd.P)
+    want = {}
+    for _, part in table.groupby("cell"):
+        d = plain_mcd(part[[f"x{i}" for i in range(quality_mcd.P)]].to_numpy())
+        want |= dict(zip(part["doc_id"], d))
+    found = quality_mcd.judge(docs).collect()
+    far = lambda d: d > limit
+    clear = [r for r in found if not 0.8 * limit < want[r["doc_id"]] < 1.25 * limit]
+    assert len(clear) >= 0.97 * len(found)
+    agree = sum(far(r["distance2"]) == far(want[r["doc_id"]]) and r["kept"] == (not r["base_failed"] and not far(want[r["doc_id"]])) for r in clear)
+    assert agree >= 0.995 * len(clear)
 
 
 def test_junk_that_passes_the_base_rule_is_rejected(spark):

@@ -88,16 +88,16 @@ def _op2_sql() -> str:
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 -- Each source that is full leaves the rest to the others: the level is the first at which no open source is above its cap.
 l AS (SELECT a.source, a.cap / a.w AS ratio, (1.5::DOUBLE * (SELECT sum(source_size) FROM r) - coalesce(sum(b.cap), 0)) / ((SELECT sum(w) FROM r) - coalesce(sum(b.w), 0)) AS level
       FROM r a LEFT JOIN r b ON b.cap / b.w < a.cap / a.w GROUP BY a.source, a.cap, a.w),
 t AS (SELECT source, source_size, least(cap, (SELECT min_by(level, ratio) FROM l WHERE level <= ratio) * w) AS target FROM r),
-k AS (SELECT d.*, CAST(('0x' || substr(md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), '-'), size)), 1, 13)) AS BIGINT) AS key FROM d),
+k AS (SELECT d.*, CAST(('0x' || substr(md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), '-'), size, md5(text))), 1, 13)) AS BIGINT) AS key FROM d),
 p AS (SELECT k.doc_id, k.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
-             CAST(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - k.size AS before
+             CAST(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size, md5(k.text) ROWS UNBOUNDED PRECEDING) AS BIGINT) - k.size AS before
       FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END AS taken FROM p

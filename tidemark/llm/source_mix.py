@@ -1,13 +1,13 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Rows get hash-random keys. Within each source, equal ranges of the key hold about `per_range` rows
-each, however large the source is; sums by range and their running totals give every range its offset,
-and running sums inside the ranges give each row its place. A source's budget then cuts exactly: whole
-epochs first, then every row before the cut, and the row at the cut in part.
+Rows get hash-random keys, from their id, size and text. Within each source, equal ranges of the key hold about
+`per_range` rows each, however large the source is; sums by range, then by `per_range` ranges, and running totals of
+both give every range its offset, and running sums inside the ranges give each row its place. A source's budget then
+cuts exactly: whole epochs first, then every row before the cut, and the row at the cut in part.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows that
-agree in source, doc_id and size are counted together and each gets its own place, so that copies of one
-row never meet in one task; an empty table gives an empty result; reruns agree, as keys depend on the rows alone.
+agree in source, doc_id and text are counted together and each gets its own place, one after another; an empty table
+gives an empty result; reruns agree, as keys depend on the rows alone.
 """
 
 from __future__ import annotations
@@ -52,56 +52,94 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("final") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, per_range: int = 2000) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words the mix takes of the row, repeats counted)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
-    same = rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies"))
+def described(docs: DataFrame) -> list[Column]:
+    """Of a row of docs: id, source, size, hash-random key in [0, 1), and alike, which names rows that agree in id, source and text."""
+    id_, source, text = F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")
+    size, digest = n_words(text), F.md5(text.cast("binary"))
+    named = F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("-")), size.cast("string"), digest)
+    # The first 13 hexadecimal digits of an MD5 are 52 bits, which a double holds exactly.
+    key = F.conv(F.substring(F.md5(named.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    alike = F.unhex(F.md5(F.concat_ws(":", named, F.lit("source"), source).cast("binary")))
+    return [id_, source, size, key, alike]
+
+
+def running(rows: DataFrame, by: list[str], order: list[str], value: Column) -> Column:
+    """The sum of value over the rows before each, in order, as a window by `by`."""
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(before), F.lit(0))
+
+
+def places(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, per_range: int) -> DataFrame:
+    """A row for each kind of alike rows: alike, doc_id, source, size, copies, place of the first copy, source_size, target, epochs and rest (words of the last)."""
+    names = ["doc_id", "source", "size", "key", "alike"]
+    same = docs.select(*(c.alias(n) for c, n in zip(described(docs), names, strict=True))).groupBy("alike").agg(*(F.first(c).alias(c) for c in names[:4]), F.count("*").alias("copies"))
     same = stored(same)
-    sizes = same.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("source_rows"))
+    words = F.col("size") * F.col("copies")
+    sizes = same.groupBy("source").agg(F.sum(words).alias("source_size"), F.count("*").alias("source_rows"))
     plan = source_targets(sizes.select("source", "source_size"), weights, share, most)
     plan = plan.join(sizes.select(F.col("source").alias("s2"), "source_rows"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    plan = stored(plan.withColumn("ranges", F.ceil(F.col("source_rows") / per_range)))
-    # A key in [0, 1): the first 13 hexadecimal digits of an MD5 are 52 bits, which a double holds exactly.
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("size").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    keyed = same.withColumn("key", key).join(plan.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    keyed = keyed.withColumn("part", F.floor(F.col("key") * F.col("ranges")))
-    parts = keyed.groupBy("source", "part").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("source").alias("s2"), F.col("part").alias("p2"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
-    placed = placed.join(parts, F.col("source").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2")))
-    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    place = F.col("offset") + F.col("before") + F.col("copy") * F.col("size")
     budget = F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - place))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    plan = plan.withColumns({"ranges": F.ceil(F.col("source_rows") / per_range), "epochs": epochs, "rest": budget - epochs * F.col("source_size")})
+    plan = stored(plan)  # a row for each source
+    keyed = same.join(plan.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+    keyed = keyed.withColumn("part", F.floor(F.col("key") * F.col("ranges")))
+    parts = keyed.groupBy("source", "part").agg(F.sum(words).alias("words")).withColumn("above", F.floor(F.col("part") / per_range))
+    above = parts.groupBy("source", "above").agg(F.sum("words").alias("words"))
+    above = above.select(F.col("source").alias("s3"), F.col("above").alias("a3"), running(above, ["source"], ["above"], F.col("words")).alias("far"))
+    parts = parts.withColumn("near", running(parts, ["source", "above"], ["part"], F.col("words")))
+    parts = parts.join(above, F.col("source").eqNullSafe(F.col("s3")) & (F.col("above") == F.col("a3")))
+    parts = parts.select(F.col("source").alias("s2"), F.col("part").alias("p2"), (F.col("near") + F.col("far")).alias("offset"))
+    placed = keyed.withColumn("before", running(keyed, ["source", "part"], ["key", "doc_id", "size", "alike"], words))
+    placed = placed.join(parts, F.col("source").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2")))
+    return placed.select("alike", "doc_id", "source", "size", "copies", (F.col("offset") + F.col("before")).alias("place"), "source_size", "target", "epochs", "rest")
+
+
+def taken(copy: Column) -> Column:
+    """Words that the mix takes of a copy (from 0) of a row of `places`."""
+    place = F.col("place") + copy * F.col("size")
+    return (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - place))).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, per_range: int = 2000) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words the mix takes of the row, repeats counted)."""
+    placed = places(docs, weights, share, most, per_range)
+    # Numbers of copies in two steps, so that no array is longer than the root of their number, about.
+    step = F.lit(10_000).cast("long")
+    thousands = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, step))
+    placed = placed.withColumn("begin", thousands).withColumn("copy", F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + step, F.col("copies")) - 1)))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken(F.col("copy")).alias("taken"))
 
 
-def taken_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def taken_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, per_range: int = 2000) -> DataFrame:
     """docs as the mix takes them: each row once for every whole epoch, and once more cut to the words of the last.
 
     A row that is cut keeps its text up to the last word taken, and n_chars, if docs has it, follows. Rows of size 0
-    appear once if an epoch of their source is whole, as they cost nothing. Columns are those of docs.
+    appear once where an epoch of their source is whole or their source has no word at all, and else not. Alike rows
+    take one place each; which takes which is told by a hash of all their columns. Columns are those of docs.
     """
-    named = [F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text").cast("string"))]
-    rows = docs.withColumns({"mix_id": named[0], "mix_source": named[1], "mix_size": named[2]})
-    # Rows that agree in id, source and size may differ in what the mix takes of them: each takes one of its places.
-    plan = mix(docs, weights, share, most).groupBy("source", "doc_id", "size").agg(F.sum("taken").alias("all_taken"), F.count("*").alias("copies"))
-    plan = plan.select(F.col("source").alias("p_source"), F.col("doc_id").alias("p_id"), F.col("size").alias("p_size"), "all_taken", "copies")
-    joined = rows.join(plan, F.col("mix_id").eqNullSafe(F.col("p_id")) & F.col("mix_source").eqNullSafe(F.col("p_source")) & (F.col("mix_size") == F.col("p_size")))
-    # Copies of one row share what is taken of them evenly, to a word.
-    taken = F.floor(F.col("all_taken") / F.col("copies"))
-    size = F.col("mix_size")
-    whole = F.when(size > 0, F.floor(taken / size)).otherwise(F.lit(1))
-    rest = F.when(size > 0, taken % size).otherwise(F.lit(0))
+    placed = places(docs, weights, share, most, per_range).select("alike", "size", "copies", "place", "epochs", "rest", "source_size")
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    joined = docs.select(described(docs)[4].alias("alike"), F.xxhash64(*plain).alias("rank"), row.alias("row")).join(placed, "alike")
+    copy = F.row_number().over(Window.partitionBy("alike").orderBy("rank")) - 1
+    joined = joined.withColumn("taken", taken(copy))
+    size = F.col("size")
+    whole = F.when(size > 0, F.floor(F.col("taken") / size)).otherwise(((F.col("epochs") > 0) | (F.col("source_size") == 0)).cast("long"))
+    rest = F.when(size > 0, F.col("taken") % size).otherwise(F.lit(0))
     pieces = F.concat(F.array_repeat(size, whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    out = joined.withColumn("mix_words", F.explode(pieces))
+    out = joined.withColumn("words", F.explode(pieces))
     # The words of a cut text as one match: so many words with what stands between them.
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("mix_words").cast("int")), "")
-    cut = F.col("mix_words") < size
-    text = F.when(cut, head).otherwise(F.col("text"))
-    columns = [text.alias(c) if c == "text" else F.when(cut, F.length(head).cast("long")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    cut = F.col("words") < size
+    text = F.col("row")["text"]
+    head = F.array_join(F.slice(F.regexp_extract_all(text.cast("string"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+
+    def column(name: str) -> Column:
+        own = F.col("row")[name]
+        if name == "text":
+            return F.when(cut, head).otherwise(own).alias(name)
+        if name == "n_chars":
+            return F.when(cut, F.length(head).cast("long")).otherwise(own).cast(docs.schema[name].dataType).alias(name)
+        return own.alias(name)
+
+    return out.select(*map(column, docs.columns))
