@@ -3,12 +3,15 @@
 Documents become token ids with an end mark. Whole windows of a document are sequences of their own; its
 tail is packed with others. Tails lie in shards of a bounded number of documents, each with an inverted
 index that scores by BM25 over the token ids of whole documents, not of tails alone; document frequencies and
-the mean length are counted over all documents, in a table bounded by the vocabulary. A seed's most telling tokens fetch its unused
-neighbours, and the best of them fill its window greedily; the last is cut where the window ends and its
+the mean length are counted over all documents, in tables bounded by the vocabulary. A seed's most telling tokens fetch
+its unused neighbours, and the best of them fill its window greedily; the last is cut where the window ends and its
 rest is the next seed. Only the last window of a shard can hold padding.
 
-Shards are runs of rows as they lie in the stored table of tails, so packing needs no shuffle, no key can be
-hot, and a lost task repeats with the same rows.
+Documents are brought to shards by what they are about: each draws three of its token ids, the first arrivals among
+exponential times that are the same for all documents and run faster for a higher BM25 weight, so that two documents
+draw alike about as often as their weighted tokens agree. Documents of one first draw are neighbours in order, then those
+of one second and third. How many share a first draw is counted (a table bounded by the vocabulary), and a draw of more than
+a part's documents is dealt to several parts by their ids, so that no token and no group of copies makes a large task.
 
 Defined cases: a null or empty text is its end mark alone; repeated rows are packed each; a null doc_id
 stays null; a document of exactly some windows has no tail; an empty table gives an empty result; other
@@ -30,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import stored
-from tidemark.llm.words import REMEMBERED, slices
+from tidemark.llm.words import REMEMBERED, mix, slices
 
 WINDOW, END = 2048, 1
 #: Documents of a shard, telling tokens of a seed, and the two parameters of BM25.
 SHARD, TELLING, K1, B = 2048, 24, 1.2, 0.75
+#: Documents of a part, about, and draws of a document.
+PART, DRAWS = 4 * SHARD, 3
 
 
 def default_tokenizer() -> str:
@@ -160,15 +165,42 @@ def frequencies(tails: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, n, mean or 1.0
 
 
+def bm25(weight: np.ndarray, term: np.ndarray, times: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
+    """Scores of terms that occur so often in documents of such sizes."""
+    tf = times.astype(np.float32)
+    return weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size.astype(np.float32) / mean))
+
+
+def arrivals() -> np.ndarray:
+    """Exponential times of all ids, for each draw."""
+    ids = np.arange(DRAWS << 16, dtype=np.uint64).reshape(DRAWS, -1)
+    return -np.log(((mix(ids + np.uint64(0x51ED2701)) >> np.uint64(11)).astype(float) + 1) * 2.0**-53)
+
+
+def draws(terms: list[np.ndarray], times: list[np.ndarray], size: np.ndarray, weight: np.ndarray, mean: float, race: np.ndarray) -> np.ndarray:
+    """DRAWS ids of each document: documents by draws; every document has an id."""
+    doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    term = np.concatenate(terms).astype(np.int64)
+    speed = np.maximum(bm25(weight, term, np.concatenate(times), size[doc], mean), 1e-6)
+    begin = np.cumsum([0] + [len(t) for t in terms[:-1]])
+    out = np.empty((len(terms), DRAWS), np.int32)
+    for k in range(DRAWS):
+        time = race[k, term] / speed
+        first = np.flatnonzero(time == np.minimum.reduceat(time, begin)[doc])
+        at = first[np.append(True, doc[first[1:]] != doc[first[:-1]])]
+        out[:, k] = term[at]
+    return out
+
+
 class Shard:
     """Tails of a shard, and the inverted index of their documents (of the tails themselves without lengths)."""
 
     def __init__(self, tails: list[np.ndarray], terms: list[np.ndarray], times: list[np.ndarray], weight: np.ndarray, mean: float, lengths: list[int] | None = None) -> None:
         self.tails = tails
         doc = np.repeat(np.arange(len(tails)), [len(t) for t in terms])
-        term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(times).astype(np.float32)
-        size = np.array([len(t) for t in tails] if lengths is None else lengths, np.float32)
-        score = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+        term = np.concatenate(terms).astype(np.int64)
+        size = np.array([len(t) for t in tails] if lengths is None else lengths)
+        score = bm25(weight, term, np.concatenate(times), size[doc], mean)
         self.begin = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
         self.term, self.told = term, score
         order = np.argsort(term, kind="stable")
@@ -217,47 +249,88 @@ class Shard:
             sequence += 1
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard: int = SHARD, with_ids: bool = True) -> DataFrame:
+def _arrays(batch: pa.RecordBatch, name: str, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) if len(x.as_buffer()) else np.zeros(0, kind) for x in batch.column(batch.schema.get_field_index(name))]
+
+
+def parted(tails: DataFrame, weight: np.ndarray, mean: float, part: int = PART) -> DataFrame:
+    """tails with part and d0, d1, ..., their draws, in the order of these within partitions."""
+    race = arrivals()
+    names = [f"d{k}" for k in range(DRAWS)]
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                rows = batch.slice(a, 1024)
+                found = draws(_arrays(rows, "terms", np.uint16), _arrays(rows, "times", np.uint32), rows.column(rows.schema.get_field_index("n")).to_numpy(), weight, mean, race)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(found[:, k]) for k in range(DRAWS))], names=[*rows.schema.names, *names])
+
+    def add(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(drawn, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {n} int" for n in names))
+
+    shared = add(tails.select("n", "terms", "times")).groupBy("d0").count().orderBy("d0").collect()  # no more rows than the vocabulary has ids
+    # Draws in order fill parts; one that fills more than a part has parts of its own.
+    at = np.zeros((1 << 16, 2), np.int64)
+    following, room = 0, part
+    for r in shared:
+        many = -(-r["count"] // part)
+        if many > 1 or r["count"] > room:
+            following, room = following + 1, part
+        at[r["d0"]] = following, many
+        room -= r["count"]
+        if many > 1:
+            following, room = following + many - 1, 0
+    table = tails.sparkSession.createDataFrame(pa.table({"d0": pa.array([r["d0"] for r in shared], pa.int32()), "first_": pa.array([int(at[r["d0"], 0]) for r in shared], pa.int64()), "many_": pa.array([int(at[r["d0"], 1]) for r in shared], pa.int64())}))
+    rows = add(tails).join(F.broadcast(table), "d0")
+    rows = rows.withColumn("part", F.col("first_") + F.pmod(F.xxhash64("doc_id", "tail"), F.col("many_"))).drop("first_", "many_")
+    return rows.repartition("part").sortWithinPartitions("part", *names, F.xxhash64("doc_id", "tail"))
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard: int = SHARD, with_ids: bool = True, part: int = PART) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids) of every piece."""
-    tails = stored(encoded(docs, tokenizer or default_tokenizer(), window, with_ids))
-    df, n, mean = frequencies(tails)
+    whole = stored(encoded(docs, tokenizer or default_tokenizer(), window, with_ids))
+    df, n, mean = frequencies(whole)
     weight = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = ", ".join(f"{x} long" for x in names[:7]) + ", ids array<int>" * with_ids
 
-    def rows_of(held: list[dict], first: int) -> tuple[list, int]:
-        out = []
-        for r in held:
-            for i, c in enumerate(r["checks"]):
-                ids = np.frombuffer(r["heads"], np.uint16)[i * window : (i + 1) * window] if with_ids else None
-                out.append((r["doc_id"], i * window, window, c, r["n"], first, 0, ids))
-                first += 1
-        tails_, terms, times = ([np.frombuffer(r[k], kind) for r in held] for k, kind in (("tail", np.uint16), ("terms", np.uint16), ("times", np.uint32)))
-        last = first - 1
-        for sequence, offset, at, start, take in Shard(tails_, terms, times, weight, mean, [r["n"] for r in held]).pack(window):
-            r, ids = held[at], tails_[at][start : start + take]
-            last = first + sequence
-            out.append((r["doc_id"], len(r["checks"]) * window + start, take, crc(ids), r["n"], last, offset, ids if with_ids else None))
-        return out, last + 1
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        arrays = [pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:7]]
+        if with_ids:
+            arrays.append(pa.array([x[7].astype(np.int32) for x in out], pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        following = (1 << 61) + (TaskContext.get().partitionId() << 33)
+        for batch in batches:
+            for r in (r for a in range(0, len(batch), 64) for r in batch.slice(a, 64).to_pylist()):
+                ids = np.frombuffer(r["heads"], np.uint16) if with_ids else None
+                yield batch_of([(r["doc_id"], i * window, window, c, r["n"], following + i, 0, ids[i * window : (i + 1) * window] if with_ids else None) for i, c in enumerate(r["checks"])])
+                following += len(r["checks"])
+
+    def run_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         following, held = TaskContext.get().partitionId() << 33, []
 
         def done() -> pa.RecordBatch:
             nonlocal following, held
-            out, following = rows_of(held, following)
-            held = []
-            arrays = [pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:7]]
-            if with_ids:
-                arrays.append(pa.array([x[7].astype(np.int32) for x in out], pa.list_(pa.int32())))
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+            tails, terms, times = ([np.frombuffer(r[k], kind) for r in held] for k, kind in (("tail", np.uint16), ("terms", np.uint16), ("times", np.uint32)))
+            out, last = [], following - 1
+            for sequence, offset, at, start, take in Shard(tails, terms, times, weight, mean, [r["n"] for r in held]).pack(window):
+                r, ids = held[at], tails[at][start : start + take]
+                last = following + sequence
+                out.append((r["doc_id"], r["whole"] * window + start, take, crc(ids), r["n"], last, offset, ids))
+            following, held = last + 1, []
+            return batch_of(out)
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for a in range(0, len(batch), 256) for r in batch.slice(a, 256).to_pylist()):
                 held.append(row)
                 if len(held) == shard:
                     yield done()
         if held:
             yield done()
 
-    return tails.mapInArrow(run, schema)
+    heads = whole.filter(F.size("checks") > 0).select("doc_id", "n", "checks", *["heads"] * with_ids).mapInArrow(run_heads, schema)
+    tails = whole.filter(F.length("tail") > 0).select("doc_id", "n", F.size("checks").cast("long").alias("whole"), "tail", "terms", "times")
+    placed = parted(tails, weight, mean, part).select("doc_id", "n", "whole", "tail", "terms", "times").mapInArrow(run_tails, schema)
+    return heads.unionByName(placed)
