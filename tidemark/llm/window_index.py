@@ -5,20 +5,26 @@ least hash (the leftmost of equals), so equal windows name equal grams at equal
 that name the same gram at the same position form a segment, at most 28 windows; its fingerprint is the
 gram's hash and the hash of all words that it covers.
 
-Each batch of texts becomes an immutable run of distinct fingerprints with their counts, bucketed and sorted
-by gram, so runs merge-join without a shuffle; where there are too many they are compacted into one. Counts
-add up, so compaction loses nothing. A segment whose fingerprint is found twice holds repeated windows only.
-A segment of its own whose gram others name too is verified window by window, by 96 bits of the words, against
-one segment of each other fingerprint of that gram. All other segments hold no repeated window.
+Each batch of texts becomes an immutable run of distinct fingerprints with their counts and the place of one example,
+bucketed and sorted by gram, so that a new run is merge-joined with the runs before it without a shuffle. A segment
+whose fingerprint is found twice, in the batch or in history, holds repeated windows only. A segment of its own whose
+gram others name too is verified window by window, by 96 bits of the words, against one segment of each other fingerprint
+of that gram; texts of history that hold these are read again, and no others. What a batch shows is kept as marks of the
+batch's texts and of texts of history. Where there are too many runs they are compacted into one. Counts add up, so
+compaction loses nothing, and marks after any number of batches are those of one batch of all texts.
+
+Runs, packed texts and marks lie under the index's path; an index that is opened there later goes on with them. A run
+names the batches that it holds, and one that another covers is left out, so a compaction that was broken off does no harm.
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing; windows of one text may
-repeat each other; repeated rows repeat each other's windows and all stay; an empty table gives an empty
-result; other columns are not read.
+repeat each other; repeated rows repeat each other's windows and all stay; rows without an id are told apart by 64 bits
+of their texts; an empty table or batch gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import stored
+from tidemark.llm.scratch import folder, free, stored
 from tidemark.llm.words import SLICE_BYTES, Ranges, Words, covered, mix, slices, window_starts, words_of
 
 WINDOW, GRAM = 35, 8
@@ -68,7 +74,7 @@ def segments(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 def narrow(docs: DataFrame) -> DataFrame:
     """doc_id, h (of the text), text; the first two name a row, or rows that are alike."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("h"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def scanned(rows: DataFrame) -> DataFrame:
@@ -85,66 +91,124 @@ def scanned(rows: DataFrame) -> DataFrame:
                 at = ((first - words.first[doc]) << 5) | (last - first) if len(first) else first
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(take), batch.column(1).slice(a, b - a).take(take), pa.array(gram), pa.array(whole), pa.array(at)], names=["doc_id", "h", "gram", "whole", "at"])
 
-    return rows.mapInArrow(run, "doc_id long, h int, gram long, whole long, at long")
+    return rows.mapInArrow(run, "doc_id long, h long, gram long, whole long, at long")
 
 
-def place() -> F.Column:
-    """Names a segment's place; the least of a fingerprint is its example."""
-    return F.xxhash64("doc_id", "h", "at")
+EXAMPLE = "struct<h: bigint, at: bigint, doc_id: bigint>"
+IDENTITY = ["doc_id", "h"]
 
 
 class WindowIndex:
-    """Runs (gram, whole, n, example) in the shared warehouse; `add` takes batches of scanned texts."""
+    """Runs (gram, whole, n, example), packed texts and marks under a path; `add` takes batches of rows of `narrow`."""
 
-    def __init__(self, spark: SparkSession, most_runs: int = 4) -> None:
-        self.spark, self.most_runs, self.runs = spark, most_runs, []
+    def __init__(self, spark: SparkSession, path: str, most_runs: int = 4) -> None:
+        self.spark, self.path, self.most_runs = spark, path.rstrip("/"), most_runs
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    @staticmethod
-    def merged(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("gram", "whole").agg(F.sum("n").alias("n"), F.min("example").alias("example"))
-
-    def _write(self, entries: DataFrame) -> str:
-        name = f"run_{uuid.uuid4().hex}"
+        self.files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.name = "windows_" + hashlib.md5(self.path.encode()).hexdigest()[:12]
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _names(self, kind: str) -> list[str]:
+        """Complete parts of a kind, in order."""
+        if not self.files.exists(self._at("")):
+            return []
+        names = [x.getPath().getName() for x in self.files.listStatus(self._at(""))]
+        return sorted(n for n in names if n.startswith(kind + "-") and self.files.exists(self._at(f"{n}/_SUCCESS")))
+
+    def runs(self) -> list[str]:
+        """Runs that no other covers; a name tells its first and last batch and its buckets."""
+        spans = {n: tuple(map(int, re.findall("[0-9]+", n)))[:2] for n in self._names("run")}
+        return [n for n, (a, b) in spans.items() if not any(m != n and c <= a and b <= d for m, (c, d) in spans.items())]
+
+    def _table(self, run: str) -> DataFrame:
+        name, buckets = f"{self.name}_{run.replace('-', '_')}", int(run.rpartition("-")[2])
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (gram BIGINT, whole BIGINT, n BIGINT, example {EXAMPLE}) USING parquet CLUSTERED BY (gram) SORTED BY (gram) INTO {buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        return self.spark.table(name)
+
+    def _write(self, entries: DataFrame, first: int, last: int) -> str:
+        run = f"run-{first:06d}-{last:06d}-{self.buckets}"
         # As many tasks as buckets, by the same key: each writes one file. Groups are by gram and whole, so without this each task would write to every bucket.
-        entries.repartition(self.buckets, "gram").write.bucketBy(self.buckets, "gram").sortBy("gram").option("compression", "zstd").saveAsTable(name)
-        return name
-
-    def add(self, scan: DataFrame) -> None:
-        """A new run of a batch, and compaction where there are too many. Examples of single segments come later."""
-        found = scan.select("gram", "whole", F.lit(1).cast("long").alias("n"), place().alias("example"))
-        self.runs.append(self._write(self.merged(found)))
-        if len(self.runs) > self.most_runs:
+        rows = entries.select("gram", "whole", "n", F.col("example").cast(EXAMPLE).alias("example")).repartition(self.buckets, "gram")
+        rows.write.bucketBy(self.buckets, "gram").sortBy("gram").option("compression", "zstd").option("path", f"{self.path}/{run}").saveAsTable(f"{self.name}_{run.replace('-', '_')}")
+        return run
+
+    def _keep(self, rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        names = self._names(kind)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{n}" for n in names)) if names else self.spark.createDataFrame([], schema)
+
+    def texts(self) -> DataFrame:
+        """doc_id, h, z of every row of every batch."""
+        return self._read("texts", "doc_id long, h long, z binary")
+
+    def marks(self) -> DataFrame:
+        """doc_id, h of texts with repeated windows; sure: repeated segments; found: single windows."""
+        rows = self._read("marks", "doc_id long, h long, sure array<long>, found array<int>")
+        flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+        return rows.groupBy(*IDENTITY).agg(flat("sure"), flat("found"))
+
+    def entries(self, runs: list[str] | None = None) -> DataFrame:
+        """Runs merge-joined on their buckets: one row for each fingerprint."""
+        first, *rest = [self._table(r) for r in (self.runs() if runs is None else runs)]
+        for new in rest:
+            both = first.join(new.toDF("gram", "whole", "n2", "example2"), ["gram", "whole"], "full_outer")
+            first = both.select("gram", "whole", (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"), F.coalesce("example", "example2").alias("example"))
+        return first
+
+    def add(self, rows: DataFrame) -> None:
+        """Joins a batch with history, marks the texts of both that hold what the other or itself repeats, and keeps its run."""
+        old, number = self.runs(), len(self._names("marks"))
+        self._keep(packed(rows), f"texts-{number:06d}")
+        scan = stored(scanned(rows))
+        place = F.struct("h", "at", "doc_id")
+        run = self._write(scan.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(place).alias("example")), number, number)
+        new = self._table(run).toDF("gram", "whole", "own", "own_at")
+        past = self.entries(old).toDF("gram", "whole", "old", "old_at") if old else None
+        both = new.join(past, ["gram", "whole"], "full_outer") if old else new.withColumns({"old": F.lit(0).cast("long"), "old_at": F.lit(None).cast(EXAMPLE)})
+        both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("own", "old")})
+        grams = both.groupBy("gram").agg(F.sum("own").alias("fresh"), F.sum(F.col("own") + F.col("old")).alias("total"), F.count("*").alias("kinds")).filter("fresh > 0 AND total > 1")
+        hit = stored(both.join(grams.select("gram", "kinds"), "gram"))
+        segment = lambda c, sure: [F.col(f"{c}.doc_id").alias("doc_id"), F.col(f"{c}.h").alias("h"), F.col(f"{c}.at").alias("at"), F.lit(sure).alias("is_sure")]
+        # Of a fingerprint with one segment its example is the segment; only those with more in the batch are looked up there.
+        several = hit.filter("own > 1").select("gram", "whole")
+        sure = hit.filter("own > 0 AND old = 1").select(segment("old_at", True)).union(hit.filter("own = 1 AND old > 0").select(segment("own_at", True)))
+        sure = sure.union(scan.join(several, ["gram", "whole"], "left_semi").select("doc_id", "h", "at", F.lit(True)))
+        open_ = hit.filter("kinds > 1").withColumn("any_at", F.coalesce("old_at", "own_at")).select(segment("any_at", False))
+        seen = stored(sure.union(open_).groupBy(*IDENTITY).agg(F.collect_set(F.when(F.col("is_sure"), F.col("at"))).alias("sure"), F.collect_set(F.when(~F.col("is_sure"), F.col("at"))).alias("open")))
+        asked, texts = seen.filter(F.size("open") > 0), self.texts()
+        windows = stored(open_windows(texts.join(asked.select(*IDENTITY, "open"), alike(texts, asked)).select(texts["doc_id"], texts["h"], "z", "open")))
+        twice = windows.groupBy("a", "b").count().filter("count > 1").select("a", "b")
+        found = windows.join(twice, ["a", "b"], "left_semi").groupBy(*IDENTITY).agg(F.collect_set("at").alias("found"))
+        none = lambda kind, name: F.array().cast(kind).alias(name)
+        marks = seen.filter(F.size("sure") > 0).select(*IDENTITY, "sure", none("array<int>", "found")).union(found.select(*IDENTITY, none("array<long>", "sure"), "found"))
+        self._keep(marks, f"marks-{number:06d}")
+        free(scan, hit, seen, windows)
+        if len(old) + 1 > self.most_runs:
             self.compact()
 
     def compact(self) -> None:
         """One run of all; the old ones go."""
-        if len(self.runs) > 1:
-            old, self.runs = self.runs, [self._write(self.entries())]
-            for name in old:
-                self.spark.sql(f"DROP TABLE {name}")
-
-    def entries(self) -> DataFrame:
-        """All runs merge-joined on their buckets: one row for each fingerprint."""
-        out = self.spark.table(self.runs[0])
-        for name in self.runs[1:]:
-            new = self.spark.table(name).toDF("gram", "whole", "n2", "example2")
-            both = out.join(new, ["gram", "whole"], "full_outer")
-            out = both.select("gram", "whole", (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"), F.least("example", "example2").alias("example"))
-        return out
-
-    def repeated(self) -> DataFrame:
-        """Fingerprints of grams that two or more segments name, with alone: no other fingerprint has the gram."""
-        entries = self.entries()
-        grams = entries.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-        return entries.join(grams, "gram").select("gram", "whole", "n", "example", (F.col("kinds") == 1).alias("alone"))
-
-
-def candidates(scan: DataFrame, repeated: DataFrame) -> DataFrame:
-    """doc_id, h and their segments: sure (repeated as a whole) and open (windows to be compared)."""
-    hit = scan.join(repeated, ["gram", "whole"])
-    is_open = ~F.col("alone") & ((F.col("n") == 1) | (place() == F.col("example")))
-    return hit.groupBy("doc_id", "h").agg(F.collect_set(F.when(F.col("n") > 1, F.col("at"))).alias("sure"), F.collect_set(F.when(is_open, F.col("at"))).alias("open"))
+        old = self.runs()
+        if len(old) > 1:
+            spans = [tuple(map(int, re.findall("[0-9]+", n)))[:2] for n in old]
+            self._write(self.entries(old), min(a for a, _ in spans), max(b for _, b in spans))
+            for run in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{run.replace('-', '_')}")
+                self.files.delete(self._at(run), True)
+
+    def drop(self) -> None:
+        """The tables and all files go."""
+        for run in self._names("run"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{run.replace('-', '_')}")
+        self.files.delete(self._at(""), True)
+
+
+def alike(x: DataFrame, y: DataFrame) -> F.Column:
+    return (x["h"] == y["h"]) & x["doc_id"].eqNullSafe(y["doc_id"])
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -158,7 +222,7 @@ def packed(rows: DataFrame) -> DataFrame:
                 z = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], names=["doc_id", "h", "z"])
 
-    return rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h int, z binary")
+    return rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, z binary")
 
 
 def _unpacked(z: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
@@ -203,7 +267,7 @@ def open_windows(hits: DataFrame) -> DataFrame:
                 ids = [batch.column(k).slice(i, j - i).take(pa.array(doc)) for k in range(2)]
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.astype(np.int32)), *ids, pa.array((start - words.first[doc]).astype(np.int32))], names=["a", "b", "doc_id", "h", "at"])
 
-    return hits.select("doc_id", "h", "z", "open").mapInArrow(run, "a long, b int, doc_id long, h int, at int")
+    return hits.select("doc_id", "h", "z", "open").mapInArrow(run, "a long, b int, doc_id long, h long, at int")
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -216,7 +280,7 @@ def digests(rows: DataFrame) -> DataFrame:
                 words = [t.encode("utf-8", "surrogatepass").split() for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])], names=["doc_id", "h", "n_words", "kept_sha256"])
 
-    return rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h int, n_words long, kept_sha256 string")
+    return rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n_words long, kept_sha256 string")
 
 
 def removed(hits: DataFrame) -> DataFrame:
@@ -239,27 +303,22 @@ def removed(hits: DataFrame) -> DataFrame:
     return hits.select("doc_id", "z", "sure", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def remove_repeated(docs: DataFrame, batches: int = 2) -> DataFrame:
+def remove_repeated(docs: DataFrame, batches: int = 6, path: str | None = None, most_runs: int = 4) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row: words in windows that start anywhere else are removed.
 
-    Texts are loaded as so many batches; verdicts are made on the runs of them all. Texts that hold nothing
-    repeated go through no shuffle but that which finds out.
+    Texts are added to an index batch by batch; the marks after the last are those of all texts. Texts without marks go
+    through no shuffle but that which finds out. With a path the index stays there, and texts that it held before count too.
     """
-    rows = narrow(docs)
-    index = WindowIndex(docs.sparkSession)
+    spark, rows = docs.sparkSession, narrow(docs)
+    index = WindowIndex(spark, path or f"{folder(spark).rstrip('/')}/windows-{uuid.uuid4().hex}", most_runs)
     for b in range(batches):
-        index.add(scanned(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)))
-    hits = stored(candidates(scanned(rows), stored(index.repeated())))
-    for name in index.runs:
-        docs.sparkSession.sql(f"DROP TABLE {name}")
-    same = lambda x, y: (x["h"] == y["h"]) & x["doc_id"].eqNullSafe(y["doc_id"])
+        index.add(rows.filter(F.pmod(F.xxhash64("doc_id", "h"), F.lit(batches)) == b))
+    marks = stored(index.marks())
     z = packed(rows)
-    texts = stored(z.join(hits, same(z, hits)).select(z["doc_id"], z["h"], "z", "sure", "open"))
-    windows = open_windows(texts.filter(F.size("open") > 0))
-    twice = stored(windows.groupBy("a", "b").count().filter("count > 1").select("a", "b"))
-    found = windows.join(twice, ["a", "b"]).groupBy("doc_id", "h").agg(F.collect_set("at").alias("found"))
-    ready = texts.join(found, same(texts, found), "left").select(texts["doc_id"], "z", "sure", F.coalesce("found", F.array().cast("array<int>")).alias("found"))
-    changed = removed(ready).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    changed = removed(z.join(marks, alike(z, marks)).select(z["doc_id"], "z", "sure", "found"))
+    changed = stored(changed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
+    if path is None:
+        index.drop()
     base = digests(rows)
-    rest = base.join(hits.select("doc_id", "h"), same(base, hits), "left_anti")
+    rest = base.join(marks.select(*IDENTITY), alike(base, marks), "left_anti")
     return changed.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256"))
