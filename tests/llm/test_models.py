@@ -55,12 +55,34 @@ def test_clauses_count_by_use():
     assert clause_total("I will kill you", {}) < clause_total("you I will kill", {})
     assert clause_total("grumblefax", {"grumb*": 5.0}) == pytest.approx(5.0)
     assert clause_total("nothing here", {}) == 0
+    assert clause_total("you will kill", {}) > clause_total("you kill", {})
+    one, two = clause_total("idiot", {}), clause_total("idiot moron", {})
+    assert two > 2 * one
+
+
+def test_learned_words_are_insults_or_threats(spark):
+    """A word that mostly follows an intent is learned as a threat, one that doesn't as an insult."""
+    rows = [(f"you are a glorp number{i}", 1) for i in range(12)] + [(f"i will frazzle you number{i}", 1) for i in range(12)] + [(f"a calm text number{i} of some words", 0) for i in range(60)]
+    entries, threats = toxicity_fst.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    assert "glorp" in entries and "frazzle" in entries
+    assert "frazzle" in threats and "glorp" not in threats
+    lexicon = toxicity_fst.Lexicon(entries, threats)
+    assert lexicon.look_up("frazzle")[0] == toxicity_fst.THREAT and lexicon.look_up("glorp!")[0] == toxicity_fst.INSULT
+
+
+def test_held_out_verdicts(spark):
+    """At the limit of the filter: most toxic rows go, clean rows stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    score, y = held_out(toxicity_fst.score(docs, toxicity_fst.learned(docs, labels)), labels, "toxic", 3, 1)
+    assert (score[y == 1] >= 0.7).mean() >= 0.75 and (score[y == 0] >= 0.7).mean() <= 0.01
 
 
 def test_composition_runs_machines_side_by_side():
-    machines = (toxicity_fst.REPORTED, toxicity_fst.NEGATED, toxicity_fst.AIMED)
-    for symbols in itertools.product(range(1, 7), repeat=4):
-        state, product, single = 0, 1.0, [0, 0, 0]
+    machines = toxicity_fst.MACHINES
+    assert len(machines) == 5
+    for symbols in itertools.product(list(toxicity_fst.SYMBOLS)[1:], repeat=4):
+        state, product, single = 0, 1.0, [0] * 5
         for s in symbols:
             state, f = toxicity_fst.GRAMMAR.step(state, s)
             want = 1.0

@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A lexicon transducer reads words as insults and threats (whole words and stems, with weights learned from
-labelled rows), targets, negations and reports; other words pass. Transducers for reported speech, negation
-and targets are composed with it into one deterministic machine, which reads each clause and gives every insult
-or threat a weight for how it is used: aimed at a target it counts more, negated or reported less. A text's
-clause weights are turned into a probability by a logistic fit on the same labelled rows.
+labelled rows), targets, intents, negations and reports; other words pass. A learned word is a threat if it mostly follows
+an intent. Transducers for insults, threats, targets, negation and reported speech are composed with it into one
+deterministic machine, which reads each clause and gives every insult or threat a weight for how it is used: aimed at a
+target or announced it counts more, as one of several insults more, negated or reported less. A text's clause weights
+are turned into a probability by a logistic fit on the same labelled rows.
 
 Learning takes at most about `most` labelled rows, a documented bound; scoring reads whole texts, each alone.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.labelled import fold, sample
 from tidemark.llm.words import REMEMBERED, Words, slices, words_of
 
-PASS, INSULT, THREAT, TARGET, NEGATION, REPORT, GAP = range(7)
+PASS, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, GAP = SYMBOLS = range(8)
 #: Seeds of the lexicon by class, in four languages.
 SEEDS = {
     INSULT: "idiot moron stupid scum trash loser clown pathetic worthless disgusting dumb imbecile idiota estúpido idiotin dummkopf abschaum connard crétin",
@@ -37,9 +38,10 @@ SEEDS = {
     TARGET: "you your yours yourself u ur they them those he she him her du dich dein sie ihr tu toi vous tú usted ustedes vosotros",
     NEGATION: "not never no neither nor without isn't aren't wasn't don't doesn't won't nicht nie kein keine ne pas jamais nunca ni tampoco",
     REPORT: "said says say told tells called calls wrote writes claimed claims quoted according allegedly sagte sagt schrieb laut dit écrit selon dijo dice según",
+    INTENT: "will gonna going shall i'll we'll werde werden vais allons voy vamos",
 }
 SEED_WEIGHT = 3.0
-MOST, ENTRIES = 20_000, 4000
+MOST = 20_000
 STEM = range(3, 9)
 LEAST_G, LEAST_ODDS = 24.0, 3.5
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -61,12 +63,16 @@ def compose(*machines: Transducer) -> Transducer:
     names = {s: i for i, s in enumerate(product(*(range(m.states) for m in machines)))}
     arcs = {}
     for state, number in names.items():
-        for symbol in range(7):
+        for symbol in SYMBOLS:
             steps = [m.step(s, symbol) for m, s in zip(machines, state, strict=True)]
             arcs[number, symbol] = (names[tuple(s for s, _ in steps)], math.prod(f for _, f in steps))
     return Transducer(len(names), arcs)
 
 
+#: Each further insult of a clause counts more.
+INSULTING = Transducer(2, {(0, INSULT): (1, 1.0), (1, INSULT): (1, 1.2)})
+#: A threat that someone announces counts more than its word alone.
+THREATENING = Transducer(2, {(0, INTENT): (1, 1.0), (1, THREAT): (1, 1.5), (1, GAP): (0, 1.0)})
 #: After a target, insults and threats count more; a threat without one counts less.
 AIMED = Transducer(2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.5), (1, THREAT): (1, 2.0), (0, THREAT): (0, 0.3)})
 #: GAP stands for more than `NEAR` words without a class.
@@ -75,16 +81,21 @@ NEAR = 2
 NEGATED = Transducer(2, {(0, NEGATION): (1, 1.0), (1, GAP): (0, 1.0), (1, INSULT): (0, 0.5), (1, THREAT): (0, 0.3)})
 #: After a report, the rest of the clause is someone else's.
 REPORTED = Transducer(2, {(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.6), (1, THREAT): (1, 0.5)})
-GRAMMAR = compose(REPORTED, NEGATED, AIMED)
+MACHINES = (REPORTED, NEGATED, AIMED, INSULTING, THREATENING)
+GRAMMAR = compose(*MACHINES)
+
+
+_NO_STEM = (0.0, PASS)
 
 
 class Lexicon:
-    """Class and weight of words. entries: whole words, or stems with a trailing star, with their weights."""
+    """Class and weight of words. entries: whole words, or stems with a trailing star, with their weights; threats: those that are threats."""
 
-    def __init__(self, entries: dict[str, float]) -> None:
+    def __init__(self, entries: dict[str, float], threats: frozenset[str] = frozenset()) -> None:
+        kind = lambda w: THREAT if w in threats else INSULT
         self.exact = {w: (kind, SEED_WEIGHT if kind in (INSULT, THREAT) else 1.0) for kind, words in SEEDS.items() for w in words.split()}
-        self.exact |= {w: (INSULT, x) for w, x in entries.items() if w[-1] != "*" and self.exact.get(w, (INSULT,))[0] == INSULT}
-        self.stems = {w[:-1]: x for w, x in entries.items() if w[-1] == "*"}
+        self.exact |= {w: (kind(w), x) for w, x in entries.items() if w[-1] != "*" and self.exact.get(w, (INSULT,))[0] == INSULT}
+        self.stems = {w[:-1]: (x, kind(w)) for w, x in entries.items() if w[-1] == "*"}
         self.known: dict[str, tuple[int, float]] = {}
 
     def look_up(self, word: str) -> tuple[int, float]:
@@ -92,9 +103,9 @@ class Lexicon:
         for core in _LETTERS.findall(word.lower()):
             found = self.exact.get(core)
             if found is None:
-                stem = max((self.stems.get(core[:n], 0.0) for n in STEM if n <= len(core)), default=0.0)
-                found = (INSULT, stem) if stem else (PASS, 0.0)
-            if found[0] and (best[0] in (PASS, TARGET, NEGATION, REPORT) and found[0] in (INSULT, THREAT) or not best[0] or found[1] > best[1] and found[0] == best[0]):
+                stem, kind = max((self.stems.get(core[:n], _NO_STEM) for n in STEM if n <= len(core)), default=_NO_STEM)
+                found = (kind, stem) if stem else (PASS, 0.0)
+            if found[0] and (best[0] in (PASS, TARGET, NEGATION, REPORT, INTENT) and found[0] in (INSULT, THREAT) or not best[0] or found[1] > best[1] and found[0] == best[0]):
                 best = found
         return best
 
@@ -150,32 +161,42 @@ def features(words: Words, lexicon: Lexicon) -> np.ndarray:
     return np.column_stack([np.log1p(out[:, 0]), np.minimum(out[:, 1], STRONG)])
 
 
-def learn_lexicon(train: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
-    """Words and stems with log-odds of being in texts of label 1, by document counts over the sample.
+def announced(words: list[str]) -> set[str]:
+    """Words that follow an intent within three words."""
+    intents = SEEDS[INTENT].split()
+    return {w for i, x in enumerate(words) if x in intents for w in words[i + 1 : i + 4]}
+
 
-    What is kept differs from chance (G statistic) and leans to label 1; at most `entries`, the most certain.
+def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
+    """Words and stems with log-odds of being in texts of label 1, by document counts over the sample, and those of them that are threats.
+
+    What is kept differs from chance (G statistic) and leans to label 1. A threat follows an intent in half of its texts or more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {}
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cores = set(_LETTERS.findall((text or "").lower()))
-                for term in cores | {c[:n] + "*" for c in cores for n in STEM if n < len(c)}:
-                    counts.setdefault(term, [0, 0])[y > 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (1, 0))], names=["term", "a", "b"])
+                words = _LETTERS.findall((text or "").lower())
+                with_stems = lambda cores: cores | {c[:n] + "*" for c in cores for n in STEM if n < len(c)}
+                for term in with_stems(set(words)):
+                    counts.setdefault(term, [0, 0, 0])[y > 0] += 1
+                for term in with_stems(announced(words)) if y > 0 else ():
+                    counts[term][2] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (1, 0, 2))], names=["term", "a", "b", "c"])
 
     total = train.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     positive, negative = total[0], total[1] - total[0]
     if not positive or not negative:
-        return {}
-    counts = train.select("text", "y").mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        return {}, frozenset()
+    counts = train.select("text", "y").mapInArrow(run, "term string, a long, b long, c long").groupBy("term").agg(*(F.sum(x).alias(x) for x in "abc"))
     rate = positive / (positive + negative)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     g = 2 * (a * F.log(a / ((a + b) * rate)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - rate)))).otherwise(0.0))
     odds = F.log((a + 0.5) / (positive + 1)) - F.log((b + 0.5) / (negative + 1))
     rows = counts.filter("a > 2").withColumn("g", g).withColumn("odds", odds).filter((F.col("g") >= LEAST_G) & (F.col("odds") >= LEAST_ODDS))
-    return {r["term"]: r["odds"] for r in rows.orderBy(F.desc("g"), "term").limit(entries).collect()}
+    kept = rows.select("term", "odds", (2 * F.col("c") >= F.col("a")).alias("threat")).collect()  # of terms of a bounded sample
+    return {r["term"]: r["odds"] for r in kept}, frozenset(r["term"] for r in kept if r["threat"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -200,6 +221,10 @@ FIXED_FIT = np.array([1.0, 0.8, -2.5])
 class Model:
     entries: dict[str, float]
     weights: np.ndarray
+    threats: frozenset[str] = frozenset()
+
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.entries, self.threats)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
@@ -208,11 +233,11 @@ class Model:
 def fit(train: DataFrame) -> Model:
     """The lexicon and the logistic weights of a bounded sample (text, y)."""
     train = train.select("text", "y")
-    entries = learn_lexicon(train)
+    entries, threats = learn_lexicon(train)
     schema = ", ".join(f"{f} double" for f in FEATURES) + ", y double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(entries)
+        lexicon = Lexicon(entries, threats)
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 x = features(words_of(batch.column(0).slice(a, b - a)), lexicon)
@@ -222,15 +247,15 @@ def fit(train: DataFrame) -> Model:
     rows = train.mapInArrow(run, schema).toPandas()  # as many rows as the bounded sample has
     rows = rows.sort_values([*FEATURES, "y"])
     if rows["y"].nunique() < 2:
-        return Model(entries, FIXED_FIT)
-    return Model(entries, logistic(rows[list(FEATURES)].to_numpy(), rows["y"].to_numpy()))
+        return Model(entries, FIXED_FIT, threats)
+    return Model(entries, logistic(rows[list(FEATURES)].to_numpy(), rows["y"].to_numpy()), threats)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every whole text, and its features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model.entries)
+        lexicon = model.lexicon()
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 x = features(words_of(batch.column(1).slice(a, b - a)), lexicon)
@@ -253,7 +278,7 @@ def filtered(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     """docs without the rows that score `limit` or more, all columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model.entries)
+        lexicon = model.lexicon()
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
             for a, b in slices(text):
