@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import stored
-from tidemark.llm.words import REMEMBERED, mix, slices
+from tidemark.llm.words import REMEMBERED, mix, slices, tidied
 
 WINDOW, END = 2048, 1
 #: Documents of a shard, telling tokens of a seed, and the two parameters of BM25.
@@ -144,7 +144,7 @@ def encoded(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: boo
                 arrays = [batch.column(0).slice(a, b - a), pa.array(n), pa.array(columns[0], pa.list_(pa.int64())), *(pa.array(c, pa.binary()) for c in columns[1 : 4 + with_ids])]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "checks", "tail", "terms", "times", "heads"][: 6 + with_ids])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
 def frequencies(tails: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -158,7 +158,7 @@ def frequencies(tails: DataFrame) -> tuple[np.ndarray, int, float]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
-    rows = tails.select("terms").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # no more rows than the vocabulary has ids
+    rows = tails.select("terms").mapInArrow(tidied(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # no more rows than the vocabulary has ids
     df = np.zeros(1 << 16, np.int64)
     df[[r["id"] for r in rows]] = [r["n"] for r in rows]
     n, mean = tails.select(F.count("*"), F.avg("n")).first()
@@ -266,7 +266,7 @@ def parted(tails: DataFrame, weight: np.ndarray, mean: float, part: int = PART)
                 yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(found[:, k]) for k in range(DRAWS))], names=[*rows.schema.names, *names])
 
     def add(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(drawn, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {n} int" for n in names))
+        return rows.mapInArrow(tidied(drawn), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {n} int" for n in names))
 
     shared = add(tails.select("n", "terms", "times")).groupBy("d0").count().orderBy("d0").collect()  # no more rows than the vocabulary has ids
     # Draws in order fill parts; one that fills more than a part has parts of its own.
@@ -330,7 +330,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
         if held:
             yield done()
 
-    heads = whole.filter(F.size("checks") > 0).select("doc_id", "n", "checks", *["heads"] * with_ids).mapInArrow(run_heads, schema)
+    heads = whole.filter(F.size("checks") > 0).select("doc_id", "n", "checks", *["heads"] * with_ids).mapInArrow(tidied(run_heads), schema)
     tails = whole.filter(F.length("tail") > 0).select("doc_id", "n", F.size("checks").cast("long").alias("whole"), "tail", "terms", "times")
-    placed = parted(tails, weight, mean, part).select("doc_id", "n", "whole", "tail", "terms", "times").mapInArrow(run_tails, schema)
+    placed = parted(tails, weight, mean, part).select("doc_id", "n", "whole", "tail", "terms", "times").mapInArrow(tidied(run_tails), schema)
     return heads.unionByName(placed)

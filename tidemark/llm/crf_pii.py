@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import REMEMBERED, slices, words_of
+from tidemark.llm.words import REMEMBERED, slices, tidied, words_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -561,7 +561,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = "array<struct<kind: string, start: long, end: long>>"
-    return rows.mapInArrow(run, f"doc_id long, base {spans}, spans {spans}")
+    return rows.mapInArrow(tidied(run), f"doc_id long, base {spans}, spans {spans}")
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -592,4 +592,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                 text = pa.array([None if t is None else redact(t, f[1]) if f[1] else t for t, f in zip(column.to_pylist(), found, strict=True)], column.type)
                 yield part.set_column(i, part.schema.field(i), text)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

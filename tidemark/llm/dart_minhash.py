@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import free, stored
-from tidemark.llm.words import Ranges, mix, slices, window_starts, words_of
+from tidemark.llm.words import Ranges, mix, slices, tidied, window_starts, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 6
@@ -149,7 +149,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(found.reshape(-1)), mask=pa.array(empty))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), rows], names=["doc_id", "key", "bands"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return keyed(docs).mapInArrow(tidied(run), "doc_id long, key binary, bands array<long>")
 
 
 def elements(texts: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def elements(texts: DataFrame) -> DataFrame:
                 sets = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(value)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], names=["key", "elements"])
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, elements binary")
+    return texts.select("key", "text").mapInArrow(tidied(run), "key binary, elements binary")
 
 
 def similarity(a: bytes | pa.Buffer, b: bytes | pa.Buffer) -> float:
@@ -192,7 +192,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fits, pa.bool_())], names=["key", "center", "similar"])
 
     both = pairs.join(sets, "key").join(sets.select(F.col("key").alias("center"), F.col("elements").alias("other")), "center")
-    return both.select("key", "center", "elements", "other").mapInArrow(run, "key binary, center binary, similar boolean")
+    return both.select("key", "center", "elements", "other").mapInArrow(tidied(run), "key binary, center binary, similar boolean")
 
 
 def starred(rows: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def compared(rows: DataFrame, least: float) -> DataFrame:
         if held:
             yield done()
 
-    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "key binary, center binary").distinct()
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(tidied(run), "key binary, center binary").distinct()
 
 
 def only(rows: DataFrame, id_: Column, chosen: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import fold, sample
-from tidemark.llm.words import REMEMBERED, Words, slices, words_of
+from tidemark.llm.words import REMEMBERED, Words, slices, tidied, words_of
 
 PLACES, LATENT, MOST, NEAREST, SHARPNESS = 4096, 48, 5000, 15, 8.0
 #: Bits of a coordinate. PLACES products of two are below 2**53.
@@ -170,7 +170,7 @@ def fit(train: DataFrame, latent: int = LATENT) -> Model:
                 at = [np.flatnonzero(x).astype(np.uint16) for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array([i.tobytes() for i in at], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(found, at, strict=True)], pa.binary()), part.column(1)], names=["place", "value", "y"])
 
-    rows = sorted((bytes(r["place"]), bytes(r["value"]), r["y"]) for r in train.select("text", "y").mapInArrow(run, "place binary, value binary, y int").collect())
+    rows = sorted((bytes(r["place"]), bytes(r["value"]), r["y"]) for r in train.select("text", "y").mapInArrow(tidied(run), "place binary, value binary, y int").collect())
     x = np.zeros((len(rows), PLACES), np.float32)
     for i, (place, value, _) in enumerate(rows):
         x[i, np.frombuffer(place, np.uint16)] = np.frombuffer(value, np.float32)
@@ -203,4 +203,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(c, d - c), pa.array(found)], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, score double")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import tidied
+
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kilobits a second by index, of MPEG-1 layers I to III and of MPEG-2 layers I, and II with III.
 BITRATES = {
     (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -249,7 +251,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 raw = [padded(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in raw], pa.int64()), pa.array([store(p) for _, p in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n_bytes long, media binary")
 
 
 _LONG, _TEXT = ("long", pa.int64()), ("string", pa.string())
@@ -294,4 +296,4 @@ def read_media(stored: DataFrame, keep_payload: bool = True) -> DataFrame:
                 rows = [one(*x) for x in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for f, v in zip(schema, zip(*rows, strict=True), strict=True)], schema=schema)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind, _ in columns))
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidied(run), ", ".join(f"{name} {kind}" for name, kind, _ in columns))

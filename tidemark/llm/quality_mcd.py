@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import cut, stored
-from tidemark.llm.words import SPACE, Ranges, Words, covered, mix, slices, words_of
+from tidemark.llm.words import SPACE, Ranges, Words, covered, mix, slices, tidied, words_of
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The coordinates of a vector, all but the first shrunk towards a fixed value so that short texts are not outliers by chance.
@@ -119,7 +119,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def distance(prefix: str = "") -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import fold, sample
-from tidemark.llm.words import REMEMBERED, Words, slices, words_of
+from tidemark.llm.words import REMEMBERED, Words, slices, tidied, words_of
 
 PASS, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, GAP = SYMBOLS = range(8)
 #: Seeds of the lexicon by class, in four languages.
@@ -189,7 +189,7 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
     positive, negative = total[0], total[1] - total[0]
     if not positive or not negative:
         return {}, frozenset()
-    counts = train.select("text", "y").mapInArrow(run, "term string, a long, b long, c long").groupBy("term").agg(*(F.sum(x).alias(x) for x in "abc"))
+    counts = train.select("text", "y").mapInArrow(tidied(run), "term string, a long, b long, c long").groupBy("term").agg(*(F.sum(x).alias(x) for x in "abc"))
     rate = positive / (positive + negative)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     g = 2 * (a * F.log(a / ((a + b) * rate)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - rate)))).otherwise(0.0))
@@ -244,7 +244,7 @@ def fit(train: DataFrame) -> Model:
                 y = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(float)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), pa.array(y)], names=[*FEATURES, "y"])
 
-    rows = train.mapInArrow(run, schema).toPandas()  # as many rows as the bounded sample has
+    rows = train.mapInArrow(tidied(run), schema).toPandas()  # as many rows as the bounded sample has
     rows = rows.sort_values([*FEATURES, "y"])
     if rows["y"].nunique() < 2:
         return Model(entries, FIXED_FIT, threats)
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.scores(x)), *(pa.array(c) for c in x.T)], names=["doc_id", "score", *FEATURES])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, " + ", ".join(f"{f} double" for f in FEATURES))
+    return rows.mapInArrow(tidied(run), "doc_id long, score double, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def train_fold(labels_id: str = "doc_id"):
@@ -285,4 +285,4 @@ def filtered(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
                 keep = model.scores(features(words_of(text.slice(a, b - a)), lexicon)) < limit
                 yield batch.slice(a, b - a).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

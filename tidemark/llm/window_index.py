@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import folder, free, stored
-from tidemark.llm.words import SLICE_BYTES, Ranges, Words, covered, mix, slices, window_starts, words_of
+from tidemark.llm.words import SLICE_BYTES, Ranges, Words, covered, mix, slices, tidied, window_starts, words_of
 
 WINDOW, GRAM = 35, 8
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -91,7 +91,7 @@ def scanned(rows: DataFrame) -> DataFrame:
                 at = ((first - words.first[doc]) << 5) | (last - first) if len(first) else first
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(take), batch.column(1).slice(a, b - a).take(take), pa.array(gram), pa.array(whole), pa.array(at)], names=["doc_id", "h", "gram", "whole", "at"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, gram long, whole long, at long")
+    return rows.mapInArrow(tidied(run), "doc_id long, h long, gram long, whole long, at long")
 
 
 EXAMPLE = "struct<h: bigint, at: bigint, doc_id: bigint>"
@@ -222,7 +222,7 @@ def packed(rows: DataFrame) -> DataFrame:
                 z = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], names=["doc_id", "h", "z"])
 
-    return rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, z binary")
+    return rows.select("doc_id", "h", "text").mapInArrow(tidied(run), "doc_id long, h long, z binary")
 
 
 def _unpacked(z: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
@@ -267,7 +267,7 @@ def open_windows(hits: DataFrame) -> DataFrame:
                 ids = [batch.column(k).slice(i, j - i).take(pa.array(doc)) for k in range(2)]
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.astype(np.int32)), *ids, pa.array((start - words.first[doc]).astype(np.int32))], names=["a", "b", "doc_id", "h", "at"])
 
-    return hits.select("doc_id", "h", "z", "open").mapInArrow(run, "a long, b int, doc_id long, h long, at int")
+    return hits.select("doc_id", "h", "z", "open").mapInArrow(tidied(run), "a long, b int, doc_id long, h long, at int")
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def digests(rows: DataFrame) -> DataFrame:
                 words = [t.encode("utf-8", "surrogatepass").split() for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])], names=["doc_id", "h", "n_words", "kept_sha256"])
 
-    return rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n_words long, kept_sha256 string")
+    return rows.select("doc_id", "h", "text").mapInArrow(tidied(run), "doc_id long, h long, n_words long, kept_sha256 string")
 
 
 def removed(hits: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def removed(hits: DataFrame) -> DataFrame:
                     kept.append(b" ".join([raw[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(words.counts), pa.array(words.per_doc_words(gone)), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return hits.select("doc_id", "z", "sure", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return hits.select("doc_id", "z", "sure", "found").mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def remove_repeated(docs: DataFrame, batches: int = 6, path: str | None = None, most_runs: int = 4) -> DataFrame:

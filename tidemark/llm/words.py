@@ -6,7 +6,8 @@ slices of Arrow batches of about a megabyte, so memory is bounded by the slice o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,6 +58,22 @@ class _Table:
 _UP, _DOWN = _Table(_BASE), _Table(_INVERSE)
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidied(run: Run) -> Run:
+    """run, with what a task has freed given back to the system at its end: a worker serves many tasks, and keeps it otherwise."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column that hold at most `most` bytes, or one row."""
     if not len(column):
