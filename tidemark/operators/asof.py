@@ -36,8 +36,14 @@ def latest(facts: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> D
     return best.select(*keys, *(F.col(f"row_.{c}").alias(c) for c in rest)).select(facts.columns)
 
 
-def restated(facts: DataFrame) -> DataFrame:
-    """The last filing of each interval, whatever day it is."""
+#: Who asked for restated facts, and how often: a read that looks ahead leaves a trace.
+RESTATED_READS: dict[str, int] = {}
+
+
+def restated(facts: DataFrame, caller: str = "") -> DataFrame:
+    """The last filing of each interval, whatever day it is. A named caller is counted in RESTATED_READS."""
+    if caller:
+        RESTATED_READS[caller] = RESTATED_READS.get(caller, 0) + 1
     return latest(facts, INTERVAL, ("filed", *TIES[1:]))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import known, month_anchor, ratio
 from tidemark.operators.asof import INTERVAL, TIES, history, latest_known, sampled
+from tidemark.operators.audit import Rule
 from tidemark.sources.tables import Tables
 
 VALUES = ("ticker", "signal_date", "value")
@@ -197,28 +198,62 @@ def asset_growth(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "p
 
 @dataclass(frozen=True)
 class Factor:
-    """A registered signal. uses_facts: it reads the bitemporal table, so vintages can differ."""
+    """A registered signal. uses_facts: it reads the bitemporal table, so vintages can differ; rules bound its raw values."""
 
     factor_id: str
     compute: Callable[..., DataFrame]
     uses_facts: bool = False
     lag_days: int = 0
-    category: str = "price"
-    plausible: tuple[float | None, float | None] = (None, None)
+    rules: tuple[Rule, ...] = ()
     card: dict = field(default_factory=dict)
 
+    @property
+    def category(self) -> str:
+        return self.card["category"]
 
-REGISTRY: dict[str, Factor] = {}
-CARD_FIELDS = ("hypothesis", "direction")
+    @property
+    def plausible(self) -> tuple[float | None, float | None]:
+        """The bounds of the first rule."""
+        return (self.rules[0].low, self.rules[0].high) if self.rules else (None, None)
 
 
-def register(factor_id: str, card: dict, **about):
-    """Decorator: a function of (tables, dates) becomes a factor. Its card must tell the hypothesis and the direction."""
+REGISTRY: dict[str, Factor] = {}
+# What a card must tell.
+CARD_FIELDS = ("factor_id", "name", "category", "economic_rationale", "persistence_conditions", "definition", "timing", "falsification", "references", "published_anomaly_eligibility")
+TIMING = ("signal_computed", "earliest_execution", "execution_price")
+REFERENCE = ("citation", "role", "locator", "verification")
+CATEGORIES = ("investment", "liquidity", "momentum", "profitability", "reversal", "risk", "size", "value")
+
+
+def checked(card: dict) -> dict:
+    """card, if it tells all that it must."""
+    name = card.get("factor_id", "a card")
+    missing = [f for f in CARD_FIELDS if not card.get(f)]
+    if missing:
+        raise ValueError(f"{name}: the card lacks {', '.join(missing)}")
+    if card["category"] not in CATEGORIES:
+        raise ValueError(f"{name}: unknown category {card['category']}")
+    for part, keys in ((card["timing"], TIMING), *((r, REFERENCE) for r in card["references"])):
+        absent = [k for k in keys if not isinstance(part, dict) or k not in part]
+        if absent:
+            raise ValueError(f"{name}: timing or a reference lacks {', '.join(absent)}")
+    for r in card["references"]:
+        if r["verification"] not in ("VERIFIED", "UNVERIFIED") or r["verification"] == "VERIFIED" and not str(r["locator"] or "").strip():
+            raise ValueError(f"{name}: a verified reference needs a place")
+    if not isinstance(card["falsification"], list):
+        raise ValueError(f"{name}: falsification is a list of ways to fail")
+    if len(card["economic_rationale"].split()) < 10:
+        raise ValueError(f"{name}: the rationale is too short to state a mechanism")
+    if any(not card["published_anomaly_eligibility"].get(k) for k in ("claim_id", "status", "reason")):
+        raise ValueError(f"{name}: eligibility lacks an id, a status or a reason")
+    return card
+
+
+def register(card: dict, **about):
+    """Decorator: a function of (tables, dates) becomes a factor under its card, which is checked first."""
 
     def add(compute: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        missing = [f for f in CARD_FIELDS if not card.get(f)]
-        if missing:
-            raise ValueError(f"{factor_id}: card lacks {', '.join(missing)}")
+        factor_id = checked(card)["factor_id"]
         if factor_id in REGISTRY:
             raise ValueError(f"{factor_id} is registered already")
         REGISTRY[factor_id] = Factor(factor_id, compute, card=card, **about)
@@ -234,17 +269,43 @@ def by_category() -> dict[str, list[str]]:
     return {k: sorted(v) for k, v in sorted(out.items())}
 
 
-def _card(hypothesis: str, direction: str) -> dict:
-    return {"hypothesis": hypothesis, "direction": direction}
+def summary() -> list[dict]:
+    """A row for each factor, in order."""
+    return [{"factor_id": i, "name": f.card["name"], "category": f.category, "uses_facts": f.uses_facts, "lag_days": f.lag_days, "rules": len(f.rules)} for i, f in sorted(REGISTRY.items())]
+
+
+def clear() -> None:
+    REGISTRY.clear()
+
+
+def _card(factor_id: str, name: str, category: str, rationale: str, definition: str, fails: str) -> dict:
+    return {
+        "factor_id": factor_id,
+        "name": name,
+        "category": category,
+        "economic_rationale": rationale,
+        "persistence_conditions": "costs of trading and limits to arbitrage keep it from being traded away",
+        "definition": definition,
+        "timing": {"signal_computed": "after the close of the signal date", "earliest_execution": "the next market session", "execution_price": "adjusted close"},
+        "falsification": [fails, "the mean rank correlation on later data is not above 0"],
+        "references": [{"citation": "own statement of the construction", "role": "construction", "locator": "", "verification": "UNVERIFIED"}],
+        "published_anomaly_eligibility": {"claim_id": factor_id, "status": "PENDING", "reason": "no source was checked"},
+    }
+
+
+def _economic(factor_id: str, low: float | None, high: float | None) -> tuple[Rule, ...]:
+    return (Rule(f"{factor_id}_scale", "economic", "error", low, high, "values beyond are an error of unit or scale"),)
 
 
-register("mom_12_1", _card("past winners go on", "high"))(lambda t, dates: calendar_return(t, dates, 1, 12))
-register("mom_6_1", _card("past winners go on", "high"))(lambda t, dates: calendar_return(t, dates, 1, 7))
-register("rev_1m", _card("last month reverts", "low return"))(lambda t, dates: calendar_return(t, dates, 0, 1, -1.0))
-register("log_mktcap", _card("small firms earn more", "small"), category="size")(log_mktcap)
-register("total_vol_60d", _card("calm firms earn more", "calm"), category="risk")(total_vol_60d)
-register("turnover", _card("neglected firms earn more", "low turnover"), category="liquidity")(turnover)
-register("bm_ratio", _card("cheap firms earn more", "high"), category="value", uses_facts=True, lag_days=2)(bm_ratio)
-register("ep_ratio", _card("cheap firms earn more", "high"), category="value", uses_facts=True, lag_days=2)(ep_ratio)
-register("roe", _card("profitable firms earn more", "high"), category="quality", uses_facts=True, lag_days=2)(roe)
-register("asset_growth", _card("growing firms earn less", "low growth"), category="investment", uses_facts=True, lag_days=2)(asset_growth)
+_UNDER = "investors take in news slowly, so that prices go on in the direction that they have taken for some months"
+_CHEAP = "prices that are low against what a firm owns or earns pay for distress risk, or for pessimism that goes too far"
+register(_card("mom_12_1", "Momentum of twelve months less one", "momentum", _UNDER, "return from 12 to 1 month ends ago", "winners do not beat losers"), rules=_economic("mom_12_1", -1.0, 50.0))(lambda t, dates: calendar_return(t, dates, 1, 12))
+register(_card("mom_6_1", "Momentum of six months after one", "momentum", _UNDER, "return from 7 to 1 month ends ago", "winners do not beat losers"), rules=_economic("mom_6_1", -1.0, 50.0))(lambda t, dates: calendar_return(t, dates, 1, 7))
+register(_card("rev_1m", "Reversal of one month", "reversal", "those who must trade at once move prices too far, and these come back when they are done", "minus the return of the last month", "last month's losers do not recover"), rules=_economic("rev_1m", -50.0, 1.0))(lambda t, dates: calendar_return(t, dates, 0, 1, -1.0))
+register(_card("log_mktcap", "Size", "size", "small firms are harder to trade and to learn about, and their holders ask a higher return for it", "minus the logarithm of market value", "small firms do not earn more"), rules=_economic("log_mktcap", -40.0, 0.0))(log_mktcap)
+register(_card("total_vol_60d", "Total volatility", "risk", "those who can't borrow bid up volatile shares as lotteries, so that calm ones are left too cheap", "minus the deviation of 60 one-session returns", "calm firms do not earn more"), rules=(Rule("total_vol_60d_sign", "construction", "error", None, 0.0, "a deviation is not negative"),))(total_vol_60d)
+register(_card("turnover", "Share turnover", "liquidity", "shares that few trade are neglected or illiquid, and their holders are paid for it in return", "minus the mean volume of 21 sessions over shares", "neglected firms do not earn more"), rules=(Rule("turnover_sign", "construction", "error", None, 0.0, "volume is not negative"),))(turnover)
+register(_card("bm_ratio", "Book to market", "value", _CHEAP, "latest equity over market value, both positive", "cheap firms do not earn more"), uses_facts=True, lag_days=2, rules=_economic("bm_ratio", 0.0, 20.0))(bm_ratio)
+register(_card("ep_ratio", "Earnings to price", "value", _CHEAP, "income of twelve months over market value, both positive", "cheap firms do not earn more"), uses_facts=True, lag_days=2, rules=_economic("ep_ratio", 0.0, 2.0))(ep_ratio)
+register(_card("roe", "Return on equity", "profitability", "profits persist for longer than prices allow for, so that profitable firms go on to surprise", "income of twelve months over latest equity, equity positive", "profitable firms do not earn more"), uses_facts=True, lag_days=2, rules=_economic("roe", -20.0, 20.0))(roe)
+register(_card("asset_growth", "Asset growth", "investment", "firms build when capital is dear and managers are hopeful, and growth disappoints those who paid for it", "minus the growth of assets between two fiscal years", "growing firms do not earn less"), uses_facts=True, lag_days=2, rules=_economic("asset_growth", -50.0, 1.0))(asset_growth)

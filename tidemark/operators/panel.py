@@ -98,6 +98,11 @@ def attrition(panel: DataFrame) -> DataFrame:
     return panel.groupBy("outcome").agg(F.count("*").alias("n_rows"))
 
 
+def dropped_by_date(panel: DataFrame) -> DataFrame:
+    """signal_date, outcome and n_rows of rows without a label."""
+    return panel.filter("outcome <> 'matched'").groupBy("signal_date", "outcome").agg(F.count("*").alias("n_rows"))
+
+
 def scored(panel: DataFrame) -> DataFrame:
     """Rows that can be scored."""
     return panel.filter((F.col("outcome") == "matched") & finite(F.col("prediction"))).drop("outcome")

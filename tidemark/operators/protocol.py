@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import correlation, ratio, weighted_mean
+from tidemark.functions import correlation, finite, ratio, weighted_mean
 
 
 def average_rank(df: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -45,12 +45,29 @@ def information_coefficient(panel: DataFrame, least: int = 5) -> DataFrame:
     return per.filter((F.col("n") >= least) & F.col("ic").isNotNull()).select("signal_date", "ic", "n")
 
 
+def t_p(t: Column, freedom: Column, most: int = 30) -> Column:
+    """Two-sided p-value of a t statistic with a whole number of degrees of freedom, at most `most`: a finite sum."""
+    angle = F.atan(F.abs(t) / F.sqrt(freedom))
+    sin, cos = F.sin(angle), F.cos(angle)
+    # Powers of the cosine below the degrees: 1, 3, ... of odd ones, 0, 2, ... of even ones.
+    odd, even, a, b = F.lit(0.0), F.lit(0.0), 1.0, 1.0
+    for k in range(1, most - 1, 2):
+        odd = odd + F.when(freedom >= k + 2, a * F.pow(cos, k)).otherwise(0.0)
+        even = even + F.when(freedom >= k + 1, b * F.pow(cos, k - 1)).otherwise(0.0)
+        a, b = a * (k + 1) / (k + 2), b * k / (k + 1)
+    inside = F.when(freedom % 2 == 1, 2 / math.pi * (angle + sin * odd)).otherwise(sin * even)
+    return F.greatest(F.lit(0.0), 1 - inside)
+
+
 def monotonicity(quantiles: DataFrame) -> DataFrame:
-    """One row: rank correlation of bin numbers and their mean returns, and the number of bins."""
+    """One row: rank correlation of bin numbers and their mean returns, its p-value from a t statistic, and the number of bins."""
     means = quantiles.groupBy("bin").agg(F.avg("mean_label").alias("m")).withColumn("all_", F.lit(1))
     ranked = average_rank(average_rank(means, "bin", ["all_"]), "m", ["all_"])
     out = ranked.agg(F.count("*").alias("n_bins"), correlation(F.col("r_bin"), F.col("r_m")).alias("rho"))
-    return out.select("n_bins", F.when(F.col("n_bins") >= 3, F.col("rho")).alias("rho"))
+    out = out.select("n_bins", F.when(F.col("n_bins") >= 3, F.col("rho")).alias("rho"))
+    left = (1 + F.col("rho")) * (1 - F.col("rho"))
+    t = F.col("rho") * F.sqrt((F.col("n_bins") - 2) / F.greatest(left, F.lit(1e-300)))
+    return out.withColumn("p", F.when(F.col("rho").isNotNull(), t_p(t, F.col("n_bins") - 2)))
 
 
 def slopes(panel: DataFrame, least: int = 10) -> DataFrame:
@@ -93,20 +110,40 @@ def normal_p(t: float | None) -> float | None:
 
 
 def controlled_slopes(panel: DataFrame, controls: list[str], least: int = 10) -> DataFrame:
-    """signal_date, slope of label on prediction beside controls; a control with any unknown value on a date is left out there."""
+    """signal_date, slope of label on prediction beside controls, n; a control with any unknown value on a date is left out there.
+
+    A date's names are summed to covariances, on the map side first; the small system of each date is solved from its one row.
+    """
     import numpy as np
     import pandas as pd
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ticker")
-        used = [c for c in controls if np.isfinite(rows[c].astype(float)).all()]
-        x = np.column_stack([np.ones(len(rows)), rows["prediction"], *(rows[c].astype(float) for c in used)])
-        if len(rows) < least or np.linalg.matrix_rank(x) < x.shape[1]:
-            return pd.DataFrame({"signal_date": [], "slope": [], "n": []})
-        beta = np.linalg.lstsq(x, rows["label"].astype(float), rcond=None)[0]
-        return pd.DataFrame({"signal_date": [rows["signal_date"].iloc[0]], "slope": [beta[1]], "n": [len(rows)]})
+    names = ["prediction", *controls]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    value = [F.col(c).cast("double") for c in names]
+    ok = [finite(v) for v in value]
+    sums = panel.groupBy("signal_date").agg(
+        F.count("*").alias("n"),
+        *(F.count(F.when(o, 1)).alias(f"n{i}") for i, o in enumerate(ok)),
+        *(F.covar_pop(F.when(ok[i], value[i]), F.when(ok[j], value[j])).alias(f"c{i}_{j}") for i, j in pairs),
+        *(F.covar_pop(F.when(o, v), F.col("label").cast("double")).alias(f"y{i}") for i, (v, o) in enumerate(zip(value, ok, strict=True))),
+    )
+
+    def solve(batches):
+        for rows in batches:
+            out = []
+            for r in rows.to_dict("records"):
+                used = [i for i in range(len(names)) if r[f"n{i}"] == r["n"]]
+                if r["n"] < least or 0 not in used:
+                    continue
+                cov = np.array([[r[f"c{max(i, j)}_{min(i, j)}"] for j in used] for i in used])
+                scale = np.sqrt(np.diag(cov))
+                if (scale <= 0).any() or np.linalg.matrix_rank(cov / np.outer(scale, scale), tol=1e-12) < len(used):
+                    continue
+                beta = np.linalg.solve(cov / np.outer(scale, scale), np.array([r[f"y{i}"] for i in used]) / scale) / scale
+                out.append((r["signal_date"], float(beta[0]), int(r["n"])))
+            yield pd.DataFrame(out, columns=["signal_date", "slope", "n"])
 
-    return panel.select("ticker", "signal_date", "prediction", "label", *controls).groupBy("signal_date").applyInPandas(fit, "signal_date date, slope double, n long")
+    return sums.mapInPandas(solve, "signal_date date, slope double, n long")
 
 
 def subperiods(series: DataFrame, value: str, parts: int = 3) -> DataFrame:
@@ -128,3 +165,31 @@ def summary(ic: DataFrame, spread: DataFrame) -> DataFrame:
     a = ic.agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_hit"), F.count("*").alias("n_ic"))
     b = spread.agg(F.avg("spread").alias("ls_mean"), ratio(F.avg("spread"), F.stddev_samp("spread")).alias("ls_ratio"), F.avg((F.col("spread") > 0).cast("double")).alias("ls_hit"), F.count("*").alias("n_ls"))
     return a.crossJoin(b)  # one row each
+
+
+def run_protocol(panel: DataFrame, bins: int = 5, weights: DataFrame | None = None, controls: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every score of a panel: quantiles, long_short, ic, monotonicity, slope, subperiods, breadth and summary.
+
+    weights (ticker, weight) and controls (ticker, ...) are looked up by ticker; a name without a weight has none, and so its bin
+    has no mean. The panel is kept while it is read eight times: unpersist `panel` of the result when done.
+    """
+    if weights is not None:
+        panel = panel.join(weights.select("ticker", F.col("weight").alias("weight_")), "ticker", "left")
+    names = [c for c in controls.columns if c != "ticker"] if controls is not None else []
+    if names:
+        panel = panel.join(controls, "ticker", "left")
+    panel = panel.persist()
+    quantiles = quantile_returns(panel, bins, "weight_" if weights is not None else None)
+    spread, ic = long_short(quantiles, bins), information_coefficient(panel)
+    dates = panel.agg(F.count_distinct("signal_date").alias("n_dates"), F.count("*").alias("n_observations"))
+    whole = summary(ic, spread).crossJoin(breadth(quantiles).withColumnRenamed("n_dates", "n_quantile_dates")).crossJoin(dates)  # one row each
+    return {
+        "panel": panel,
+        "quantiles": quantiles,
+        "long_short": spread,
+        "ic": ic,
+        "monotonicity": monotonicity(quantiles),
+        "slope": newey_west(controlled_slopes(panel, names) if names else slopes(panel), "slope"),
+        "subperiods": subperiods(spread, "spread"),
+        "summary": whole.withColumn("n_dates_dropped", F.col("n_dates") - F.col("n_quantile_dates")),
+    }

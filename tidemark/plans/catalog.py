@@ -385,9 +385,9 @@ def information_coefficient(spark, d):
     return rounded(protocol.information_coefficient(scored_panel(spark, d)), "ic")
 
 
-@query(f"{PANEL}, {QUANTILES}, mm AS (SELECT bin, avg(mean_label) AS v FROM q GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY bin) AS a, rank() OVER (ORDER BY v) AS b FROM mm) SELECT count(*) AS n_bins, CASE WHEN count(*) >= 3 THEN round(corr(a, b), 6) END AS rho FROM r")
+@query(f"{PANEL}, {QUANTILES}, mm AS (SELECT bin, avg(mean_label) AS v FROM q GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY bin) AS a, rank() OVER (ORDER BY v) AS b FROM mm) SELECT count(*) AS n_bins, CASE WHEN count(*) >= 3 THEN round(corr(a, b), 6) END AS rho, round(CASE WHEN count(*) = 5 THEN 1 - 2 / pi() * (atan(t) + sin(atan(t)) * cos(atan(t))) END, 6) AS p FROM r, (SELECT CASE WHEN abs(corr(a, b)) < 1 THEN abs(corr(a, b)) * sqrt(3 / ((1 + corr(a, b)) * (1 - corr(a, b)))) / sqrt(3) ELSE 1e150 END AS t FROM r) GROUP BY t")
 def monotonicity(spark, d):
-    return rounded(protocol.monotonicity(protocol.quantile_returns(scored_panel(spark, d))), "rho")
+    return rounded(protocol.monotonicity(protocol.quantile_returns(scored_panel(spark, d))), "rho", "p")
 
 
 @query(
@@ -428,8 +428,8 @@ def controlled_slopes(spark, d):
 # Ingest: payloads that Spark derives from the facts, one nested text for each company
 
 
-def payloads(spark, d) -> DataFrame:
-    """Company-facts texts: namespace, tag, unit, list; lines of odd suppliers' last frames have other units, forms or no filing day."""
+def payloads(spark, d, twice: bool = False) -> DataFrame:
+    """Company-facts texts: namespace, tag, unit, list; twice: behind each fact another of its key, with a greater value. Lines of odd suppliers' last frames have other units, forms or no filing day."""
     f = m.facts(spark, d)
     k = F.col("frame").cast("int")
     start = F.when(F.col("form") == "10-K", F.col("period_start").cast("string"))
@@ -437,7 +437,9 @@ def payloads(spark, d) -> DataFrame:
         start.alias("start"), F.col("period_end").cast("string").alias("end"), F.col("value").alias("val"), F.col("fiscal_year").alias("fy"), F.col("fiscal_period").alias("fp"),
         F.when(k == 5, "8-K").otherwise(F.col("form")).alias("form"), F.when(k != 6, F.col("filed").cast("string")).alias("filed"), F.col("accession").alias("accn"), F.col("frame").alias("frame"),
     )
-    lists = f.withColumn("unit", F.coalesce("unit", F.lit("EUR"))).groupBy("cik", "tag", "unit").agg(F.sort_array(F.collect_list(fact)).alias("facts"))
+    more = F.struct(*(fact[n].alias(n) if n != "val" else (fact[n] + 1e9).alias(n) for n in ("start", "end", "val", "fy", "fp", "form", "filed", "accn", "frame")))
+    each = f.withColumn("unit", F.coalesce("unit", F.lit("EUR"))).withColumn("fact", F.explode(F.array(fact, more) if twice else F.array(fact)))
+    lists = each.groupBy("cik", "tag", "unit").agg(F.sort_array(F.collect_list("fact")).alias("facts"))
     units = lists.groupBy("cik", "tag").agg(F.map_from_entries(F.collect_list(F.struct("unit", "facts"))).alias("units"))
     tags = units.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("units")))).alias("tags"))
     return tags.select(F.to_json(F.struct("cik", F.create_map(F.lit("us-gaap"), F.col("tags")).alias("facts"))).alias("value"))
@@ -456,13 +458,14 @@ def ingest_drop_counts(spark, d):
 
 
 @query(
-    f"""{CLASSED}, k AS (SELECT cik, tag, CASE WHEN form = '10-K' THEN period_start ELSE period_end END AS period_start, period_end, filed, form, accession, frame, value,
+    f"""{CLASSED}, k AS (SELECT cik, tag, CASE WHEN form = '10-K' THEN period_start ELSE period_end END AS period_start, period_end, filed, form, accession, frame, value, unit,
   CASE WHEN form = '10-K' THEN 'duration' WHEN tag = 'R' THEN 'unknown' ELSE 'instant' END AS fact_type, fiscal_year, fiscal_period FROM c WHERE drop IS NULL)
-SELECT cik, tag, period_start, period_end, filed, form, accession, frame, fact_type, fiscal_year, fiscal_period FROM k GROUP BY ALL"""
+SELECT cik, tag, period_start, period_end, filed, form, accession, frame, fact_type, fiscal_year, fiscal_period, min(value) AS value, any_value(unit) AS unit FROM k GROUP BY ALL"""
 )
 def ingest_facts(spark, d):
-    out = ingest.facts_of(classed_facts(spark, d))
-    return out.select("cik", "tag", "period_start", "period_end", "filed", "form", "accession", "frame", "fact_type", "fiscal_year", "fiscal_period").distinct()
+    """Of facts of one key the first in the text counts; texts are in order, so that it holds the least value. Every key comes twice, with a greater value behind."""
+    out = ingest.facts_of(ingest.classified(ingest.flattened(payloads(spark, d, twice=True)), ("A", "N", "R"), ("R",)))
+    return out.select("cik", "tag", "period_start", "period_end", "filed", "form", "accession", "frame", "fact_type", "fiscal_year", "fiscal_period", "value", "unit")
 
 
 @query(f"{CLASSED} SELECT cik, min(filed) AS first_filing, max(filed) AS last_filing FROM c WHERE drop IS NULL GROUP BY 1")

@@ -11,12 +11,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from tidemark.operators import audit, panel, protocol
+from tidemark.operators import audit, guards, panel, protocol
 from tidemark.operators.factors import REGISTRY
 from tidemark.sources.tables import Tables
 
 WIDTH = 84
-STATUS = {"ValueError": "INVALID_INPUT", "AnalysisException": "INVALID_PLAN"}
+STATUS = {"ValueError": "INVALID_INPUT", "EmptyFactorError": "EMPTY", "ImplausibleMagnitudeError": "IMPLAUSIBLE", "AnalysisException": "INVALID_PLAN"}
 
 
 def safe(x):
@@ -38,13 +38,14 @@ def factor_report(factor_id: str, t: Tables, dates: DataFrame, bars: DataFrame,
     """Counts and scores of one signal; a failure is recorded, not raised, so that other signals go on."""
     f = REGISTRY[factor_id]
     try:
-        raw = f.compute(t, dates, **how)
+        raw = guards.not_empty(f.compute(t, dates, **how))
         gated = panel.gate(raw, members)
-        bounds = one(audit.plausibility(gated, *f.plausible))
+        bounds = audit.enforced(gated, list(f.rules))
         clean = panel.cleaned(gated, t.securities, least)
         lab = panel.labelled(clean.select("ticker", "signal_date", "value"), bars)
         p = panel.scored(lab)
         q = protocol.quantile_returns(p, bins)
+        slope = one(protocol.newey_west(protocol.slopes(p), "slope"))
         return safe(
             {
                 "factor_id": factor_id,
@@ -54,7 +55,8 @@ def factor_report(factor_id: str, t: Tables, dates: DataFrame, bars: DataFrame,
                 "outcomes": {r["outcome"]: r["n_rows"] for r in panel.attrition(lab).collect()},
                 "breadth": one(protocol.breadth(q)),
                 "summary": one(protocol.summary(protocol.information_coefficient(p), protocol.long_short(q, bins))),
-                "slope": one(protocol.newey_west(protocol.slopes(p), "slope")),
+                "monotonicity": one(protocol.monotonicity(q)),
+                "slope": slope | {"p": protocol.normal_p(slope["nw_t"])},
             }
         )
     except Exception as e:

@@ -119,3 +119,42 @@ class Tables:
     securities: DataFrame
     prices: DataFrame
     facts: DataFrame
+
+
+def roster(securities: DataFrame, most: int, standard: str = "us-gaap") -> DataFrame:
+    """The first so many securities of a standard by ticker and cik: a feature of small runs."""
+    return securities.filter(F.col("accounting_standard") == standard).orderBy("ticker", "cik").limit(most)
+
+
+def subset(t: Tables, chosen: DataFrame) -> Tables:
+    """The tables of chosen securities."""
+    return Tables(chosen, t.prices.join(chosen.select("ticker"), "ticker", "left_semi"), t.facts.join(chosen.select("cik"), "cik", "left_semi"))
+
+
+def pivoted(panel: DataFrame, tags: list[str]) -> DataFrame:
+    """ticker, signal_date and a column for each tag: the value of its newest period end."""
+    return panel.groupBy("ticker", "signal_date").pivot("tag", tags).agg(F.max_by("value", F.struct("period_end", "filed", "value")))
+
+
+#: Table functions of a day over the views facts and securities.
+MACROS = {
+    "facts_asof": """TABLE(cik STRING, tag STRING, period_start DATE, period_end DATE, filed DATE, value DOUBLE)
+        RETURN SELECT cik, tag, period_start, period_end, r.filed, r.value FROM (
+          SELECT cik, tag, period_start, period_end, max_by(struct(filed, value), struct(filed, accession, form, frame, value)) AS r
+          FROM facts WHERE filed <= day AND period_end <= day GROUP BY cik, tag, period_start, period_end)""",
+    "latest_asof": """TABLE(cik STRING, tag STRING, period_start DATE, period_end DATE, filed DATE, value DOUBLE)
+        RETURN SELECT cik, tag, r.period_start, r.period_end, r.filed, r.value FROM (
+          SELECT cik, tag, max_by(struct(period_start, period_end, filed, value), struct(period_end, filed, period_start, accession, form, frame, value)) AS r
+          FROM facts WHERE filed <= day AND period_end <= day GROUP BY cik, tag)""",
+    "universe_asof": """TABLE(cik STRING, ticker STRING, name STRING, sic STRING)
+        RETURN SELECT cik, ticker, name, sic FROM securities WHERE (first_filing IS NULL OR first_filing <= day) AND (last_filing IS NULL OR last_filing >= day)""",
+}
+
+
+def register_macros(t: Tables) -> None:
+    """Temporary SQL table functions facts_asof(day), latest_asof(day) and universe_asof(day), over views of these tables."""
+    spark = t.facts.sparkSession
+    t.facts.createOrReplaceTempView("facts")
+    t.securities.createOrReplaceTempView("securities")
+    for name, body in MACROS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(day DATE) RETURNS {body}")
