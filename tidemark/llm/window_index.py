@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import folder, free, stored
@@ -94,6 +94,22 @@ def scanned(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidied(run), "doc_id long, h long, gram long, whole long, at long")
 
 
+def combined(scan: DataFrame) -> DataFrame:
+    """gram, whole, n and an example's doc_id, h and at: segments of one fingerprint in one Arrow batch are one row, so that a passage of very many texts is few rows of a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, whole = (batch.column(i).to_numpy() for i in (2, 3))
+            order = np.lexsort((whole, gram))
+            gram, whole = gram[order], whole[order]
+            at = np.flatnonzero(np.append(True, (np.diff(gram) != 0) | (np.diff(whole) != 0))) if len(order) else order
+            n = np.diff(np.append(at, len(order)))
+            one = pa.array(order[at])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(whole[at]), pa.array(n), *(batch.column(i).take(one) for i in (0, 1, 4))], names=["gram", "whole", "n", "doc_id", "h", "at"])
+
+    return scan.select("doc_id", "h", "gram", "whole", "at").mapInArrow(tidied(run), "gram long, whole long, n long, doc_id long, h long, at long")
+
+
 EXAMPLE = "struct<h: bigint, at: bigint, doc_id: bigint>"
 IDENTITY = ["doc_id", "h"]
 
@@ -129,9 +145,9 @@ class WindowIndex:
 
     def _write(self, entries: DataFrame, first: int, last: int) -> str:
         run = f"run-{first:06d}-{last:06d}-{self.buckets}"
-        # As many tasks as buckets, by the same key: each writes one file. Groups are by gram and whole, so without this each task would write to every bucket.
+        # As many tasks as buckets, by the same key: each writes one file. Rows of one fingerprint meet there, too.
         rows = entries.select("gram", "whole", "n", F.col("example").cast(EXAMPLE).alias("example")).repartition(self.buckets, "gram")
-        rows.write.bucketBy(self.buckets, "gram").sortBy("gram").option("compression", "zstd").option("path", f"{self.path}/{run}").saveAsTable(f"{self.name}_{run.replace('-', '_')}")
+        rows.groupBy("gram", "whole").agg(F.sum("n").alias("n"), F.min("example").alias("example")).write.bucketBy(self.buckets, "gram").sortBy("gram").option("compression", "zstd").option("path", f"{self.path}/{run}").saveAsTable(f"{self.name}_{run.replace('-', '_')}")
         return run
 
     def _keep(self, rows: DataFrame, name: str) -> None:
@@ -164,14 +180,14 @@ class WindowIndex:
         old, number = self.runs(), len(self._names("marks"))
         self._keep(packed(rows), f"texts-{number:06d}")
         scan = stored(scanned(rows))
-        place = F.struct("h", "at", "doc_id")
-        run = self._write(scan.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(place).alias("example")), number, number)
+        run = self._write(combined(scan).select("gram", "whole", "n", F.struct("h", "at", "doc_id").alias("example")), number, number)
         new = self._table(run).toDF("gram", "whole", "own", "own_at")
         past = self.entries(old).toDF("gram", "whole", "old", "old_at") if old else None
         both = new.join(past, ["gram", "whole"], "full_outer") if old else new.withColumns({"old": F.lit(0).cast("long"), "old_at": F.lit(None).cast(EXAMPLE)})
         both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("own", "old")})
-        grams = both.groupBy("gram").agg(F.sum("own").alias("fresh"), F.sum(F.col("own") + F.col("old")).alias("total"), F.count("*").alias("kinds")).filter("fresh > 0 AND total > 1")
-        hit = stored(both.join(grams.select("gram", "kinds"), "gram"))
+        gram = Window.partitionBy("gram")  # the fingerprints of a gram, each once
+        both = both.withColumns({"fresh": F.sum("own").over(gram), "total": F.sum(F.col("own") + F.col("old")).over(gram), "kinds": F.count("*").over(gram)})
+        hit = stored(both.filter("fresh > 0 AND total > 1").drop("fresh", "total"))
         segment = lambda c, sure: [F.col(f"{c}.doc_id").alias("doc_id"), F.col(f"{c}.h").alias("h"), F.col(f"{c}.at").alias("at"), F.lit(sure).alias("is_sure")]
         # Of a fingerprint with one segment its example is the segment; only those with more in the batch are looked up there.
         several = hit.filter("own > 1").select("gram", "whole")
@@ -303,7 +319,7 @@ def removed(hits: DataFrame) -> DataFrame:
     return hits.select("doc_id", "z", "sure", "found").mapInArrow(tidied(run), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def remove_repeated(docs: DataFrame, batches: int = 6, path: str | None = None, most_runs: int = 4) -> DataFrame:
+def remove_repeated(docs: DataFrame, batches: int = 3, path: str | None = None, most_runs: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row: words in windows that start anywhere else are removed.
 
     Texts are added to an index batch by batch; the marks after the last are those of all texts. Texts without marks go
