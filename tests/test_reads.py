@@ -213,8 +213,12 @@ def test_tables_conform_and_break_rules(spark, tmp_path):
 
 
 def test_registry(spark):
-    assert len(factors.REGISTRY) >= 10 and "value" in factors.by_category()
-    with pytest.raises(ValueError):
-        factors.register("x", {"hypothesis": "only"})(lambda t, d: None)
-    with pytest.raises(ValueError):
-        factors.register("roe", {"hypothesis": "h", "direction": "d"})(lambda t, d: None)
+    assert len(factors.REGISTRY) >= 10 and "bm_ratio" in factors.by_category()["value"]
+    assert [r["factor_id"] for r in factors.summary()] == sorted(factors.REGISTRY)
+    card = factors.REGISTRY["roe"].card
+    with pytest.raises(ValueError, match="registered already"):
+        factors.register(card)(lambda t, d: None)
+    for broken in ({"name": ""}, {"category": "luck"}, {"timing": {}}, {"falsification": "none"}, {"references": [{"citation": "x"}]}, {"economic_rationale": "it works"}, {"published_anomaly_eligibility": {"status": "PENDING"}}):
+        with pytest.raises(ValueError):
+            factors.register(card | {"factor_id": "x"} | broken)(lambda t, d: None)
+    assert "x" not in factors.REGISTRY

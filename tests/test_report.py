@@ -42,7 +42,7 @@ def test_layers_and_bundle(spark, tmp_path):
     assert [x.name for x in found["layers"]] == ["original_process", "common_observation", "common_support"] and found["verdict"] in ("PASS", "FAIL")
     assert vintage.compare(t, dates, "rev_1m", t.prices)["verdict"] == "NOT APPLICABLE"
     b = report.bundle(t, dates, t.prices, ["bm_ratio", "rev_1m", "turnover"], {"bins": 3}, tags=Tags(equity="E"))
-    assert [f["status"] for f in b["factors"]] == ["OK", "OK", "OK"]
+    assert [f["status"] for f in b["factors"]] == ["OK", "OK", "EMPTY"]  # no volume
     assert b["factors"][0]["outcomes"]["no_full_horizon"] == 24
     report.write(b, str(tmp_path))
     text = report.render(b)
@@ -57,9 +57,24 @@ def test_outcome_identity(spark):
 
 
 def test_stream_drops_repeats_only(spark, tmp_path):
-    base = [("1", "E", dt.date(2020, 3, 31), dt.date(2020, 5, 1), 1.0)]
-    rows = spark.createDataFrame(base + base + [("1", "E", dt.date(2020, 3, 31), dt.date(2020, 9, 1), 2.0)], "cik string, tag string, period_end date, filed date, value double")
-    tables.load_facts(rows).write.parquet(str(tmp_path / "in"))
-    stream = filings.first_of_each(filings.read(spark, str(tmp_path / "in")))
-    filings.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
-    assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1.0, 2.0]
+    """A second start takes the files that came since: repeats of stored keys go, and a backfill of years before stays."""
+    row = lambda tag, filed, v: ("1", tag, dt.date(2010, 3, 31), filed, v)
+
+    def arrive(*rows):
+        df = spark.createDataFrame(rows, "cik string, tag string, period_end date, filed date, value double")
+        tables.load_facts(df).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        filings.write(filings.read(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+        return sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    new, later = dt.date(2020, 5, 1), dt.date(2020, 9, 1)
+    assert arrive(row("E", new, 1.0), row("E", new, 1.0), row("E", later, 2.0)) == [1.0, 2.0]
+    assert arrive(row("E", later, 2.0), row("E", dt.date(2011, 1, 1), 3.0), row("F", new, 4.0)) == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_empty_and_implausible_signals_are_recorded(spark):
+    from tidemark.operators.factors import Tags
+
+    t, dates = market(spark)
+    huge = Tables(t.securities, t.prices, t.facts.withColumn("value", F.col("value") * 1e9))
+    found = [report.factor_report("bm_ratio", x, dates, t.prices, report.panel.membership(t.securities, dates), tags=Tags(equity=e))["status"] for x, e in ((t, "E"), (t, "none"), (huge, "E"))]
+    assert found == ["OK", "EMPTY", "IMPLAUSIBLE"]
