@@ -150,6 +150,30 @@ def test_frame_sizes_and_checksum():
     assert mpeg_audio.crc16(b"123456789") == 0xAEE7
 
 
+def test_other_layers_and_tables():
+    """Layer I frames are verified over their allocation, Layer II frames are told apart, and tables give their entries."""
+    for four in (b"\xff\xfe\xe4\xc0", b"\xff\xfe\xe4\x00", b"\xff\xfe\xe4\x60"):  # mono, stereo, joint from a bound
+        head, body = mpeg_audio.header(four), bytes(range(1, 33))
+        assert head.layer == 1 and head.protected
+        part = body[: mpeg_audio.allocation(four)]
+        frame = (four + mpeg_audio.crc16(four[2:] + part).to_bytes(2, "big") + part).ljust(head.size, b"\0")
+        f = mpeg_audio.read(frame * 3)
+        assert (f.frames, f.checked, f.failed, f.unverified) == (3, 3, 0, 0)
+        broken = bytearray(frame * 3)
+        broken[7] ^= 4
+        assert mpeg_audio.read(bytes(broken)).failed == 1
+    two = mpeg_audio.header(b"\xff\xfc\x14\x00")
+    f = mpeg_audio.read((b"\xff\xfc\x14\x00").ljust(two.size, b"\0") * 2)
+    assert two.layer == 2 and (f.frames, f.checked, f.unverified) == (2, 0, 2)
+    media = mpeg_audio.store(bytes(64 * 900))
+    seek = mpeg_audio.read(media).table["seek"]
+    assert len(seek) == 100 and seek == sorted(seek) and seek[0] <= 5 and seek[-1] >= 245
+    frame = bytearray(417)
+    frame[36:62] = b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (12).to_bytes(4, "big") + (2).to_bytes(2, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + bytes(2)
+    frame[62:66] = (7).to_bytes(2, "big") + (9).to_bytes(2, "big")
+    assert mpeg_audio.parse_table(bytes(frame), mpeg_audio.header(b"\xff\xfb\x90\x00")) == {"bytes": 5000, "frames": 12, "seek": [21, 27]}
+
+
 def test_audio_of_odd_rows(spark, odd, nothing):
     rows = mpeg_audio.read_media(mpeg_audio.store_texts(odd)).collect()
     want = Counter((r["doc_id"], hashlib.sha256(mpeg_audio.padded(r["text"])[1]).hexdigest()) for r in odd.collect())

@@ -2,8 +2,9 @@
 
 `store` puts a payload into the ancillary bytes of silent frames behind an ID3v2 tag and a
 variable-bitrate table. `read` finds frames by resynchronising on headers, parses ID3v2 and ID3v1 tags
-and Xing or VBRI tables, verifies each frame's CRC-16, and gives the exact duration and the offset of
-every frame. Each row is handled alone, so partitions are as large as Spark makes them.
+and Xing or VBRI tables with their seek entries, verifies each frame's CRC-16 (Layer III over its side information, Layer
+I over its allocation; protected frames of Layer II are counted as unverified), and gives the exact duration and the
+offset of every frame. Each row is handled alone, so partitions are as large as Spark makes them.
 
 Defined cases: a null text is empty; a stream without a valid frame has no frames, duration 0 and no
 payload; bytes that are no frame are skipped and counted; frames whose checksum fails are counted and
@@ -139,8 +140,9 @@ class Found(NamedTuple):
     failed: int
     skipped: int
     tags: dict[str, str]
-    table: dict[str, int]
+    table: dict[str, int | list[int]]
     payload: bytes
+    unverified: int = 0
 
 
 def _tag_text(body: bytes) -> str:
@@ -170,24 +172,32 @@ def parse_tags(media: bytes) -> tuple[int, int, dict[str, str]]:
     return begin, end, tags
 
 
-def parse_table(frame: bytes, head: Header) -> dict[str, int]:
-    """The Xing, Info or VBRI table of a first frame; empty if it has none."""
+def parse_table(frame: bytes, head: Header) -> dict[str, int | list[int]]:
+    """The Xing, Info or VBRI table of a first frame; empty if it has none. seek: its entries, 256ths of the bytes (Xing) or bytes (VBRI)."""
     at = 4 + 2 * head.protected + head.side
     if frame[at : at + 4] in (b"Xing", b"Info"):
         flags, at, out = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8, {}
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
                 out[name], at = int.from_bytes(frame[at : at + 4], "big"), at + 4
-        return out | ({"seek_points": 100} if flags & 4 else {"seek_points": 0})
+        return out | {"seek": list(frame[at : at + 100]) if flags & 4 else []}
     if frame[36:40] == b"VBRI":
-        return {"bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big"), "seek_points": int.from_bytes(frame[54:56], "big")}
+        n, scale, size = (int.from_bytes(frame[a : a + 2], "big") for a in (54, 56, 58))
+        entries = [scale * int.from_bytes(frame[62 + i * size : 62 + (i + 1) * size], "big") for i in range(n if 62 + n * size <= len(frame) else 0)]
+        return {"bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big"), "seek": entries}
     return {}
 
 
+def allocation(four: bytes) -> int:
+    """Bytes of the bit allocation of a Layer I frame: four bits for each subband and channel; joint ones share those above a bound."""
+    mode, extension = four[3] >> 6, four[3] >> 4 & 3
+    return 16 if mode == 3 else 16 + 2 * (extension + 1) if mode == 1 else 32
+
+
 def read(media: bytes) -> Found:
     """Everything the stream holds. Synchronisation asks for a header where the next frame should begin, or the end there."""
     begin, end, tags = parse_tags(media)
-    at, synced, skipped = begin, False, 0
+    at, synced, skipped, unverified = begin, False, 0, 0
     offsets, samples, rate, duration, kbps, checked, failed, table, payload = [], 0, 0, Fraction(0), {}, 0, 0, {}, []
     ticks: dict[int, int] = {}
     first = True
@@ -209,10 +219,12 @@ def read(media: bytes) -> Found:
         body = at + 4
         if head.protected:
             body += 2
-            if head.layer == 3:
+            if head.layer != 2:
                 checked += 1
-                good = crc16(media[at + 2 : at + 4] + media[body : body + head.side]) == int.from_bytes(media[at + 4 : at + 6], "big")
+                covered = head.side if head.layer == 3 else allocation(media[at : at + 4])
+                good = crc16(media[at + 2 : at + 4] + media[body : body + covered]) == int.from_bytes(media[at + 4 : at + 6], "big")
                 failed += not good
+            unverified += head.layer == 2
         found = parse_table(media[at:stop], head) if first and head.layer == 3 else {}
         first = False
         if found:
@@ -232,7 +244,7 @@ def read(media: bytes) -> Found:
     skipped += end - at if at < end else 0
     for hertz, n in ticks.items():
         duration += Fraction(n, hertz)
-    return Found(len(offsets), offsets, samples, rate, duration, kbps, checked, failed, skipped, tags, table, b"".join(payload))
+    return Found(len(offsets), offsets, samples, rate, duration, kbps, checked, failed, skipped, tags, table, b"".join(payload), unverified)
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -270,6 +282,8 @@ _AFTER = [
     ("tags", "map<string, string>", pa.map_(pa.string(), pa.string())),
     ("table_frames", *_LONG),
     ("table_bytes", *_LONG),
+    ("table_seek", "array<long>", pa.list_(pa.int64())),
+    ("unverified", *_LONG),
 ]
 _PAYLOAD = [("payload", "binary", pa.binary())]
 _DIGESTS = [("payload_bytes", *_LONG), ("payload_sha256", *_TEXT), ("tail_crc32", *_LONG)]
@@ -287,8 +301,8 @@ def read_media(stored: DataFrame, keep_payload: bool = True) -> DataFrame:
         media = media or b""
         f = read(media)
         own = [f.payload] if keep_payload else digests(f.payload)
-        table = [f.table.get("frames"), f.table.get("bytes")]
-        return [doc_id, n, len(media), hashlib.sha256(media).hexdigest(), *own, f.frames, f.offsets, f.samples, f.rate, float(f.duration), list(f.kbps.items()), f.checked, f.failed, f.skipped, list(f.tags.items()), *table]
+        table = [f.table.get("frames"), f.table.get("bytes"), f.table.get("seek")]
+        return [doc_id, n, len(media), hashlib.sha256(media).hexdigest(), *own, f.frames, f.offsets, f.samples, f.rate, float(f.duration), list(f.kbps.items()), f.checked, f.failed, f.skipped, list(f.tags.items()), *table, f.unverified]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
