@@ -222,3 +222,46 @@ def test_registry(spark):
         with pytest.raises(ValueError):
             factors.register(card | {"factor_id": "x"} | broken)(lambda t, d: None)
     assert "x" not in factors.REGISTRY
+
+
+def test_history_equals_every_fact_on_every_date(spark):
+    """Against facts by dates in plain Python: refilings on one day, filings before their period ends, gaps, both arms."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for _ in range(250):
+        end = D("2018-03-31") + dt.timedelta(days=rng.choice([0, 91, 183, 275, 366]))
+        start = end - dt.timedelta(days=rng.choice([90, 180]))
+        rows.append((str(rng.randrange(3)), rng.choice("EI"), str(start), str(end), str(end + dt.timedelta(days=rng.randrange(-20, 300))), rng.randrange(40)))
+    facts, days = facts_of(spark, rows), [D(f"20{y}-{m:02}-28") for y in (18, 19, 20) for m in (1, 4, 5, 9, 12)]
+    dates = spark.createDataFrame([(d,) for d in days], "signal_date date")
+    for arm in ("pit", "restated"):
+        best = {}
+        for cik, tag, start, end, filed, value in rows:
+            key, order = (cik.zfill(10), tag, D(start), D(end)), (D(filed), float(value))
+            for d in days if arm == "pit" else [None]:
+                asof_ = d and d - dt.timedelta(days=2)
+                if d is None or order[0] <= asof_ and key[3] <= asof_:
+                    best[d, key] = max(best.get((d, key), order), order)
+        if arm == "restated":
+            best = {(d, key): order for (_, key), order in best.items() for d in days if key[3] <= d - dt.timedelta(days=2)}
+        got = {(r["signal_date"], (r["cik"], r["tag"], r["period_start"], r["period_end"])): (r["filed"], r["value"]) for r in asof.history(facts, dates, arm=arm).collect()}
+        assert got == best
+
+
+@pytest.mark.parametrize("width,least", [(5, 2), (3, 3)])
+def test_probes_give_what_a_grid_gives(spark, width, least):
+    """Sparse tickers: the rolling value at a date from rows and probes, and from every session of a grid."""
+    import random
+
+    rng = random.Random(width)
+    start = D("2020-01-01")
+    rows = [(t, str(start + dt.timedelta(days=i)), None if rng.random() < 0.1 else rng.randrange(1, 99)) for t in "ABCD" for i in range(90) if t == "A" or rng.random() < 0.25]
+    prices = prices_of(spark, rows)
+    dates = dates_of(spark, *(str(start + dt.timedelta(days=i)) for i in (0, 9, 30, 33, 47, 60, 88, 95, 101)))
+    days = factors.sessions(prices)
+    grid = factors.rolling(factors.on_sessions(prices, "close_adj"), F.avg, width, least)
+    probes = factors.rolled(factors.observed(prices, "close_adj", days), days, dates, F.avg, width, least)
+    want, got = (sorted((r["ticker"], r["signal_date"], r["value"]) for r in asof.sampled(x.select("ticker", "trade_date", "value"), dates).collect()) for x in (grid, probes))
+    assert got == want and len(got) >= 8
