@@ -166,6 +166,16 @@ def test_compaction_keeps_counts(spark, tmp_path):
     once.drop(), many.drop()
 
 
+def test_runs_meet_without_a_shuffle(spark, tmp_path):
+    index = window_index.WindowIndex(spark, f"file://{tmp_path}/plan", most_runs=9)
+    rows = window_index.narrow(spark.createDataFrame(repeat_rows(), "doc_id long, text string"))
+    for b in range(2):
+        index.add(rows.filter(f"doc_id % 2 = {b}"))
+    plan = index.entries()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+    index.drop()
+
+
 def test_a_later_batch_gives_what_a_rebuild_gives(spark, tmp_path):
     """An index that is opened again at its path: texts of history get marks, too."""
     pair = [(3001, " ".join(f"p{i}" for i in range(50))), (3002, "x " + " ".join(f"p{i}" for i in range(50)))]  # 3001 comes with the second batch, 3002 with the third

@@ -6,7 +6,7 @@ that name the same gram at the same position form a segment, at most 28 windows;
 gram's hash and the hash of all words that it covers.
 
 Each batch of texts becomes an immutable run of distinct fingerprints with their counts and the place of one example,
-bucketed and sorted by gram, so that a new run is merge-joined with the runs before it without a shuffle. A segment
+bucketed and sorted by gram, so that a new run is merged with the runs before it bucket by bucket, without a shuffle. A segment
 whose fingerprint is found twice, in the batch or in history, holds repeated windows only. A segment of its own whose
 gram others name too is verified window by window, by 96 bits of the words, against one segment of each other fingerprint
 of that gram; texts of history that hold these are read again, and no others. What a batch shows is kept as marks of the
@@ -27,6 +27,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -168,12 +169,9 @@ class WindowIndex:
         return rows.groupBy(*IDENTITY).agg(flat("sure"), flat("found"))
 
     def entries(self, runs: list[str] | None = None) -> DataFrame:
-        """Runs merge-joined on their buckets: one row for each fingerprint."""
-        first, *rest = [self._table(r) for r in (self.runs() if runs is None else runs)]
-        for new in rest:
-            both = first.join(new.toDF("gram", "whole", "n2", "example2"), ["gram", "whole"], "full_outer")
-            first = both.select("gram", "whole", (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"), F.coalesce("example", "example2").alias("example"))
-        return first
+        """Runs merged bucket by bucket: one row for each fingerprint. Buckets of all runs lie together, so nothing is shuffled."""
+        rows = reduce(DataFrame.union, (self._table(r) for r in (self.runs() if runs is None else runs)))
+        return rows.groupBy("gram", "whole").agg(F.sum("n").alias("n"), F.min("example").alias("example"))
 
     def add(self, rows: DataFrame) -> None:
         """Joins a batch with history, marks the texts of both that hold what the other or itself repeats, and keeps its run."""
@@ -181,10 +179,14 @@ class WindowIndex:
         self._keep(packed(rows), f"texts-{number:06d}")
         scan = stored(scanned(rows))
         run = self._write(combined(scan).select("gram", "whole", "n", F.struct("h", "at", "doc_id").alias("example")), number, number)
-        new = self._table(run).toDF("gram", "whole", "own", "own_at")
-        past = self.entries(old).toDF("gram", "whole", "old", "old_at") if old else None
-        both = new.join(past, ["gram", "whole"], "full_outer") if old else new.withColumns({"old": F.lit(0).cast("long"), "old_at": F.lit(None).cast(EXAMPLE)})
-        both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("own", "old")})
+        sides = [self._table(r).select("gram", "whole", "n", "example", F.lit(r == run).alias("mine")) for r in (run, *old)]
+        mine, past = F.col("mine"), ~F.col("mine")
+        both = reduce(DataFrame.union, sides).groupBy("gram", "whole").agg(
+            F.sum(F.when(mine, F.col("n")).otherwise(0)).alias("own"),
+            F.sum(F.when(past, F.col("n")).otherwise(0)).alias("old"),
+            F.min(F.when(mine, F.col("example"))).alias("own_at"),
+            F.min(F.when(past, F.col("example"))).alias("old_at"),
+        )
         gram = Window.partitionBy("gram")  # the fingerprints of a gram, each once
         both = both.withColumns({"fresh": F.sum("own").over(gram), "total": F.sum(F.col("own") + F.col("old")).over(gram), "kinds": F.count("*").over(gram)})
         hit = stored(both.filter("fresh > 0 AND total > 1").drop("fresh", "total"))
