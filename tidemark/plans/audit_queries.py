@@ -145,7 +145,7 @@ def ingest_source_share(spark, d):
 @query(f"{c.CLASSED}, n AS (SELECT cik, tag, coalesce(unit, 'EUR') AS unit, least(count(*), 2) AS n FROM c WHERE tag <> 'A' GROUP BY ALL) SELECT cik, tag AS raw_tag, unit, n FROM n")
 def ingest_trimmed(spark, d):
     """Two adopted tags, at most two facts of each list: the cut is the feature."""
-    rows = ingest.flattened(ingest.trimmed(c.payloads(spark, d), 2, ("N", "R")))
+    rows = ingest.flattened(ingest.trimmed(c.payloads(spark, d, texts=1), 2, ("N", "R")))
     return rows.groupBy("cik", "raw_tag", "unit").agg(F.count("*").alias("n"))
 
 

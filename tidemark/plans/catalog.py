@@ -428,8 +428,10 @@ def controlled_slopes(spark, d):
 # Ingest: payloads that Spark derives from the facts, one nested text for each company
 
 
-def payloads(spark, d, twice: bool = False) -> DataFrame:
-    """Company-facts texts: namespace, tag, unit, list; twice: behind each fact another of its key, with a greater value. Lines of odd suppliers' last frames have other units, forms or no filing day."""
+def payloads(spark, d, twice: bool = False, texts: int = 8) -> DataFrame:
+    """Company-facts texts: namespace, tag, unit, list; twice: behind each fact another of its key, with a greater value.
+
+    A company's filings are dealt to so many texts, so that a large company is no single value. Lines of odd suppliers' last frames have other units, forms or no filing day."""
     f = m.facts(spark, d)
     k = F.col("frame").cast("int")
     start = F.when(F.col("form") == "10-K", F.col("period_start").cast("string"))
@@ -438,10 +440,10 @@ def payloads(spark, d, twice: bool = False) -> DataFrame:
         F.when(k == 5, "8-K").otherwise(F.col("form")).alias("form"), F.when(k != 6, F.col("filed").cast("string")).alias("filed"), F.col("accession").alias("accn"), F.col("frame").alias("frame"),
     )
     more = F.struct(*(fact[n].alias(n) if n != "val" else (fact[n] + 1e9).alias(n) for n in ("start", "end", "val", "fy", "fp", "form", "filed", "accn", "frame")))
-    each = f.withColumn("unit", F.coalesce("unit", F.lit("EUR"))).withColumn("fact", F.explode(F.array(fact, more) if twice else F.array(fact)))
-    lists = each.groupBy("cik", "tag", "unit").agg(F.sort_array(F.collect_list("fact")).alias("facts"))
-    units = lists.groupBy("cik", "tag").agg(F.map_from_entries(F.collect_list(F.struct("unit", "facts"))).alias("units"))
-    tags = units.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("units")))).alias("tags"))
+    each = f.withColumn("unit", F.coalesce("unit", F.lit("EUR"))).withColumns({"part": F.pmod(F.xxhash64("accession"), F.lit(texts)), "fact": F.explode(F.array(fact, more) if twice else F.array(fact))})
+    lists = each.groupBy("cik", "part", "tag", "unit").agg(F.sort_array(F.collect_list("fact")).alias("facts"))
+    units = lists.groupBy("cik", "part", "tag").agg(F.map_from_entries(F.collect_list(F.struct("unit", "facts"))).alias("units"))
+    tags = units.groupBy("cik", "part").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct("units")))).alias("tags"))
     return tags.select(F.to_json(F.struct("cik", F.create_map(F.lit("us-gaap"), F.col("tags")).alias("facts"))).alias("value"))
 
 
