@@ -166,13 +166,17 @@ def test_compaction_keeps_counts(spark, tmp_path):
     once.drop(), many.drop()
 
 
-def test_runs_meet_without_a_shuffle(spark, tmp_path):
+def test_runs_meet_in_one_shuffle(spark, tmp_path):
+    """And each fingerprint is one row, in the runs as in what they are compacted to."""
     index = window_index.WindowIndex(spark, f"file://{tmp_path}/plan", most_runs=9)
     rows = window_index.narrow(spark.createDataFrame(repeat_rows(), "doc_id long, text string"))
-    for b in range(2):
-        index.add(rows.filter(f"doc_id % 2 = {b}"))
+    for b in range(3):
+        index.add(rows.filter(f"doc_id % 3 = {b}"))
     plan = index.entries()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+    assert plan.count("Exchange") == 1
+    index.compact()
+    run = index._runs_of(index.runs())
+    assert len(index.runs()) == 1 and run.count() == run.select("gram", "whole").distinct().count() == index.entries().count()
     index.drop()
 
 

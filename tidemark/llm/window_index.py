@@ -6,7 +6,7 @@ that name the same gram at the same position form a segment, at most 28 windows;
 gram's hash and the hash of all words that it covers.
 
 Each batch of texts becomes an immutable run of distinct fingerprints with their counts and the place of one example,
-bucketed and sorted by gram, so that a new run is merged with the runs before it bucket by bucket, without a shuffle. A segment
+dealt and sorted by gram. A new run is merged with the runs before it by gram, in one shuffle of the runs. A segment
 whose fingerprint is found twice, in the batch or in history, holds repeated windows only. A segment of its own whose
 gram others name too is verified window by window, by 96 bits of the words, against one segment of each other fingerprint
 of that gram; texts of history that hold these are read again, and no others. What a batch shows is kept as marks of the
@@ -120,9 +120,7 @@ class WindowIndex:
 
     def __init__(self, spark: SparkSession, path: str, most_runs: int = 4) -> None:
         self.spark, self.path, self.most_runs = spark, path.rstrip("/"), most_runs
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.name = "windows_" + hashlib.md5(self.path.encode()).hexdigest()[:12]
 
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -135,20 +133,20 @@ class WindowIndex:
         return sorted(n for n in names if n.startswith(kind + "-") and self.files.exists(self._at(f"{n}/_SUCCESS")))
 
     def runs(self) -> list[str]:
-        """Runs that no other covers; a name tells its first and last batch and its buckets."""
-        spans = {n: tuple(map(int, re.findall("[0-9]+", n)))[:2] for n in self._names("run")}
+        """Runs that no other covers; a name tells its first and last batch."""
+        spans = {n: tuple(map(int, re.findall("[0-9]+", n))) for n in self._names("run")}
         return [n for n, (a, b) in spans.items() if not any(m != n and c <= a and b <= d for m, (c, d) in spans.items())]
 
-    def _table(self, run: str) -> DataFrame:
-        name, buckets = f"{self.name}_{run.replace('-', '_')}", int(run.rpartition("-")[2])
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (gram BIGINT, whole BIGINT, n BIGINT, example {EXAMPLE}) USING parquet CLUSTERED BY (gram) SORTED BY (gram) INTO {buckets} BUCKETS LOCATION '{self.path}/{run}'")
-        return self.spark.table(name)
+    def _runs_of(self, names: list[str]) -> DataFrame:
+        """gram, whole, n, example and run of some runs."""
+        rows = (self.spark.read.schema(f"gram long, whole long, n long, example {EXAMPLE}").parquet(f"{self.path}/{n}").withColumn("run", F.lit(n)) for n in names)
+        return reduce(DataFrame.union, rows)
 
     def _write(self, entries: DataFrame, first: int, last: int) -> str:
-        run = f"run-{first:06d}-{last:06d}-{self.buckets}"
-        # As many tasks as buckets, by the same key: each writes one file. Rows of one fingerprint meet there, too.
-        rows = entries.select("gram", "whole", "n", F.col("example").cast(EXAMPLE).alias("example")).repartition(self.buckets, "gram")
-        rows.groupBy("gram", "whole").agg(F.sum("n").alias("n"), F.min("example").alias("example")).write.bucketBy(self.buckets, "gram").sortBy("gram").option("compression", "zstd").option("path", f"{self.path}/{run}").saveAsTable(f"{self.name}_{run.replace('-', '_')}")
+        run = f"run-{first:06d}-{last:06d}"
+        # Rows of one fingerprint meet where their gram is dealt to: one shuffle.
+        rows = entries.select("gram", "whole", "n", F.col("example").cast(EXAMPLE).alias("example")).repartition("gram")
+        self._keep(rows.groupBy("gram", "whole").agg(F.sum("n").alias("n"), F.min("example").alias("example")).sortWithinPartitions("gram"), run)
         return run
 
     def _keep(self, rows: DataFrame, name: str) -> None:
@@ -169,9 +167,9 @@ class WindowIndex:
         return rows.groupBy(*IDENTITY).agg(flat("sure"), flat("found"))
 
     def entries(self, runs: list[str] | None = None) -> DataFrame:
-        """Runs merged bucket by bucket: one row for each fingerprint. Buckets of all runs lie together, so nothing is shuffled."""
-        rows = reduce(DataFrame.union, (self._table(r) for r in (self.runs() if runs is None else runs)))
-        return rows.groupBy("gram", "whole").agg(F.sum("n").alias("n"), F.min("example").alias("example"))
+        """Runs merged: one row for each fingerprint."""
+        rows = self._runs_of(self.runs() if runs is None else runs)
+        return rows.repartition("gram").groupBy("gram", "whole").agg(F.sum("n").alias("n"), F.min("example").alias("example"))
 
     def add(self, rows: DataFrame) -> None:
         """Joins a batch with history, marks the texts of both that hold what the other or itself repeats, and keeps its run."""
@@ -179,9 +177,8 @@ class WindowIndex:
         self._keep(packed(rows), f"texts-{number:06d}")
         scan = stored(scanned(rows))
         run = self._write(combined(scan).select("gram", "whole", "n", F.struct("h", "at", "doc_id").alias("example")), number, number)
-        sides = [self._table(r).select("gram", "whole", "n", "example", F.lit(r == run).alias("mine")) for r in (run, *old)]
-        mine, past = F.col("mine"), ~F.col("mine")
-        both = reduce(DataFrame.union, sides).groupBy("gram", "whole").agg(
+        mine, past = F.col("run") == run, F.col("run") != run
+        both = self._runs_of([run, *old]).repartition("gram").groupBy("gram", "whole").agg(
             F.sum(F.when(mine, F.col("n")).otherwise(0)).alias("own"),
             F.sum(F.when(past, F.col("n")).otherwise(0)).alias("old"),
             F.min(F.when(mine, F.col("example"))).alias("own_at"),
@@ -212,16 +209,13 @@ class WindowIndex:
         """One run of all; the old ones go."""
         old = self.runs()
         if len(old) > 1:
-            spans = [tuple(map(int, re.findall("[0-9]+", n)))[:2] for n in old]
-            self._write(self.entries(old), min(a for a, _ in spans), max(b for _, b in spans))
+            spans = [tuple(map(int, re.findall("[0-9]+", n))) for n in old]
+            self._write(self._runs_of(old), min(a for a, _ in spans), max(b for _, b in spans))
             for run in old:
-                self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{run.replace('-', '_')}")
                 self.files.delete(self._at(run), True)
 
     def drop(self) -> None:
-        """The tables and all files go."""
-        for run in self._names("run"):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{run.replace('-', '_')}")
+        """All files go."""
         self.files.delete(self._at(""), True)
 
 
