@@ -71,7 +71,7 @@ class Encoder:
         if ids is None:
             s = u if u.isascii() else u.encode().decode("latin-1").translate(self.letters)
             ids = np.array([t.id for t in self.model.tokenize(s)], np.uint16).tobytes()
-            if len(self.units) < 2 * REMEMBERED:
+            if len(self.units) < 5 * REMEMBERED:
                 self.units[u] = ids
         return ids
 
