@@ -1,13 +1,17 @@
 """Toxicity, quality and personal data: held-out accuracy, exact decoding, base patterns."""
 
 import itertools
+import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import crf_pii, lsa_knn, toxicity_fst
+from tidemark.llm.labelled import sample
 from tidemark.llm.words import words_of
 
 SF = "/root/testdata/sf0.01"
@@ -153,6 +157,59 @@ def test_base_spans_equal_patterns(spark):
     assert more[0] == [("email", 5, 25)] and more[1] == [("phone", 7, 21)] and more[2] == []
 
 
+def test_base_spans_of_dense_marks():
+    """Short texts of few characters, where attempts that fail overlap those that match."""
+    rng = random.Random(3)
+    for marks in ("a@.b-9_%+", "1. -+()2a", "0.@a", "19 -+.", "@a.b"):
+        for _ in range(4000):
+            text = "".join(rng.choice(marks) for _ in range(rng.randrange(1, 40)))
+            assert crf_pii.base_spans(text) == plain_base(text), text
+
+
+@pytest.mark.parametrize("text", ["9" * (1 << 20), "a" * (1 << 20) + " x@y.de", "a." * (1 << 19) + " x@y.de", "a@" * (1 << 19), "1." * (1 << 19), "1-" * (1 << 19), "a@" + "b-" * (1 << 19), "+1(" * 300000, ".at" * 300000, "a(at)" * 200000])
+def test_a_megabyte_without_a_blank(text):
+    finder = crf_pii.Finder(crf_pii.trained())
+    began = time.perf_counter()
+    base = crf_pii.base_spans(text)
+    assert time.perf_counter() - began < 2
+    if text[:2] == "1.":
+        assert len(base) == 131072 and base[1] == ("ip", 8, 15)
+    else:
+        assert base == ([("email", len(text) - 6, len(text))] if text.endswith("x@y.de") else [])
+    (again, spans), = finder.spans(pa.array([text]))
+    assert again == base and spans == base
+
+
+def test_many_spans_in_one_text():
+    text = "x a@b.cd 10.0.0.1 é token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" " * 3000
+    (base, spans), = crf_pii.Finder(crf_pii.trained()).spans(pa.array([text]))
+    assert len(base) == 6000 and len(spans) == 9000
+    step = len(text) // 3000
+    assert [a - spans[6000][1] for _, a, _ in spans[6000:]] == [step * i for i in range(3000)]
+    assert crf_pii.redact(text, spans) == "x [EMAIL] [IP] é token = \"[SECRET]\" ".replace('"', text[28:29]) * 3000
+
+
+def test_addresses_that_are_spelled_out():
+    good = ["anna at host dot com", "anna(at)host(dot)com", "anna [at] host.com", "anna.b AT my-host DOT co DOT uk", "anna[at] host dot com"]
+    bad = ["anna at host", "at host dot com", "he was at home and dot com", "anna host dot com", "anna at host dot ", " at x.y", "", "at" * 9]
+    assert all(crf_pii.spelled_out(t) for t in good) and not any(crf_pii.spelled_out(t) for t in bad)
+
+
+def test_sample_is_bounded_by_rows(spark):
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(500).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    every = F.lit(True)
+    plain = {tuple(r) for r in sample(docs, labels, "toxic", every, 100).collect()}
+    hot = next(iter(plain))[0]
+    copies = spark.range(100000).selectExpr(f"CAST({hot} AS LONG) AS doc_id", f"'text {hot}' AS text")
+    assert len(plain) == 100 and {tuple(r) for r in sample(docs.unionByName(copies), labels, "toxic", every, 100).collect()} == plain
+    others = spark.range(100000).selectExpr(f"CAST({hot} AS LONG) AS doc_id", "concat('other ', id) AS text")
+    mixed = sample(docs.unionByName(others), labels.unionByName(labels), "toxic", every, 100).collect()
+    assert len(mixed) == 100 and {r["doc_id"] for r in mixed} == {d for d, _, _ in plain}
+    nulls = spark.createDataFrame([(1, None), (None, "x")], "doc_id long, text string")
+    assert [tuple(r) for r in sample(nulls, labels, "toxic", every, 500).collect()] == [(1, None, 1)]
+
+
 def runs(labels):
     """Spans of words with one label."""
     edges = [0, *(i for i in range(1, len(labels)) if labels[i] != labels[i - 1]), len(labels)]

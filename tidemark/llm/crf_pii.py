@@ -12,6 +12,9 @@ Emissions are looked up for all words of a slice at once. A word that lies in no
 pay for entering and leaving a span is outside on every best path, so Viterbi runs, in padded numpy batches, on the
 pieces between such words; this is exact. Texts begin and end outside.
 
+The search takes time that grows with the text: base patterns and checks look at each character a fixed number of times,
+however long a word or a run of digits is.
+
 Defined cases: a null text is empty; spans count code points, ends excluded; a secret is a span of the kind
 `secret`, listed last; repeated rows all stay; an empty table gives an empty result; other columns are not read by
 the search and stay in redaction.
@@ -19,6 +22,8 @@ the search and stay in redaction.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -33,12 +38,14 @@ from tidemark.llm.words import REMEMBERED, slices, tidied, words_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
-# Fixed base patterns.
-_SOLID_AT = re.compile(r"[^\x20\x09-\x0D]*@[^\x20\x09-\x0D]*")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# Fixed base patterns, in forms that look at each character a fixed number of times: a run of one class is entered at its
+# first character only, and is never given back (what follows a run is not of its class, so nothing is lost).
+_LOCAL_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_NO_DIGIT = re.compile("[^0-9]+")
 Span = tuple[str, int, int]
 
 
@@ -51,15 +58,23 @@ def luhn(digits: str) -> bool:
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if "0" <= c <= "9")
+    return _NO_DIGIT.sub("", text)
+
+
+def emails(text: str) -> list[Span]:
+    """Emails at each at sign: the longest part before it that no earlier email holds, and the host after it."""
+    out, last = [], 0
+    for m in _LOCAL_AT.finditer(text):
+        start, at = max(m.start(), last), m.end() - 1
+        if start < at and (host := _DOMAIN.match(text, at + 1)):
+            last = host.end()
+            out.append(("email", start, last))
+    return out
 
 
 def base_spans(text: str) -> list[Span]:
-    """Base spans by kind, then start. An email lies within a word, so only words with an at sign are searched."""
-    out: list[Span] = []
-    if "@" in text:
-        for word in _SOLID_AT.finditer(text):
-            out += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text, *word.span())]
+    """Base spans by kind, then start, in time that grows with the length of the text, whatever it holds."""
+    out = emails(text) if "@" in text else []
     if _HAS_DIGIT.search(text):
         out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
         for m in _CARD.finditer(text):
@@ -468,11 +483,31 @@ def trained() -> Model:
     return Model().train(labelled_table())
 
 
+_AT = re.compile(r"\Wat\W")
+_LAST = re.compile(r"(?:\.|\W(?:dot|punto)\W)\s*")
+_MARK = re.compile(r"\W*(?:at|dot|punto)\W*|\W(?:at|dot|punto)\W.*|.*\W(?:at|dot|punto)\W", re.S)
+
+
+def spelled_out(text: str) -> bool:
+    """A name, `at` between marks, a host, and a dot or `dot` before the last word; no two plain words in a row."""
+    text = text.lower()
+    at = _AT.search(text, 1)
+    if not at or text[0].isspace():
+        return False
+    tail = len(text) - len(re.match(r"\w*", text[::-1]).group())
+    begin = max(at.end(), len(text[:tail].rstrip()) - 6)
+    if tail == len(text) or not any(_LAST.fullmatch(text, k, tail) for k in range(begin, tail)):
+        return False
+    # of a word only its ends can be a mark between words
+    plain = [not _MARK.fullmatch(w if len(w) <= 16 else w[:8] + w[-8:]) for w in text.split()]
+    return not any(a and b for a, b in itertools.pairwise(plain))
+
+
 def sound(kind: str, text: str) -> bool:
     """The arithmetic of a kind; which words are meant the field decides."""
     digits = _digits(text)
     if kind == "email":
-        return len(text.split()) <= 8 and bool(re.fullmatch(r"\S.*?\Wat\W.*(\.|\W(dot|punto)\W)\s*\w+", text.lower()))
+        return spelled_out(text)
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(int(p[:9]) <= 255 for p in parts)
@@ -527,16 +562,19 @@ class Finder:
         at = np.flatnonzero(label)
         if len(at):
             new = np.append(True, (np.diff(at) > 1) | (np.diff(label[at]) != 0) | (np.diff(words.doc[at]) != 0))
+            points = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])  # code points before each byte
+            taken: dict[int, tuple[list[int], list[int]]] = {}
             for k in np.split(at, np.flatnonzero(new)[1:]):
                 d = int(words.doc[k[0]])
-                origin = words.at[d]
-                head = words.data[origin : words.start[k[0]]]
-                a = int(((head & 0xC0) != 0x80).sum())
-                body = words.data[words.start[k[0]] : words.end[k[-1]]]
-                b = a + int(((body & 0xC0) != 0x80).sum())
+                a, b = (int(points[i] - points[words.at[d]]) for i in (words.start[k[0]], words.end[k[-1]]))
                 kind = LABELS[label[k[0]]]
                 a, b = trim(kind, texts[d], a, b)
-                if b > a and sound(kind, texts[d][a:b]) and not any(a < e and s < b for _, s, e in found[d]):
+                if d not in taken:
+                    held = sorted((s, e) for _, s, e in found[d])
+                    taken[d] = [s for s, _ in held], list(itertools.accumulate((e for _, e in held), max))
+                starts, ends = taken[d]
+                before = bisect.bisect_left(starts, b)  # base spans that start before it ends
+                if b > a and sound(kind, texts[d][a:b]) and not (before and ends[before - 1] > a):
                     more.setdefault(d, []).append((kind, a, b))
         order = lambda s: (KINDS.index(s[0]), s[1], s[2])
         return [(f, sorted(f + more.get(d, []), key=order)) for d, f in enumerate(found)]
@@ -572,9 +610,11 @@ def redact(text: str, spans: list[Span]) -> str:
             merged[-1][2] = max(merged[-1][2], b)
         else:
             merged.append([kind, a, b])
-    for kind, a, b in reversed(merged):
-        text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
-    return text
+    out, done = [], 0
+    for kind, a, b in merged:
+        out += [text[done:a], f"[{kind.upper()}]"]
+        done = b
+    return "".join([*out, text[done:]])
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -134,13 +134,13 @@ class Model:
         if not n:
             return np.full(len(bags), 0.5)
         k, out = min(nearest, n), np.zeros(len(bags))
-        order = np.arange(n)[::-1]
+        order, bits = np.arange(n)[::-1], n.bit_length()
         for a in range(0, len(bags), block):
             cosine = (self.latent(bags[a : a + block]) @ self.vectors.T).astype(np.int64)
-            key = cosine * (1 << 16) + order  # one number for each neighbour, no two alike
+            key = cosine * (1 << bits) + order  # one number for each neighbour, no two alike
             top = np.sort(np.partition(key, n - k, axis=1)[:, n - k :], axis=1)[:, ::-1]
-            near = np.maximum((top >> 16) / float(1 << 2 * SCALE), 1e-3) ** SHARPNESS
-            label = self.labels[n - 1 - (top & 0xFFFF)]
+            near = np.maximum((top >> bits) / float(1 << 2 * SCALE), 1e-3) ** SHARPNESS
+            label = self.labels[n - 1 - (top & ((1 << bits) - 1))]
             total, ones = np.zeros(len(top)), np.zeros(len(top))
             for j in range(k):
                 total += near[:, j]
