@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bm25_packing, crf_pii, dart_minhash, lsa_knn, mpeg_audio, quality_mcd, source_mix, toxicity_fst, url_rules, window_index
+from tidemark.llm import bm25_packing, crf_pii, dart_minhash, lsa_knn, mpeg_audio, quality_mcd, source_divergence, source_mix, toxicity_fst, url_rules, window_index
 from tidemark.llm.labelled import fold
 
 
@@ -66,7 +66,11 @@ def op10_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"), secrets.alias("n_secret"), F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_url_rules, op3_mpeg_audio, op4_toxicity_fst, op5_bm25_packing, op6_dart_minhash, op7_window_index, op8_lsa_knn, op9_source_mix, op10_crf_pii)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_url_rules, op3_mpeg_audio, op4_toxicity_fst, op5_bm25_packing, op6_dart_minhash, op7_window_index, op8_lsa_knn, op9_source_mix, op10_crf_pii, op11_source_divergence)}
 
 
 def _op2_sql() -> str:
@@ -103,4 +107,22 @@ SELECT doc_id, size, source_size, target,
        CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END AS taken FROM p
 """
 
-ORACLE_SQL = {"op2_url_rules": _op2_sql(), "op9_source_mix": OP9_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+kept AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY lang, t HAVING count(*) >= 30),
+size AS (SELECT lang, count(t) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+n AS (SELECT lang, source, t, CAST(count(*) AS HUGEINT) AS n FROM (SELECT lang, source, unnest(w) AS t FROM d) JOIN kept USING (lang, t) GROUP BY lang, source, t),
+cell AS (SELECT g.lang, g.source, k.t, coalesce(n.n, 0::HUGEINT) AS n FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.t = k.t),
+p AS (SELECT lang, source, t, n, 1 + (1000000000::HUGEINT * (n + 5)) // (CAST(sum(n) OVER (PARTITION BY lang, source) AS HUGEINT) + 5 * v) AS p FROM cell JOIN size USING (lang)),
+whole AS (SELECT lang, t, CAST(sum(n) AS HUGEINT) AS n FROM cell GROUP BY lang, t),
+q AS (SELECT lang, t, 1 + (1000000000::HUGEINT * (n + 5)) // (CAST(sum(n) OVER (PARTITION BY lang) AS HUGEINT) + 5 * v) AS q FROM whole JOIN size USING (lang)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+         FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, t AS item, p - q AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE_SQL = {"op2_url_rules": _op2_sql(), "op9_source_mix": OP9_SQL, "op11_source_divergence": OP11_SQL}
