@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bm25_packing, crf_pii, dart_minhash, lsa_knn, mpeg_audio, quality_mcd, source_divergence, source_mix, toxicity_fst, url_rules, window_index
+from tidemark.llm import bm25_packing, crf_pii, dart_minhash, lsa_knn, merkle_manifest, mpeg_audio, quality_mcd, source_divergence, source_mix, toxicity_fst, url_rules, window_index
 from tidemark.llm.labelled import fold
 
 
@@ -70,7 +70,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_url_rules, op3_mpeg_audio, op4_toxicity_fst, op5_bm25_packing, op6_dart_minhash, op7_window_index, op8_lsa_knn, op9_source_mix, op10_crf_pii, op11_source_divergence)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle_manifest.manifest(table(spark, sf_dir, "documents"), changed={"text": tampered})
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("path", ""), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_url_rules, op3_mpeg_audio, op4_toxicity_fst, op5_bm25_packing, op6_dart_minhash, op7_window_index, op8_lsa_knn, op9_source_mix, op10_crf_pii, op11_source_divergence, op13_merkle_manifest)}
 
 
 def _op2_sql() -> str:
@@ -125,4 +132,38 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
-ORACLE_SQL = {"op2_url_rules": _op2_sql(), "op9_source_mix": OP9_SQL, "op11_source_divergence": OP11_SQL}
+_FIELD = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+_BEFORE_TEXT = " || ".join(_FIELD(c) for c in merkle_manifest.COLUMNS[:-1])
+#: CRC-32 of the id as text: each byte goes in, then eight steps (-1) shift it through.
+_CRC = (
+    "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_concat([ord(c)::BIGINT], list_transform(range(8), lambda k: -1::BIGINT))))), "
+    "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END) END))"
+)
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, sha256({_BEFORE_TEXT} || {_FIELD('text')}) AS leaf, text, {_BEFORE_TEXT} AS head FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+node AS (SELECT source, 0 AS level, i, n, leaf AS h FROM leaves UNION ALL
+         SELECT source, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY source, level, i // 3, n),
+subroots AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n, level AS height FROM node WHERE n = 1),
+top AS (SELECT 0 AS level, i, n, subroot AS h FROM subroots UNION ALL
+        SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 3, n),
+root AS (SELECT h AS root FROM top WHERE n = 1),
+run AS (SELECT source, level, i // 3 AS i, list(h ORDER BY i) AS hs FROM node WHERE n > 1 GROUP BY source, level, i // 3),
+top_run AS (SELECT level, i // 3 AS i, list(h ORDER BY i) AS hs FROM top WHERE n > 1 GROUP BY level, i // 3),
+-- Levels of all sources and of the sources' tree in one order for each leaf: level, place in the run, the run.
+fold AS (
+  SELECT l.doc_id, l.source, l.leaf, s.height, s.i AS source_i, 0 AS level, l.i AS i, '' AS proof,
+         CASE WHEN crc % 2 = 0 THEN sha256(l.head || {_FIELD("replace(l.text, chr(10), '')")}) ELSE l.leaf END AS h
+  FROM (SELECT *, {_CRC} AS crc FROM leaves) l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT f.doc_id, f.source, f.leaf, f.height, f.source_i, f.level + 1, f.at // 3, f.proof || array_to_string(list_concat(f.hs[:f.at % 3], f.hs[f.at % 3 + 2:]), ''),
+         sha256(array_to_string(list_concat(f.hs[:f.at % 3], [f.h], f.hs[f.at % 3 + 2:]), ''))
+  FROM (SELECT g.*, coalesce(r.hs, t.hs) AS hs, CASE WHEN g.level < g.height THEN g.i WHEN g.level = g.height THEN g.source_i ELSE g.i END AS at
+        FROM fold g LEFT JOIN run r ON g.level < g.height AND r.source IS NOT DISTINCT FROM g.source AND r.level = g.level AND r.i = g.i // 3
+        LEFT JOIN top_run t ON g.level >= g.height AND t.level = g.level - g.height AND t.i = (CASE WHEN g.level = g.height THEN g.source_i ELSE g.i END) // 3) f
+  WHERE f.hs IS NOT NULL)
+SELECT f.doc_id, f.leaf, s.subroot, root.root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = root.root AS verified
+FROM fold f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source, root WHERE f.level = f.height + (SELECT max(level) FROM top)
+"""
+
+ORACLE_SQL = {"op2_url_rules": _op2_sql(), "op9_source_mix": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
