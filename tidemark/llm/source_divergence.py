@@ -164,8 +164,7 @@ def shard_counts(docs: DataFrame, shard: int = SHARD_BYTES) -> DataFrame:
                         term, _, n, _ = counted(piece, group)
                         more = pa.table({"term": term, "n": n})
                         table = more if table is None else pa.concat_tables([table, more]).group_by("term").aggregate([("n", "sum")]).rename_columns(["term", "n"])
-                    table = table.combine_chunks()
-                    term, n = table.column("term").chunk(0), table.column("n").to_numpy()
+                    term, n = table.column("term").combine_chunks(), table.column("n").to_numpy()
                     who, df = np.full(len(n), group[0]), np.ones(len(n), np.int64)
                 else:
                     term, who, n, df = counted(part, group)
