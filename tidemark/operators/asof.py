@@ -6,25 +6,31 @@ probes of the same day, so a row counts on its own day.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The order of facts that agree in period end and filing day: one total order wherever a latest row is taken.
 TIES = ("period_start", "accession", "form", "frame", "value")
 INTERVAL = ("cik", "tag", "period_start", "period_end")
+#: Into so many parts rows without a key are dealt.
+KEYLESS = 1 << 20
 
 
 def join_asof(probes: DataFrame, build: DataFrame, keys: list[str], probe_on: str, build_on: str, columns: list[str], prefer: list[str] | None = None) -> DataFrame:
     """probes with the columns of the newest row of build at or before each probe's day, null without one.
 
-    Of build rows of one day the greatest by `prefer` (default: columns, in order) counts. Every probe row stays.
+    Of build rows of one day the greatest by `prefer` (default: columns, in order) counts. Every probe row stays; one with a
+    null key finds nothing. Such probes are dealt by a hash of the whole row, so that they don't meet in one task.
     """
     order = prefer or columns
     value = F.struct(*(F.col(c).alias(f"o_{i}") for i, c in enumerate(order)), *(F.col(c).alias(f"v_{i}") for i, c in enumerate(columns)))
-    kept = probes.columns
-    rows = build.filter(F.col(build_on).isNotNull()).select(*keys, F.col(build_on).alias("at_"), F.lit(0).alias("side_"), value.alias("found_"), F.lit(None).cast(probes.select(F.struct("*")).schema[0].dataType).alias("probe_"))
-    asks = probes.select(*keys, F.col(probe_on).alias("at_"), F.lit(1).alias("side_"), F.lit(None).cast(rows.schema["found_"].dataType).alias("found_"), F.struct("*").alias("probe_"))
-    order_by = Window.partitionBy(*keys).orderBy("at_", "side_", "found_").rowsBetween(Window.unboundedPreceding, 0)
+    kept, keyed = probes.columns, reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    spread = F.when(keyed, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("*"), F.lit(KEYLESS))).cast("long").alias("spread_")
+    rows = build.filter(F.col(build_on).isNotNull() & keyed).select(*keys, F.lit(0).cast("long").alias("spread_"), F.col(build_on).alias("at_"), F.lit(0).alias("side_"), value.alias("found_"), F.lit(None).cast(probes.select(F.struct("*")).schema[0].dataType).alias("probe_"))
+    asks = probes.select(*keys, spread, F.col(probe_on).alias("at_"), F.lit(1).alias("side_"), F.lit(None).cast(rows.schema["found_"].dataType).alias("found_"), F.struct("*").alias("probe_"))
+    order_by = Window.partitionBy(*keys, "spread_").orderBy("at_", "side_", "found_").rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.unionByName(asks).withColumn("last_", F.last("found_", ignorenulls=True).over(order_by)).filter("side_ = 1")
     return seen.select(*(F.col(f"probe_.{c}").alias(c) for c in kept), *(F.col(f"last_.v_{i}").alias(c) for i, c in enumerate(columns)))
 
@@ -47,6 +53,11 @@ def restated(facts: DataFrame, caller: str = "") -> DataFrame:
     return latest(facts, INTERVAL, ("filed", *TIES[1:]))
 
 
+def known_on(arm: str = "pit") -> Column:
+    """The day from which a fact can be seen: it was filed and its period is over; the restated arm asks for the latter alone. Null: never."""
+    return F.when(F.col("filed").isNotNull(), F.greatest("period_end", "filed")) if arm == "pit" else F.col("period_end")
+
+
 def signal_grid(days: DataFrame, column: str, months: int = 15) -> DataFrame:
     """Month ends from so many months after the first day of a column up to its last."""
     ends = days.agg(F.add_months(F.min(column), months).alias("first"), F.max(column).alias("last"))
@@ -61,50 +72,54 @@ def strided(grid: DataFrame, most: int) -> DataFrame:
     return grid.withColumn("i_", F.row_number().over(Window.orderBy("signal_date")) - 1).filter(F.col("i_") % step == 0).drop("i_")
 
 
-def visible_on(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit", until: str | None = None) -> DataFrame:
-    """facts for every signal date on which they can be seen: filed and ended by then, `lag` days before.
+def handed_out(rows: DataFrame, dates: DataFrame, lag: int, from_: str | Column, until: str | Column | None = None) -> DataFrame:
+    """rows for every signal date whose day, `lag` days before, is in [from_, until); a null until is open, a null from_ is never.
 
-    The restated arm drops the condition on filing alone. `until` names a column with the day from which a fact is no
-    longer asked for, null for never. A fact goes only to the months of its own range, and meets the dates of each by
-    a hash join. dates is a grid of months, small enough to broadcast.
+    A row goes only to the months of its own range, and meets the dates of each by a hash join, so rows are not shuffled.
+    dates is a grid of months, small enough to broadcast.
     """
-    known_on = F.greatest("period_end", "filed") if arm == "pit" else F.col("period_end")
+    as_column = lambda c: F.col(c) if isinstance(c, str) else c
     asof = dates.select("signal_date", F.date_sub("signal_date", lag).alias("asof_")).distinct().withColumn("month_", F.trunc("asof_", "month"))
     last = asof.agg(F.max("asof_")).scalar()
-    ranged = facts.withColumns({"from_": known_on, "to_": F.least(F.date_sub(F.col(until), 1), last) if until else last}).filter("from_ <= to_")
+    ranged = rows.withColumns({"from_": as_column(from_), "to_": F.least(F.date_sub(as_column(until), 1), last) if until is not None else last}).filter("from_ <= to_")
     months = F.sequence(F.trunc("from_", "month"), F.trunc("to_", "month"), F.expr("interval 1 month"))
     each = ranged.withColumn("month_", F.explode(months)).join(F.broadcast(asof), "month_").filter("asof_ BETWEEN from_ AND to_")
-    return each.select(*facts.columns, "signal_date")
+    return each.select(*rows.columns, "signal_date")
 
 
-def history(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit") -> DataFrame:
+def visible_on(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit", until: str | None = None) -> DataFrame:
+    """facts for every signal date on which they can be seen (`known_on`); `until` names a column with the day from which a fact is no longer asked for."""
+    return handed_out(facts, dates, lag, known_on(arm), until)
+
+
+def history(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit", caller: str = "history") -> DataFrame:
     """For each signal date, the newest visible filing of every exact interval.
 
     Facts are shuffled once by interval: each filing counts from its day up to the next one of its interval, and is
     handed out to the dates between only then. Of filings of one day the greatest by TIES counts.
     """
+    if arm == "restated":
+        return visible_on(restated(facts.filter("filed IS NOT NULL"), caller), dates, lag, arm).select(*facts.columns, "signal_date")
     order = Window.partitionBy(*INTERVAL).orderBy("filed", *TIES[1:])
     rows = facts.filter("filed IS NOT NULL").withColumn("next_", F.lead("filed").over(order))
-    if arm == "restated":
-        return visible_on(rows.filter("next_ IS NULL").drop("next_"), dates, lag, arm)
     return visible_on(rows, dates, lag, arm, until="next_").drop("next_")
 
 
-def latest_known(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit") -> DataFrame:
+def latest_known(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit", caller: str = "latest_known") -> DataFrame:
     """For each signal date, cik and tag: the newest period end that was visible, in its newest filing.
 
-    A running best row by knowledge day, then one as-of join: no join of facts with dates. A fact can't be filed
-    before its period ends, so in the pit arm the condition on period end follows; the restated arm runs on it instead.
+    A running best row by the day on which each fact can be seen, valid up to the next such day, is handed out to dates:
+    one shuffle of facts, whatever the number of dates. A restated read is counted under its caller.
     """
-    rows = restated(facts) if arm == "restated" else facts
-    at = "filed" if arm == "pit" else "period_end"
+    rows = restated(facts, caller) if arm == "restated" else facts
     keep = [c for c in facts.columns if c not in ("cik", "tag")]
     order = F.struct("period_end", F.col("filed").alias("filed_"), *(F.col(c).alias(f"t_{c}") for c in TIES))
-    best = Window.partitionBy("cik", "tag").orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0)
-    state = rows.select("cik", "tag", F.col(at).alias("day"), F.max(F.struct(order.alias("order"), F.struct(*keep).alias("row"))).over(best).alias("best"))
-    probes = rows.select("cik", "tag").distinct().crossJoin(F.broadcast(dates.select("signal_date"))).withColumn("asof", F.date_sub("signal_date", lag))
-    found = join_asof(probes, state, ["cik", "tag"], "asof", "day", ["best"]).filter("best IS NOT NULL")
-    return found.select("cik", "tag", "signal_date", *(F.col(f"best.row.{c}").alias(c) for c in keep))
+    by_day = Window.partitionBy("cik", "tag").orderBy("day", "order")
+    state = rows.select("cik", "tag", known_on(arm).alias("day"), order.alias("order"), F.struct(*keep).alias("row")).filter("day IS NOT NULL")
+    best = F.max(F.struct("order", "row")).over(by_day.rowsBetween(Window.unboundedPreceding, 0))
+    state = state.select("cik", "tag", "day", best["row"].alias("best"), F.lead("day").over(by_day).alias("next_"))
+    found = handed_out(state, dates, lag, "day", "next_")
+    return found.select("cik", "tag", "signal_date", *(F.col(f"best.{c}").alias(c) for c in keep))
 
 
 def sampled(series: DataFrame, dates: DataFrame, days: int = 10) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import known, month_anchor, ratio
-from tidemark.operators.asof import INTERVAL, TIES, history, latest_known, sampled
+from tidemark.operators.asof import history, latest_known, sampled
 from tidemark.operators.audit import Rule
+from tidemark.operators.states import ttm
 from tidemark.sources.tables import Tables
 
 VALUES = ("ticker", "signal_date", "value")
@@ -115,30 +116,6 @@ def turnover(t: Tables, dates: DataFrame) -> DataFrame:
     return finished(volume.join(shares, ["ticker", "signal_date"]).withColumn("value", -ratio(F.col("value"), F.col("shares"))))
 
 
-def ttm(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit") -> DataFrame:
-    """cik, tag, signal_date, value: flow of the trailing twelve months, from what was visible.
-
-    Reports that accumulate within a year are differenced within their start; of one period end the span of a
-    quarter report counts before that of a longer one, then the earlier filing. Four quarters in a row are summed;
-    else the newest report of about a year counts; else there is none.
-    """
-    by = ["cik", "tag", "signal_date"]
-    facts = facts.select(*INTERVAL, "filed", *TIES[1:])
-    seen = history(facts, dates, lag, arm).select(*by, "period_start", "period_end", "filed", "value").filter("period_end >= period_start AND value IS NOT NULL AND NOT isnan(value)")
-    seen = seen.withColumn("days", F.datediff("period_end", "period_start"))
-    chain = Window.partitionBy(*by, "period_start").orderBy("period_end")
-    steps = seen.withColumns({"delta": F.col("value") - F.lag("value", 1, 0.0).over(chain), "span": F.datediff("period_end", F.coalesce(F.lag("period_end").over(chain), F.col("period_start")))})
-    best = Window.partitionBy(*by, "period_end").orderBy(F.when(F.col("days") <= 130, 0).otherwise(1), "filed", "period_start")
-    quarters = steps.filter("span BETWEEN 45 AND 130").withColumn("rn", F.row_number().over(best)).filter("rn = 1")
-    newest = Window.partitionBy(*by).orderBy(F.desc("period_end"))
-    oldest = Window.partitionBy(*by).orderBy("period_end")
-    quarters = quarters.withColumns({"r": F.row_number().over(newest), "gap": F.datediff("period_end", F.lag("period_end").over(oldest))}).filter("r <= 4")
-    four = quarters.groupBy(*by).agg(F.count("*").alias("n"), F.sum("delta").alias("four"), F.min(F.when(F.col("r") < 4, F.col("gap"))).alias("low"), F.max(F.when(F.col("r") < 4, F.col("gap"))).alias("high"))
-    year = seen.filter("days BETWEEN 300 AND 430").groupBy(*by).agg(F.max_by("value", F.struct("period_end", "filed", "period_start")).alias("year"))
-    both = four.join(year, by, "full_outer")
-    return both.withColumn("value", F.when((F.col("n") == 4) & (F.col("low") >= 60) & (F.col("high") <= 130), F.col("four")).otherwise(F.col("year"))).filter("value IS NOT NULL").select(*by, "value")
-
-
 @dataclass(frozen=True)
 class Tags:
     """Names of the concepts that accounting signals read."""
