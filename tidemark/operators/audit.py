@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import finite, ratio
-from tidemark.operators.asof import INTERVAL, TIES
+from tidemark.operators.asof import INTERVAL, TIES, handed_out
 from tidemark.operators.guards import ImplausibleMagnitudeError, required, share, unique_keys
 
 REASONS = ("nonfinite_or_missing_value", "missing_unit", "mixed_units", "mixed_fact_types", "unknown_fact_type", "same_date_conflict")
@@ -72,18 +72,43 @@ def uncomparable_reasons(facts: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*(F.struct(F.lit(r).alias("reason"), F.col(r).alias("n_keys")) for r in (*REASONS, "any_reason")))).alias("x")).select("x.*")
 
 
-def naive_trap(values: DataFrame, securities: DataFrame, facts: DataFrame, grace: int = 0) -> DataFrame:
-    """ticker, signal_date, tag, period_end, filed: what a reader that ignores filing days would see early."""
+def _last_filed(facts: DataFrame, grace: int) -> DataFrame:
+    """cik, tag, period_end, filed (the last), over_: the day from which a date is no longer exposed to it."""
     last = facts.groupBy("cik", "tag", "period_end").agg(F.max("filed").alias("filed"))
-    needed = values.select("ticker", "signal_date").distinct().join(securities.select("cik", "ticker").distinct(), "ticker")
-    early = (F.col("period_end") <= F.col("signal_date")) & (F.col("filed") > F.date_add("signal_date", grace))
-    return needed.join(last, "cik").filter(early).select("ticker", "signal_date", "tag", "period_end", "filed")
+    return last.withColumn("over_", F.date_sub("filed", grace)).filter("over_ > period_end")
+
+
+def naive_trap(values: DataFrame, securities: DataFrame, facts: DataFrame, grace: int = 0) -> DataFrame:
+    """ticker, signal_date, tag, period_end, filed: what a reader that ignores filing days would see early.
+
+    A fact goes to the dates between the end of its period and its filing only, and meets names there by company and date.
+    """
+    keys = values.select("ticker", "signal_date").distinct().join(securities.select("cik", "ticker").distinct(), "ticker")
+    early = handed_out(_last_filed(facts, grace), values.select("signal_date").distinct(), 0, "period_end", "over_")
+    return keys.join(early, ["cik", "signal_date"]).select("ticker", "signal_date", "tag", "period_end", "filed")
 
 
-def trap_report(values: DataFrame, trap: DataFrame) -> DataFrame:
-    """One row: signal dates, exposed ones, early rows and the exposure rate."""
+def exposure(values: DataFrame, securities: DataFrame, facts: DataFrame, grace: int = 0) -> DataFrame:
+    """ticker, signal_date, n_early: how many facts a reader that ignores filing days would see early, by a sweep over each company's days.
+
+    A fact opens when its period ends and closes when it is filed; the running sum of both meets the dates in order, so no
+    date is paired with a fact.
+    """
+    last = _last_filed(facts, grace)
+    steps = last.select("cik", F.col("period_end").alias("day"), F.lit(1).alias("step")).unionByName(last.select("cik", F.col("over_").alias("day"), F.lit(-1).alias("step")))
+    steps = steps.groupBy("cik", "day").agg(F.sum("step").alias("step"))
+    keys = values.select("ticker", "signal_date").distinct().join(securities.select("cik", "ticker").distinct(), "ticker")
+    asks = keys.select("cik", F.col("signal_date").alias("day"), F.lit(0).cast("long").alias("step"), "ticker")
+    sweep = Window.partitionBy("cik").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)  # a day's own steps count
+    both = steps.withColumn("ticker", F.lit(None).cast("string")).unionByName(asks).withColumn("n_early", F.sum("step").over(sweep))
+    return both.filter("ticker IS NOT NULL").select("ticker", F.col("day").alias("signal_date"), "n_early")
+
+
+def trap_report(values: DataFrame, securities: DataFrame, facts: DataFrame, grace: int = 0) -> DataFrame:
+    """One row: signal dates, exposed ones, early rows and the exposure rate; counted by `exposure`, without the rows themselves."""
+    days = exposure(values, securities, facts, grace).groupBy("signal_date").agg(F.sum("n_early").alias("n"))
+    b = days.agg(F.count(F.when(F.col("n") > 0, 1)).alias("n_dates_exposed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_trap_rows"))
     a = values.agg(F.count_distinct("signal_date").alias("n_signal_dates"))
-    b = trap.agg(F.count_distinct("signal_date").alias("n_dates_exposed"), F.count("*").alias("n_trap_rows"))
     return a.crossJoin(b).withColumn("exposure_rate", ratio(F.col("n_dates_exposed"), F.col("n_signal_dates")))  # one row each
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import finite, ratio
 from tidemark.operators.factors import sessions
+from tidemark.operators.order import quantiles
+from tidemark.sources.kept import kept
 
 KEY = ("ticker", "signal_date")
 
@@ -34,20 +36,20 @@ def cleaned(values: DataFrame, securities: DataFrame | None = None, least: int =
     Non-finite values go, then dates with fewer than `least` names. Then, by date: values are clipped at linear
     quantiles, if there are three at least; group means are subtracted (a name without a group has no value from
     here on, but stays); and what is left is standardised by the sample deviation, 0 where nothing varies.
+    Dates are split over tasks: quantiles by ranges of values, means and deviations on the map side first.
     """
-    day = Window.partitionBy("signal_date")
-    rows = values.filter(finite(F.col("value"))).withColumn("n", F.count("*").over(day)).filter(F.col("n") >= least)
-    edges = F.percentile("value", F.array(F.lit(tails[0]), F.lit(tails[1]))).over(day)
-    rows = rows.withColumn("edges", edges)
+    rows = kept(values.filter(finite(F.col("value"))).select(*KEY, "value"))
+    edges = quantiles(rows, "value", ["signal_date"], list(tails)).filter(F.col("n") >= least)
+    rows = rows.join(F.broadcast(edges), "signal_date")  # a row for each date
     clip = F.when(F.col("n") < 3, F.col("value")).when(F.col("value") < F.col("edges")[0], F.col("edges")[0]).when(F.col("value") > F.col("edges")[1], F.col("edges")[1]).otherwise(F.col("value"))
-    rows = rows.withColumn("clip", clip).withColumn("was_clipped", F.col("clip") != F.col("value"))
+    rows = rows.select(*KEY, clip.alias("clip"), (clip != F.col("value")).alias("was_clipped"))
     if securities is not None:
         groups = securities.groupBy("ticker").agg(F.max("sic").alias("grp"))
-        rows = rows.join(groups, "ticker", "left")
-        mean = F.avg("clip").over(Window.partitionBy("signal_date", "grp"))
-        rows = rows.withColumn("clip", F.when(F.col("grp").isNotNull(), F.col("clip") - mean))
-    spread, middle = F.stddev_samp("clip").over(day), F.avg("clip").over(day)
-    rows = rows.withColumns({"sd": spread, "mu": middle})
+        rows = kept(rows.join(groups, "ticker", "left"))
+        mean = rows.filter("grp IS NOT NULL").groupBy("signal_date", "grp").agg(F.avg("clip").alias("mean_"))
+        rows = rows.join(mean, ["signal_date", "grp"], "left").withColumn("clip", F.col("clip") - F.col("mean_"))
+    moments = rows.groupBy("signal_date").agg(F.stddev_samp("clip").alias("sd"), F.avg("clip").alias("mu"))
+    rows = rows.join(F.broadcast(moments), "signal_date")
     z = F.when(F.col("clip").isNull(), F.lit(None)).when(F.col("sd") > 1e-12, (F.col("clip") - F.col("mu")) / F.col("sd")).otherwise(F.lit(0.0))
     return rows.select(*KEY, z.alias("value"), "was_clipped")
 

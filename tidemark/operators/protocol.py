@@ -8,22 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import correlation, finite, ratio, weighted_mean
+from tidemark.operators.order import quantiles, ranks
+from tidemark.sources.kept import kept
 
 
 def average_rank(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """df with r_<column>: ranks within by, ties share their mean."""
+    """df with r_<column>: ranks within by, ties share their mean. For short groups (a row a bin); `order.ranks` splits long ones."""
     rank = F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2
     return df.withColumn(f"r_{column}", rank)
 
 
 def binned(panel: DataFrame, bins: int = 5) -> DataFrame:
     """panel with bin from 0: edges are linear quantiles, right ends belong to the lower bin; dates with too few names or an empty bin go."""
-    day = Window.partitionBy("signal_date")
-    inner = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    rows = panel.withColumn("n", F.count("*").over(day)).filter(F.col("n") >= bins * 3).withColumn("edges", F.percentile("prediction", inner).over(day))
-    rows = rows.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("prediction"))))
-    full = F.size(F.collect_set("bin").over(day))
-    return rows.withColumn("full", full).filter(F.col("full") == bins).drop("n", "edges", "full")
+    panel = kept(panel)
+    edges = quantiles(panel.select("signal_date", "prediction"), "prediction", ["signal_date"], [i / bins for i in range(1, bins)]).filter(F.col("n") >= bins * 3)
+    rows = panel.join(F.broadcast(edges.select("signal_date", "edges")), "signal_date")  # a row for each date
+    rows = rows.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("prediction")))).drop("edges")
+    full = rows.groupBy("signal_date").agg(F.count_distinct("bin").alias("full")).filter(F.col("full") == bins)
+    return rows.join(F.broadcast(full.select("signal_date")), "signal_date", "left_semi")
 
 
 def quantile_returns(panel: DataFrame, bins: int = 5, weight: str | None = None) -> DataFrame:
@@ -40,22 +42,23 @@ def long_short(quantiles: DataFrame, bins: int = 5) -> DataFrame:
 
 def information_coefficient(panel: DataFrame, least: int = 5) -> DataFrame:
     """signal_date, ic (rank correlation), n; dates on which either side is constant go."""
-    ranked = average_rank(average_rank(panel, "prediction", ["signal_date"]), "label", ["signal_date"])
+    rows = kept(panel.select("signal_date", "prediction", "label"))
+    ranked = ranks(kept(ranks(rows, "prediction", ["signal_date"])), "label", ["signal_date"])
     per = ranked.groupBy("signal_date").agg(F.count("*").alias("n"), correlation(F.col("r_prediction"), F.col("r_label")).alias("ic"))
     return per.filter((F.col("n") >= least) & F.col("ic").isNotNull()).select("signal_date", "ic", "n")
 
 
-def t_p(t: Column, freedom: Column, most: int = 30) -> Column:
-    """Two-sided p-value of a t statistic with a whole number of degrees of freedom, at most `most`: a finite sum."""
+def t_p(t: Column, freedom: Column) -> Column:
+    """Two-sided p-value of a t statistic with a whole number of degrees of freedom: a finite sum of so many terms, about half."""
     angle = F.atan(F.abs(t) / F.sqrt(freedom))
     sin, cos = F.sin(angle), F.cos(angle)
     # Powers of the cosine below the degrees: 1, 3, ... of odd ones, 0, 2, ... of even ones.
-    odd, even, a, b = F.lit(0.0), F.lit(0.0), 1.0, 1.0
-    for k in range(1, most - 1, 2):
-        odd = odd + F.when(freedom >= k + 2, a * F.pow(cos, k)).otherwise(0.0)
-        even = even + F.when(freedom >= k + 1, b * F.pow(cos, k - 1)).otherwise(0.0)
-        a, b = a * (k + 1) / (k + 2), b * k / (k + 1)
-    inside = F.when(freedom % 2 == 1, 2 / math.pi * (angle + sin * odd)).otherwise(sin * even)
+    first = (freedom % 2).cast("long")
+    powers = F.when(freedom - 2 >= first, F.sequence(first, (freedom - 2).cast("long"), F.lit(2).cast("long"))).otherwise(F.array().cast("array<long>"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("factor"))
+    step = lambda s, k: F.struct((s["sum"] + s["factor"] * F.pow(cos, k)).alias("sum"), (s["factor"] * (k + 1) / (k + 2)).alias("factor"))
+    terms = F.aggregate(powers, start, step)["sum"]
+    inside = F.when(first == 1, 2 / math.pi * (angle + sin * terms)).otherwise(sin * terms)
     return F.greatest(F.lit(0.0), 1 - inside)
 
 
@@ -171,24 +174,24 @@ def run_protocol(panel: DataFrame, bins: int = 5, weights: DataFrame | None = No
     """Every score of a panel: quantiles, long_short, ic, monotonicity, slope, subperiods, breadth and summary.
 
     weights (ticker, weight) and controls (ticker, ...) are looked up by ticker; a name without a weight has none, and so its bin
-    has no mean. The panel is kept while it is read eight times: unpersist `panel` of the result when done.
+    has no mean. The panel is read eight times, and so are the bins: both are written once to the shared folder.
     """
     if weights is not None:
         panel = panel.join(weights.select("ticker", F.col("weight").alias("weight_")), "ticker", "left")
     names = [c for c in controls.columns if c != "ticker"] if controls is not None else []
     if names:
         panel = panel.join(controls, "ticker", "left")
-    panel = panel.persist()
-    quantiles = quantile_returns(panel, bins, "weight_" if weights is not None else None)
-    spread, ic = long_short(quantiles, bins), information_coefficient(panel)
+    panel = kept(panel)
+    by_bin = kept(quantile_returns(panel, bins, "weight_" if weights is not None else None))
+    spread, ic = long_short(by_bin, bins), information_coefficient(panel)
     dates = panel.agg(F.count_distinct("signal_date").alias("n_dates"), F.count("*").alias("n_observations"))
-    whole = summary(ic, spread).crossJoin(breadth(quantiles).withColumnRenamed("n_dates", "n_quantile_dates")).crossJoin(dates)  # one row each
+    whole = summary(ic, spread).crossJoin(breadth(by_bin).withColumnRenamed("n_dates", "n_quantile_dates")).crossJoin(dates)  # one row each
     return {
         "panel": panel,
-        "quantiles": quantiles,
+        "quantiles": by_bin,
         "long_short": spread,
         "ic": ic,
-        "monotonicity": monotonicity(quantiles),
+        "monotonicity": monotonicity(by_bin),
         "slope": newey_west(controlled_slopes(panel, names) if names else slopes(panel), "slope"),
         "subperiods": subperiods(spread, "spread"),
         "summary": whole.withColumn("n_dates_dropped", F.col("n_dates") - F.col("n_quantile_dates")),

@@ -54,6 +54,18 @@ def pit_latest(spark, d):
     return asof.latest_known(m.facts(spark, d), m.dates(spark, d)).select(*COLUMNS.split(", "))
 
 
+@query(f"{with_sql('all_facts', 'dates')}, {LATEST} SELECT {COLUMNS} FROM known")
+def pit_latest_early(spark, d):
+    """Facts that are filed before their periods end are known when these end."""
+    return asof.latest_known(m.facts(spark, d, early=True), m.dates(spark, d)).select(*COLUMNS.split(", "))
+
+
+@query(f"{with_sql('all_facts', 'dates')}, {HISTORY} SELECT signal_date, cik, tag, count(*) AS n, max(period_end) AS last_end, max(filed) AS last_filed FROM seen GROUP BY ALL")
+def pit_history_early(spark, d):
+    rows = asof.history(m.facts(spark, d, early=True), m.dates(spark, d))
+    return rows.groupBy("signal_date", "cik", "tag").agg(F.count("*").alias("n"), F.max("period_end").alias("last_end"), F.max("filed").alias("last_filed"))
+
+
 @query(f"{with_sql('facts', 'dates')}, {RESTATED}, {LATEST_RESTATED} SELECT {COLUMNS} FROM late")
 def restated_latest(spark, d):
     return asof.latest_known(m.facts(spark, d), m.dates(spark, d), arm="restated").select(*COLUMNS.split(", "))
@@ -138,7 +150,13 @@ def naive_trap(spark, d):
 def trap_report(spark, d):
     t, dates = m.tables(spark, d), m.dates(spark, d)
     members = panel.membership(t.securities, dates)
-    return rounded(audit.trap_report(members, audit.naive_trap(members, t.securities, t.facts, 20)), "exposure_rate")
+    return rounded(audit.trap_report(members, t.securities, t.facts, 20), "exposure_rate")
+
+
+@query(f"{with_sql('facts', 'securities', 'dates')}, {MEMBERS}, {TRAP.format(grace=20)} SELECT m.ticker, m.signal_date, count(trap.tag) AS n_early FROM members m LEFT JOIN trap ON trap.ticker = m.ticker AND trap.signal_date = m.signal_date GROUP BY ALL")
+def trap_exposure(spark, d):
+    t, dates = m.tables(spark, d), m.dates(spark, d)
+    return audit.exposure(panel.membership(t.securities, dates), t.securities, t.facts, 20)
 
 
 @query(f"{with_sql('facts', 'dates')}, {LATEST} SELECT signal_date, signal_date - 2 AS requested_asof, max(filed) AS max_filed, count(*) AS n_rows, string_agg(DISTINCT tag, '+' ORDER BY tag) AS tags FROM known GROUP BY signal_date")

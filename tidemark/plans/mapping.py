@@ -24,7 +24,8 @@ def cik(c):
     return F.lpad(c.cast("string"), 10, "0")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, early: bool = False) -> DataFrame:
+    """early: with the lines that were shipped before their quarter ended."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("day"))
     rows = lines.join(orders, "l_orderkey")
@@ -32,7 +33,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = F.col("l_linestatus") == "O"
     start = F.when(open_, F.trunc("day", "year")).otherwise(quarter)
     end = F.last_day(F.add_months(quarter, 2))
-    return rows.select(
+    out = rows.select(
         cik(F.col("l_suppkey")).alias("cik"),
         F.col("l_returnflag").alias("tag"),
         start.alias("period_start"),
@@ -48,7 +49,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("string").alias("frame"),
         F.when(open_ | (F.col("l_linenumber") < 6), "duration").otherwise("unknown").alias("fact_type"),
         F.datediff(end, start).alias("duration_days"),
-    ).filter("filed >= period_end")
+    )
+    return out if early else out.filter("filed >= period_end")
 
 
 def _bars(spark: SparkSession, sf_dir: str, day) -> DataFrame:
@@ -112,6 +114,7 @@ SQL = {
   SELECT signal_date FROM (SELECT DISTINCT last_day(CAST(l_shipdate AS DATE) - CAST(0 AS INTEGER)) AS signal_date FROM lineitem)
   WHERE signal_date >= (SELECT CAST(min(CAST(l_shipdate AS DATE)) + INTERVAL 15 MONTH AS DATE) FROM lineitem) AND signal_date <= (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem))""",
 }
+SQL["all_facts"] = SQL["facts"][: SQL["facts"].rindex("WHERE")].rstrip() + ")"
 
 
 def with_sql(*names: str) -> str:
