@@ -84,6 +84,9 @@ def test_fixed_lists_take_cash_and_capital_expenditure(spark):
 def test_share_groups_of_one_day(spark):
     row = lambda end, v, acc: ("1", "N", D(end), D(end), D("2020-05-01"), v, acc, "10-Q", "us-gaap")
     df = spark.createDataFrame([row("2020-03-31", 100.0, "a"), row("2020-03-31", 110.0, "b"), row("2019-12-31", 90.0, "a"), row("2020-03-31", None, "c")], "cik string, tag string, period_start date, period_end date, filed date, value double, accession string, form string, source_namespace string")
-    g = shares.groups(df).first()
-    assert (g["n_rows"], g["n_values"], g["has_nonfinite"], g["conflict_inside_one_fact_key"], g["n_values_at_latest_end"]) == (4, 3, True, True, 2)
-    assert g["ratio"] == pytest.approx(110 / 90)
+    g = shares.filings(df).first()
+    assert (g["counts"], g["unknown"], g["candidates"], g["newest"], g["torn"], g["documents"], g["forms"]) == (4, 1, [90.0, 100.0, 110.0], [100.0, 110.0], 1, 3, ["10-Q"])
+    assert g["spread"] == pytest.approx(110 / 90)
+    found = {r["measure"]: r["n"] for r in shares.disagreements(shares.filings(df)).collect()}
+    assert {k for k, n in found.items() if n} == {"all", "disagree", "companies", "across_periods", "inside_a_fact", "newest_differs", "spread_from_1.1"}
+    assert all(r["passed"] for r in shares.balanced(shares.disagreements(shares.filings(df))).filter("check LIKE 'bands%' OR check LIKE 'newest%'").collect())
