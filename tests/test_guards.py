@@ -28,8 +28,11 @@ def test_guards_say_what_is_wrong(spark):
             guards.unique_keys(bad, ["ticker", "signal_date"])
     with pytest.raises(ValueError, match="close"):
         guards.price_column(values, "close")
-    with pytest.raises(ValueError, match="entirely null"):
-        guards.price_column(values.withColumn("close", F.lit(None).cast("double")), "close")
+    blank = values.withColumns({"close": F.lit(None).cast("double"), "volume": F.col("value")})
+    for empty in (blank, blank.limit(0)):
+        with pytest.raises(Exception, match="no price row has a value of .*close"):
+            guards.price_column(empty, "volume", "close").count()
+    assert guards.price_column(blank, "volume").count() == 2
     with pytest.raises(ValueError):
         guards.share(1.5)
 

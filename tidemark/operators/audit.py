@@ -139,6 +139,10 @@ def plausibility(values: DataFrame, low: float | None, high: float | None, toler
     return g.select("n_finite", "n_outside", share.alias("share_outside"), status.alias("status"))
 
 
+KINDS = {"domain": False, "construction": False, "economic": True}  # whether a share of values may lie outside
+SEVERITIES = ("error", "warning")
+
+
 @dataclass(frozen=True)
 class Rule:
     """Inclusive bounds of a signal's raw values. Rules of domain or construction allow no breach, economic ones a share; only errors block."""
@@ -151,42 +155,56 @@ class Rule:
     rationale: str
 
     def __post_init__(self) -> None:
-        if not self.rule_id.strip() or not self.rationale.strip():
-            raise ValueError("a rule needs an id and a rationale")
-        if self.kind not in ("domain", "construction", "economic") or self.severity not in ("error", "warning"):
-            raise ValueError(f"rule {self.rule_id}: unknown kind or severity")
-        if any(b is not None and not math.isfinite(b) for b in (self.low, self.high)):
-            raise ValueError(f"rule {self.rule_id}: an open side is None, not infinite")
-        if self.low is not None and self.high is not None and self.low > self.high:
-            raise ValueError(f"rule {self.rule_id}: low is above high")
+        broken = [text for text, holds in DEMANDS.items() if not holds(self)]
+        if broken:
+            raise ValueError(f"rule {self.rule_id!r}: " + "; ".join(broken))
+
+    @property
+    def bounds(self) -> tuple[float, float]:
+        """With open sides as infinite."""
+        return (-math.inf if self.low is None else self.low), (math.inf if self.high is None else self.high)
+
+    def tolerance(self, most: float) -> float:
+        return most if KINDS[self.kind] else 0.0
+
+
+#: What every rule must meet.
+DEMANDS = {
+    "its name and its reason are words": lambda r: bool(r.rule_id.split() and r.rationale.split()),
+    f"its kind is {' or '.join(KINDS)}": lambda r: r.kind in KINDS,
+    f"its severity is {' or '.join(SEVERITIES)}": lambda r: r.severity in SEVERITIES,
+    "its bounds are numbers, and None where a side is open": lambda r: all(b is None or math.isfinite(b) for b in (r.low, r.high)),
+    "its bounds are in order": lambda r: r.low is None or r.high is None or not r.low > r.high,
+}
 
 
 def evaluated(values: DataFrame, rules: list[Rule], most: float = 0.01) -> DataFrame:
-    """A row for each rule: its counts, share, tolerance, status, and whether it blocks. One pass over values."""
+    """A row for each rule: its counts, share, tolerance, status, and whether it blocks. One pass over values.
+
+    Values are counted once for all rules; what a count means is decided on the rows of rules.
+    """
     share(most)
     v = F.col("value")
-    breaches = [F.lit(False) if r.low is None and r.high is None else (v < r.low if r.low is not None else F.lit(False)) | (v > r.high if r.high is not None else F.lit(False)) for r in rules]
-    g = values.agg(F.count("*").alias("n_rows"), F.count(F.when(finite(v), 1)).alias("n_finite"), *(F.count(F.when(finite(v) & b, 1)).alias(f"o{i}") for i, b in enumerate(breaches)))
-    rows = []
-    for i, r in enumerate(rules):
-        unbounded, tolerance = r.low is None and r.high is None, most if r.kind == "economic" else 0.0
-        part = ratio(F.col(f"o{i}"), F.col("n_finite"))
-        status = F.lit("DECLARED_UNBOUNDED") if unbounded else F.when(F.col("n_finite") == 0, "NO_FINITE_VALUES").when(part > tolerance, "VIOLATION").otherwise("WITHIN_TOLERANCE")
-        rows.append(F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.col("n_rows"), F.col("n_finite"), F.when(F.lit(not unbounded) & (F.col("n_finite") > 0), F.col(f"o{i}")).alias("n_outside"), F.when(F.lit(not unbounded), part).alias("share_outside"), F.lit(tolerance).alias("tolerance"), status.alias("status"), ((status == "VIOLATION") & F.lit(r.severity == "error")).alias("blocking")))
-    return g.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    known = finite(v)
+    beyond = [known & ~v.between(*r.bounds) for r in rules]
+    counts = values.agg(F.count("*").alias("n_rows"), F.count(F.when(known, 1)).alias("n_finite"), F.array(*(F.count(F.when(b, 1)) for b in beyond)).alias("found"))
+    told = [F.struct(F.lit(i).alias("i"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.low is None and r.high is None).alias("open"), F.lit(r.tolerance(most)).alias("tolerance")) for i, r in enumerate(rules)]
+    rows = counts.withColumn("rule", F.explode(F.array(*told))).select("n_rows", "n_finite", "rule.*", F.get("found", F.col("rule.i")).alias("outside"))
+    judged = ~F.col("open") & (F.col("n_finite") > 0)
+    rows = rows.withColumns({"n_outside": F.when(judged, F.col("outside")), "share_outside": F.when(judged, F.col("outside") / F.col("n_finite"))})
+    status = F.when(F.col("open"), "DECLARED_UNBOUNDED").when(F.col("n_finite") == 0, "NO_FINITE_VALUES").when(F.col("share_outside") > F.col("tolerance"), "VIOLATION").otherwise("WITHIN_TOLERANCE")
+    rows = rows.withColumn("status", status).withColumn("blocking", (F.col("status") == "VIOLATION") & (F.col("severity") == "error"))
+    return rows.select("rule_id", "kind", "severity", "n_rows", "n_finite", "n_outside", "share_outside", "tolerance", "status", "blocking")
 
 
 def enforced(values: DataFrame, rules: list[Rule], most: float = 0.01, k: int = 5) -> list[dict]:
     """All rules' rows; if any blocks, an error that holds them all and the k worst values of the first that does."""
     found = [r.asDict() for r in evaluated(values, rules, most).collect()]  # a row for each rule
-    for row, rule in zip(found, rules, strict=True):
-        if row["blocking"]:
-            inf = float("inf")
-            low, high = -inf if rule.low is None else rule.low, inf if rule.high is None else rule.high
-            outside = values.filter(finite(F.col("value")) & ~F.col("value").between(low, high))
-            middle = (rule.low + rule.high) / 2 if rule.low is not None and rule.high is not None else rule.low if rule.low is not None else rule.high
-            worst = outside.orderBy(F.desc(F.abs(F.col("value") - middle)), "ticker", "signal_date").limit(k).collect()
-            raise ImplausibleMagnitudeError(f"rule {rule.rule_id} is broken by {row['n_outside']} of {row['n_finite']} values", {"rules": found, "rule": row, "worst": [(w["ticker"], str(w["signal_date"]), w["value"]) for w in worst]})
+    blocking = next(((row, rule) for row, rule in zip(found, rules, strict=True) if row["blocking"]), None)
+    if blocking:
+        row, rule = blocking
+        worst = [(w["ticker"], str(w["signal_date"]), w["value"]) for w in most_implausible(values, *rule.bounds, k).collect()]
+        raise ImplausibleMagnitudeError(f"{row['n_outside']} of {row['n_finite']} values break {rule.rule_id}", {"rules": found, "rule": row, "worst": worst})
     return found
 
 
@@ -236,9 +254,10 @@ def disclosure_check(facts: DataFrame) -> DataFrame:
 
 
 def most_implausible(values: DataFrame, low: float, high: float, k: int = 5) -> DataFrame:
-    """The k finite values outside the range that are farthest from its middle."""
+    """The k finite values outside the range that are farthest from its middle, or from its one end."""
+    ends = [b for b in (low, high) if math.isfinite(b)]
     outside = values.filter(finite(F.col("value")) & ~F.col("value").between(low, high))
-    return outside.orderBy(F.desc(F.abs(F.col("value") - (low + high) / 2)), "ticker", "signal_date").limit(k)
+    return outside.orderBy(F.desc(F.abs(F.col("value") - sum(ends) / max(len(ends), 1))), "ticker", "signal_date").limit(k)
 
 
 def compare_vintages(pit: DataFrame, restated: DataFrame) -> DataFrame:
@@ -258,12 +277,6 @@ def frame_hash(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.concat_ws(":", half(1), half(17)).alias("key_hash"))
 
 
-def share_groups(shares: DataFrame) -> DataFrame:
-    """For each (cik, filed) of share counts: rows, distinct values, namespaces, greatest ratio, and whether it is ambiguous."""
-    g = shares.groupBy("cik", "filed").agg(F.count("*").alias("n_rows"), F.count_distinct("value").alias("n_values"), F.array_join(F.array_sort(F.collect_set("form")), "+").alias("forms"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return g.select("cik", "filed", "n_rows", "n_values", "forms", ratio(F.col("high"), F.col("low")).alias("spread"), (F.col("n_values") > 1).alias("ambiguous"))
-
-
 def verdict(exercised: bool, shared_dates: int, blocked: bool, gap: float | None, tolerance: float = 0.005) -> str:
     """The first rule that applies."""
     if not exercised:

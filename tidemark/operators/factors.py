@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import known, month_anchor, ratio
 from tidemark.operators.asof import history, latest_known, sampled
 from tidemark.operators.audit import Rule
+from tidemark.operators.guards import price_column
 from tidemark.operators.states import ttm
 from tidemark.sources.tables import Tables
 
@@ -32,7 +33,8 @@ def calendar_return(t: Tables, dates: DataFrame, recent: int, base: int, sign: f
     """Return between two calendar month ends before the signal date, by prices at most ten days old there."""
     anchors = dates.select("signal_date", month_anchor(F.col("signal_date"), recent).alias("a"), month_anchor(F.col("signal_date"), base).alias("b"))
     days = anchors.select(F.explode(F.array("a", "b")).alias("signal_date")).distinct()
-    at = sampled(t.prices.select("ticker", "trade_date", F.col("close_adj").alias("value")), days).select("ticker", F.col("signal_date").alias("day"), F.col("value").alias("price"))
+    prices = price_column(t.prices, "close_adj")
+    at = sampled(prices.select("ticker", "trade_date", F.col("close_adj").alias("value")), days).select("ticker", F.col("signal_date").alias("day"), F.col("value").alias("price"))
     new = F.broadcast(anchors).join(at, F.col("a") == F.col("day")).select("ticker", "signal_date", F.col("price").alias("p1"))
     old = F.broadcast(anchors).join(at, F.col("b") == F.col("day")).select("ticker", "signal_date", F.col("price").alias("p0"))
     return finished(new.join(old, ["ticker", "signal_date"]).select("ticker", "signal_date", (sign * (ratio(F.col("p1"), F.col("p0")) - 1)).alias("value")))
@@ -40,7 +42,7 @@ def calendar_return(t: Tables, dates: DataFrame, recent: int, base: int, sign: f
 
 def market_cap(t: Tables, dates: DataFrame) -> DataFrame:
     """Unadjusted close times shares of one row, the newest at most ten days old; positive ones."""
-    product = t.prices.select("ticker", "trade_date", (F.col("close") * F.col("shares_out")).alias("value"))
+    product = price_column(t.prices, "close", "shares_out").select("ticker", "trade_date", (F.col("close") * F.col("shares_out")).alias("value"))
     return sampled(product, dates).filter("value > 0").select("ticker", "signal_date", F.col("value").alias("cap"))
 
 
@@ -99,7 +101,7 @@ def derived(roll: DataFrame, raw: DataFrame, dates: DataFrame) -> DataFrame:
 def total_vol_60d(t: Tables, dates: DataFrame) -> DataFrame:
     """Minus the sample deviation of 60 one-session returns, 30 at least."""
     days = sessions(t.prices)
-    rows = observed(t.prices, "close_adj", days)
+    rows = observed(price_column(t.prices, "close_adj"), "close_adj", days)
     before = Window.partitionBy("ticker").orderBy("session_idx")
     adjoins = F.col("session_idx") - F.lag("session_idx").over(before) == 1
     returns = rows.withColumn("value", F.when(adjoins, known(ratio(F.col("value"), F.lag("value").over(before)) - 1)))
@@ -110,7 +112,7 @@ def total_vol_60d(t: Tables, dates: DataFrame) -> DataFrame:
 def turnover(t: Tables, dates: DataFrame) -> DataFrame:
     """Minus the mean volume of 21 sessions, 10 at least, over shares at the date."""
     days = sessions(t.prices)
-    rows = observed(t.prices, "volume", days)
+    rows = observed(price_column(t.prices, "volume", "shares_out"), "volume", days)
     volume = derived(rolled(rows, days, dates, F.avg, 21, 10), rows, dates)
     shares = sampled(t.prices.select("ticker", "trade_date", F.col("shares_out").alias("value")), dates).filter("value > 0").select("ticker", "signal_date", F.col("value").alias("shares"))
     return finished(volume.join(shares, ["ticker", "signal_date"]).withColumn("value", -ratio(F.col("value"), F.col("shares"))))
@@ -200,29 +202,41 @@ CARD_FIELDS = ("factor_id", "name", "category", "economic_rationale", "persisten
 TIMING = ("signal_computed", "earliest_execution", "execution_price")
 REFERENCE = ("citation", "role", "locator", "verification")
 CATEGORIES = ("investment", "liquidity", "momentum", "profitability", "reversal", "risk", "size", "value")
+VERIFICATION = ("VERIFIED", "UNVERIFIED")
+ELIGIBILITY = ("claim_id", "status", "reason")
+
+
+def _holds(fields: tuple[str, ...]) -> Callable[[object], bool]:
+    return lambda part: isinstance(part, dict) and set(fields) <= part.keys()
+
+
+def _full(fields: tuple[str, ...]) -> Callable[[object], bool]:
+    return lambda part: isinstance(part, dict) and all(str(part.get(f) or "").split() for f in fields)
+
+
+def _located(reference: object) -> bool:
+    """What was verified was found somewhere."""
+    return reference.get("verification") in VERIFICATION and bool(reference["verification"] != "VERIFIED" or str(reference["locator"] or "").split())
+
+
+#: Each demand: the part of a card, whether it is a list whose items are meant, the test, and what is said where it fails.
+CARD_DEMANDS = (
+    ("category", False, lambda c: c in CATEGORIES, f"category is one of {', '.join(CATEGORIES)}"),
+    ("economic_rationale", False, lambda t: len(str(t).split()) >= 10, "economic_rationale takes ten words or more"),
+    ("timing", False, _holds(TIMING), f"timing tells {', '.join(TIMING)}"),
+    ("falsification", False, lambda t: isinstance(t, list), "falsification is a list"),
+    ("references", True, _holds(REFERENCE), f"a reference tells {', '.join(REFERENCE)}"),
+    ("references", True, _located, f"a reference is {' or '.join(VERIFICATION)}, and verified in some place"),
+    ("published_anomaly_eligibility", False, _full(ELIGIBILITY), f"published_anomaly_eligibility tells {', '.join(ELIGIBILITY)}"),
+)
 
 
 def checked(card: dict) -> dict:
-    """card, if it tells all that it must."""
-    name = card.get("factor_id", "a card")
-    missing = [f for f in CARD_FIELDS if not card.get(f)]
-    if missing:
-        raise ValueError(f"{name}: the card lacks {', '.join(missing)}")
-    if card["category"] not in CATEGORIES:
-        raise ValueError(f"{name}: unknown category {card['category']}")
-    for part, keys in ((card["timing"], TIMING), *((r, REFERENCE) for r in card["references"])):
-        absent = [k for k in keys if not isinstance(part, dict) or k not in part]
-        if absent:
-            raise ValueError(f"{name}: timing or a reference lacks {', '.join(absent)}")
-    for r in card["references"]:
-        if r["verification"] not in ("VERIFIED", "UNVERIFIED") or r["verification"] == "VERIFIED" and not str(r["locator"] or "").strip():
-            raise ValueError(f"{name}: a verified reference needs a place")
-    if not isinstance(card["falsification"], list):
-        raise ValueError(f"{name}: falsification is a list of ways to fail")
-    if len(card["economic_rationale"].split()) < 10:
-        raise ValueError(f"{name}: the rationale is too short to state a mechanism")
-    if any(not card["published_anomaly_eligibility"].get(k) for k in ("claim_id", "status", "reason")):
-        raise ValueError(f"{name}: eligibility lacks an id, a status or a reason")
+    """card, if it meets all that a card must; the error says everything that it doesn't."""
+    absent = [f"{f} is empty" for f in CARD_FIELDS if not card.get(f)]
+    faults = absent or [says for part, items, test, says in CARD_DEMANDS if not all(map(test, card[part] if items else [card[part]]))][:1]
+    if faults:
+        raise ValueError(f"card {card.get('factor_id', '')!r}: " + "; ".join(faults))
     return card
 
 

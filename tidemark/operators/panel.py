@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import finite, ratio
 from tidemark.operators.factors import sessions
+from tidemark.operators.guards import with_rows
 from tidemark.operators.order import quantiles
 from tidemark.sources.kept import kept
 
@@ -33,12 +34,12 @@ def gate_report(values: DataFrame, members: DataFrame) -> DataFrame:
 def cleaned(values: DataFrame, securities: DataFrame | None = None, least: int = 10, tails: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
     """ticker, signal_date, value (winsorised, group-neutral, standardised) and was_clipped.
 
-    Non-finite values go, then dates with fewer than `least` names. Then, by date: values are clipped at linear
+    An empty input is an error. Non-finite values go, then dates with fewer than `least` names. Then, by date: values are clipped at linear
     quantiles, if there are three at least; group means are subtracted (a name without a group has no value from
     here on, but stays); and what is left is standardised by the sample deviation, 0 where nothing varies.
     Dates are split over tasks: quantiles by ranges of values, means and deviations on the map side first.
     """
-    rows = kept(values.filter(finite(F.col("value"))).select(*KEY, "value"))
+    rows = kept(with_rows(values, "no value to clean: the signal is empty").filter(finite(F.col("value"))).select(*KEY, "value"))
     edges = quantiles(rows, "value", ["signal_date"], list(tails)).filter(F.col("n") >= least)
     rows = rows.join(F.broadcast(edges), "signal_date")  # a row for each date
     clip = F.when(F.col("n") < 3, F.col("value")).when(F.col("value") < F.col("edges")[0], F.col("edges")[0]).when(F.col("value") > F.col("edges")[1], F.col("edges")[1]).otherwise(F.col("value"))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, audit, factors, panel, protocol
+from tidemark.operators import asof, audit, factors, panel, protocol, shares
 from tidemark.plans import mapping as m
 from tidemark.plans.mapping import with_sql
 from tidemark.sources import ingest, tables
+from tidemark.sources.kept import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,7 +187,9 @@ def price_scan(spark, d):
 
 @query(f"{with_sql('facts')}, g AS (SELECT cik, filed, count(*) AS n_rows, count(DISTINCT value) AS n_values, string_agg(DISTINCT form, '+' ORDER BY form) AS forms, min(value) AS low, max(value) AS high FROM facts WHERE tag = 'N' GROUP BY ALL) SELECT cik, filed, n_rows, n_values, forms, round(high / nullif(low, 0), 6) AS spread, n_values > 1 AS ambiguous FROM g")
 def share_groups(spark, d):
-    return rounded(audit.share_groups(m.facts(spark, d).filter("tag = 'N'")), "spread")
+    n = F.size("candidates").cast("long")
+    found = shares.filings(m.facts(spark, d).filter("tag = 'N'"))
+    return rounded(found.select("cik", "filed", F.col("counts").alias("n_rows"), n.alias("n_values"), F.array_join("forms", "+").alias("forms"), "spread", (n > 1).alias("ambiguous")), "spread")
 
 
 HALF = "CAST(coalesce(sum(CAST(('0x' || substr(h, {at}, 16)) AS UBIGINT)::HUGEINT), 0) AS VARCHAR)"
@@ -252,6 +255,8 @@ def _signal(name: str, sql: str | None, **about) -> None:
     def run(spark, d):
         f = factors.REGISTRY[name]
         t, dates = m.tables(spark, d), m.dates(spark, d)
+        if name not in ("roe", "asset_growth"):  # the others read the daily bars several times
+            t = tables.Tables(t.securities, kept(t.prices), t.facts)
         out = f.compute(t, dates, tags=TAGS) if f.uses_facts and name != "log_mktcap" else f.compute(t, dates)
         return rounded(out, "value")
 
