@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -177,13 +178,17 @@ def asset_growth(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "p
 
 @dataclass(frozen=True)
 class Factor:
-    """A registered signal. uses_facts: it reads the bitemporal table, so vintages can differ; rules bound its raw values."""
+    """A registered signal. uses_facts: it reads the bitemporal table, so vintages can differ; rules bound its raw values.
+
+    tags: the concepts that it says it reads, as names of the fields of Tags; `tags_read` tells those that it does.
+    """
 
     factor_id: str
     compute: Callable[..., DataFrame]
     uses_facts: bool = False
     lag_days: int = 0
     rules: tuple[Rule, ...] = ()
+    tags: tuple[str, ...] = ()
     card: dict = field(default_factory=dict)
 
     @property
@@ -247,12 +252,56 @@ def register(card: dict, **about):
         factor_id = checked(card)["factor_id"]
         if factor_id in REGISTRY:
             raise ValueError(f"{factor_id} is registered already")
+        ids = [r.rule_id for f in REGISTRY.values() for r in f.rules] + [r.rule_id for r in about.get("rules", ())]
+        if len(set(ids)) < len(ids):
+            raise ValueError(f"{factor_id}: a rule has the name of another")
+        if bool(about.get("tags")) != bool(about.get("uses_facts")):
+            raise ValueError(f"{factor_id}: a signal that uses facts tells its tags, and no other does")
         REGISTRY[factor_id] = Factor(factor_id, compute, card=card, **about)
         return compute
 
     return add
 
 
+def tags_read(t: Tables, compute: Callable[[Tables], DataFrame]) -> set[str]:
+    """Tags that reach the table of facts in the analysed plan of a signal; `*` where it reads facts of any tag.
+
+    The table goes in under a name of its own, which analysis keeps; conditions on tag between it and the next operator that isn't
+    a choice of rows or columns are what the signal asks for.
+    """
+    name = "facts_that_are_read"
+    plan = compute(Tables(t.securities, t.prices, t.facts.alias(name)))._jdf.queryExecution().analyzed()
+    found: set[str] = set()
+
+    def walk(node, asked: set[str] | None) -> None:
+        kind = node.nodeName()
+        if kind == "SubqueryAlias" and node.alias() == name:
+            found.update(asked or {"*"})
+            return
+        if kind == "Filter":
+            text = node.condition().toString()
+            here = set(re.findall(r"\(tag#\d+ = ([^()]+)\)", text)) | {x.strip() for group in re.findall(r"tag#\d+ IN \(([^()]+)\)", text) for x in group.split(",")}
+            asked = here if not asked else asked & here or asked if here else asked
+        elif kind not in ("Project", "SubqueryAlias"):
+            asked = None
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i), asked)
+
+    walk(plan, None)
+    return found
+
+
+def verified_tags(factor_id: str, t: Tables, dates: DataFrame, tags: Tags = Tags()) -> set[str]:
+    """The tags that a registered signal reads, if it has told them all; else an error."""
+    f = REGISTRY[factor_id]
+    told = {getattr(tags, name) for name in f.tags}
+    read = tags_read(t, lambda tables: f.compute(tables, dates, tags=tags) if f.uses_facts else f.compute(tables, dates))
+    if read - told:
+        raise ValueError(f"{factor_id} reads {', '.join(sorted(read - told))} and tells of {', '.join(sorted(told)) or 'none'}")
+    return read
+
+
 def by_category() -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for f in REGISTRY.values():
@@ -296,7 +345,7 @@ register(_card("rev_1m", "Reversal of one month", "reversal", "those who must tr
 register(_card("log_mktcap", "Size", "size", "small firms are harder to trade and to learn about, and their holders ask a higher return for it", "minus the logarithm of market value", "small firms do not earn more"), rules=_economic("log_mktcap", -40.0, 0.0))(log_mktcap)
 register(_card("total_vol_60d", "Total volatility", "risk", "those who can't borrow bid up volatile shares as lotteries, so that calm ones are left too cheap", "minus the deviation of 60 one-session returns", "calm firms do not earn more"), rules=(Rule("total_vol_60d_sign", "construction", "error", None, 0.0, "a deviation is not negative"),))(total_vol_60d)
 register(_card("turnover", "Share turnover", "liquidity", "shares that few trade are neglected or illiquid, and their holders are paid for it in return", "minus the mean volume of 21 sessions over shares", "neglected firms do not earn more"), rules=(Rule("turnover_sign", "construction", "error", None, 0.0, "volume is not negative"),))(turnover)
-register(_card("bm_ratio", "Book to market", "value", _CHEAP, "latest equity over market value, both positive", "cheap firms do not earn more"), uses_facts=True, lag_days=2, rules=_economic("bm_ratio", 0.0, 20.0))(bm_ratio)
-register(_card("ep_ratio", "Earnings to price", "value", _CHEAP, "income of twelve months over market value, both positive", "cheap firms do not earn more"), uses_facts=True, lag_days=2, rules=_economic("ep_ratio", 0.0, 2.0))(ep_ratio)
-register(_card("roe", "Return on equity", "profitability", "profits persist for longer than prices allow for, so that profitable firms go on to surprise", "income of twelve months over latest equity, equity positive", "profitable firms do not earn more"), uses_facts=True, lag_days=2, rules=_economic("roe", -20.0, 20.0))(roe)
-register(_card("asset_growth", "Asset growth", "investment", "firms build when capital is dear and managers are hopeful, and growth disappoints those who paid for it", "minus the growth of assets between two fiscal years", "growing firms do not earn less"), uses_facts=True, lag_days=2, rules=_economic("asset_growth", -50.0, 1.0))(asset_growth)
+register(_card("bm_ratio", "Book to market", "value", _CHEAP, "latest equity over market value, both positive", "cheap firms do not earn more"), uses_facts=True, tags=("equity",), lag_days=2, rules=_economic("bm_ratio", 0.0, 20.0))(bm_ratio)
+register(_card("ep_ratio", "Earnings to price", "value", _CHEAP, "income of twelve months over market value, both positive", "cheap firms do not earn more"), uses_facts=True, tags=("income",), lag_days=2, rules=_economic("ep_ratio", 0.0, 2.0))(ep_ratio)
+register(_card("roe", "Return on equity", "profitability", "profits persist for longer than prices allow for, so that profitable firms go on to surprise", "income of twelve months over latest equity, equity positive", "profitable firms do not earn more"), uses_facts=True, tags=("income", "equity"), lag_days=2, rules=_economic("roe", -20.0, 20.0))(roe)
+register(_card("asset_growth", "Asset growth", "investment", "firms build when capital is dear and managers are hopeful, and growth disappoints those who paid for it", "minus the growth of assets between two fiscal years", "growing firms do not earn less"), uses_facts=True, tags=("assets",), lag_days=2, rules=_economic("asset_growth", -50.0, 1.0))(asset_growth)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions import finite, ratio
@@ -31,14 +31,17 @@ def gate_report(values: DataFrame, members: DataFrame) -> DataFrame:
     return marked.groupBy("signal_date").agg(F.count("*").alias("n_in"), F.count("in_").alias("n_out"), (F.count("*") - F.count("in_")).alias("n_excluded"))
 
 
-def cleaned(values: DataFrame, securities: DataFrame | None = None, least: int = 10, tails: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
+def cleaned(values: DataFrame, securities: DataFrame | None = None, least: int = 10, tails: tuple[float, float] = (0.01, 0.99), counts: Observation | None = None) -> DataFrame:
     """ticker, signal_date, value (winsorised, group-neutral, standardised) and was_clipped.
 
     An empty input is an error. Non-finite values go, then dates with fewer than `least` names. Then, by date: values are clipped at linear
     quantiles, if there are three at least; group means are subtracted (a name without a group has no value from
     here on, but stays); and what is left is standardised by the sample deviation, 0 where nothing varies.
-    Dates are split over tasks: quantiles by ranges of values, means and deviations on the map side first.
+    counts observes n_input and n_finite while values flow. Dates are split over tasks: quantiles by ranges of values, means and deviations on the map side first.
     """
+    if counts is not None:
+        ok = finite(F.col("value"))
+        values = values.observe(counts, F.count("*").alias("n_input"), F.count(F.when(ok, 1)).alias("n_finite"))
     rows = kept(with_rows(values, "no value to clean: the signal is empty").filter(finite(F.col("value"))).select(*KEY, "value"))
     edges = quantiles(rows, "value", ["signal_date"], list(tails)).filter(F.col("n") >= least)
     rows = rows.join(F.broadcast(edges), "signal_date")  # a row for each date

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from tidemark.plans import mapping as m
 from tidemark.plans.catalog import query, rounded
 from tidemark.plans.mapping import with_sql
 from tidemark.sources import ingest, tables
+from tidemark.sources.kept import scratch
 
 # Loads
 
@@ -54,7 +53,7 @@ def migrate_facts(spark, d):
 @query(f"{with_sql('prices', 'dates')}, {c.CAP} SELECT ticker, signal_date, round(-ln(cap), 6) AS value FROM cap WHERE cap > 0")
 def stored_factor_values(spark, d):
     """A signal written to a table by factor and vintage, beside another vintage, and read back."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/factor-values-{uuid.uuid4().hex}"
+    path = scratch(spark, "factor-values")
     values = rounded(factors.log_mktcap(m.tables(spark, d), m.dates(spark, d)), "value")
     tables.write_factor_values(values, path, "log_mktcap")
     tables.write_factor_values(values.withColumn("value", F.lit(0.0)), path, "log_mktcap", "restated")

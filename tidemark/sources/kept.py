@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -24,3 +25,18 @@ def kept(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     out.kept_ = True
     return out
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a stored table in the same shared folder; what lies there goes when the session's file system closes."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

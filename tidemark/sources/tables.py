@@ -94,14 +94,20 @@ def price_scan(prices: DataFrame, start=None, end=None, tickers: list[str] | Non
     return prices.filter(F.col("ticker").isin(tickers)) if tickers is not None else prices
 
 
-def write_factor_values(values: DataFrame, path: str, factor_id: str, vintage: str = "pit") -> None:
-    """Appends to a table partitioned by factor and vintage, so that reads of one prune the others."""
-    out = conform(values.withColumns({"factor_id": F.lit(factor_id), "vintage": F.lit(vintage)}), FACTOR_VALUES)
-    out.write.mode("append").partitionBy("factor_id", "vintage").parquet(path)
+def _factor_table(spark: SparkSession, path: str, factor_id: str, vintage: str):
+    from tidemark.sources.keyed import KeyedTable
+
+    return KeyedTable(spark, f"{path}/{factor_id}/{vintage}", T.StructType([f for f in FACTOR_VALUES.fields if f.name in ("ticker", "signal_date", "value")]), ["ticker", "signal_date"])
+
+
+def write_factor_values(values: DataFrame, path: str, factor_id: str, vintage: str = "pit", batch: str = "all") -> bool:
+    """Stores a batch of values of a factor and vintage; a batch that is stored already changes nothing, a stored key raises."""
+    return _factor_table(values.sparkSession, path, factor_id, vintage).append(values, batch)
 
 
 def factor_values(spark: SparkSession, path: str, factor_id: str, vintage: str = "pit") -> DataFrame:
-    return spark.read.parquet(path).filter((F.col("factor_id") == factor_id) & (F.col("vintage") == vintage)).select("ticker", "signal_date", "value").orderBy("signal_date", "ticker")
+    """ticker, signal_date, value of a factor and vintage; those of others are not read."""
+    return _factor_table(spark, path, factor_id, vintage).read().orderBy("signal_date", "ticker")
 
 
 def coverage(df: DataFrame) -> DataFrame:
