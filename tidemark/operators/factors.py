@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,12 +31,26 @@ def named(facts: DataFrame, securities: DataFrame) -> DataFrame:
     return facts.join(one, "cik")
 
 
+def reads(*columns: str) -> Callable:
+    """Decorator: a signal of (tables, dates, ...) that needs columns of prices; its result stops a query where one of them has no value."""
+
+    def around(compute: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(compute)
+        def guarded(t: Tables, *args, **how) -> DataFrame:
+            price_column(t.prices, *columns)
+            return price_column(t.prices, *columns, result=compute(t, *args, **how))
+
+        return guarded
+
+    return around
+
+
+@reads("close_adj")
 def calendar_return(t: Tables, dates: DataFrame, recent: int, base: int, sign: float = 1.0) -> DataFrame:
     """Return between two calendar month ends before the signal date, by prices at most ten days old there."""
     anchors = dates.select("signal_date", month_anchor(F.col("signal_date"), recent).alias("a"), month_anchor(F.col("signal_date"), base).alias("b"))
     days = anchors.select(F.explode(F.array("a", "b")).alias("signal_date")).distinct()
-    prices = price_column(t.prices, "close_adj")
-    at = sampled(prices.select("ticker", "trade_date", F.col("close_adj").alias("value")), days).select("ticker", F.col("signal_date").alias("day"), F.col("value").alias("price"))
+    at = sampled(t.prices.select("ticker", "trade_date", F.col("close_adj").alias("value")), days).select("ticker", F.col("signal_date").alias("day"), F.col("value").alias("price"))
     new = F.broadcast(anchors).join(at, F.col("a") == F.col("day")).select("ticker", "signal_date", F.col("price").alias("p1"))
     old = F.broadcast(anchors).join(at, F.col("b") == F.col("day")).select("ticker", "signal_date", F.col("price").alias("p0"))
     return finished(new.join(old, ["ticker", "signal_date"]).select("ticker", "signal_date", (sign * (ratio(F.col("p1"), F.col("p0")) - 1)).alias("value")))
@@ -43,10 +58,11 @@ def calendar_return(t: Tables, dates: DataFrame, recent: int, base: int, sign: f
 
 def market_cap(t: Tables, dates: DataFrame) -> DataFrame:
     """Unadjusted close times shares of one row, the newest at most ten days old; positive ones."""
-    product = price_column(t.prices, "close", "shares_out").select("ticker", "trade_date", (F.col("close") * F.col("shares_out")).alias("value"))
+    product = t.prices.select("ticker", "trade_date", (F.col("close") * F.col("shares_out")).alias("value"))
     return sampled(product, dates).filter("value > 0").select("ticker", "signal_date", F.col("value").alias("cap"))
 
 
+@reads("close", "shares_out")
 def log_mktcap(t: Tables, dates: DataFrame) -> DataFrame:
     return finished(market_cap(t, dates).withColumn("value", -F.log("cap")))
 
@@ -99,10 +115,11 @@ def derived(roll: DataFrame, raw: DataFrame, dates: DataFrame) -> DataFrame:
     return sampled(roll.select("ticker", "trade_date", "value"), dates).select(*VALUES).join(seen, ["ticker", "signal_date"], "left_semi")
 
 
+@reads("close_adj")
 def total_vol_60d(t: Tables, dates: DataFrame) -> DataFrame:
     """Minus the sample deviation of 60 one-session returns, 30 at least."""
     days = sessions(t.prices)
-    rows = observed(price_column(t.prices, "close_adj"), "close_adj", days)
+    rows = observed(t.prices, "close_adj", days)
     before = Window.partitionBy("ticker").orderBy("session_idx")
     adjoins = F.col("session_idx") - F.lag("session_idx").over(before) == 1
     returns = rows.withColumn("value", F.when(adjoins, known(ratio(F.col("value"), F.lag("value").over(before)) - 1)))
@@ -110,10 +127,11 @@ def total_vol_60d(t: Tables, dates: DataFrame) -> DataFrame:
     return finished(out.withColumn("value", -F.col("value")))
 
 
+@reads("volume", "shares_out")
 def turnover(t: Tables, dates: DataFrame) -> DataFrame:
     """Minus the mean volume of 21 sessions, 10 at least, over shares at the date."""
     days = sessions(t.prices)
-    rows = observed(price_column(t.prices, "volume", "shares_out"), "volume", days)
+    rows = observed(t.prices, "volume", days)
     volume = derived(rolled(rows, days, dates, F.avg, 21, 10), rows, dates)
     shares = sampled(t.prices.select("ticker", "trade_date", F.col("shares_out").alias("value")), dates).filter("value > 0").select("ticker", "signal_date", F.col("value").alias("shares"))
     return finished(volume.join(shares, ["ticker", "signal_date"]).withColumn("value", -ratio(F.col("value"), F.col("shares"))))
@@ -143,10 +161,12 @@ def over_cap(value: DataFrame, t: Tables, dates: DataFrame) -> DataFrame:
     return finished(both.withColumn("value", ratio(F.col("value"), F.col("cap"))))
 
 
+@reads("close", "shares_out")
 def bm_ratio(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit") -> DataFrame:
     return over_cap(latest_value(t, dates, tags.equity, arm), t, dates)
 
 
+@reads("close", "shares_out")
 def ep_ratio(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit") -> DataFrame:
     return over_cap(ttm_value(t, dates, tags.income, arm), t, dates)
 

@@ -23,34 +23,38 @@ class ImplausibleMagnitudeError(ValueError):
 
 
 def stopped_by(df: DataFrame, findings: DataFrame) -> DataFrame:
-    """df; a query on it fails with the first row of findings (why: string), if there is any.
+    """df; a query on it fails where findings (why: string, null where all is well) has a row that says why.
 
-    The check is a branch of the same plan that gives no rows, so it costs no job of its own and can't be forgotten.
+    The check is a branch of the same plan that gives no rows, so it costs no job of its own and can't be forgotten. All its
+    columns raise, so that a condition on any of them, which the optimiser pushes into the branch, raises too. It belongs around
+    a result: inside one, a plan that proves its result empty leaves it out.
     """
-    stop = findings.filter(F.when(F.raise_error(F.col("why")).isNull(), F.lit(True)).otherwise(F.lit(False)))
-    return df.unionByName(stop.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields)))
+    why = F.col("why")
+    none = findings.filter(F.when(why.isNotNull(), F.raise_error(why).cast("boolean")).otherwise(F.lit(False)))
+    return df.unionByName(none.select(*(F.when(why.isNotNull(), F.raise_error(why)).cast(f.dataType).alias(f.name) for f in df.schema.fields)))
 
 
-def with_rows(df: DataFrame, why: str) -> DataFrame:
-    """df, of which a query fails where it is empty."""
-    return stopped_by(df, df.agg(F.count("*").alias("n_")).filter("n_ = 0").select(F.lit(why).alias("why")))
+def with_rows(df: DataFrame, why: str, of: DataFrame | None = None) -> DataFrame:
+    """df, of which a query fails where it is empty, or where that of which it is made is."""
+    return stopped_by(df, (df if of is None else of).agg(F.when(F.count("*") == 0, F.lit(why)).alias("why")))
 
 
 def with_unique_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """df, of which a query fails where a key is null or repeated."""
     null = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
-    bad = df.groupBy(*keys).agg(F.count("*").alias("n_")).filter((F.col("n_") > 1) | null)
-    return stopped_by(df, bad.select(F.concat(F.lit(f"keys {', '.join(keys)} are null or repeated: "), F.to_json(F.struct(*keys))).alias("why")))
+    said = F.concat(F.lit(f"keys {', '.join(keys)} are null or repeated: "), F.to_json(F.struct(*keys)))
+    return stopped_by(df, df.groupBy(*keys).agg(F.count("*").alias("n_")).select(F.when((F.col("n_") > 1) | null, said).alias("why")))
 
 
-def price_column(prices: DataFrame, *columns: str) -> DataFrame:
-    """prices for a signal that reads some columns: one that isn't there stops at once, one without any value stops the query."""
+def price_column(prices: DataFrame, *columns: str, result: DataFrame | None = None) -> DataFrame:
+    """prices, or a result of them, for a signal that reads some columns: one that isn't there stops at once, one without any value stops the query."""
     for c in columns:
         if c not in prices.columns:
             raise ValueError(f"the signal reads {c}, and prices have only {', '.join(prices.columns)}")
     some = prices.agg(*(F.count(c).alias(c) for c in columns))
     blank = F.filter(F.array(*(F.when(F.col(c) == 0, F.lit(c)) for c in columns)), lambda x: x.isNotNull())
-    return stopped_by(prices, some.filter(F.size(blank) > 0).select(F.concat(F.lit("no price row has a value of "), F.array_join(blank, ", ")).alias("why")))
+    said = F.concat(F.lit("no price row has a value of "), F.array_join(blank, ", "))
+    return stopped_by(prices if result is None else result, some.select(F.when(F.size(blank) > 0, said).alias("why")))
 
 
 def required(df: DataFrame, columns: tuple[str, ...] = VALUES) -> DataFrame:

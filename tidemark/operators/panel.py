@@ -42,7 +42,8 @@ def cleaned(values: DataFrame, securities: DataFrame | None = None, least: int =
     if counts is not None:
         ok = finite(F.col("value"))
         values = values.observe(counts, F.count("*").alias("n_input"), F.count(F.when(ok, 1)).alias("n_finite"))
-    rows = kept(with_rows(values, "no value to clean: the signal is empty").filter(finite(F.col("value"))).select(*KEY, "value"))
+    rows = values.filter(finite(F.col("value"))).select(*KEY, "value")
+    rows = kept(with_rows(rows, "no value to clean: the signal is empty", of=values))
     edges = quantiles(rows, "value", ["signal_date"], list(tails)).filter(F.col("n") >= least)
     rows = rows.join(F.broadcast(edges), "signal_date")  # a row for each date
     clip = F.when(F.col("n") < 3, F.col("value")).when(F.col("value") < F.col("edges")[0], F.col("edges")[0]).when(F.col("value") > F.col("edges")[1], F.col("edges")[1]).otherwise(F.col("value"))
