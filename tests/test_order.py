@@ -71,3 +71,9 @@ def test_p_values_of_many_degrees(spark):
         x = np.linspace(0, r["t"], 20001)
         density = np.exp(math.lgamma((r["f"] + 1) / 2) - math.lgamma(r["f"] / 2)) / math.sqrt(r["f"] * math.pi) * (1 + x * x / r["f"]) ** (-(r["f"] + 1) / 2)
         assert r["p"] == pytest.approx(1 - 2 * np.trapezoid(density, x), abs=1e-6)
+
+
+def test_normal_p_values(spark):
+    rows = [(t,) for t in (0.0, 0.3, -1.96, 2.5, 4.2, 4.25, 6.0, 12.0, -30.0)]
+    for r in spark.createDataFrame(rows, "t double").select("t", protocol.two_sided(F.col("t")).alias("p")).collect():
+        assert r["p"] == pytest.approx(math.erfc(abs(r["t"]) / math.sqrt(2)), rel=1e-11)

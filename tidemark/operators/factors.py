@@ -116,14 +116,14 @@ def derived(roll: DataFrame, raw: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 @reads("close_adj")
-def total_vol_60d(t: Tables, dates: DataFrame) -> DataFrame:
-    """Minus the sample deviation of 60 one-session returns, 30 at least."""
+def total_vol_60d(t: Tables, dates: DataFrame, width: int = 60, least: int = 30) -> DataFrame:
+    """Minus the sample deviation of 60 one-session returns, 30 at least; of sparser bars width and least may be others."""
     days = sessions(t.prices)
     rows = observed(t.prices, "close_adj", days)
     before = Window.partitionBy("ticker").orderBy("session_idx")
     adjoins = F.col("session_idx") - F.lag("session_idx").over(before) == 1
     returns = rows.withColumn("value", F.when(adjoins, known(ratio(F.col("value"), F.lag("value").over(before)) - 1)))
-    out = derived(rolled(returns, days, dates, F.stddev_samp, 60, 30), rows, dates)
+    out = derived(rolled(returns, days, dates, F.stddev_samp, width, least), rows, dates)
     return finished(out.withColumn("value", -F.col("value")))
 
 

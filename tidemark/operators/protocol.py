@@ -43,7 +43,7 @@ def long_short(quantiles: DataFrame, bins: int = 5) -> DataFrame:
 def information_coefficient(panel: DataFrame, least: int = 5) -> DataFrame:
     """signal_date, ic (rank correlation), n; dates on which either side is constant go."""
     rows = kept(panel.select("signal_date", "prediction", "label"))
-    ranked = ranks(kept(ranks(rows, "prediction", ["signal_date"])), "label", ["signal_date"])
+    ranked = ranks(ranks(rows, "prediction", ["signal_date"]), "label", ["signal_date"], rows)
     per = ranked.groupBy("signal_date").agg(F.count("*").alias("n"), correlation(F.col("r_prediction"), F.col("r_label")).alias("ic"))
     return per.filter((F.col("n") >= least) & F.col("ic").isNotNull()).select("signal_date", "ic", "n")
 
@@ -107,6 +107,24 @@ def newey_west(series: DataFrame, value: str, least: int = 5) -> DataFrame:
     return out.select("n", "mean", F.when(enough, ratio(F.col("mean"), naive)).alias("naive_t"), F.when(enough, ratio(F.col("mean"), nw)).alias("nw_t"))
 
 
+def two_sided(t: Column) -> Column:
+    """Two-sided p-value of a normal statistic, to double precision: a series near 0, a continued fraction farther out."""
+    x = F.abs(t) / math.sqrt(2)
+    near = F.least(x, F.lit(3.0))
+    start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+    step = lambda s, n: F.struct((s["sum"] + s["term"] * 2 * near * near / (2 * n + 1)).alias("sum"), (s["term"] * 2 * near * near / (2 * n + 1)).alias("term"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(90)), start, step)["sum"]
+    inside = 1 - 2 / math.sqrt(math.pi) * near * F.exp(-near * near) * series
+    far = F.greatest(x, F.lit(1.0))
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.lit(1.0), lambda s, n: 1 + n / (2 * far * far) / s)
+    return F.when(x < 3, inside).otherwise(F.exp(-far * far) / (far * math.sqrt(math.pi)) / fraction)
+
+
+def with_p(slope: DataFrame) -> DataFrame:
+    """The row of `newey_west` with nw_p, null where it has no statistic."""
+    return slope.withColumn("nw_p", F.when(finite(F.col("nw_t")), two_sided(F.col("nw_t"))))
+
+
 def normal_p(t: float | None) -> float | None:
     """Two-sided p-value of a normal statistic."""
     return None if t is None or math.isnan(t) else math.erfc(abs(t) / math.sqrt(2))
@@ -192,7 +210,7 @@ def run_protocol(panel: DataFrame, bins: int = 5, weights: DataFrame | None = No
         "long_short": spread,
         "ic": ic,
         "monotonicity": monotonicity(by_bin),
-        "slope": newey_west(controlled_slopes(panel, names) if names else slopes(panel), "slope"),
+        "slope": with_p(newey_west(controlled_slopes(panel, names) if names else slopes(panel), "slope")),
         "subperiods": subperiods(spread, "spread"),
         "summary": whole.withColumn("n_dates_dropped", F.col("n_dates") - F.col("n_quantile_dates")),
     }

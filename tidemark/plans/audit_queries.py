@@ -11,7 +11,7 @@ from tidemark.plans import mapping as m
 from tidemark.plans.catalog import query, rounded
 from tidemark.plans.mapping import with_sql
 from tidemark.sources import ingest, tables
-from tidemark.sources.kept import scratch
+from tidemark.sources.kept import kept, scratch
 
 # Loads
 
@@ -128,10 +128,45 @@ def ingest_rates(spark, d):
     return rounded(ingest.rates(m.securities(spark, d), texts, facts, ("N",)), "request_rate", "data_rate", "accounting_rate")
 
 
-@query(f"{with_sql('facts', 'securities')}, n AS (SELECT * FROM securities WHERE cik NOT IN (SELECT cik FROM facts WHERE tag <> 'N' AND frame = '1' AND filed < DATE '1993-01-01')) SELECT 'us-gaap' AS accounting_standard, count(*) AS n, string_agg(ticker, ',' ORDER BY ticker) AS tickers FROM n HAVING count(*) > 0")
+@query(f"{with_sql('facts', 'securities')}, n AS (SELECT * FROM securities WHERE cik NOT IN (SELECT cik FROM facts WHERE tag <> 'N' AND frame = '1' AND filed < DATE '1995-06-30')) SELECT 'us-gaap' AS accounting_standard, count(*) AS n, string_agg(ticker, ',' ORDER BY ticker) AS tickers FROM n HAVING count(*) > 0")
 def ingest_gap_warning(spark, d):
     t = m.tables(spark, d)
-    return ingest.gap_warning(t.facts.filter("frame = '1' AND filed < DATE'1993-01-01'"), t.securities, ("N",))
+    return ingest.gap_warning(t.facts.filter("frame = '1' AND filed < DATE'1995-06-30'"), t.securities, ("N",))
+
+
+GAPS = f"{with_sql('facts', 'securities')}, f AS (SELECT * FROM facts WHERE frame = '1' AND filed < DATE '1995-06-30'), n AS (SELECT ticker, CASE WHEN CAST(cik AS BIGINT) % 3 = 0 THEN 'ifrs' ELSE 'us-gaap' END AS accounting_standard, (SELECT count(*) FROM f WHERE f.cik = s.cik) AS n_rows, (SELECT count(*) FROM f WHERE f.cik = s.cik AND tag <> 'N') AS n_accounting FROM securities s)"
+
+
+def _gap_inputs(spark, d):
+    """First lines filed by the middle of 1995, and every third company under another standard."""
+    t = m.tables(spark, d)
+    standard = F.when(F.col("cik").cast("long") % 3 == 0, "ifrs").otherwise("us-gaap")
+    return t.facts.filter("frame = '1' AND filed < DATE'1995-06-30'"), t.securities.withColumn("accounting_standard", standard)
+
+
+@query(f"{GAPS} SELECT ticker, accounting_standard, CASE WHEN n_rows = 0 THEN 'no_rows' ELSE 'share_counts_only' END AS reason FROM n WHERE n_accounting = 0")
+def ingest_gap_reasons(spark, d):
+    return ingest.gap_reasons(*_gap_inputs(spark, d), ("N",))
+
+
+@query(f"{GAPS} SELECT accounting_standard, count(*) AS n_securities, count(*) FILTER (n_accounting = 0) AS n_without, round(count(*) FILTER (n_accounting = 0) / count(*), 6) AS share, count(*) FILTER (n_accounting = 0) / count(*) > 0.02 AS warns FROM n GROUP BY 1")
+def ingest_gap_shares(spark, d):
+    return rounded(ingest.gap_shares(*_gap_inputs(spark, d), 0.02, ("N",)), "share")
+
+
+#: Breaches of every rule of facts, planted by the number of the order.
+PLANTED = f"{with_sql('facts')}, k AS (SELECT *, CAST(accession AS BIGINT) % 97 AS p, date_diff('day', period_start, period_end) AS days FROM facts)"
+
+
+@query(
+    f"""{PLANTED}, b AS (SELECT CASE WHEN p = 1 THEN NULL ELSE cik END AS cik, tag, CASE WHEN p = 2 THEN period_end + 1 ELSE period_start END AS s, period_end AS e, CASE WHEN p = 3 THEN period_end - 1 ELSE filed END AS f, CASE WHEN p = 4 THEN -1 ELSE days END AS days, CASE WHEN p = 5 THEN 'odd' ELSE fact_type END AS kind, form, accession, frame FROM k),
+r AS (SELECT 'filed before the period ended' AS rule, count(*) AS n_rows FROM b WHERE f < e UNION ALL SELECT 'period ends before it starts', count(*) FROM b WHERE e < s UNION ALL SELECT 'negative duration', count(*) FROM b WHERE days < 0 UNION ALL SELECT 'fact type', count(*) FROM b WHERE kind = 'odd'
+  UNION ALL SELECT 'key', CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n, cik FROM b GROUP BY cik, tag, s, e, f, form, accession, frame HAVING count(*) > 1 OR cik IS NULL)) SELECT * FROM r WHERE n_rows > 0"""
+)
+def table_violations(spark, d):
+    p = F.col("accession").cast("long") % 97
+    planted = {"cik": F.when(p != 1, F.col("cik")), "period_start": F.when(p == 2, F.date_add("period_end", 1)).otherwise(F.col("period_start")), "filed": F.when(p == 3, F.date_sub("period_end", 1)).otherwise(F.col("filed")), "duration_days": F.when(p == 4, -1).otherwise(F.col("duration_days")), "fact_type": F.when(p == 5, "odd").otherwise(F.col("fact_type"))}
+    return tables.violations(m.facts(spark, d).withColumns(planted), "facts")
 
 
 @query(f"{with_sql('bars')}, s AS (SELECT DISTINCT ticker, CAST(right(ticker, 1) AS INTEGER) % 3 AS k FROM prices) SELECT count(*) FILTER (k = 0) AS n_prone, count(*) FILTER (k < 2) AS n_all, round(count(*) FILTER (k = 0) / count(*) FILTER (k < 2), 6) AS share FROM s")
@@ -289,7 +324,11 @@ def most_implausible(spark, d):
     return worst.withColumn("value", F.round("value", 9))
 
 
-@query("SELECT * FROM (VALUES ('keys are known', true), ('union matches summary', true), ('parts match repeated keys', true)) v(\"check\", passed)")
+@query(
+    f"""{with_sql('facts')}, {c.FLAGS}, n AS (SELECT count(*) FILTER (repeated) AS repeated, count(*) FILTER (repeated AND ({c.BAD})) AS bad, count(*) FILTER (repeated AND NOT ({c.BAD}) AND changed) AS changed, count(*) FILTER (repeated AND NOT ({c.BAD}) AND NOT changed) AS same FROM k),
+u AS (SELECT count(*) AS n FROM k WHERE repeated AND list_bool_or([{', '.join(audit.REASONS)}])), z AS (SELECT count(*) AS n FROM facts WHERE cik IS NULL OR tag IS NULL OR period_start IS NULL OR period_end IS NULL OR filed IS NULL OR fact_type IS NULL)
+SELECT 'keys are known' AS "check", z.n = 0 AS passed FROM z UNION ALL SELECT 'union matches summary', u.n = n.bad FROM u, n UNION ALL SELECT 'parts match repeated keys', n.changed + n.same + n.bad = n.repeated FROM n"""
+)
 def disclosure_check(spark, d):
     return audit.disclosure_check(m.facts(spark, d))
 
@@ -360,20 +399,24 @@ def _mean_ic(t: str) -> str:
     return f"(SELECT avg(ic) FROM (SELECT corr(a, b) AS ic FROM {ranked} GROUP BY signal_date HAVING count(*) >= 5 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0))"
 
 
+def _support_sql(suffix: str, one: str, other: str) -> str:
+    """An arm cut to the keys of both before it is cleaned."""
+    body = _arm_sql("known", suffix)
+    return f"a{suffix} AS (SELECT * FROM a{one} SEMI JOIN a{other} USING (ticker, signal_date))" + body[body.index(f", e{suffix} AS (") :]
+
+
 @query(
-    f"""{VINTAGES}, s1 AS (SELECT * FROM lab1 SEMI JOIN lab2 USING (ticker, signal_date)), s2 AS (SELECT * FROM lab2 SEMI JOIN lab1 USING (ticker, signal_date)),
-l AS (SELECT 'original_process' AS layer, {_mean_ic('lab1')} AS p, {_mean_ic('lab2')} AS r UNION ALL SELECT 'common_observation', {_mean_ic('s1')}, {_mean_ic('s2')})
+    f"""{VINTAGES}, s1 AS (SELECT * FROM lab1 SEMI JOIN lab2 USING (ticker, signal_date)), s2 AS (SELECT * FROM lab2 SEMI JOIN lab1 USING (ticker, signal_date)), {_support_sql('3', '1', '2')}, {_support_sql('4', '2', '1')},
+l AS (SELECT 'original_process' AS layer, {_mean_ic('lab1')} AS p, {_mean_ic('lab2')} AS r UNION ALL SELECT 'common_observation', {_mean_ic('s1')}, {_mean_ic('s2')} UNION ALL SELECT 'common_support', {_mean_ic('lab3')}, {_mean_ic('lab4')})
 SELECT layer, round(p, 6) AS pit_ic, round(r, 6) AS restated_ic, CASE WHEN abs(r - p) > 0.005 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM l"""
 )
 def vintage_layers(spark, d):
-    """Both arms rescored as they are and on the keys that they share, with the verdict on each gap."""
-    pit, late = arm(spark, d, "pit"), arm(spark, d, "restated")
-    rows = None
-    for name, (a, b) in (("original_process", (pit, late)), ("common_observation", vintage.common(pit, late))):
-        one = vintage.mean_ic(a).select(F.col("ic").alias("p")).crossJoin(vintage.mean_ic(b).select(F.col("ic").alias("r")))  # one row each
-        row = one.select(F.lit(name).alias("layer"), F.round("p", 6).alias("pit_ic"), F.round("r", 6).alias("restated_ic"), F.when(F.abs(F.col("r") - F.col("p")) > 0.005, "FAIL").otherwise("PASS").alias("verdict"))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    """Both arms rescored as they are, on the keys that they share, and cleaned anew on these, with the verdict on each gap."""
+    t = m.tables(spark, d, by_month=True)
+    t = tables.Tables(t.securities, kept(t.prices), kept(t.facts))
+    found = vintage.layers(t, m.dates(spark, d), "bm_ratio", t.prices, tags=c.TAGS)
+    rows = [(x.name, x.pit_ic, x.restated_ic, audit.verdict(True, x.n_dates, False, x.gap)) for x in found]
+    return rounded(spark.createDataFrame(rows, "layer string, pit_ic double, restated_ic double, verdict string"), "pit_ic", "restated_ic")
 
 
 # The protocol

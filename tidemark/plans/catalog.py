@@ -301,6 +301,14 @@ _signal(
 )
 
 
+@query(f"{with_sql('bars', 'dates')}, {SESSIONS}, ret AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY i) - 1 AS r FROM grid), roll AS (SELECT ticker, trade_date, CASE WHEN count(r) OVER x >= 6 THEN stddev_samp(r) OVER x END AS value FROM ret WINDOW x AS (PARTITION BY ticker ORDER BY i ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)), {_derived_sql('roll', 'close')} SELECT ticker, signal_date, round(-value, 6) AS value FROM v SEMI JOIN w USING (ticker, signal_date)")
+def total_vol_monthly(spark, d):
+    """The volatility of twelve month-end bars, six returns at least: days are too sparse for sixty."""
+    t = m.tables(spark, d, by_month=True)
+    t = tables.Tables(t.securities, kept(t.prices), t.facts)
+    return rounded(factors.total_vol_60d(t, m.dates(spark, d), 12, 6), "value")
+
+
 @query(f"{with_sql('bars', 'dates')}, {SESSIONS}, ret AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY i) - 1 AS r FROM grid) SELECT ticker, trade_date, CASE WHEN count(r) OVER x >= 6 THEN round(stddev_samp(r) OVER x, 6) END AS value FROM ret WINDOW x AS (PARTITION BY ticker ORDER BY i ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")
 def rolling_deviation(spark, d):
     """Twelve sessions of month-end bars, six returns at least."""
@@ -424,6 +432,16 @@ def fama_macbeth(spark, d):
     return rounded(protocol.newey_west(protocol.slopes(scored_panel(spark, d)), "slope"), "mean", "naive_t", "nw_t")
 
 
+SLOPE_SQL = ORACLE_SQL["fama_macbeth"].replace("round(any_value(mu) / sqrt(any_value(s)", "(any_value(mu) / sqrt(any_value(s)").replace("(any_value(n) - 1)), 6) AS nw_t", "(any_value(n) - 1))) AS nw_t")
+
+
+@query(f"WITH t AS ({SLOPE_SQL}), k AS (SELECT n, nw_t, i, abs(nw_t) + i * 0.002::DOUBLE AS x, CASE WHEN i IN (0, 6000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM t, range(6001) r(i)) SELECT any_value(n) AS n, round(any_value(nw_t), 6) AS nw_t, round(2 * sum(w * exp(-x * x / 2)) * 0.002 / 3 / sqrt(2 * pi()), 6) AS nw_p FROM k")
+def fama_macbeth_p(spark, d):
+    """The p-value of the mean slope; in SQL the integral of the normal density by Simpson's rule."""
+    found = protocol.with_p(protocol.newey_west(protocol.slopes(scored_panel(spark, d)), "slope"))
+    return rounded(found.select("n", "nw_t", "nw_p"), "nw_t", "nw_p")
+
+
 @query(f"{PANEL}, {IC}, t AS (SELECT *, ntile(3) OVER (ORDER BY signal_date) AS part FROM ic) SELECT CAST(part AS INTEGER) AS part, min(signal_date) AS start_date, max(signal_date) AS end_date, count(*) AS n, round(avg(ic), 6) AS mean, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS ratio, round(avg((ic > 0)::INT), 6) AS hit_rate FROM t GROUP BY part")
 def subperiods(spark, d):
     return rounded(protocol.subperiods(protocol.information_coefficient(scored_panel(spark, d)), "ic"), "mean", "ratio", "hit_rate")
