@@ -48,13 +48,16 @@ def cleaned(values: DataFrame, securities: DataFrame | None = None, least: int =
     rows = rows.join(F.broadcast(edges), "signal_date")  # a row for each date
     clip = F.when(F.col("n") < 3, F.col("value")).when(F.col("value") < F.col("edges")[0], F.col("edges")[0]).when(F.col("value") > F.col("edges")[1], F.col("edges")[1]).otherwise(F.col("value"))
     rows = rows.select(*KEY, clip.alias("clip"), (clip != F.col("value")).alias("was_clipped"))
-    if securities is not None:
+    if securities is None:
+        moments = rows.groupBy("signal_date").agg(F.stddev_samp("clip").alias("sd"), F.avg("clip").alias("mu"))
+    else:
         groups = securities.groupBy("ticker").agg(F.max("sic").alias("grp"))
-        rows = kept(rows.join(groups, "ticker", "left"))
-        mean = rows.filter("grp IS NOT NULL").groupBy("signal_date", "grp").agg(F.avg("clip").alias("mean_"))
-        rows = rows.join(mean, ["signal_date", "grp"], "left").withColumn("clip", F.col("clip") - F.col("mean_"))
-    moments = rows.groupBy("signal_date").agg(F.stddev_samp("clip").alias("sd"), F.avg("clip").alias("mu"))
-    rows = rows.join(F.broadcast(moments), "signal_date")
+        rows = rows.join(groups, "ticker", "left")
+        each = rows.filter("grp IS NOT NULL").groupBy("signal_date", "grp").agg(F.count("*").alias("n_"), F.avg("clip").alias("mean_"), F.var_pop("clip").alias("var_"))
+        # What is left of groups varies around 0, by the variances within them.
+        moments = each.groupBy("signal_date").agg(F.sqrt(F.try_divide(F.sum(F.col("n_") * F.col("var_")), F.sum("n_") - 1)).alias("sd"), F.lit(0.0).alias("mu"))
+        rows = rows.join(each.select("signal_date", "grp", "mean_"), ["signal_date", "grp"], "left").withColumn("clip", F.col("clip") - F.col("mean_"))
+    rows = rows.join(F.broadcast(moments), "signal_date", "left")
     z = F.when(F.col("clip").isNull(), F.lit(None)).when(F.col("sd") > 1e-12, (F.col("clip") - F.col("mu")) / F.col("sd")).otherwise(F.lit(0.0))
     return rows.select(*KEY, z.alias("value"), "was_clipped")
 

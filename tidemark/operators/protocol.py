@@ -18,20 +18,25 @@ def average_rank(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     return df.withColumn(f"r_{column}", rank)
 
 
-def binned(panel: DataFrame, bins: int = 5) -> DataFrame:
-    """panel with bin from 0: edges are linear quantiles, right ends belong to the lower bin; dates with too few names or an empty bin go."""
-    panel = kept(panel)
+def _edged(panel: DataFrame, bins: int) -> DataFrame:
+    """panel with bin, of dates with enough names; a bin may be empty."""
     edges = quantiles(panel.select("signal_date", "prediction"), "prediction", ["signal_date"], [i / bins for i in range(1, bins)]).filter(F.col("n") >= bins * 3)
     rows = panel.join(F.broadcast(edges.select("signal_date", "edges")), "signal_date")  # a row for each date
-    rows = rows.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("prediction")))).drop("edges")
+    return rows.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("prediction")))).drop("edges")
+
+
+def binned(panel: DataFrame, bins: int = 5) -> DataFrame:
+    """panel with bin from 0: edges are linear quantiles, right ends belong to the lower bin; dates with too few names or an empty bin go."""
+    rows = _edged(kept(panel), bins)
     full = rows.groupBy("signal_date").agg(F.count_distinct("bin").alias("full")).filter(F.col("full") == bins)
     return rows.join(F.broadcast(full.select("signal_date")), "signal_date", "left_semi")
 
 
 def quantile_returns(panel: DataFrame, bins: int = 5, weight: str | None = None) -> DataFrame:
-    """signal_date, bin, mean_label, n."""
+    """signal_date, bin, mean_label, n of `binned`."""
     mean = weighted_mean(F.col("label"), F.col(weight)) if weight else F.avg("label")
-    return binned(panel, bins).groupBy("signal_date", "bin").agg(mean.alias("mean_label"), F.count("*").alias("n"))
+    found = _edged(kept(panel), bins).groupBy("signal_date", "bin").agg(mean.alias("mean_label"), F.count("*").alias("n"))
+    return found.withColumn("full", F.count("*").over(Window.partitionBy("signal_date"))).filter(F.col("full") == bins).drop("full")  # a row for each bin
 
 
 def long_short(quantiles: DataFrame, bins: int = 5) -> DataFrame:

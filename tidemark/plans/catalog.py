@@ -350,20 +350,21 @@ g AS (SELECT ticker, signal_date, value <> w AS was_clipped, w - avg(w) OVER (PA
 z AS (SELECT ticker, signal_date, was_clipped, CASE WHEN stddev_samp(v) OVER x > 1e-12 THEN (v - avg(v) OVER x) / stddev_samp(v) OVER x ELSE 0 END AS value FROM g WINDOW x AS (PARTITION BY signal_date))"""
 
 
-def momentum(spark, d) -> DataFrame:
+def momentum(spark, d, bars: DataFrame | None = None) -> DataFrame:
     """One-month returns of bars: no carry over a missing month."""
-    bars = m.monthly(spark, d).select("ticker", "trade_date", "close")
+    bars = (m.monthly(spark, d) if bars is None else bars).select("ticker", "trade_date", "close")
     old = bars.select("ticker", F.last_day(F.add_months("trade_date", 1)).alias("trade_date"), F.col("close").alias("old"))
     rows = bars.join(old, ["ticker", "trade_date"]).join(F.broadcast(m.dates(spark, d)), F.col("trade_date") == F.col("signal_date"))
     return rows.select("ticker", "signal_date", (F.try_divide("close", "old") - 1).alias("value"))
 
 
-def clean_momentum(spark, d) -> DataFrame:
-    return panel.cleaned(momentum(spark, d), m.securities(spark, d))
+def clean_momentum(spark, d, bars: DataFrame | None = None) -> DataFrame:
+    return panel.cleaned(momentum(spark, d, bars), m.securities(spark, d))
 
 
 def scored_panel(spark, d) -> DataFrame:
-    return panel.scored(panel.labelled(clean_momentum(spark, d).select("ticker", "signal_date", "value"), m.monthly(spark, d)))
+    bars = kept(m.monthly(spark, d))  # read for returns, sessions, and both ends of a label
+    return panel.scored(panel.labelled(clean_momentum(spark, d, bars).select("ticker", "signal_date", "value"), bars))
 
 
 PANEL = f"""{MOM}, {CLEAN}, sess AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM prices)),
