@@ -9,7 +9,7 @@ Each batch of texts becomes an immutable run of distinct fingerprints with their
 dealt and sorted by gram. A new run is merged with the runs before it by gram, in one shuffle of the runs. A segment
 whose fingerprint is found twice, in the batch or in history, holds repeated windows only. A segment of its own whose
 gram others name too is verified window by window, by 96 bits of the words, against one segment of each other fingerprint
-of that gram; texts of history that hold these are read again, and no others. What a batch shows is kept as marks of the
+of that gram; texts of history that hold these are read again. What a batch shows is kept as marks of the
 batch's texts and of texts of history. Where there are too many runs they are compacted into one. Counts add up, so
 compaction loses nothing, and marks after any number of batches are those of one batch of all texts.
 
