@@ -249,3 +249,18 @@ def test_a_signal_that_reads_what_it_does_not_tell(spark):
         factors.register(card, rules=told.rules)(factors.roe)
     with pytest.raises(ValueError, match="tells its tags"):
         factors.register(card, uses_facts=True)(factors.roe)
+
+
+def test_cards_tell_where_a_definition_comes_from():
+    plain = factors.REGISTRY["roe"].card
+    assert factors.lineage(plain) == "UNVERIFIED" and factors.checked(plain) is plain
+    origin = plain["references"][0]
+    found = origin | {"verification": "VERIFIED", "locator": "p. 7"}
+    status = lambda s: plain["published_anomaly_eligibility"] | {"status": s}
+    exact = plain | {"references": [origin, found], "published_anomaly_eligibility": status("INCLUDED")}
+    assert factors.lineage(factors.checked(exact)) == "EXACT_REPLICATION"
+    assert factors.lineage(factors.checked(exact | {"documented_variants": ["other lag"]})) == "DOCUMENTED_VARIANT"
+    assert factors.lineage(factors.checked(plain | {"references": [origin | {"role": "mechanism"}], "published_anomaly_eligibility": status("EXCLUDED")})) == "UNSUPPORTED_LINEAGE"
+    for broken, why in (({"references": [origin | {"role": "rumour"}]}, "role"), ({"published_anomaly_eligibility": status("INCLUDED")}, "status is PENDING"), ({"references": [found | {"locator": " "}]}, "some place"), ({"references": ["a book"]}, "a reference tells"), ({"timing": {"signal_computed": "x"}}, "timing"), ({"name": ""}, "name is empty"), ({"category": "luck"}, "category"), ({"economic_rationale": "too short"}, "ten words")):
+        with pytest.raises(ValueError, match=why):
+            factors.checked(plain | broken)

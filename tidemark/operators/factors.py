@@ -99,7 +99,8 @@ def rolled(rows: DataFrame, days: DataFrame, dates: DataFrame, aggregate: Callab
     values is the date's own last session or the last session that some row is still inside. The windows run over the
     rows and these probes alone; probes too old for every date are left out.
     """
-    asked = days.join(F.broadcast(dates), (F.col("signal_date") >= F.col("trade_date")) & (F.datediff("signal_date", "trade_date") <= fresh), "left_semi")  # calendar days by months
+    near = dates.select(F.explode(F.sequence(F.date_sub("signal_date", fresh), F.col("signal_date"))).alias("trade_date")).distinct()
+    asked = days.join(F.broadcast(near), "trade_date", "left_semi")  # some days for each date
     own = dates.join(F.broadcast(days), F.col("trade_date") <= F.col("signal_date")).groupBy("signal_date").agg(F.max("session_idx").alias("session_idx")).select("session_idx").distinct()
     leaving = rows.filter("value IS NOT NULL").select("ticker", (F.col("session_idx") + width - 1).alias("session_idx")).join(F.broadcast(asked.select("session_idx")), "session_idx", "left_semi")
     at_dates = rows.select("ticker").distinct().crossJoin(F.broadcast(own)).join(F.broadcast(asked.select("session_idx")), "session_idx", "left_semi")
@@ -173,15 +174,24 @@ def ep_ratio(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit")
 
 def roe(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit") -> DataFrame:
     """Income of twelve months over the latest equity, where that is positive."""
+    return finished(_roe_inputs(t, dates, tags, arm).filter("equity > 0").withColumn("value", ratio(F.col("value"), F.col("equity"))))
+
+
+def _roe_inputs(t: Tables, dates: DataFrame, tags: Tags, arm: str) -> DataFrame:
     equity = latest_value(t, dates, tags.equity, arm).withColumnRenamed("value", "equity")
-    both = ttm_value(t, dates, tags.income, arm).join(equity, ["ticker", "signal_date"])
-    return finished(both.filter("equity > 0").withColumn("value", ratio(F.col("value"), F.col("equity"))))
+    return ttm_value(t, dates, tags.income, arm).join(equity, ["ticker", "signal_date"])
 
 
 def roe_excluded(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit") -> DataFrame:
     """ticker, signal_date, equity of the keys that roe leaves out for an equity of 0 or less."""
-    equity = latest_value(t, dates, tags.equity, arm).withColumnRenamed("value", "equity")
-    return ttm_value(t, dates, tags.income, arm).join(equity, ["ticker", "signal_date"]).filter("equity <= 0").select("ticker", "signal_date", "equity")
+    return _roe_inputs(t, dates, tags, arm).filter("equity <= 0").select("ticker", "signal_date", "equity")
+
+
+def roe_filter(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit") -> DataFrame:
+    """filter_id, signal_date, n_input, n_output, n_excluded: what the condition on equity does before membership, in one pass."""
+    known_ = _roe_inputs(t, dates, tags, arm).filter("equity IS NOT NULL AND NOT isnan(equity)")
+    counts = known_.groupBy("signal_date").agg(F.count("*").alias("n_input"), F.count(F.when(F.col("equity") > 0, 1)).alias("n_output"))
+    return counts.select(F.lit("latest_equity_must_be_positive").alias("filter_id"), "signal_date", "n_input", "n_output", (F.col("n_input") - F.col("n_output")).alias("n_excluded"))
 
 
 def asset_growth(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit") -> DataFrame:
@@ -226,9 +236,20 @@ REGISTRY: dict[str, Factor] = {}
 CARD_FIELDS = ("factor_id", "name", "category", "economic_rationale", "persistence_conditions", "definition", "timing", "falsification", "references", "published_anomaly_eligibility")
 TIMING = ("signal_computed", "earliest_execution", "execution_price")
 REFERENCE = ("citation", "role", "locator", "verification")
-CATEGORIES = ("investment", "liquidity", "momentum", "profitability", "reversal", "risk", "size", "value")
+CATEGORIES = ("investment", "liquidity", "momentum", "network", "profitability", "reversal", "risk", "size", "value")
+ROLES = ("definition_origin", "mechanism", "robustness", "competing_explanation", "comparator")
 VERIFICATION = ("VERIFIED", "UNVERIFIED")
 ELIGIBILITY = ("claim_id", "status", "reason")
+# The status that each lineage of a definition gives its claim.
+STATUS_OF = {"EXACT_REPLICATION": "INCLUDED", "DOCUMENTED_VARIANT": "INCLUDED", "UNVERIFIED": "PENDING", "UNSUPPORTED_LINEAGE": "EXCLUDED"}
+
+
+def lineage(card: dict) -> str:
+    """Where a definition comes from, by the references that it originates in: none, none that was verified, or one, as it is or varied."""
+    seen = {r["verification"] for r in card["references"] if r["role"] == "definition_origin"}
+    if "VERIFIED" in seen:
+        return "DOCUMENTED_VARIANT" if card.get("documented_variants") else "EXACT_REPLICATION"
+    return "UNVERIFIED" if seen else "UNSUPPORTED_LINEAGE"
 
 
 def _holds(fields: tuple[str, ...]) -> Callable[[object], bool]:
@@ -252,6 +273,7 @@ CARD_DEMANDS = (
     ("falsification", False, lambda t: isinstance(t, list), "falsification is a list"),
     ("references", True, _holds(REFERENCE), f"a reference tells {', '.join(REFERENCE)}"),
     ("references", True, _located, f"a reference is {' or '.join(VERIFICATION)}, and verified in some place"),
+    ("references", True, lambda r: r["role"] in ROLES, f"a reference's role is one of {', '.join(ROLES)}"),
     ("published_anomaly_eligibility", False, _full(ELIGIBILITY), f"published_anomaly_eligibility tells {', '.join(ELIGIBILITY)}"),
 )
 
@@ -260,6 +282,8 @@ def checked(card: dict) -> dict:
     """card, if it meets all that a card must; the error says everything that it doesn't."""
     absent = [f"{f} is empty" for f in CARD_FIELDS if not card.get(f)]
     faults = absent or [says for part, items, test, says in CARD_DEMANDS if not all(map(test, card[part] if items else [card[part]]))][:1]
+    if not faults and (due := STATUS_OF[lineage(card)]) != card["published_anomaly_eligibility"]["status"]:
+        faults = [f"the lineage is {lineage(card)}, so the status is {due}"]
     if faults:
         raise ValueError(f"card {card.get('factor_id', '')!r}: " + "; ".join(faults))
     return card
@@ -348,7 +372,7 @@ def _card(factor_id: str, name: str, category: str, rationale: str, definition:
         "definition": definition,
         "timing": {"signal_computed": "after the close of the signal date", "earliest_execution": "the next market session", "execution_price": "adjusted close"},
         "falsification": [fails, "the mean rank correlation on later data is not above 0"],
-        "references": [{"citation": "own statement of the construction", "role": "construction", "locator": "", "verification": "UNVERIFIED"}],
+        "references": [{"citation": "own statement of the construction", "role": "definition_origin", "locator": "", "verification": "UNVERIFIED"}],
         "published_anomaly_eligibility": {"claim_id": factor_id, "status": "PENDING", "reason": "no source was checked"},
     }
 

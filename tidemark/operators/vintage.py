@@ -20,6 +20,12 @@ def common(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return a.join(b.select(*KEY), KEY, "left_semi"), b.join(a.select(*KEY), KEY, "left_semi")
 
 
+def key_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Keys of either side, each once, and which side has it: both, first or second."""
+    sides = a.select(*KEY).distinct().withColumn("a_", F.lit(True)).join(b.select(*KEY).distinct().withColumn("b_", F.lit(True)), KEY, "full_outer")
+    return sides.select(*KEY, F.when(F.col("b_").isNull(), "first").when(F.col("a_").isNull(), "second").otherwise("both").alias("side"))
+
+
 def outcome_identity(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row for two scored panels: shared keys, those whose labels and dates agree exactly, and those in a wrong order of dates."""
     cols = ["label", "formation_session", "entry_date", "exit_date"]

@@ -16,7 +16,7 @@ from tidemark.operators.factors import REGISTRY
 from tidemark.sources.tables import Tables
 
 WIDTH = 84
-STATUS = {"ValueError": "INVALID_INPUT", "EmptyFactorError": "EMPTY", "ImplausibleMagnitudeError": "IMPLAUSIBLE", "AnalysisException": "INVALID_PLAN"}
+STATUS = {"ValueError": "INVALID_INPUT", "EmptyFactorError": "EMPTY", "ImplausibleMagnitudeError": "IMPLAUSIBLE", "AnalysisException": "INVALID_PLAN", "SparkRuntimeException": "INVALID_INPUT"}
 
 
 def safe(x):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, difference, factors, panel, reasons, spans
+from tidemark.operators import asof, difference, factors, panel, reasons, spans, vintage
 from tidemark.plans import catalog as c
 from tidemark.plans import mapping as m
 from tidemark.plans.catalog import query, rounded
@@ -172,3 +172,29 @@ def declared_tags(spark, d):
     t, dates = m.tables(spark, d), m.dates(spark, d)
     read = [(f.factor_id, tag) for f in factors.REGISTRY.values() if f.uses_facts for tag in sorted(factors.verified_tags(f.factor_id, t, dates, c.TAGS))]
     return spark.createDataFrame(read, "factor_id string, tag string").join(t.facts.groupBy("tag").agg(F.count("*").alias("n_facts")), "tag").select("factor_id", "tag", "n_facts")
+
+
+# What a construction leaves out
+
+#: The tag N of every fifth company is negative.
+SIGNED = with_sql("facts", "dates").replace("facts AS (", "plain AS (", 1).replace("dates AS (", "facts AS (SELECT * REPLACE (CASE WHEN tag = 'N' AND CAST(cik AS BIGINT) % 5 = 0 THEN -value ELSE value END AS value) FROM plain), dates AS (", 1)
+
+
+def _signed(spark, d):
+    t = m.tables(spark, d)
+    negative = (F.col("tag") == "N") & (F.col("cik").cast("long") % 5 == 0)
+    return tables.Tables(t.securities, t.prices, t.facts.withColumn("value", F.when(negative, -F.col("value")).otherwise(F.col("value"))))
+
+
+@query(f"{SIGNED}, {c.HISTORY}, {c.TTM}, {c.LATEST} SELECT 'latest_equity_must_be_positive' AS filter_id, i.signal_date, count(*) AS n_input, count(*) FILTER (e.value > 0) AS n_output, count(*) FILTER (e.value <= 0) AS n_excluded FROM ttm i JOIN known e ON i.cik = e.cik AND i.signal_date = e.signal_date WHERE i.tag = 'R' AND e.tag = 'N' AND i.value IS NOT NULL GROUP BY 2")
+def roe_filter(spark, d):
+    return factors.roe_filter(_signed(spark, d), m.dates(spark, d), c.TAGS)
+
+
+@query(f"{with_sql('facts', 'prices', 'dates')}, {c.CAP}, {c.LATEST}, a AS (SELECT DISTINCT ticker, signal_date FROM cap WHERE cap > 0), b AS (SELECT DISTINCT 'T' || cik AS ticker, signal_date FROM known WHERE tag = 'A'), u AS (SELECT * FROM a UNION SELECT * FROM b) SELECT year(signal_date) AS year, CASE WHEN (ticker, signal_date) NOT IN (SELECT (ticker, signal_date) FROM b) THEN 'first' WHEN (ticker, signal_date) NOT IN (SELECT (ticker, signal_date) FROM a) THEN 'second' ELSE 'both' END AS side, count(*) AS n_keys FROM u GROUP BY 1, 2")
+def key_sets(spark, d):
+    """Keys with a market value, and keys with assets: union, intersection and both differences."""
+    t, dates = m.tables(spark, d), m.dates(spark, d)
+    assets = factors.named(asof.latest_known(t.facts.filter("tag = 'A'"), dates), t.securities)
+    found = vintage.key_sets(factors.market_cap(t, dates), assets)
+    return found.groupBy(F.year("signal_date").alias("year"), "side").agg(F.count("*").alias("n_keys"))
