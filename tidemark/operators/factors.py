@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import wraps
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -279,9 +280,10 @@ CARD_DEMANDS = (
 
 
 def checked(card: dict) -> dict:
-    """card, if it meets all that a card must; the error says everything that it doesn't."""
+    """card, if it meets all that a card must; the error names what is empty, or the first demand that isn't met."""
     absent = [f"{f} is empty" for f in CARD_FIELDS if not card.get(f)]
-    faults = absent or [says for part, items, test, says in CARD_DEMANDS if not all(map(test, card[part] if items else [card[part]]))][:1]
+    broken = (says for part, items, test, says in CARD_DEMANDS if not all(map(test, card[part] if items else [card[part]])))
+    faults = absent or list(islice(broken, 1))  # later demands build on earlier ones
     if not faults and (due := STATUS_OF[lineage(card)]) != card["published_anomaly_eligibility"]["status"]:
         faults = [f"the lineage is {lineage(card)}, so the status is {due}"]
     if faults:
