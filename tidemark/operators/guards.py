@@ -22,6 +22,10 @@ class ImplausibleMagnitudeError(ValueError):
         self.detail = detail
 
 
+#: How reasons begin that mean a signal without any value.
+BLANK, NOTHING = "no price row has a value of", "no value to clean"
+
+
 def stopped_by(df: DataFrame, findings: DataFrame) -> DataFrame:
     """df; a query on it fails where findings (why: string, null where all is well) has a row that says why.
 
@@ -53,7 +57,7 @@ def price_column(prices: DataFrame, *columns: str, result: DataFrame | None = No
             raise ValueError(f"the signal reads {c}, and prices have only {', '.join(prices.columns)}")
     some = prices.agg(*(F.count(c).alias(c) for c in columns))
     blank = F.filter(F.array(*(F.when(F.col(c) == 0, F.lit(c)) for c in columns)), lambda x: x.isNotNull())
-    said = F.concat(F.lit("no price row has a value of "), F.array_join(blank, ", "))
+    said = F.concat(F.lit(f"{BLANK} "), F.array_join(blank, ", "))
     return stopped_by(prices if result is None else result, some.select(F.when(F.size(blank) > 0, said).alias("why")))
 
 

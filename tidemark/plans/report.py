@@ -16,7 +16,14 @@ from tidemark.operators.factors import REGISTRY
 from tidemark.sources.tables import Tables
 
 WIDTH = 84
-STATUS = {"ValueError": "INVALID_INPUT", "EmptyFactorError": "EMPTY", "ImplausibleMagnitudeError": "IMPLAUSIBLE", "AnalysisException": "INVALID_PLAN", "SparkRuntimeException": "INVALID_INPUT"}
+STATUS = {"ValueError": "INVALID_INPUT", "EmptyFactorError": "EMPTY", "ImplausibleMagnitudeError": "IMPLAUSIBLE", "AnalysisException": "INVALID_PLAN"}
+
+
+def status_of(e: Exception) -> str:
+    """A failure by its kind; a guard in a plan tells by its reason whether there was no value at all."""
+    if type(e).__name__ == "SparkRuntimeException" and "USER_RAISED_EXCEPTION" in str(e):
+        return "EMPTY" if any(reason in str(e) for reason in (guards.BLANK, guards.NOTHING)) else "INVALID_INPUT"
+    return STATUS.get(type(e).__name__, "FAILED")
 
 
 def safe(x):
@@ -60,7 +67,7 @@ def factor_report(factor_id: str, t: Tables, dates: DataFrame, bars: DataFrame,
             }
         )
     except Exception as e:
-        return {"factor_id": factor_id, "status": STATUS.get(type(e).__name__, "FAILED"), "detail": str(e).splitlines()[0][:200] if str(e) else type(e).__name__}
+        return {"factor_id": factor_id, "status": status_of(e), "detail": str(e).splitlines()[0][:200] if str(e) else type(e).__name__}
 
 
 def bundle(t: Tables, dates: DataFrame, bars: DataFrame, factor_ids: list[str], config: dict, **how) -> dict:
