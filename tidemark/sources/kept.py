@@ -19,7 +19,7 @@ def kept(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
+        if not named and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-"))
     out = df.checkpoint(eager=True)
@@ -32,7 +32,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local["):
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(root)
