@@ -45,19 +45,32 @@ def test_estimate_is_robust(spark):
     rows = [("a", *map(float, rng.standard_normal(p) * spread + mean)) for _ in range(2400)]
     rows += [("a", *map(float, rng.standard_normal(p) * 0.1 + 30)) for _ in range(500)]
     rows += [("b", *map(float, rng.standard_normal(p))) for _ in range(10)]
-    df = spark.createDataFrame(rows, "cell string, " + ", ".join(f"x{i} double" for i in range(p)))
+    df = spark.createDataFrame(rows, "cell string, " + ", ".join(f"x{i} double" for i in range(p))).selectExpr("CAST(NULL AS STRING) AS parent", "*")
     states = {r["cell"]: r for r in quality_mcd.estimates(df).collect()}
-    assert set(states) == {"a"}
-    centre = np.array([states["a"][f"m{i}"] for i in range(p)])
+    assert set(states) == {"a", "b"} and all(r["change"] < quality_mcd.SETTLED for r in states.values())
+    centre = np.array(states["a"]["moments"][:p])
     assert np.abs(centre - mean).max() < 0.25
-    scale = 1 / np.array([states["a"][f"l{i}{i}"] for i in range(p)])
+    scale = 1 / np.array([states["a"]["inverse"][quality_mcd.PAIRS.index((i, i))] for i in range(p)])
     assert (scale > 0.75 * spread).all() and (scale < 1.35 * spread).all()
 
 
-def test_cells_pool_small_sources(spark):
-    rows = spark.createDataFrame([("en", "a")] * 50 + [("en", "b")] * 6 + [("en", None)] * 5 + [("de", "a")] * 3, "lang string, source string")
-    found = {(r["cell_lang"], r["cell_source"]): r["cell"] for r in quality_mcd.cells(rows, 10).collect()}
-    assert found["en", "b"] == found["en", None] != found["en", "a"] and '"level":2' in found["de", "a"]
+def test_small_sources_lean_on_their_language(spark):
+    """A source of one row is judged by its language, one of few rows does not vouch for itself, a large one has its own estimate."""
+    rng = np.random.default_rng(5)
+    p = quality_mcd.P
+    near, far = (lambda: rng.standard_normal(p)), (lambda: rng.standard_normal(p) * 0.3 + 25)
+    table = [("en", "a", near()) for _ in range(900)] + [("en", "odd", far()) for _ in range(8)] + [("en", "big", far()) for _ in range(250)] + [("en", None, near()), ("en", "", far()), (None, None, near())]
+    rows = spark.createDataFrame([(lang, source, *map(float, x)) for lang, source, x in table], "lang string, source string, " + ", ".join(f"x{i} double" for i in range(p)))
+    assert {tuple(r) for r in rows.select(*quality_mcd.levels()[1:]).distinct().collect()} >= {('{"lang":"en"}', '{"lang":"en"}'), ('{"lang":"en"}', '{"lang":"en","source":""}'), ("{}", "{}")}
+    state, parent = None, quality_mcd.F.lit(None).cast("string")
+    for cell in quality_mcd.levels():
+        state = quality_mcd.estimates(rows.select(cell.alias("cell"), parent.alias("parent"), *(f"x{i}" for i in range(p))), state)
+        parent = cell
+    limit = 2.0 * quality_mcd.chi2_quantile(1 - 1e-7, p)
+    judged = rows.withColumn("cell", parent).join(quality_mcd.placed(state), "cell").select("source", "x0", (quality_mcd.distance() > limit).alias("far")).collect()
+    assert len(judged) == len(table)
+    for r in judged:
+        assert r["far"] == (r["source"] in ("odd", "")), r
 
 
 URLS = ["http://Blog.X.example.net/en/1?q", "https://a.example.com/de/x", "ftp://example.com/DE/x", "http://q.org/fr/", "http://org/fr/1", "http://notnet/", "http://x.net", "http://x.net#a/b", "no scheme", None, "http://cheap-pills.example.com/en/1", "http://a.example.org/casino/1", "http://x.casino-win.gov/a", "a://b://net/", "http://x.net/ a\nb"]
@@ -253,36 +266,40 @@ def test_copies_take_places_of_their_own(spark):
     assert Counter(r["doc_id"] for r in whole)[3] == Counter(r["doc_id"] for r in whole)[4] == 1
 
 
-def plain_mcd(x, support=0.75):
-    """Concentration steps on whole rows, from the same start, to the end."""
-    p = quality_mcd.P
+def plain_mcd(x, above=None, support=0.75):
+    """Concentration steps on whole rows, from the same start, to the end, with the level above as `PRIOR` weighs it."""
+    p, n = quality_mcd.P, len(x)
     floor = np.array(quality_mcd.FLOOR)
     mean = np.median(x, 0)
     spread = np.maximum(np.median(np.abs(x - mean), 0) * 1.4826, floor)
     d = (((x - mean) / spread) ** 2).sum(1)
     factor = support / quality_mcd.chi2_cdf(quality_mcd.chi2_quantile(support, p), p + 2)
+    a, b = (n / (n + k) for k in quality_mcd.PRIOR)
     for _ in range(40):
-        near = x[np.argsort(d, kind="stable")[: int(np.ceil(support * len(x)))]]
-        mean, cov = near.mean(0), np.cov(near.T, bias=True) * factor + np.diag(floor**2) * 0.25
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    return d
+        near = x[np.argsort(d, kind="stable")[: int(np.ceil(support * n))]]
+        up = above or (near.mean(0), np.diag(np.square(quality_mcd.WIDE)))
+        mean = a * near.mean(0) + (1 - a) * up[0]
+        cov = b * np.cov(near.T, bias=True) * factor + (1 - b) * up[1]
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + np.diag(floor**2) * 0.25), x - mean)
+    return d, (mean, cov)
 
 
 def test_verdicts_agree_with_a_plain_estimate(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = quality_mcd.statistics(docs)
-    at = {(r["cell_lang"], r["cell_source"]): r["cell"] for r in quality_mcd.cells(rows, 60).collect()}
-    table = rows.toPandas()
-    table["cell"] = [at[k] for k in zip(table["lang"], table["source"])]
+    table = quality_mcd.statistics(docs).toPandas()
     limit = 2.0 * quality_mcd.chi2_quantile(1 - 1e-7, quality_mcd.P)
+    vectors = lambda part: part[[f"x{i}" for i in range(quality_mcd.P)]].to_numpy()
     want = {}
-    for _, part in table.groupby("cell"):
-        d = plain_mcd(part[[f"x{i}" for i in range(quality_mcd.P)]].to_numpy())
-        want |= dict(zip(part["doc_id"], d))
+    _, top = plain_mcd(vectors(table))
+    for _, of_lang in table.groupby("lang", dropna=False):
+        _, middle = plain_mcd(vectors(of_lang), top)
+        for _, part in of_lang.groupby("source", dropna=False):
+            want |= dict(zip(part["doc_id"], plain_mcd(vectors(part), middle)[0]))
     found = quality_mcd.judge(docs).collect()
     far = lambda d: d > limit
     clear = [r for r in found if not 0.8 * limit < want[r["doc_id"]] < 1.25 * limit]
     assert len(clear) >= 0.97 * len(found)
+    assert all(r["settled"] for r in found)
     agree = sum(far(r["distance2"]) == far(want[r["doc_id"]]) and r["kept"] == (not r["base_failed"] and not far(want[r["doc_id"]])) for r in clear)
     assert agree >= 0.995 * len(clear)
 

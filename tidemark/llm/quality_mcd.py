@@ -4,15 +4,20 @@ Each text becomes a vector of transformed statistics. For each language and sour
 covariance determinant (MCD) estimate of centre and scatter is made over all of its rows, and rows
 whose Mahalanobis distance to it is too large are rejected.
 
+Estimates are made on three levels: of all rows, of each language, of each language and source. A cell
+of n rows takes its own centre with weight n / (n + 4) and its own scatter, which takes more rows to know, with
+n / (n + 40) (`PRIOR`), and those of the level above with the rest, in every step; the scatter of all rows is shrunk to
+a fixed one likewise. So a cell of any size has an estimate, and a row alone cannot vouch for itself.
+
 The estimate is distributed. It begins at coordinatewise medians and median deviations, then takes
 concentration steps: one pass puts every row in a bin of its distance and sums moments by cell and
-bin on the map side; the nearest bins that hold a share `support` of a cell give the next centre and
-scatter. Nothing but these sums (at most `BINS` rows a cell) leaves a partition, so a source with a
-third of all rows costs no more than any other.
+bin on the map side; the nearest bins that hold a share `support` of a cell, the last of them in part, give the
+next centre and scatter. Nothing but these sums (at most `BINS` rows a cell) leaves a partition, so a source with a
+third of all rows costs no more than any other. A cell is done when the logarithm of its determinant changes by less
+than `SETTLED`, which moves distances by a quarter of a percent; one that still moves after `steps` steps is told by `settled`.
 
-Defined cases: a null text is empty; null lang or source is a group of its own; groups of fewer than
-`least` rows are pooled by language, then all together, and a pool that is still smaller rejects
-nothing; equal rows get equal verdicts and all stay; an empty table gives an empty result.
+Defined cases: a null text is empty; null lang or source is a group of its own; equal rows get equal
+verdicts and all stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,9 +39,13 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COORDINATES = ("length", "word_length", "symbols", "capitals", "repeats", "dup_lines", "stutter", "digits")
 P = len(COORDINATES)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
-BINS, STEPS = 256, 8
+BINS, STEPS = 256, 12
+#: How many rows the level above weighs in the centre and in the scatter, and the change of a log-determinant at which a cell is settled.
+PRIOR, SETTLED = (4.0, 40.0), 0.02
 #: Least standard deviation of each coordinate: a cell whose rows agree in one isn't singular.
 FLOOR = (0.2, 0.15, 0.03, 0.05, 0.3, 0.2, 0.1, 0.1)
+#: Standard deviations to which the scatter of all rows is shrunk.
+WIDE = tuple(5 * f for f in FLOOR)
 WINDOW = 8
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _CAPITAL = (np.arange(256) >= 65) & (np.arange(256) <= 90)
@@ -131,39 +140,50 @@ def distance(prefix: str = "") -> Column:
     return total
 
 
-STATE = "cell string, n long, logdet double, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"l{i}{j} double" for i, j in PAIRS)
+#: moments and above: P means, then the scatter by PAIRS, of the cell and of the level above; inverse: the inverse Cholesky factor.
+STATE = "cell string, n long, logdet double, change double, moments array<double>, inverse array<double>, above array<double>"
+_LOW = tuple(np.array(PAIRS).T)
+
+
+def square(values: np.ndarray) -> np.ndarray:
+    """The symmetric matrix of its lower half."""
+    out = np.zeros((P, P))
+    out[_LOW] = values
+    return out + np.tril(out, -1).T
 
 
-def state_row(cell: str, n: int, mean: np.ndarray, cov: np.ndarray) -> dict:
-    cov = cov + np.diag(np.square(FLOOR)) * 0.25
-    low = np.linalg.cholesky(cov)
-    inverse = np.linalg.inv(low)
-    return {"cell": cell, "n": n, "logdet": 2 * float(np.log(np.diag(low)).sum())} | {f"m{i}": mean[i] for i in range(P)} | {f"l{i}{j}": inverse[i, j] for i, j in PAIRS}
+def shrunk(n: int, mean: np.ndarray, cov: np.ndarray, above: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of n rows with those of the level above; without one, a fixed scatter around the own centre."""
+    centre, scatter = (n / (n + k) for k in PRIOR)
+    up_mean = mean if above is None else above[:P]
+    up_cov = np.diag(np.square(WIDE)) if above is None else square(above[P:])
+    return centre * mean + (1 - centre) * up_mean, scatter * cov + (1 - scatter) * up_cov
 
 
 def next_state(support: float):
-    """From the binned moments of a cell to its next centre and scatter."""
+    """From the binned moments of a cell, and its state before, to its next centre and scatter."""
     # Scatter of the nearest share of a Gaussian, made consistent: its ratio in each direction is F(q, p + 2) / support.
-    quantile = chi2_quantile(support, P)
-    factor = support / chi2_cdf(quantile, P + 2)
+    factor = support / chi2_cdf(chi2_quantile(support, P), P + 2)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:  # done before
+            return state
         rows = rows.sort_values("bin")
         count = rows["c"].to_numpy()
         n = int(count.sum())
-        most = int(np.searchsorted(np.cumsum(count), support * n)) + 1
-        kept = rows.iloc[:most]
-        c = kept["c"].sum()
-        mean = np.array([kept[f"s{i}"].sum() for i in range(P)]) / c
-        cov = np.zeros((P, P))
-        for i, j in PAIRS:
-            cov[i, j] = cov[j, i] = kept[f"q{i}{j}"].sum() / c - mean[i] * mean[j]
-        own = c / n  # ties in the last bin keep a few more rows
-        f = factor if own < (1 + support) / 2 else 1.0
-        cov = cov * f
-        w, v = np.linalg.eigh((cov + cov.T) / 2)
-        cov = (v * np.maximum(w, 0)) @ v.T
-        return pd.DataFrame([state_row(rows["cell"].iloc[0], n, mean, cov)])
+        # How much of each bin lies in the nearest share: the last one counts in part, so that no step jumps by a bin.
+        part = np.clip((support * n - (np.cumsum(count) - count)) / count, 0, 1) / (support * n)
+        sums = part @ np.stack(rows["sums"])
+        mean = sums[:P]
+        cov = square(sums[P:]) - np.outer(mean, mean)
+        w, v = np.linalg.eigh(cov * factor)
+        above = state["above"].iloc[0]
+        mean, cov = shrunk(n, mean, (v * np.maximum(w, 0)) @ v.T, above)
+        low = np.linalg.cholesky(cov + np.diag(np.square(FLOOR)) * 0.25)
+        logdet = 2 * np.log(np.diag(low)).sum()
+        moments, inverse = np.concatenate([mean, cov[_LOW]]), np.linalg.inv(low)[_LOW]
+        change = abs(logdet - state["logdet"].iloc[0])
+        return pd.DataFrame({"cell": state["cell"].to_numpy(), "n": n, "logdet": logdet, "change": change, "moments": [moments], "inverse": [inverse], "above": [above]})
 
     return run
 
@@ -187,46 +207,53 @@ def chi2_quantile(p: float, k: int) -> float:
     return (low + high) / 2
 
 
-def cells(rows: DataFrame, least: int) -> DataFrame:
-    """The cell of each language and source: its own, its language's pool of small sources, or the pool of all small ones."""
-    own = rows.groupBy("lang", "source").count()
-    by_lang = own.filter(F.col("count") < least).groupBy("lang").agg(F.sum("count").alias("pooled"))
-    level = F.when(F.col("count") >= least, F.to_json(F.struct(F.lit(0).alias("level"), "lang", "source"))).when(F.col("pooled") >= least, F.to_json(F.struct(F.lit(1).alias("level"), "lang")))
-    small = own.join(by_lang.withColumnRenamed("lang", "pool_lang"), F.col("lang").eqNullSafe(F.col("pool_lang")), "left")
-    return small.select(F.col("lang").alias("cell_lang"), F.col("source").alias("cell_source"), F.coalesce(level, F.lit('{"level":2}')).alias("cell"))
+def levels() -> tuple[Column, ...]:
+    """The cells of a row, each the parent of the next; a null is told from an empty name by its absence."""
+    return F.lit("{}"), F.to_json(F.struct("lang")), F.to_json(F.struct("lang", "source"))
+
+
+def placed(state: DataFrame) -> DataFrame:
+    """What `distance` reads of a state, by cell."""
+    return state.select("cell", *(F.col("moments")[i].alias(f"m{i}") for i in range(P)), *(F.col("inverse")[k].alias(f"l{i}{j}") for k, (i, j) in enumerate(PAIRS)))
 
 
-def estimates(rows: DataFrame, support: float = 0.75, least: int = 60, steps: int = STEPS) -> DataFrame:
-    """MCD state of each cell with at least `least` rows. rows: cell and x0.., stored."""
-    middle = rows.groupBy("cell").agg(F.count("*").alias("n"), *(F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(P)))
-    middle = cut(middle.filter(F.col("n") >= least))
-    spread = rows.join(middle, "cell").groupBy("cell").agg(F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i in range(P)))
-    start = spread.select("cell", "n", F.lit(0.0).alias("logdet"), *(f"m{i}" for i in range(P)), *((1 / F.greatest(F.col(f"d{i}") * 1.4826, F.lit(FLOOR[i]))).alias(f"l{i}{j}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for i, j in PAIRS))
-    state = cut(start)
-    before = None
+def estimates(rows: DataFrame, above: DataFrame | None = None, support: float = 0.75, steps: int = STEPS) -> DataFrame:
+    """MCD state of each cell, shrunk to the state of its parent. rows: cell, parent and x0.., stored; above: states of the parents."""
+    middle = cut(rows.groupBy("cell").agg(F.first("parent").alias("parent"), F.count("*").alias("n"), *(F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(P))))
+    spread = rows.drop("parent").join(middle, "cell").groupBy("cell").agg(*(F.first(c).alias(c) for c in ("parent", "n", *(f"m{i}" for i in range(P)))), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i in range(P)))
+    if above is None:
+        spread = spread.withColumn("above", F.lit(None).cast("array<double>"))
+    else:
+        spread = spread.join(above.select(F.col("cell").alias("parent"), F.col("moments").alias("above")), "parent")
+    deviation = [F.greatest(F.col(f"d{i}") * 1.4826, F.lit(FLOOR[i])) for i in range(P)]
+    zero = F.lit(0.0)
+    moments = F.array(*(f"m{i}" for i in range(P)), *(deviation[i] * deviation[i] if i == j else zero for i, j in PAIRS))
+    inverse = F.array(*(1 / deviation[i] if i == j else zero for i, j in PAIRS))
+    state = cut(spread.select("cell", "n", zero.alias("logdet"), F.lit(float("inf")).alias("change"), moments.alias("moments"), inverse.alias("inverse"), "above"))
     for _ in range(steps):
-        near = rows.join(state, "cell").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(16 * F.log2(1 + distance()))).cast("int"))
-        sums = near.groupBy("cell", "bin").agg(F.count("*").alias("c"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS))
+        near = rows.join(placed(state.filter(F.col("change") >= SETTLED)), "cell").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(16 * F.log2(1 + distance()))).cast("int"))
+        sums = near.groupBy("cell", "bin").agg(F.count("*").alias("c"), F.array(*(F.sum(f"x{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in PAIRS)).alias("sums"))
         # Sums of all tasks meet by cell and bin first; then a cell has no more rows than there are bins.
-        state = cut(cut(sums).groupBy("cell").applyInPandas(next_state(support), STATE))
-        total = state.agg(F.sum("logdet")).first()[0]
-        if before is not None and total is not None and abs(total - before) < 1e-3:
+        state = cut(cut(sums).groupBy("cell").cogroup(state.groupBy("cell")).applyInPandas(next_state(support), STATE))
+        moved = state.agg(F.max("change")).first()[0]
+        if moved is None or moved < SETTLED:
             break
-        before = total
     return state
 
 
-def judge(docs: DataFrame, support: float = 0.75, tail: float = 1e-7, least: int = 60, slack: float = 2.0) -> DataFrame:
-    """Every row's counts, base_failed, squared distance to its cell's estimate (null without one), and kept.
+def judge(docs: DataFrame, support: float = 0.75, tail: float = 1e-7, slack: float = 2.0) -> DataFrame:
+    """Every row's counts, base_failed, squared distance to its cell's estimate, whether that is settled, and kept.
 
     A row is rejected beyond `slack` times the chi-squared quantile of 1 - tail; slack allows for coordinates
     that are no exact Gaussians.
     """
     rows = stored(statistics(docs))
-    at = cut(cells(rows, least))
-    rows = rows.join(at, F.col("lang").eqNullSafe(F.col("cell_lang")) & F.col("source").eqNullSafe(F.col("cell_source")), "left").drop("cell_lang", "cell_source")
-    state = estimates(rows, support, least)
+    state, parent = None, F.lit(None).cast("string")
+    for cell in levels():
+        state = estimates(rows.select(cell.alias("cell"), parent.alias("parent"), *(f"x{i}" for i in range(P))), state, support)
+        parent = cell
     limit = slack * chi2_quantile(1 - tail, P)
-    judged = rows.join(state.drop("n", "logdet"), "cell", "left")
+    final = placed(state).join(state.select("cell", (F.col("change") < SETTLED).alias("settled")), "cell")
+    judged = rows.withColumn("cell", levels()[-1]).join(final, "cell", "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return judged.select("doc_id", "lang", "source", *STATS, failed.alias("base_failed"), distance().alias("distance2")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= limit))
+    return judged.select("doc_id", "lang", "source", *STATS, failed.alias("base_failed"), distance().alias("distance2"), "settled").withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= limit))
