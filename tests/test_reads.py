@@ -101,6 +101,15 @@ def test_rolling_counts_market_sessions(spark):
     assert roll["A", 3] is None and roll["A", 4] is None and roll["A", 5] is not None and roll["B", 3] is not None
 
 
+def test_rounds_as_sql_does(spark):
+    from tidemark.plans.catalog import rounded
+
+    below = 2.4999999999999998e-06  # times 10**6 it is 2.5
+    rows = [(below, 3e-06), (-below, -3e-06), (2.4e-06, 2e-06), (1e308, 1e308), (float("inf"), float("inf")), (None, None)]
+    got = rounded(spark.createDataFrame(rows, "value double, want double"), "value")
+    assert [r["value"] for r in got.collect()] == [w for _, w in rows]
+
+
 def test_market_cap_signals(spark):
     t = Tables(securities_of(spark, "1", "2"), prices_of(spark, [("T1", "2020-06-30", 10), ("T2", "2020-06-30", 20)]).withColumn("ticker", F.concat(F.lit("T000000000"), F.substring("ticker", 2, 1))), facts_of(spark, [("1", "E", "2020-03-31", "2020-03-31", "2020-05-01", 500), ("2", "E", "2020-03-31", "2020-03-31", "2020-05-01", -5)]))
     t = Tables(t.securities.withColumn("ticker", F.concat(F.lit("T"), "cik")), t.prices, t.facts)

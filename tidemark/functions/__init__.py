@@ -21,6 +21,17 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def round_to(c: Column, places: int) -> Column:
+    """A double to so many places as SQL engines round it: the product with the power of ten, halves away from 0, over that power.
+
+    F.round takes the shortest decimal text of the value instead, and parts with this where the product comes out as a half.
+    What the product can't hold stays as it is.
+    """
+    power = F.lit(10.0**places)
+    out = F.round(c * power) / power
+    return F.when(finite(out), out).otherwise(c)
+
+
 def padded_cik(c: Column) -> Column:
     """Left zeros up to ten places; a longer string stays whole."""
     s = F.trim(c.cast("string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import round_to
 from tidemark.operators import asof, audit, factors, panel, protocol, shares, vintage
 from tidemark.plans import catalog as c
 from tidemark.plans import mapping as m
@@ -321,7 +322,7 @@ def plausibility_rules(spark, d):
 def most_implausible(spark, d):
     """The five values farthest out: the limit is the feature."""
     worst = audit.most_implausible(factors.bm_ratio(m.tables(spark, d), m.dates(spark, d), c.TAGS), 0.0, 0.00003)
-    return worst.withColumn("value", F.round("value", 9))
+    return worst.withColumn("value", round_to(F.col("value"), 9))
 
 
 @query(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import round_to
 from tidemark.operators import asof, audit, factors, panel, protocol, shares
 from tidemark.plans import mapping as m
 from tidemark.plans.mapping import with_sql
@@ -30,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return round_to(F.col(c) if isinstance(c, str) else c, 6)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -75,7 +76,7 @@ def restated_latest(spark, d):
 @query(f"{with_sql('facts', 'dates')}, {HISTORY} SELECT signal_date, cik, tag, count(*) AS n, min(period_start) AS first_start, max(filed) AS last_filed, round(sum(value), 2) AS total FROM seen GROUP BY ALL")
 def pit_history(spark, d):
     rows = asof.history(m.facts(spark, d), m.dates(spark, d))
-    return rows.groupBy("signal_date", "cik", "tag").agg(F.count("*").alias("n"), F.min("period_start").alias("first_start"), F.max("filed").alias("last_filed"), F.round(F.sum("value"), 2).alias("total"))
+    return rows.groupBy("signal_date", "cik", "tag").agg(F.count("*").alias("n"), F.min("period_start").alias("first_start"), F.max("filed").alias("last_filed"), round_to(F.sum("value"), 2).alias("total"))
 
 
 @query(f"{with_sql('facts')}, {RESTATED} SELECT cik, tag, period_start, period_end, filed, value, accession, frame FROM restated")
@@ -203,7 +204,7 @@ def frame_hash(spark, d):
 @query("SELECT event_type AS stage, count(*) AS calls, round(sum(value), 2) AS total, round(quantile_cont(value, 0.5), 6) AS median_value, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY 1")
 def stage_summary(spark, d):
     out = audit.stage_summary(m.table(spark, d, "events").withColumnRenamed("event_type", "stage"))
-    return rounded(out.withColumn("total", F.round("total", 2)), "median_value")
+    return rounded(out.withColumn("total", round_to(F.col("total"), 2)), "median_value")
 
 
 @query(
@@ -320,7 +321,7 @@ def rolling_deviation(spark, d):
 
 @query(f"{with_sql('facts', 'dates')}, {HISTORY}, {TTM} SELECT cik, tag, signal_date, round(value, 4) AS value FROM ttm WHERE value IS NOT NULL")
 def ttm_panel(spark, d):
-    return factors.ttm(m.facts(spark, d), m.dates(spark, d)).withColumn("value", F.round("value", 4))
+    return factors.ttm(m.facts(spark, d), m.dates(spark, d)).withColumn("value", round_to(F.col("value"), 4))
 
 
 @query(
@@ -464,7 +465,7 @@ def protocol_summary(spark, d):
 def controlled_slopes(spark, d):
     size = m.monthly(spark, d).select("ticker", F.col("trade_date").alias("signal_date"), F.log("volume").alias("size"))
     out = protocol.controlled_slopes(scored_panel(spark, d).join(size, ["ticker", "signal_date"]), ["size"])
-    return out.withColumn("slope", F.round("slope", 4))
+    return out.withColumn("slope", round_to(F.col("slope"), 4))
 
 
 # Ingest: payloads that Spark derives from the facts, one nested text for each company
@@ -536,7 +537,7 @@ def ingest_price_text(spark, d):
     line = F.concat_ws(",", F.col("trade_date").cast("string"), F.lit(""), F.lit(""), F.lit(""), F.col("close").cast("string"), F.col("volume").cast("long").cast("string"))
     texts = bars.groupBy("ticker").agg(F.concat(F.lit("Date,Open,High,Low,Close,Volume\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("value"))
     notice = texts.select(F.concat(F.lit("X"), "ticker").alias("ticker"), F.lit("No data").alias("value"))
-    return ingest.price_text(texts.union(notice)).select("ticker", "trade_date", F.round("close", 8).alias("close"), "volume")
+    return ingest.price_text(texts.union(notice)).select("ticker", "trade_date", round_to(F.col("close"), 8).alias("close"), "volume")
 
 
 @query(f"{with_sql('bars')}, s AS (SELECT DISTINCT ticker, CASE WHEN CAST(right(ticker, 1) AS INTEGER) % 2 = 0 THEN 'first' ELSE 'second' END AS source FROM prices) SELECT source, count(DISTINCT ticker) AS n_tickers, count(*) AS n_rows FROM prices JOIN s USING (ticker) GROUP BY 1")

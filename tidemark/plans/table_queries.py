@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import round_to
 from tidemark.operators import asof, difference, factors, panel, reasons, spans, vintage
 from tidemark.plans import catalog as c
 from tidemark.plans import mapping as m
@@ -37,7 +38,7 @@ def keyed_append(spark, d):
         table.append(batch(2).withColumn("close", F.lit(0.0)).unionByName(batch(2).withColumns({"ticker": F.lit("new"), "close": F.lit(1.0)}).limit(1)), "late")
     except RepeatedKeysError:
         refused = 1
-    rows = table.read().groupBy(F.year("trade_date").alias("year")).agg(F.count("*").alias("n_rows"), F.count_distinct("ticker").alias("n_tickers"), F.round(F.sum("volume"), 2).alias("volume"), F.count(F.when(F.col("ticker") == "new", 1)).alias("n_refused_stored"))
+    rows = table.read().groupBy(F.year("trade_date").alias("year")).agg(F.count("*").alias("n_rows"), F.count_distinct("ticker").alias("n_tickers"), round_to(F.sum("volume"), 2).alias("volume"), F.count(F.when(F.col("ticker") == "new", 1)).alias("n_refused_stored"))
     return rows.withColumns({"n_refused_batches": F.lit(refused), "n_retried": F.lit(retried)})
 
 
@@ -114,7 +115,7 @@ SELECT stage, count(*) AS calls, count(*) FILTER (j IS NULL) AS open_calls, coun
 @query(SPANS_SQL)
 def nested_stages(spark, d):
     out = spans.by_stage(spans.matched(_steps(spark, d)))
-    return out.withColumns({k: F.round(k, 3) for k in ("seconds", "own_seconds")})
+    return out.withColumns({k: round_to(F.col(k), 3) for k in ("seconds", "own_seconds")})
 
 
 # Reasons for absent keys
