@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,17 @@ def test_probes_without_a_key_are_dealt(spark):
     assert all((r["v"] == 5) == (r["k"] == "1" and r["day"] >= D("2020-01-10")) for r in rows)
     sizes = [r["n"] for r in found.withColumn("p", F.spark_partition_id()).filter("k IS NULL").groupBy("p").agg(F.count("*").alias("n")).collect()]
     assert found.rdd.getNumPartitions() == 1 or len(sizes) > 1
+
+
+@pytest.mark.parametrize("arm", ["pit", "restated"])
+def test_history_is_grouped_where_its_facts_lie(spark, arm):
+    """Rows that are handed out to dates are not shuffled again by a count over cik, tag and date."""
+    day = dt.date.fromisoformat
+    rows = [(f"{i % 3}", "I", day("2020-01-01"), day(f"2020-0{3 + i % 4}-28"), day(f"2020-0{7 + i % 2}-0{1 + i % 5}"), "a", "f", "1", float(i)) for i in range(24)]
+    facts = spark.createDataFrame(rows, "cik string, tag string, period_start date, period_end date, filed date, accession string, form string, frame string, value double")
+    dates = spark.createDataFrame([(day(f"2020-{m:02}-28"),) for m in (8, 9, 10)], "signal_date date")
+    found = asof.history(facts, dates, arm=arm).groupBy("cik", "tag", "signal_date").agg(F.count("*").alias("n"))
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*cik[^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert [re.sub(r"#\d+|, \d+$", "", keys) for keys in dealt] == ["cik, tag"]
+    want = {(c, m): len({r[3] for r in rows if r[0] == c and (arm == "restated" or r[4] <= day(f"2020-{m:02}-26"))}) for c in "012" for m in (8, 9, 10)}
+    assert {(r["cik"], r["signal_date"].month): r["n"] for r in found.collect()} == {k: n for k, n in want.items() if n}

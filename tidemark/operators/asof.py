@@ -95,9 +95,12 @@ def visible_on(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit
 def history(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "pit", caller: str = "history") -> DataFrame:
     """For each signal date, the newest visible filing of every exact interval.
 
-    Facts are shuffled once by interval: each filing counts from its day up to the next one of its interval, and is
-    handed out to the dates between only then. Of filings of one day the greatest by TIES counts.
+    Facts are shuffled once by cik and tag: each filing counts from its day up to the next one of its interval, and is
+    handed out to the dates between only then, where it lies. So what is grouped by cik, tag and more afterwards, such as
+    counts by date, needs no shuffle of handed-out rows, of which there are many times as many. Of filings of one day the
+    greatest by TIES counts.
     """
+    facts = facts.repartition("cik", "tag")
     if arm == "restated":
         return visible_on(restated(facts.filter("filed IS NOT NULL"), caller), dates, lag, arm).select(*facts.columns, "signal_date")
     order = Window.partitionBy(*INTERVAL).orderBy("filed", *TIES[1:])
