@@ -85,6 +85,30 @@ def test_sampling_has_a_bound(spark):
     assert got == {"2020-03-05": 2.0, "2020-03-11": 2.0}
 
 
+def test_sampling_leaves_other_days_out_before_it_shuffles(spark):
+    lines = spark.createDataFrame([(t, D(f"2020-{m:02}-{d:02}"), float(m * d)) for t in "AB" for m in (1, 2, 3) for d in range(1, 29)], "ticker string, trade_date date, x double")
+    bars = lines.repartition(3).groupBy("ticker", "trade_date").agg(F.sum("x").alias("value"))
+    found = asof.sampled(bars, dates_of(spark, "2020-01-31", "2020-03-20"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") > plan.rindex("Aggregate [ticker") and plan.count("Aggregate [ticker") == 2
+    got = {(r["ticker"], str(r["signal_date"]), str(r["observed"])): r["value"] for r in found.collect()}
+    assert got == {(t, *k): v for t in "AB" for k, v in {("2020-01-31", "2020-01-28"): 28.0, ("2020-03-20", "2020-03-20"): 60.0}.items()}
+
+
+def test_sides_of_a_comparison_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        made.add(1)
+        return value
+
+    counted = F.udf(seen, "string").asNondeterministic()
+    side = lambda n: spark.createDataFrame([(f"T{i}", D("2020-01-31")) for i in range(n)], "ticker string, signal_date date").withColumn("ticker", counted("ticker"))
+    row = audit.sample_comparison(side(4), side(6)).first()
+    assert (row["n_both"], row["n_pit_only"], row["n_restated_only"]) == (4, 0, 2) and row["pit_hash"] == row["shared_hash"]
+    assert made.value == 10
+
+
 def test_calendar_returns(spark):
     days = {"2019-12-31": 100, "2020-01-31": 200, "2020-11-30": 200, "2020-12-31": 300}
     prices = prices_of(spark, [("X", d, p) for d, p in days.items()] + [("Y", d, 100 if d < "2020-07" else 150) for d in [*days, "2020-05-31"]])

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: The order of facts that agree in period end and filing day: one total order wherever a latest row is taken.
 TIES = ("period_start", "accession", "form", "frame", "value")
 INTERVAL = ("cik", "tag", "period_start", "period_end")
+#: What the choice of a latest fact reads: a read of these columns alone carries no others along.
+CHOICE = (*INTERVAL, "filed", *TIES[1:])
 #: Into so many parts rows without a key are dealt.
 KEYLESS = 1 << 20
 
@@ -38,7 +40,8 @@ def join_asof(probes: DataFrame, build: DataFrame, keys: list[str], probe_on: st
 def latest(facts: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """The whole row that is greatest by order, for each key, as one aggregate without a sort of whole rows."""
     rest = [c for c in facts.columns if c not in keys]
-    best = facts.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row_"))
+    row = F.max(F.struct(*order)) if set(rest) == set(order) else F.max_by(F.struct(*rest), F.struct(*order))
+    best = facts.groupBy(*keys).agg(row.alias("row_"))
     return best.select(*keys, *(F.col(f"row_.{c}").alias(c) for c in rest)).select(facts.columns)
 
 
@@ -116,21 +119,29 @@ def latest_known(facts: DataFrame, dates: DataFrame, lag: int = 2, arm: str = "p
     """
     rows = restated(facts, caller) if arm == "restated" else facts
     keep = [c for c in facts.columns if c not in ("cik", "tag")]
+    at = {"period_end": "period_end", "filed": "filed_"} | {c: f"t_{c}" for c in TIES}  # what the order holds is not held again
+    rest = [c for c in keep if c not in at]
     order = F.struct("period_end", F.col("filed").alias("filed_"), *(F.col(c).alias(f"t_{c}") for c in TIES))
     by_day = Window.partitionBy("cik", "tag").orderBy("day", "order")
-    state = rows.select("cik", "tag", known_on(arm).alias("day"), order.alias("order"), F.struct(*keep).alias("row")).filter("day IS NOT NULL")
+    state = rows.select("cik", "tag", known_on(arm).alias("day"), order.alias("order"), F.struct(*rest, F.lit(0).alias("none_")).alias("row")).filter("day IS NOT NULL")
     best = F.max(F.struct("order", "row")).over(by_day.rowsBetween(Window.unboundedPreceding, 0))
-    state = state.select("cik", "tag", "day", best["row"].alias("best"), F.lead("day").over(by_day).alias("next_"))
+    state = state.select("cik", "tag", "day", best.alias("best"), F.lead("day").over(by_day).alias("next_"))
     found = handed_out(state, dates, lag, "day", "next_")
-    return found.select("cik", "tag", "signal_date", *(F.col(f"best.{c}").alias(c) for c in keep))
+    return found.select("cik", "tag", "signal_date", *(F.col(f"best.order.{at[c]}" if c in at else f"best.row.{c}").alias(c) for c in keep))
 
 
 def sampled(series: DataFrame, dates: DataFrame, days: int = 10) -> DataFrame:
-    """ticker, signal_date, value, observed: the last known value of (ticker, trade_date, value) at each date, null if too old."""
-    rows = series.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    probes = rows.select("ticker").distinct().crossJoin(F.broadcast(dates.select("signal_date")))
-    found = join_asof(probes, rows.withColumn("observed", F.col("trade_date")), ["ticker"], "signal_date", "trade_date", ["value", "observed"])
-    return found.select("ticker", "signal_date", F.when(F.datediff("signal_date", "observed") <= days, F.col("value")).alias("value"), "observed").filter("value IS NOT NULL")
+    """ticker, signal_date, value, observed: the last known value of (ticker, trade_date, value) at each date, if it is not too old; of one day the greatest.
+
+    Only rows of the days before a date can be the last of it, and go to the dates that they lie before: the others are left out
+    before anything is shuffled. dates is small enough to broadcast.
+    """
+    near = dates.select("signal_date", F.explode(F.sequence(F.date_sub("signal_date", days), F.col("signal_date"))).alias("trade_date")).distinct()
+    # The days alone are asked for first: that condition goes below an aggregate by day, but not past a condition on its values.
+    rows = series.join(F.broadcast(near.select("trade_date").distinct()), "trade_date", "left_semi").join(F.broadcast(near), "trade_date")
+    known = F.col("value").isNotNull() & ~F.isnan("value")
+    last = rows.filter("ticker IS NOT NULL").groupBy("ticker", "signal_date").agg(F.max(F.when(known, F.struct("trade_date", "value"))).alias("last_"))
+    return last.filter("last_ IS NOT NULL").select("ticker", "signal_date", F.col("last_.value").alias("value"), F.col("last_.trade_date").alias("observed"))
 
 
 def attach_shares(prices: DataFrame, shares: DataFrame, securities: DataFrame, days: int = 400) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import known, month_anchor, ratio
-from tidemark.operators.asof import history, latest_known, sampled
+from tidemark.operators.asof import CHOICE, history, latest_known, sampled
 from tidemark.operators.audit import Rule
 from tidemark.operators.guards import price_column
 from tidemark.operators.states import ttm
+from tidemark.sources.kept import kept
 from tidemark.sources.tables import Tables
 
 VALUES = ("ticker", "signal_date", "value")
@@ -33,11 +34,16 @@ def named(facts: DataFrame, securities: DataFrame) -> DataFrame:
 
 
 def reads(*columns: str) -> Callable:
-    """Decorator: a signal of (tables, dates, ...) that needs columns of prices; its result stops a query where one of them has no value."""
+    """Decorator: a signal of (tables, dates, ...) that needs columns of prices; its result stops a query where one of them has no value.
+
+    A signal that is given `cap` does not look at prices: `caps` has done so.
+    """
 
     def around(compute: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         @wraps(compute)
         def guarded(t: Tables, *args, **how) -> DataFrame:
+            if how.get("cap") is not None:
+                return compute(t, *args, **how)
             price_column(t.prices, *columns)
             return price_column(t.prices, *columns, result=compute(t, *args, **how))
 
@@ -63,6 +69,11 @@ def market_cap(t: Tables, dates: DataFrame) -> DataFrame:
     return sampled(product, dates).filter("value > 0").select("ticker", "signal_date", F.col("value").alias("cap"))
 
 
+def caps(t: Tables, dates: DataFrame) -> DataFrame:
+    """`market_cap` under the guard of its columns, written once: for several signals over the same caps."""
+    return kept(reads("close", "shares_out")(market_cap)(t, dates))
+
+
 @reads("close", "shares_out")
 def log_mktcap(t: Tables, dates: DataFrame) -> DataFrame:
     return finished(market_cap(t, dates).withColumn("value", -F.log("cap")))
@@ -149,7 +160,7 @@ class Tags:
 
 
 def latest_value(t: Tables, dates: DataFrame, tag: str, arm: str) -> DataFrame:
-    rows = latest_known(t.facts.filter(F.col("tag") == tag), dates, arm=arm)
+    rows = latest_known(t.facts.filter(F.col("tag") == tag).select(*CHOICE), dates, arm=arm)
     return named(rows, t.securities).select(*VALUES)
 
 
@@ -157,20 +168,20 @@ def ttm_value(t: Tables, dates: DataFrame, tag: str, arm: str) -> DataFrame:
     return named(ttm(t.facts.filter(F.col("tag") == tag), dates, arm=arm), t.securities).select(*VALUES)
 
 
-def over_cap(value: DataFrame, t: Tables, dates: DataFrame) -> DataFrame:
-    """Positive values over market cap."""
-    both = value.filter("value > 0").join(market_cap(t, dates), ["ticker", "signal_date"])
+def over_cap(value: DataFrame, t: Tables, dates: DataFrame, cap: DataFrame | None = None) -> DataFrame:
+    """Positive values over market cap, which may be given (`caps`)."""
+    both = value.filter("value > 0").join(market_cap(t, dates) if cap is None else cap, ["ticker", "signal_date"])
     return finished(both.withColumn("value", ratio(F.col("value"), F.col("cap"))))
 
 
 @reads("close", "shares_out")
-def bm_ratio(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit") -> DataFrame:
-    return over_cap(latest_value(t, dates, tags.equity, arm), t, dates)
+def bm_ratio(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit", cap: DataFrame | None = None) -> DataFrame:
+    return over_cap(latest_value(t, dates, tags.equity, arm), t, dates, cap)
 
 
 @reads("close", "shares_out")
-def ep_ratio(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit") -> DataFrame:
-    return over_cap(ttm_value(t, dates, tags.income, arm), t, dates)
+def ep_ratio(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit", cap: DataFrame | None = None) -> DataFrame:
+    return over_cap(ttm_value(t, dates, tags.income, arm), t, dates, cap)
 
 
 def roe(t: Tables, dates: DataFrame, tags: Tags = Tags(), arm: str = "pit") -> DataFrame:

@@ -349,7 +349,8 @@ SELECT (SELECT count(*) FROM s) AS n_both, (SELECT count(*) FROM p) - (SELECT co
 )
 def sample_comparison(spark, d):
     t, dates = m.tables(spark, d), m.dates(spark, d)
-    return audit.sample_comparison(factors.bm_ratio(t, dates, c.TAGS), factors.bm_ratio(t, dates, c.TAGS, "restated"))
+    cap = factors.caps(t, dates)
+    return audit.sample_comparison(factors.bm_ratio(t, dates, c.TAGS, cap=cap), factors.bm_ratio(t, dates, c.TAGS, "restated", cap=cap))
 
 
 GHOST = "CAST(right(ticker, 1) AS INTEGER) = 7"

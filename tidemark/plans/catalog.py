@@ -333,7 +333,8 @@ FROM p FULL JOIN r ON p.ticker = r.ticker AND p.signal_date = r.signal_date GROU
 )
 def vintage_comparison(spark, d):
     t, dates = m.tables(spark, d), m.dates(spark, d)
-    return rounded(audit.compare_vintages(factors.bm_ratio(t, dates, TAGS), factors.bm_ratio(t, dates, TAGS, "restated")), "mean_gap")
+    cap = factors.caps(t, dates)
+    return rounded(audit.compare_vintages(factors.bm_ratio(t, dates, TAGS, cap=cap), factors.bm_ratio(t, dates, TAGS, "restated", cap=cap)), "mean_gap")
 
 
 @query(f"{with_sql('facts', 'prices', 'dates')}, {LATEST}, {CAP}, v AS (SELECT value / cap AS value FROM known JOIN cap ON ticker = 'T' || cik AND known.signal_date = cap.signal_date WHERE tag = 'N' AND value > 0 AND cap > 0) SELECT count(*) AS n_finite, count(*) FILTER (value > 0.00003) AS n_outside, round(count(*) FILTER (value > 0.00003) / count(*), 6) AS share_outside, CASE WHEN count(*) FILTER (value > 0.00003) / count(*) > 0.01 THEN 'VIOLATION' ELSE 'WITHIN_TOLERANCE' END AS status FROM v")
