@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import asof, difference, factors, guards, panel, reasons, spans
 from tidemark.sources import bucketed, ingest, tables
@@ -264,3 +265,12 @@ def test_cards_tell_where_a_definition_comes_from():
     for broken, why in (({"references": [origin | {"role": "rumour"}]}, "role"), ({"published_anomaly_eligibility": status("INCLUDED")}, "status is PENDING"), ({"references": [found | {"locator": " "}]}, "some place"), ({"references": ["a book"]}, "a reference tells"), ({"timing": {"signal_computed": "x"}}, "timing"), ({"name": ""}, "name is empty"), ({"category": "luck"}, "category"), ({"economic_rationale": "too short"}, "ten words")):
         with pytest.raises(ValueError, match=why):
             factors.checked(plain | broken)
+
+
+def test_new_and_stored_keys_are_shuffled_once(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.IntegerType())])
+    table = KeyedTable(spark, f"file://{tmp_path}/once", schema, ["k"])
+    rows = lambda *keys: spark.createDataFrame([(k, 1) for k in keys], schema)
+    found = table._repeated(rows("a", "b", "b", None, "c"), rows("a", "d"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {(r["what"], r["key"]) for r in found.collect()} == {("stored already", '{"k":"a"}'), ("null or repeated", '{"k":"b"}'), ("null or repeated", '{"k":null}')}

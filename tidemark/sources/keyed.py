@@ -60,16 +60,21 @@ class KeyedTable:
         parts = [f"{self.path}/{b['part']}" for b in self.manifest()[1].values()]
         return self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
 
-    def _refused(self, staged: DataFrame, stored: DataFrame) -> str:
-        """Why rows can't be stored, or nothing."""
+    def _repeated(self, staged: DataFrame, stored: DataFrame) -> DataFrame:
+        """what and key of every staged key that can't be stored. New and stored keys are grouped together, in one shuffle."""
         null = F.coalesce(*(F.when(F.col(k).isNull(), F.lit(k)) for k in self.keys))
         named = F.to_json(F.struct(*self.keys), {"ignoreNullFields": "false"}).alias("key")
-        bad = staged.groupBy(*self.keys).agg(F.count("*").alias("n_")).filter((F.col("n_") > 1) | null.isNotNull())
-        for what, rows in (("null or repeated", bad), ("stored already", staged.join(stored.select(*self.keys), self.keys, "left_semi"))):
-            found = [r["key"] for r in rows.select(named).limit(3).collect()]
-            if found:
-                return f"keys are {what}, such as {', '.join(found)}"
-        return ""
+        both = staged.select(*self.keys, F.lit(1).alias("new_")).unionByName(stored.select(*self.keys, F.lit(0).alias("new_")))
+        counts = both.groupBy(*self.keys).agg(F.sum("new_").alias("new_"), F.count("*").alias("n_")).filter((F.col("new_") > 0) & ((F.col("n_") > 1) | null.isNotNull()))
+        what = F.when((F.col("new_") > 1) | null.isNotNull(), "null or repeated").otherwise("stored already")
+        return counts.select(what.alias("what"), named)
+
+    def _refused(self, staged: DataFrame, stored: DataFrame) -> str:
+        """Why rows can't be stored, or nothing."""
+        found = self._repeated(staged, stored).orderBy("what").limit(3).collect()
+        if not found:
+            return ""
+        return f"keys are {found[0]['what']}, such as {', '.join(r['key'] for r in found if r['what'] == found[0]['what'])}"
 
     def append(self, rows: DataFrame, batch: str) -> bool:
         """Stores a batch; False, and nothing changes, where this very batch is stored. Anything else that repeats a key raises."""
