@@ -53,13 +53,13 @@ COLUMNS = "cik, tag, signal_date, period_start, period_end, filed, value"
 
 @query(f"{with_sql('facts', 'dates')}, {LATEST} SELECT {COLUMNS} FROM known")
 def pit_latest(spark, d):
-    return asof.latest_known(m.facts(spark, d), m.dates(spark, d)).select(*COLUMNS.split(", "))
+    return asof.latest_known(m.facts(spark, d).select(*asof.CHOICE), m.dates(spark, d)).select(*COLUMNS.split(", "))
 
 
 @query(f"{with_sql('all_facts', 'dates')}, {LATEST} SELECT {COLUMNS} FROM known")
 def pit_latest_early(spark, d):
     """Facts that are filed before their periods end are known when these end."""
-    return asof.latest_known(m.facts(spark, d, early=True), m.dates(spark, d)).select(*COLUMNS.split(", "))
+    return asof.latest_known(m.facts(spark, d, early=True).select(*asof.CHOICE), m.dates(spark, d)).select(*COLUMNS.split(", "))
 
 
 @query(f"{with_sql('all_facts', 'dates')}, {HISTORY} SELECT signal_date, cik, tag, count(*) AS n, max(period_end) AS last_end, max(filed) AS last_filed FROM seen GROUP BY ALL")
@@ -70,7 +70,7 @@ def pit_history_early(spark, d):
 
 @query(f"{with_sql('facts', 'dates')}, {RESTATED}, {LATEST_RESTATED} SELECT {COLUMNS} FROM late")
 def restated_latest(spark, d):
-    return asof.latest_known(m.facts(spark, d), m.dates(spark, d), arm="restated").select(*COLUMNS.split(", "))
+    return asof.latest_known(m.facts(spark, d).select(*asof.CHOICE), m.dates(spark, d), arm="restated").select(*COLUMNS.split(", "))
 
 
 @query(f"{with_sql('facts', 'dates')}, {HISTORY} SELECT signal_date, cik, tag, count(*) AS n, min(period_start) AS first_start, max(filed) AS last_filed, round(sum(value), 2) AS total FROM seen GROUP BY ALL")
@@ -81,7 +81,7 @@ def pit_history(spark, d):
 
 @query(f"{with_sql('facts')}, {RESTATED} SELECT cik, tag, period_start, period_end, filed, value, accession, frame FROM restated")
 def restated_view(spark, d):
-    return asof.restated(m.facts(spark, d)).select("cik", "tag", "period_start", "period_end", "filed", "value", "accession", "frame")
+    return asof.restated(m.facts(spark, d).select(*asof.CHOICE)).select("cik", "tag", "period_start", "period_end", "filed", "value", "accession", "frame")
 
 
 @query(

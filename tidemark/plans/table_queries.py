@@ -76,7 +76,7 @@ FROM j WHERE added OR removed OR f OR p OR v GROUP BY 1, 2"""
 @query(DIFF_SQL)
 def result_differences(spark, d):
     """What the restated read of the latest facts changes in the one of that time."""
-    facts, dates = m.facts(spark, d), m.dates(spark, d)
+    facts, dates = m.facts(spark, d).select(*asof.CHOICE), m.dates(spark, d)
     sides = [kept(asof.latest_known(facts, dates, arm=arm, caller="result_differences").select("cik", "tag", "signal_date", "period_end", "filed", "value")) for arm in ("pit", "restated")]
     return difference.summary(difference.differences(*sides, ["cik", "tag", "signal_date"]))
 
