@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import vintage
+from tidemark.operators import factors, panel, vintage
 from tidemark.plans import report
 from tidemark.sources import tables
 from tidemark.sources.tables import Tables
@@ -78,3 +78,25 @@ def test_empty_and_implausible_signals_are_recorded(spark):
     huge = Tables(t.securities, t.prices, t.facts.withColumn("value", F.col("value") * 1e9))
     found = [report.factor_report("bm_ratio", x, dates, t.prices, report.panel.membership(t.securities, dates), tags=Tags(equity=e))["status"] for x, e in ((t, "E"), (t, "none"), (huge, "E"))]
     assert found == ["OK", "EMPTY", "IMPLAUSIBLE"]
+
+
+def test_signals_are_made_once_for_all_layers(spark, monkeypatch):
+    day, made = dt.date.fromisoformat, spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        made.add(1)
+        return value
+
+    counted = F.udf(seen, "double").asNondeterministic()
+    ends = [day(f"2020-{m:02}-28") for m in range(1, 7)]
+    bars = spark.createDataFrame([(f"T{i}", d, float(10 + i * k % 7 + k)) for i in range(12) for k, d in enumerate(ends)], "ticker string, trade_date date, close_adj double")
+    rows = spark.createDataFrame([(f"T{i}", d, float(i * 5 % 12)) for i in range(12) for d in ends[:3]], "ticker string, signal_date date, value double")
+    values = rows.withColumn("value", counted("value"))
+    panel.cleaned(values).count()
+    assert made.value == 36
+    one = factors.Factor("once", lambda t, dates, arm="pit": values, uses_facts=True)
+    monkeypatch.setitem(factors.REGISTRY, "once", one)
+    made.value = 0
+    securities = spark.createDataFrame([(f"T{i}", f"g{i % 2}") for i in range(12)], "ticker string, sic string")
+    found = vintage.layers(Tables(securities, bars, None), rows.select("signal_date").distinct(), "once", bars)
+    assert [x.gap for x in found] == [0.0, 0.0, 0.0] and made.value == 72

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import finite, ratio
 from tidemark.operators.factors import sessions
-from tidemark.operators.guards import NOTHING, with_rows
+from tidemark.operators.guards import NOTHING, EmptyFactorError
 from tidemark.operators.order import quantiles
 from tidemark.sources.kept import kept
 
@@ -42,8 +42,10 @@ def cleaned(values: DataFrame, securities: DataFrame | None = None, least: int =
     if counts is not None:
         ok = finite(F.col("value"))
         values = values.observe(counts, F.count("*").alias("n_input"), F.count(F.when(ok, 1)).alias("n_finite"))
-    rows = values.filter(finite(F.col("value"))).select(*KEY, "value")
-    rows = kept(with_rows(rows, f"{NOTHING}: the signal is empty", of=values))
+    whole = kept(values.select(*KEY, "value"))
+    if whole.isEmpty():
+        raise EmptyFactorError(f"{NOTHING}: the signal is empty")
+    rows = whole.filter(finite(F.col("value")))
     edges = quantiles(rows, "value", ["signal_date"], list(tails)).filter(F.col("n") >= least)
     rows = rows.join(F.broadcast(edges), "signal_date")  # a row for each date
     clip = F.when(F.col("n") < 3, F.col("value")).when(F.col("value") < F.col("edges")[0], F.col("edges")[0]).when(F.col("value") > F.col("edges")[1], F.col("edges")[1]).otherwise(F.col("value"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import finite
 from tidemark.operators import audit, panel, protocol
-from tidemark.operators.factors import REGISTRY
+from tidemark.operators.factors import REGISTRY, VALUES
+from tidemark.sources.kept import kept
 from tidemark.sources.tables import Tables
 
 KEY = ["ticker", "signal_date"]
@@ -63,8 +64,9 @@ def layers(t: Tables, dates: DataFrame, factor_id: str, bars: DataFrame, members
     arms = [f.compute(t, dates, arm=arm, **how) for arm in ("pit", "restated")]
     if members is not None:
         arms = [panel.gate(a, members) for a in arms]
+    arms = [kept(a.select(*VALUES)) for a in arms]  # read for each arm alone and for both sides of the shared keys
     clean = lambda v: panel.scored(panel.labelled(panel.cleaned(v, t.securities, least).select(*KEY, "value"), bars))
-    own = [clean(a) for a in arms]
+    own = [kept(clean(a)) for a in arms]
     found = []
     for name, pair in (("original_process", own), ("common_observation", common(*own)), ("common_support", [clean(a) for a in common(*arms)])):
         rows = [mean_ic(p).first() for p in pair]  # one row each

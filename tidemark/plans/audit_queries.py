@@ -279,7 +279,7 @@ SELECT tag, 'restated' AS read, count(*) AS groups, count(*) FILTER (n > 1) AS s
 UNION ALL SELECT tag, 'pit', count(*), count(*) FILTER (n > 1), count(*) FILTER (starts > 1), count(*) FILTER (n > 1 AND vals > 1) FROM b GROUP BY 1"""
 )
 def interval_ties(spark, d):
-    facts = m.facts(spark, d)
+    facts = m.facts(spark, d).select(*asof.CHOICE)
     return shares.interval_ties(facts, asof.restated(facts, "interval_ties"))
 
 
@@ -369,11 +369,13 @@ def universe_gap(spark, d):
 # Vintages
 
 
-def arm(spark, d, name: str) -> DataFrame:
-    """Prices of value at month ends, scored on bars: both sides have the same labels."""
+def arms(spark, d) -> list[DataFrame]:
+    """Prices of value at month ends of both arms, scored on the same bars, which are written once, as the caps are: both have the same labels."""
     t, dates = m.tables(spark, d, by_month=True), m.dates(spark, d)
-    values = factors.bm_ratio(t, dates, c.TAGS, name)
-    return panel.scored(panel.labelled(panel.cleaned(values, t.securities).select("ticker", "signal_date", "value"), t.prices))
+    t = tables.Tables(t.securities, kept(t.prices), t.facts)
+    cap = factors.caps(t, dates)
+    values = (factors.bm_ratio(t, dates, c.TAGS, name, cap=cap) for name in ("pit", "restated"))
+    return [panel.scored(panel.labelled(panel.cleaned(v, t.securities).select("ticker", "signal_date", "value"), t.prices)) for v in values]
 
 
 def _arm_sql(known: str, suffix: str) -> str:
@@ -393,7 +395,7 @@ sess AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (S
 
 @query(f"{VINTAGES} SELECT count(*) AS n_common, count(*) FILTER (p.label = r.label AND p.formation_session = r.formation_session AND p.entry_date = r.entry_date AND p.exit_date = r.exit_date) AS n_identical, count(*) FILTER (NOT (p.formation_session <= p.entry_date AND p.entry_date < p.exit_date)) AS n_wrong_order FROM lab1 p JOIN lab2 r USING (ticker, signal_date)")
 def outcome_identity(spark, d):
-    return vintage.outcome_identity(arm(spark, d, "pit"), arm(spark, d, "restated"))
+    return vintage.outcome_identity(*arms(spark, d))
 
 
 def _mean_ic(t: str) -> str:
@@ -415,8 +417,8 @@ SELECT layer, round(p, 6) AS pit_ic, round(r, 6) AS restated_ic, CASE WHEN abs(r
 def vintage_layers(spark, d):
     """Both arms rescored as they are, on the keys that they share, and cleaned anew on these, with the verdict on each gap."""
     t = m.tables(spark, d, by_month=True)
-    t = tables.Tables(t.securities, kept(t.prices), kept(t.facts))
-    found = vintage.layers(t, m.dates(spark, d), "bm_ratio", t.prices, tags=c.TAGS)
+    t, dates = tables.Tables(t.securities, kept(t.prices), t.facts), m.dates(spark, d)
+    found = vintage.layers(t, dates, "bm_ratio", t.prices, tags=c.TAGS, cap=factors.caps(t, dates))
     rows = [(x.name, x.pit_ic, x.restated_ic, audit.verdict(True, x.n_dates, False, x.gap)) for x in found]
     return rounded(spark.createDataFrame(rows, "layer string, pit_ic double, restated_ic double, verdict string"), "pit_ic", "restated_ic")
 
